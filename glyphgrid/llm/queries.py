@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphgrid.llm import exact_dedup, langid, quality, sentencepiece_codec
+from glyphgrid.llm import exact_dedup, langid, mixing, quality, secrets, sentencepiece_codec
 from glyphgrid.session import read_table
 
 #: The vocabulary file's default place; callers may pass another.
@@ -29,12 +29,22 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece_codec": op1_sentencepiece_codec,
         "op2_exact_dedup": op2_exact_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op8_language_id": op8_language_id,
+        "op9_pfair_mixing": op9_pfair_mixing,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
