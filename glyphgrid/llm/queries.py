@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphgrid.llm import exact_dedup, langid, mixing, quality, secrets, sentencepiece_codec
+from glyphgrid.llm import exact_dedup, langid, mixing, quality, secrets, sentencepiece_codec, warc
 from glyphgrid.session import read_table
 
 #: The vocabulary file's default place; callers may pass another.
@@ -21,6 +21,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece_codec": op1_sentencepiece_codec,
         "op2_exact_dedup": op2_exact_dedup,
+        "op6_warc": op6_warc,
         "op7_quality_rules": op7_quality_rules,
         "op8_language_id": op8_language_id,
         "op9_pfair_mixing": op9_pfair_mixing,
@@ -58,5 +63,16 @@ WITH d AS (
 )
 SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256
 FROM d JOIN g ON d.norm = g.norm
+""",
+        "op6_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), g AS (
+  SELECT h, max(page_id) AS first_id FROM p WHERE strlen(h) >= 1000 GROUP BY h
+)
+SELECT p.page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+       CASE WHEN g.first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.first_id <> p.page_id THEN g.first_id END AS refers_to
+FROM p LEFT JOIN g ON p.h = g.h
 """,
     }
