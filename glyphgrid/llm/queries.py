@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphgrid.llm import exact_dedup, langid, mixing, quality, secrets, sentencepiece_codec, warc
+from glyphgrid.llm import exact_dedup, langid, mixing, quality, secrets, sentencepiece_codec, simhash, warc
 from glyphgrid.session import read_table
 
 #: The vocabulary file's default place; callers may pass another.
@@ -21,6 +21,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece_codec": op1_sentencepiece_codec,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_simhash": op3_simhash,
         "op6_warc": op6_warc,
         "op7_quality_rules": op7_quality_rules,
         "op8_language_id": op8_language_id,
