@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphgrid.llm import exact_dedup, langid, mixing, quality, secrets, sentencepiece_codec, simhash, warc
+from glyphgrid.llm import exact_dedup, langid, mixing, quality, secrets, sentencepiece_codec, simhash, substring_dedup, warc
 from glyphgrid.session import read_table
 
 #: The vocabulary file's default place; callers may pass another.
@@ -25,6 +25,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece_codec": op1_sentencepiece_codec,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_simhash": op3_simhash,
+        "op4_substring_dedup": op4_substring_dedup,
         "op6_warc": op6_warc,
         "op7_quality_rules": op7_quality_rules,
         "op8_language_id": op8_language_id,
