@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphgrid.llm import exact_dedup, langid, mixing, quality, secrets, sentencepiece_codec, simhash, substring_dedup, warc
+from glyphgrid.llm import bloom_lm, exact_dedup, langid, mixing, quality, secrets, sentencepiece_codec, simhash, substring_dedup, warc
 from glyphgrid.session import read_table
 
 #: The vocabulary file's default place; callers may pass another.
@@ -29,6 +29,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_simhash": op3_simhash,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_bloom_lm": op5_bloom_lm,
         "op6_warc": op6_warc,
         "op7_quality_rules": op7_quality_rules,
         "op8_language_id": op8_language_id,
