@@ -197,6 +197,20 @@ def predict(docs: DataFrame, texts: dict[str, str], rows: int = 256) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, PREDICTED)
 
 
+def relabelled(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """``docs`` with the predicted language as ``lang``, without the rows that have none (``und``)."""
+    small_batches(docs.sparkSession)
+    known = tuple(sorted(texts.items()))
+
+    @F.pandas_udf("string")
+    def predicted(column):
+        import pandas as pd
+
+        return pd.Series([x for x, _ in parser(known).predict([t if isinstance(t, str) else None for t in column])], dtype=object)
+
+    return docs.withColumn("lang", predicted(F.col("text").cast("string"))).filter("lang <> 'und'")
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the labelled rows and predict every row."""
     return predict(docs, sample(docs))

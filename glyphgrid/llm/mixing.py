@@ -128,3 +128,10 @@ def mix(docs: DataFrame, period: int = PERIOD, block: int = BLOCK, temperature:
         "place",
         (F.col("slot") < F.lit(horizon)).alias("on_target"),
     )
+
+
+def in_mixed_order(docs: DataFrame, period: int = PERIOD, block: int = BLOCK, temperature: float = TEMPERATURE, targets: dict[str, float] | None = None) -> DataFrame:
+    """All rows and columns of ``docs``, dealt and sorted so that files, read in order, follow the mix."""
+    order = mix(docs, period, block, temperature, targets).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("__at")).withColumnRenamed("doc_id", "__id")
+    joined = docs.join(order, docs["doc_id"].cast("long").eqNullSafe(order["__id"]))
+    return joined.repartitionByRange("__at").sortWithinPartitions("__at").drop("__at", "__id")
