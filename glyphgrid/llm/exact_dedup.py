@@ -43,35 +43,34 @@ def identifier(chunk: Column, bits: int = 64) -> Column:
     return full if bits == 64 else F.pmod(full, F.lit(2**bits))
 
 
-def collisions(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """Identifiers that stand for more than one content, with a number for each content.
+def distinct_chunks(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """(h, chunk) of every different chunk, formed before anything is shuffled, so a chunk moves once for each task that met it."""
+    return docs.select(F.explode(chunks(F.col("norm"))).alias("chunk")).select(identifier(F.col("chunk"), bits).alias("h"), "chunk").distinct()
 
-    The distinct chunks are formed before anything is shuffled, so a chunk moves
-    once for each task that met it.
-    """
-    known = docs.select(F.explode(chunks(F.col("norm"))).alias("chunk")).select(identifier(F.col("chunk"), bits).alias("h"), "chunk").distinct()
-    shared = known.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    return known.join(shared, "h").select("h", "chunk", F.sha2("chunk", 256).alias("number"))
+
+def collisions(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """Identifiers that stand for more than one content; only they are moved and written."""
+    return materialize(distinct_chunks(docs, bits).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "chunk-clashes")
 
 
 def recipes(docs: DataFrame, bits: int = 64) -> DataFrame:
     """``docs`` (with ``norm``) with ``recipe``, the ordered verified identifiers.
 
-    Almost always no identifier is shared and it alone is enough. Otherwise the
-    numbers of the shared ones are looked up and follow it in the recipe.
+    Almost always no identifier is shared and it alone is enough. Otherwise each
+    content of the shared ones has a digest that follows it in the recipe.
     """
     parts = F.transform(chunks(F.col("norm")), lambda c: identifier(c, bits))
-    clash = materialize(collisions(docs, bits), "chunk-clashes")
-    plain = docs.withColumn("recipe", F.transform(parts, lambda h: F.struct(h.alias("h"), F.lit("").alias("number"))))
+    clash = collisions(docs, bits)
     if clash.isEmpty():
         return docs.withColumn("recipe", parts)
+    plain = docs.withColumn("recipe", F.transform(parts, lambda h: F.struct(h.alias("h"), F.lit("").alias("number"))))
     keyed = plain.withColumn("row", F.monotonically_increasing_id())
     found = (
         keyed.select("row", F.posexplode(chunks(F.col("norm"))).alias("at", "chunk"))
         .withColumn("h", identifier(F.col("chunk"), bits))
-        .join(clash, ["h", "chunk"])
+        .join(clash, "h")
         .groupBy("row")
-        .agg(F.map_from_entries(F.collect_list(F.struct("at", "number"))).alias("numbers"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("at", F.sha2("chunk", 256).alias("number")))).alias("numbers"))
     )
     number = F.transform(F.col("recipe"), lambda x, i: F.struct(x["h"].alias("h"), F.coalesce(F.element_at(F.col("numbers"), i), F.lit("")).alias("number")))
     return keyed.join(found, "row", "left").withColumn("recipe", F.when(F.col("numbers").isNull(), F.col("recipe")).otherwise(number)).drop("row", "numbers")
