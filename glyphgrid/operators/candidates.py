@@ -13,6 +13,7 @@ from glyphgrid.functions.text import fixed_point, length_without_blanks, trigram
 from glyphgrid.operators.labels import require
 from glyphgrid.operators.textindex import in_one_block, interval, norm_text, page_arrays, raw_text, token_postings, trigram_postings
 from glyphgrid.schemas import SCALE
+from glyphgrid.session import materialize
 
 EPSILON = 1e-12
 COLUMNS = (
@@ -174,9 +175,11 @@ def retained(scored: DataFrame, limit: int = 5) -> DataFrame:
 
 def fuzzy_spans(values: DataFrame, index: DataFrame, options: Fuzzy = Fuzzy()) -> DataFrame:
     """Spans near to the queries; where a query has no vote at all, windows everywhere in its page."""
-    queries, pages = queries_of(values), page_arrays(index)
+    # each is read several times below: computed once and written
+    index, queries = materialize(index, "word-index"), materialize(queries_of(values), "queries")
+    pages = materialize(page_arrays(index), "page-arrays")
     sizes = pages.select("page_key", "n")
-    votes = start_votes(queries, index, options)
+    votes = materialize(start_votes(queries, index, options), "start-votes")
     anchored = scored_windows(windows_around(top_starts(votes, options), queries, sizes, options), pages.drop("n"), options)
     unvoted = queries.join(votes.select("page_key", "query").distinct(), ["page_key", "query"], "left_anti")
     everywhere = unvoted.join(sizes, "page_key").select("page_key", "query", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,28 +15,39 @@ from glyphgrid.operators.labels import require
 SOURCE = "ordered-alignment"
 
 
-def distance_table(a: np.ndarray, b: np.ndarray, reach: int) -> np.ndarray:
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def banded_rows(a: np.ndarray, b: np.ndarray, reach: int) -> Iterator[np.ndarray]:
     """Edit distances of prefixes within ``reach`` of the diagonal: row i, column j - i + reach."""
-    n, m, width, far = len(a), len(b), 2 * reach + 1, 1 << 29
-    table = np.full((n + 1, width), far, np.int32)
+    m, width, far = len(b), 2 * reach + 1, np.int32(1 << 29)
     offset = np.arange(width, dtype=np.int32)
-    for i in range(n + 1):
+    row = np.where((offset >= reach) & (offset - reach <= m), offset - reach, far).astype(np.int32)
+    yield row
+    padded = np.concatenate((np.full(reach + 1, 0xFFFFFFFF, np.uint32), b, np.full(reach + 1 + max(0, len(a) - m), 0xFFFFFFFF, np.uint32)))
+    for i in range(1, len(a) + 1):
         j = i - reach + offset
-        inside = (j >= 0) & (j <= m)
-        if i == 0:
-            row = np.where(inside, j, far)
-        else:
-            before = table[i - 1]
-            above = np.append(before[1:], far) + 1
-            letter = np.zeros(width, np.bool_)
-            ok = (j >= 1) & (j <= m)
-            letter[ok] = b[j[ok] - 1] == a[i - 1]
-            across = np.where(ok, before + np.where(letter, 0, 1), far)
-            row = np.where(inside, np.minimum(above, across), far)
-            row = np.minimum.accumulate(row - offset) + offset  # insertions run along the row
-            row = np.where(inside, np.minimum(row, far), far)
-        table[i] = row
-    return table
+        above = np.empty_like(row)
+        above[:-1], above[-1] = row[1:], far
+        across = row + (padded[i : i + width] != a[i - 1])
+        row = np.minimum(above + 1, across)
+        row[j < 1] = far
+        if i <= reach:
+            row[reach - i] = i  # nothing of the target is used
+        row[j > m] = far
+        row = np.minimum(np.minimum.accumulate(row - offset) + offset, far)  # insertions run along the row
+        row[j > m] = far
+        row[j < 0] = far
+        yield row
+
+
+def reaches(n: int, m: int) -> Iterator[int]:
+    reach = max(8, abs(n - m) + 1)
+    while reach < max(n, m):
+        yield reach
+        reach *= 2
+    yield max(n, m, 1)
 
 
 def aligned_characters(source: str, target: str) -> list[int | None]:
@@ -44,39 +57,42 @@ def aligned_characters(source: str, target: str) -> list[int | None]:
     first, then a replacement, a deletion, an insertion. The band around the
     diagonal is doubled until the path cannot leave it.
     """
-    a, b = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (source, target))
-    n, m = len(a), len(b)
-    reach = max(8, abs(n - m) + 1)
-    while True:
-        table = distance_table(a, b, reach)
-        if table[n, m - n + reach] <= reach or reach >= max(n, m):
+    a, b = codes(source), codes(target)
+    found: list[int | None] = [None] * len(a)
+    i, j = len(a), len(b)
+    while i and j and a[i - 1] == b[j - 1]:
+        i, j = i - 1, j - 1
+        found[i] = j
+    if not i or not j:
+        return found
+    for reach in reaches(i, j):
+        table = np.stack(list(banded_rows(a[:i], b[:j], reach)))
+        if table[i, j - i + reach] <= reach:
             break
-        reach *= 2
-    found: list[int | None] = [None] * n
-    i, j = n, m
-    at = lambda i, j: int(table[i, j - i + reach]) if 0 <= j - i + reach <= 2 * reach and i >= 0 and j >= 0 else 1 << 29
-    while i or j:
+    at = lambda i, j: int(table[i, j - i + reach]) if i >= 0 and j >= 0 and abs(j - i) <= reach else 1 << 29
+    while i and j:
         now = at(i, j)
-        if i and j and a[i - 1] == b[j - 1] and at(i - 1, j - 1) == now:
+        if a[i - 1] == b[j - 1] and at(i - 1, j - 1) == now or at(i - 1, j - 1) + 1 == now:
             i, j = i - 1, j - 1
             found[i] = j
-        elif i and j and at(i - 1, j - 1) + 1 == now:
-            i, j = i - 1, j - 1
-            found[i] = j
-        elif i and at(i - 1, j) + 1 == now:
+        elif at(i - 1, j) + 1 == now:
             i -= 1
         else:
             j -= 1
     return found
 
 
-def edit_distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        corner, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
-    return row[-1]
+def edit_distance(first: str, second: str) -> int:
+    if first == second:
+        return 0
+    a, b = codes(first), codes(second)
+    for reach in reaches(len(a), len(b)):
+        for row in banded_rows(a, b, reach):
+            pass
+        distance = int(row[len(b) - len(a) + reach])
+        if distance <= reach:
+            break
+    return distance
 
 
 def page_spans(values: list[tuple[int, str]], words: list[tuple[int, str]]) -> list[tuple[int, int, int, int]]:
@@ -111,7 +127,7 @@ def page_spans(values: list[tuple[int, str]], words: list[tuple[int, str]]) -> l
             continue
         s, e = owned[region][0], owned[region][-1]
         best = edit_distance(query, between(s, e))
-        while s < e:  # an edge word goes if the value is nearer without it
+        while best and s < e:  # an edge word goes if the value is nearer without it
             left, right = edit_distance(query, between(s + 1, e)), edit_distance(query, between(s, e - 1))
             if min(left, right) >= best:
                 break

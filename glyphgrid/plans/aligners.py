@@ -18,6 +18,7 @@ from glyphgrid.operators.ordered import ordered_candidates
 from glyphgrid.operators.overlap import BIDIRECTIONAL, GREATEST, assigned, overlaps
 from glyphgrid.operators.textindex import index_words
 from glyphgrid.schemas import SCALE
+from glyphgrid.session import materialize
 
 EXACT, COMBINED, ORDERED = "exact", "combined", "ordered-alignment"
 BEST, PASS = "cp-sat", "pass-through"
@@ -77,7 +78,7 @@ class TextAlignment:
 
     def align(self, regions: DataFrame, words: DataFrame) -> DataFrame:
         """``regions`` with the chosen candidate, its words, text and geometry; unmatched ones with nulls."""
-        index, values = self.index(words), self.values(regions)
+        index, values = materialize(self.index(words), "word-index"), materialize(self.values(regions), "values")
         chosen = S.last_of_region(self.chosen(self.candidates(values, index)))
         spans = chosen.select("page_key", "region_id", "candidate_id", "source", F.col("normalized_matched_text").alias("alto_text_normalized"), (F.col("similarity_int") / SCALE).alias("alignment_score"), "start_word", "end_word")
         each = spans.select("page_key", "region_id", F.explode(F.sequence("start_word", "end_word")).alias("word_index"))

@@ -1,78 +1,44 @@
-"""Label Studio project exports: rectangles of the newest annotation that was not cancelled."""
+"""Aligned pages as Label Studio predictions."""
 
 from __future__ import annotations
 
-from urllib.parse import parse_qs, unquote, urlparse
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphgrid.functions import geometry as G
-from glyphgrid.schemas import PATH
-from glyphgrid.sources.files import page_key
-
-TASKS = """array<struct<id:bigint,data:struct<image:string>,annotations:array<struct<was_cancelled:boolean,created_at:string,updated_at:string,
-result:array<struct<type:string,original_width:double,original_height:double,image_rotation:double,
-value:struct<x:double,y:double,width:double,height:double,rotation:double,rectanglelabels:array<string>>>>>>>>""".replace("\n", "")
-
-
-def key_of_image(reference: str | None) -> str | None:
-    """The page an image reference names: its ``d`` parameter or else its path, without folder and suffix."""
-    if not reference or not reference.strip():
-        return None
-    url = urlparse(reference)
-    named = parse_qs(url.query).get("d", [""])[0]
-    return page_key(unquote(named or url.path)) or None
-
-
-@F.pandas_udf("string")
-def page_key_of_image(images):
-    return images.map(key_of_image)
-
-
-def tasks(exports: DataFrame) -> DataFrame:
-    """(task_index, page_key, annotations) of exports (raw: a JSON array); an image without a name is an error."""
-    read = exports.select(F.posexplode(F.from_json("raw", TASKS)).alias("task_index", "task"))
-    key = page_key_of_image(F.col("task.data.image"))
-    named = read.select("task_index", key.alias("page_key"), F.coalesce("task.annotations", F.array().cast(TASKS.split("annotations:")[1][:-2])).alias("annotations"))
-    fail = F.raise_error(F.concat(F.lit("no page key in the image of task "), F.col("task_index").cast("string")))
-    return named.withColumn("page_key", F.coalesce("page_key", fail.cast("string")))
-
-
-def duplicate_pages(found: DataFrame) -> DataFrame:
-    return found.groupBy("page_key").agg(F.count("*").alias("n")).filter("n > 1")
-
-
-def newest(found: DataFrame) -> DataFrame:
-    """(task_index, page_key, annotation_index, result): by time of update (or creation), creation, place; no time is earliest."""
-    time = lambda c: F.coalesce(c.try_cast("timestamp").cast("double"), F.lit(float("-inf")))
-    ranked = F.transform("annotations", lambda a, k: F.struct(time(F.coalesce(a["updated_at"], a["created_at"])).alias("updated"), time(a["created_at"]).alias("created"), k.alias("k"), F.coalesce(a["was_cancelled"], F.lit(False)).alias("gone"), a["result"].alias("result")))
-    slim = F.transform(F.filter(ranked, lambda a: ~a["gone"]), lambda a: F.struct(a["updated"].alias("updated"), a["created"].alias("created"), a["k"].alias("k")))
-    best = found.withColumn("best", F.array_max(slim)).filter("best IS NOT NULL")
-    return best.select("task_index", "page_key", F.col("best.k").alias("annotation_index"), F.get("annotations", F.col("best.k"))["result"].alias("result"))
-
-
-def regions(exports: DataFrame, strict: bool = True) -> DataFrame:
-    """Rectangles in pixels, numbered as they stand; rotated or ill-formed ones are an error (or have ``error``)."""
-    each = newest(tasks(exports)).select("task_index", "page_key", "annotation_index", F.posexplode("result").alias("result_index", "r")).filter("r.type = 'rectanglelabels'")
-    v = F.col("r.value")
+from glyphgrid.operators.labels import export_label, require
+from glyphgrid.sinks.json_pages import quoted
+
+
+def results(aligned: DataFrame, pages: DataFrame, mode: str = "geometry", text_source: str = "json", geometry_source: str = "input") -> DataFrame:
+    """(page_key, region_id, label, text, x, y, width, height, confidence, alignment_score, score): boxes in percent of the page.
+
+    Regions without text or geometry are left out; a page or box without
+    positive finite size is an error.
+    """
+    text = F.col("input_text") if mode == "text" and text_source == "json" else F.col("alto_text")
+    use_input = mode == "geometry" and geometry_source == "input"
+    box = G.bounds(F.col("bbox"), F.col("polygon")) if use_input else G.bounds(F.col("alto_bbox"), F.col("alto_polygon"))
+    confidence = F.col("confidence") if "confidence" in aligned.columns else F.lit(None).cast("double")
+    chosen = aligned.select("page_key", "region_id", export_label().alias("label"), text.alias("text"), box.alias("b"), confidence.alias("confidence"), "alignment_score").filter("text IS NOT NULL AND b IS NOT NULL")
+    sized = chosen.join(pages.select("page_key", "alto_width", "alto_height"), "page_key", "left")
     positive = lambda c: F.coalesce(G.finite(c) & (c > 0), F.lit(False))
-    labels = v["rectanglelabels"]
-    error = (
-        F.when(v.isNull(), "a rectangle needs a value")
-        .when(labels.isNull() | (F.size(labels) != 1) | F.coalesce(F.get(labels, F.lit(0)) == "", F.lit(True)), "a rectangle needs one label")
-        .when((F.coalesce(v["rotation"], F.lit(0.0)) != 0) | (F.coalesce(F.col("r.image_rotation"), F.lit(0.0)) != 0), "rotated rectangles are not supported")
-        .when(~positive(F.col("r.original_width")) | ~positive(F.col("r.original_height")), "original sizes must be positive")
-        .when(~positive(v["width"]) | ~positive(v["height"]) | ~F.coalesce(G.finite(v["x"]) & G.finite(v["y"]), F.lit(False)), "the rectangle must be finite and positive")
-    )
-    each = each.withColumn("error", error)
-    if strict:
-        each = each.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("page "), "page_key", F.lit(": "), "error")).cast("string"))).filter("error IS NULL")
-    order = Window.partitionBy("task_index").orderBy("result_index")
-    key = lambda x: F.struct(F.lit(x).alias("key"), F.lit(None).cast("int").alias("idx"))
-    idx = lambda c: F.struct(F.lit(None).cast("string").alias("key"), c.cast("int").alias("idx"))
-    path = F.array(idx(F.col("task_index")), key("annotations"), idx(F.col("annotation_index")), key("result"), idx(F.col("result_index")), key("value")).cast(PATH)
-    return each.select(
-        "page_key", (F.row_number().over(order) - 1).cast("int").alias("region_id"), F.get(labels, F.lit(0)).alias("label"),
-        G.from_percent(v, F.col("r.original_width"), F.col("r.original_height")).alias("bbox"), path.alias("geometry_path"), "error",
-    )
+    fine = positive(F.col("alto_width")) & positive(F.col("alto_height")) & G.finite(F.col("b.x")) & G.finite(F.col("b.y")) & positive(F.col("b.width")) & positive(F.col("b.height"))
+    fail = F.raise_error(F.concat(F.lit("sizes must be positive and finite on page "), "page_key")).cast("boolean")
+    percent = G.to_percent(F.col("b"), F.col("alto_width"), F.col("alto_height"))
+    return sized.filter(F.when(fine, F.lit(True)).otherwise(fail)).withColumn("p", percent).select("page_key", "region_id", "label", "text", "p.x", "p.y", "p.width", "p.height", "confidence", "alignment_score", F.least("confidence", "alignment_score").alias("score"))
+
+
+def documents(found: DataFrame, pages: DataFrame, image_prefix: str) -> DataFrame:
+    """(page_key, json): one task a page, with the least score of its results."""
+    require(bool(image_prefix.strip()), "an image prefix is needed")
+    member = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f',"{name}":'), c.cast("string"))).otherwise(F.lit(""))
+    number = lambda n: F.concat(F.lit(f'"{n}":'), G.clean_number(F.col(n)))
+    value = F.concat(F.lit("{"), F.concat_ws(",", *map(number, ("x", "y", "width", "height"))), F.lit(',"rectanglelabels":['), quoted(F.col("label")), F.lit("]}"))
+    meta = F.concat(F.lit('{"text":['), quoted(F.col("text")), F.lit("]"), member("input_geometry_confidence", F.col("confidence")), member("alignment_score", F.col("alignment_score")), F.lit("}"))
+    entry = F.concat(F.lit('{"from_name":"label","to_name":"image","type":"rectanglelabels","value":'), value, F.lit(',"meta":'), meta, member("score", F.col("score")), F.lit("}"))
+    lists = found.withColumn("entry", entry).groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("region_id", "entry"))).alias("r"), F.min("score").alias("score"))
+    joined = pages.select("page_key").join(lists, "page_key", "left")
+    image = quoted(F.concat(F.lit(image_prefix.rstrip("/") + "/"), "page_key", F.lit(".jpg")))
+    entries = F.coalesce(F.array_join(F.transform("r", lambda x: x["entry"]), ","), F.lit(""))
+    return joined.select("page_key", F.concat(F.lit('{"data":{"image":'), image, F.lit('},"predictions":[{"result":['), entries, F.lit("]"), member("score", F.col("score")), F.lit("}]}")).alias("json"))
