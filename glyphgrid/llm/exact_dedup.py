@@ -92,6 +92,7 @@ def exact_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns; told apart by id and text."""
+    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__kept")).distinct()
+    sha = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256))
+    return docs.withColumn("__sha", sha).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept")), "left_semi").drop("__sha")

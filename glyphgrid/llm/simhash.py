@@ -233,6 +233,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Of each component the document with the smallest id, with all columns; rows without an id stay."""
+    """Of each component the document with the smallest id, with all columns.
+
+    Rows with one id are one document here: all go if one of them is a near copy
+    of a smaller id. Rows without an id stay.
+    """
     gone = near_duplicates(docs, shingle, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
