@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ALTO, JSON, IMAGES = (".xml",), (".json",), (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp", ".webp")
@@ -23,20 +23,19 @@ def page_key_of(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, paths: str | Sequence[str], suffixes: Sequence[str] = (), text: bool = True) -> DataFrame:
-    """(page_key, page_ordinal, path, content): the top level of a folder in order of names, or files in the given order.
+    """(page_key, page_ordinal, path, content): the top level of a folder, or files in the given order.
 
-    Suffixes are compared in lower case; none given: every file.
+    Suffixes are compared in lower case; none given: every file. The pages of a
+    folder are in the order of their paths and have no ordinal.
     """
     listed = [paths] if isinstance(paths, str) else list(paths)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(listed).select("path", "content")
     if suffixes:
         found = found.filter(F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
     if isinstance(paths, str):
-        # names only; the contents stay where they are
-        rank = F.row_number().over(Window.orderBy("path")) - 1
-        order = found.select("path").withColumn("page_ordinal", rank.cast("int"))
+        found = found.withColumn("page_ordinal", F.lit(None).cast("int"))
     else:
         order = spark.createDataFrame([(p.rsplit("/", 1)[-1], k) for k, p in enumerate(listed)], "name string, page_ordinal int")
-        order = found.select("path").withColumn("name", F.element_at(F.split("path", "/"), -1)).join(order, "name").drop("name")
+        found = found.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(F.broadcast(order), "name").drop("name")
     content = F.decode("content", "UTF-8") if text else F.col("content")
-    return found.join(order, "path").select(page_key_of(F.col("path")).alias("page_key"), "page_ordinal", "path", content.alias("content"))
+    return found.select(page_key_of(F.col("path")).alias("page_key"), "page_ordinal", "path", content.alias("content"))
