@@ -27,10 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphgrid.llm.columns import each_index, let, words
 from glyphgrid.llm.components import connected_components
+from glyphgrid.llm.exact_dedup import ascii_lower
 from glyphgrid.session import materialize, small_batches
 
 SHINGLE, RADIUS = 3, 3
@@ -164,8 +166,8 @@ def divided(codes: DataFrame, fixed: int, radius: int) -> DataFrame:
 
 
 def near_links(codes: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
-    """(a, b): links whose classes are those of all pairs of ``codes`` (fp, rep) within the radius."""
-    waiting, ready = codes.select("rep", F.col("fp").alias("code"), F.lit("").alias("node")), []
+    """(a, b): links whose classes are those of all pairs of ``codes`` (node, code, rep) of one node within the radius."""
+    waiting, ready = codes.select("rep", "code", "node"), []
     fixed = 0
     while True:
         placed = divided(waiting, fixed, radius)
@@ -226,7 +228,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     rows = materialize(fingerprints(docs, shingle), "fingerprints").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     parts = rows.groupBy("fp", "salt").agg(F.min("doc_id").alias("rep"))
     codes = materialize(parts.groupBy("fp").agg(F.min("rep").alias("rep")), "codes")
-    found = connected_components(near_links(codes.filter("rep IS NOT NULL"), radius, most))
+    found = connected_components(near_links(codes.filter("rep IS NOT NULL").select("rep", F.col("fp").alias("code"), F.lit("").alias("node")), radius, most))
     named = codes.join(found, codes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     back = parts.select("fp", "salt").join(named, "fp")
     return rows.join(back, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -240,3 +242,100 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
     """
     gone = near_duplicates(docs, shingle, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+
+
+#: For copies by similarity: words of a shingle, the least Jaccard similarity, fingerprints of a text and the radius of candidates.
+SIMILAR_SHINGLE, SIMILARITY, PRINTS, SIMILAR_RADIUS = 5, 0.8, 4, 5
+#: Representatives of a group that its members are compared with, in the first round and in later ones.
+REPRESENTATIVES = (1, 16)
+
+
+def word_prints(text: str | None, prints: int = PRINTS) -> list[int]:
+    """Independent 64-bit SimHashes of the different words of a text, A-Z in lower case."""
+    import xxhash
+
+    different = set((text or "").encode().lower().split())
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in different), np.uint64, len(different))
+    found = []
+    for k in range(prints):
+        x = (h ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        ones = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        found.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]))
+    return found
+
+
+def all_prints(docs: DataFrame, prints: int = PRINTS) -> DataFrame:
+    """(doc_id, node, code): the fingerprints of every row, the number of the print as the node."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([word_prints(t.as_py(), prints) for t in batch.column(1)], np.uint64).reshape(-1, prints)
+            ids = np.repeat(np.asarray(batch.column(0)), prints)
+            names = pa.array([str(k) for k in range(prints)] * len(found), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), names, pa.array(found.ravel().view(np.int64))], names=["doc_id", "node", "code"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, node string, code long")
+
+
+def shingle_hashes(text: Column, k: int = SIMILAR_SHINGLE) -> Column:
+    """Hashes of the different k-word shingles (A-Z in lower case); of a shorter text, of all its words."""
+
+    def of(ws: Column) -> Column:
+        n = F.size(ws)
+        long_ = F.transform(each_index(n - (k - 1)), lambda i: F.xxhash64(*(F.get(ws, i + j) for j in range(k))))
+        return F.when(n >= k, F.array_distinct(long_)).otherwise(F.array(F.xxhash64(F.array_join(ws, " "))))
+
+    return let(words(ascii_lower(F.coalesce(text.cast("string"), F.lit("")))), of)
+
+
+def similar_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, radius: int = SIMILAR_RADIUS) -> DataFrame:
+    """(doc_id, kept_id): documents that go, each with the smaller id that stays and is as similar as asked.
+
+    Candidates are linked if one of several fingerprints is near, each of the
+    different words of a text, which few edits change little. The members of a
+    group of links are compared with its smallest ids: who is similar to one
+    that stays goes. Who is not is grouped anew with the others left, until no
+    one has a candidate; every round settles at least the smallest id of each
+    group. Ids must be unique; rows without an id have no copies.
+    """
+    prints = materialize(all_prints(docs), "word-prints")
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    gone, left, turn = None, prints, 0
+    while True:
+        codes = materialize(left.groupBy("node", "code").agg(F.min("doc_id").alias("rep")), "word-codes")
+        same = left.join(codes, ["node", "code"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        found = connected_components(same.union(near_links(codes, radius)))
+        members = materialize(found.select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "members")
+        if members.isEmpty():
+            break
+        most = REPRESENTATIVES[min(turn, 1)]
+        # the smallest ids of a group, from the smallest of each of its parts
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+        first = members.select("group", "doc_id", part.alias("part"))
+        for by in (["group", "part"], ["group"]):
+            first = first.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("doc_id"))).filter(F.col("rank") <= most).drop("rank")
+        first = first.select("group", F.col("doc_id").alias("rep"))
+        sets = materialize(members.select("doc_id", "group").join(texts, "doc_id").select("doc_id", "group", shingle_hashes(F.col("text"), shingle).alias("s")), "shingles")
+        reps = sets.join(first, (sets["doc_id"] == first["rep"]) & (sets["group"] == first["group"]), "left_semi").select(F.col("doc_id").alias("rep"), F.col("group").alias("of"), F.col("s").alias("rs"))
+        both = sets.join(reps, (F.col("group") == F.col("of")) & (F.col("doc_id") > F.col("rep")))
+        shared = F.size(F.array_intersect("s", "rs"))
+        near = materialize(both.filter(shared >= similarity * (F.size("s") + F.size("rs") - shared)).select("group", "doc_id", "rep"), "near")
+        # a representative that goes takes no one with it
+        ready = near.join(near.select(F.col("doc_id").alias("rep")).distinct(), "rep", "left_anti") if most > 1 else near
+        out = materialize(ready.groupBy("doc_id").agg(F.min("rep").alias("kept_id")), "gone")
+        gone = out if gone is None else gone.unionByName(out)
+        done = first.select(F.col("rep").alias("doc_id")).join(near.select("doc_id").distinct(), "doc_id", "left_anti")
+        open_ = members.select("doc_id").join(out.select("doc_id").union(done), "doc_id", "left_anti")
+        left = materialize(prints.join(open_, "doc_id", "left_semi"), "left")
+        turn += 1
+    return gone if gone is not None else members.select("doc_id", F.col("group").alias("kept_id"))
+
+
+def drop_similar_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without copies by similarity; rows without an id stay."""
+    gone = similar_copies(docs, similarity).select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
