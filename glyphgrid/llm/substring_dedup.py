@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,26 +36,52 @@ from pyspark.sql import functions as F
 from glyphgrid.session import materialize, small_batches
 
 SPAN, ANCHOR = 50, 8
-#: Word hashes that a worker remembers.
-REMEMBERED = 300_000
+#: A text is hashed in parts of about so many bytes, as a power of two.
+PART_BITS = 20
+#: White space of ASCII, by byte.
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 RUN = "anchor long, block long, doc_id long, row long, start int, n int"
 FACTOR = "row long, doc_id long, start int, n int"
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered for the frequent ones."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+@lru_cache(maxsize=1)
+def powers(exponent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For two odd bases the powers below 2**exponent and their inverses, modulo 2**64."""
+    out = []
+    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        pair = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            p = np.full(1 << exponent, x, np.uint64)
+            p[0] = 1
+            pair.append(np.cumprod(p, dtype=np.uint64))
+        out.append((pair[0], pair[1]))
+    return out
+
+
+def part_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a part, from running sums over its bytes."""
+    b = np.frombuffer(data, np.uint8)
+    blank = np.concatenate(([True], BLANK[b], [True]))
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    start, stop = edge[::2], edge[1::2]
+    sums = []
+    for power, inverse in powers(max(PART_BITS, len(b).bit_length())):
+        run = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], dtype=np.uint64, out=run[1:])
+        sums.append((run[stop] - run[start]) * inverse[start])
+    return mixed(sums[0], sums[1], 3)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """Hashes of the words of a text; a long one is taken in parts that begin at a blank."""
+    found, at = [], 0
+    while at < len(data):
+        end = min(at + (1 << PART_BITS), len(data))
+        while end < len(data) and not BLANK[data[end]]:
+            end += 1
+        found.append(part_hashes(data[at:end]))
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def mixed(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
@@ -108,13 +135,12 @@ def block_rows(rows: DataFrame, merged: bool, span: int, anchor: int) -> DataFra
     """The blocks of all documents; ``merged``: equal blocks of a batch once, under the smallest (``doc_id``) and with the largest id (``row``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             parts: list[list[np.ndarray]] = [[] for _ in range(6)]
             for k in range(batch.num_rows):
                 if not batch.column(0)[k].is_valid:
                     continue
-                one = hashes.of(batch.column(1)[k].as_py().encode().split())
+                one = word_hashes(batch.column(1)[k].as_py().encode())
                 if len(one) < span:
                     continue
                 found = blocks(one, span, anchor)
@@ -144,11 +170,10 @@ def windows_of(rows: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     joined = rows.join(lists.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "text", "row", "at.start", "at.n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             parts: list[list[np.ndarray]] = [[] for _ in range(5)]
             for doc, text, row, start, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                one = hashes.of(text.encode().split())
+                one = word_hashes(text.encode())
                 start, n = np.array(start, np.int64), np.array(n, np.int64)
                 at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 for part, x in zip(parts, (of_length(one, span, 11)[at], of_length(one, span, 23)[at], np.full(len(at), doc, np.int64), np.full(len(at), row, np.int64), at), strict=True):
@@ -167,7 +192,8 @@ def factors(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFram
     held = block_rows(rows, True, span, anchor).select("anchor", "block", "doc_id", F.col("row").alias("last"))
     # dealt by anchor alone, so that the blocks of an anchor can be counted where they are
     known = held.repartition("anchor").groupBy("anchor", "block").agg(F.min("doc_id").alias("least"), F.max("last").alias("last"))
-    varied = known.groupBy("anchor").agg((F.count("*") > 1).alias("varied"))
+    known = materialize(known, "known-blocks")  # read twice below, and the texts are not hashed again for it
+    varied = known.groupBy("anchor").agg(((F.count("*") > 1) & (F.min("least") < F.max("last"))).alias("varied"))
     index = known.join(varied, "anchor").filter("varied OR least < last").select("anchor", "block", "least", "varied")
     parsed = materialize(block_rows(rows, False, span, anchor).join(index, ["anchor", "block"]).filter("least < doc_id OR varied"), "parsed-blocks")
     whole = parsed.filter("least < doc_id").select("row", "doc_id", "start", "n")
