@@ -245,3 +245,41 @@ def test_languages(spark):
     assert [by[k].lang_pred for k in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "aa"]
     assert langid.identify(df.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.identify(df.filter("doc_id >= 1000 AND lang IS NULL")).collect()} == {"und"}
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(12)
+    words = {"".join(rng.choice("abé") for _ in range(rng.randrange(1, 9))).encode() for _ in range(5000)}
+    data = b" \t".join(sorted(words)) + b"\n"
+    assert len(set(substring_dedup.word_hashes(data).tolist())) == len(words)
+    assert substring_dedup.word_hashes(b"x" + data)[5:].tolist() == substring_dedup.word_hashes(data)[5:].tolist()
+    assert substring_dedup.word_hashes(b" \t").size == 0
+    long_ = b"abc " * 400_000 + b"d" * 1_200_000 + b" abc"
+    h = substring_dedup.word_hashes(long_)
+    assert len(h) == 400_002 and len(set(h.tolist())) == 2 and h[0] == h[-1]
+
+
+def jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in (a, b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_copies_by_similarity(spark):
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(150)) for _ in range(15)]
+    for k in range(45):
+        words = rng.choice(texts[:15]).split()
+        for _ in range(rng.choice([1, 2, 3, 12])):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts.append(" ".join(words))
+    texts += ["a b", "b a", "", "a b c d e f g", "a b c d e f g h"]
+    df = docs(spark, texts)
+    gone = {r.doc_id: r.kept_id for r in simhash.similar_copies(df).collect()}
+    assert all(jaccard(texts[a], texts[b]) >= 0.8 and b < a and b not in gone for a, b in gone.items())
+    near = [(b, a) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    missed = [p for p in near if p[0] not in gone and p[1] not in gone]
+    assert len(near) > 30 and len(missed) <= 0.05 * len(near)
+    left = simhash.drop_similar_copies(df.union(spark.createDataFrame([(None, texts[0], "clash", "clash")], df.schema)))
+    assert left.columns == df.columns and left.count() == len(texts) - len(gone) + 1
+    assert simhash.similar_copies(df.limit(0)).count() == 0
