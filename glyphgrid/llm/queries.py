@@ -78,6 +78,27 @@ WITH d AS (
 )
 SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256
 FROM d JOIN g ON d.norm = g.norm
+""",
+        "op4_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), t AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d
+), k AS (
+  SELECT doc_id, p, md5(string_agg(word, ' ') OVER fifty) AS h, count(*) OVER fifty AS n FROM t
+  WINDOW fifty AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), f AS (
+  SELECT h, min(doc_id) AS least FROM k WHERE n = 50 GROUP BY h
+), dup AS (
+  SELECT k.doc_id, k.p FROM k JOIN f ON k.h = f.h WHERE n = 50 AND least < k.doc_id
+), c AS (
+  SELECT t.doc_id, t.p, t.word, max(dup.p) OVER (PARTITION BY t.doc_id ORDER BY t.p ROWS UNBOUNDED PRECEDING) >= t.p - 49 AS covered
+  FROM t LEFT JOIN dup ON t.doc_id = dup.doc_id AND t.p = dup.p
+), s AS (
+  SELECT doc_id, count_if(coalesce(covered, false)) AS removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT coalesce(covered, false)) AS kept FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id
 """,
         "op6_warc": """
 WITH p AS (
