@@ -246,8 +246,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
 
 #: For copies by similarity: words of a shingle, the least Jaccard similarity, fingerprints of a text and the radius of candidates.
 SIMILAR_SHINGLE, SIMILARITY, PRINTS, SIMILAR_RADIUS = 5, 0.8, 4, 5
-#: Representatives of a group that its members are compared with, in the first round and in later ones.
-REPRESENTATIVES = (1, 16)
+#: Comparisons in a group, and representatives at least and at most, in the first round and in later ones.
+COMPARED = ((8_192, 1, 64), (65_536, 4, 256))
 
 
 def word_prints(text: str | None, prints: int = PRINTS) -> list[int]:
@@ -312,20 +312,21 @@ def similar_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
         members = materialize(found.select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "members")
         if members.isEmpty():
             break
-        most = REPRESENTATIVES[min(turn, 1)]
-        # the smallest ids of a group, from the smallest of each of its parts
-        part = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-        first = members.select("group", "doc_id", part.alias("part"))
+        pairs, least, most = COMPARED[min(turn, 1)]
+        # the smallest ids of a group, from the smallest of each of its parts; in a small group all, in a large one few
+        sizes = members.groupBy("group").agg(F.count("*").alias("n"))
+        first = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
         for by in (["group", "part"], ["group"]):
-            first = first.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("doc_id"))).filter(F.col("rank") <= most).drop("rank")
-        first = first.select("group", F.col("doc_id").alias("rep"))
+            first = first.drop("rank").withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("doc_id"))).filter(F.col("rank") <= most)
+        first = first.join(sizes, "group").filter(F.col("rank") <= F.greatest(F.lit(least), F.floor(F.lit(pairs) / F.col("n")))).select("group", F.col("doc_id").alias("rep"))
+        first = materialize(first, "representatives")
         sets = materialize(members.select("doc_id", "group").join(texts, "doc_id").select("doc_id", "group", shingle_hashes(F.col("text"), shingle).alias("s")), "shingles")
         reps = sets.join(first, (sets["doc_id"] == first["rep"]) & (sets["group"] == first["group"]), "left_semi").select(F.col("doc_id").alias("rep"), F.col("group").alias("of"), F.col("s").alias("rs"))
         both = sets.join(reps, (F.col("group") == F.col("of")) & (F.col("doc_id") > F.col("rep")))
         shared = F.size(F.array_intersect("s", "rs"))
         near = materialize(both.filter(shared >= similarity * (F.size("s") + F.size("rs") - shared)).select("group", "doc_id", "rep"), "near")
         # a representative that goes takes no one with it
-        ready = near.join(near.select(F.col("doc_id").alias("rep")).distinct(), "rep", "left_anti") if most > 1 else near
+        ready = near.join(near.select(F.col("doc_id").alias("rep")).distinct(), "rep", "left_anti")
         out = materialize(ready.groupBy("doc_id").agg(F.min("rep").alias("kept_id")), "gone")
         gone = out if gone is None else gone.unionByName(out)
         done = first.select(F.col("rep").alias("doc_id")).join(near.select("doc_id").distinct(), "doc_id", "left_anti")
