@@ -246,6 +246,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
 
 #: For copies by similarity: words of a shingle, the least Jaccard similarity, fingerprints of a text and the radius of candidates.
 SIMILAR_SHINGLE, SIMILARITY, PRINTS, SIMILAR_RADIUS = 5, 0.8, 4, 5
+#: Bands of minima of the shingles, and minima in a band: a pair of similarity s shares none with probability (1 - s**BAND)**BANDS, 3e-6 at 0.8.
+BANDS, BAND = 32, 5
 #: Comparisons in a group, and representatives at least and at most, in the first round and in later ones.
 COMPARED = ((8_192, 1, 64), (65_536, 4, 256))
 
@@ -267,15 +269,56 @@ def word_prints(text: str | None, prints: int = PRINTS) -> list[int]:
     return found
 
 
+def shingle_bands(text: str | None, hashes: dict[bytes, int], shingle: int = SIMILAR_SHINGLE, bands: int = BANDS, band: int = BAND) -> np.ndarray:
+    """A hash of each band of minima of a text's shingles; equal sets have equal bands. ``hashes`` remembers words."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if len(hashes) > REMEMBERED:
+        hashes.clear()
+    for w in words:
+        if w not in hashes:
+            hashes[w] = xxhash.xxh64_intdigest(w, 7)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    k = min(shingle, len(words))
+    joined = np.zeros(max(1, len(words) - k + 1), np.uint64)
+    for j in range(k):
+        joined = _mixed(joined ^ h[j : j + len(joined)])
+    joined = np.unique(joined)
+    least = np.full(bands * band, ~np.uint64(0))
+    for at in range(0, len(joined), 1 << 13):
+        for i in range(0, len(least), 16):
+            np.minimum(least[i : i + 16], _mixed(joined[None, at : at + (1 << 13)] ^ BAND_SALTS[i : i + 16, None]).min(axis=1), out=least[i : i + 16])
+    code = np.zeros(bands, np.uint64)
+    for column in least.reshape(bands, band).T:
+        code = _mixed(code ^ column)
+    return code
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+#: One for each minimum of a text.
+BAND_SALTS = _mixed(np.arange(1, BANDS * BAND + 1, dtype=np.uint64))
+REMEMBERED = 300_000
+
+
 def all_prints(docs: DataFrame, prints: int = PRINTS) -> DataFrame:
-    """(doc_id, node, code): the fingerprints of every row, the number of the print as the node."""
+    """(doc_id, node, code): the fingerprints of every row, the number of the print as the node, and its bands, as nodes b0, b1, ..."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: dict[bytes, int] = {}
+        nodes = [*(str(k) for k in range(prints)), *(f"b{k}" for k in range(BANDS))]
         for batch in batches:
-            found = np.array([word_prints(t.as_py(), prints) for t in batch.column(1)], np.uint64).reshape(-1, prints)
-            ids = np.repeat(np.asarray(batch.column(0)), prints)
-            names = pa.array([str(k) for k in range(prints)] * len(found), pa.string())
+            texts = [t.as_py() for t in batch.column(1)]
+            found = np.array([np.append(np.array(word_prints(t, prints), np.uint64), shingle_bands(t, hashes)) for t in texts], np.uint64).reshape(-1, len(nodes))
+            ids = np.repeat(np.asarray(batch.column(0)), len(nodes))
+            names = pa.array(nodes * len(found), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), names, pa.array(found.ravel().view(np.int64))], names=["doc_id", "node", "code"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, node string, code long")
@@ -296,7 +339,9 @@ def similar_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     """(doc_id, kept_id): documents that go, each with the smaller id that stays and is as similar as asked.
 
     Candidates are linked if one of several fingerprints is near, each of the
-    different words of a text, which few edits change little. The members of a
+    different words of a text, which few edits change little, or if one band of
+    minima of the shingles is equal, which of a pair as similar as asked is so
+    whatever was edited, cut off or appended. The members of a
     group of links are compared with its smallest ids: who is similar to one
     that stays goes. Who is not is grouped anew with the others left, until no
     one has a candidate; every round settles at least the smallest id of each
@@ -306,9 +351,12 @@ def similar_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     gone, left, turn = None, prints, 0
     while True:
-        codes = materialize(left.groupBy("node", "code").agg(F.min("doc_id").alias("rep")), "word-codes")
-        same = left.join(codes, ["node", "code"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        found = connected_components(same.union(near_links(codes, radius)))
+        # a code of a band that only one document has links nothing
+        codes = left.groupBy("node", "code").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+        codes = materialize(codes.filter(~F.col("node").startswith("b") | (F.col("rep") < F.col("last"))), "word-codes")
+        shared_codes = codes.filter(F.col("rep") < F.col("last")).select("node", "code", "rep")
+        same = left.join(shared_codes, ["node", "code"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        found = connected_components(same.union(near_links(codes.filter(~F.col("node").startswith("b")).select("node", "code", "rep"), radius)))
         members = materialize(found.select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "members")
         if members.isEmpty():
             break

@@ -283,3 +283,19 @@ def test_copies_by_similarity(spark):
     left = simhash.drop_similar_copies(df.union(spark.createDataFrame([(None, texts[0], "clash", "clash")], df.schema)))
     assert left.columns == df.columns and left.count() == len(texts) - len(gone) + 1
     assert simhash.similar_copies(df.limit(0)).count() == 0
+
+
+def test_cut_and_appended_copies_are_found(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts = [some(rng.randrange(100, 300)) for _ in range(100)]
+    for words in list(texts):
+        n = len(words)
+        k = rng.randrange(n * 11 // 100, n * 18 // 100)
+        texts.append(words[:-k] if len(texts) % 2 else words + some(k))
+    texts = [" ".join(w) for w in texts]
+    similar = [k for k in range(100) if 0.8 <= jaccard(texts[k], texts[100 + k]) < 0.9]
+    gone = {r.doc_id: r.kept_id for r in simhash.similar_copies(docs(spark, texts)).collect()}
+    assert len(similar) > 80 and all(gone.get(100 + k) == k for k in similar)
+    assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in gone.items())
