@@ -135,3 +135,16 @@ def in_mixed_order(docs: DataFrame, period: int = PERIOD, block: int = BLOCK, te
     order = mix(docs, period, block, temperature, targets).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("__at")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(order, docs["doc_id"].cast("long").eqNullSafe(order["__id"]))
     return joined.repartitionByRange("__at").sortWithinPartitions("__at").drop("__at", "__id")
+
+
+def in_file_order(docs: DataFrame, name: str = "position") -> DataFrame:
+    """``docs``, read from the files of :func:`in_mixed_order`, with each row's number in the order of the mix.
+
+    Rows are numbered by file name and place in the file, whatever order the
+    scan takes files in. Only the number of rows of each file is gathered.
+    """
+    placed = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    sizes = placed.groupBy("__file").agg(F.count("*").alias("__n"))
+    ahead = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__file", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(before), "__file").withColumn(name, F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")

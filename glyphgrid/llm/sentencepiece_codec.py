@@ -184,11 +184,12 @@ def decode(df: DataFrame, ids: str, model: bytes, to: str = "decoded") -> DataFr
     return df.withColumn(to, decoded(F.col(ids)))
 
 
-def digests(docs: DataFrame, model: bytes, end: bool = True) -> DataFrame:
+def digests(docs: DataFrame, model: bytes, end: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: number of ids, digests of the ids and of the decoded text, bytes under spans.
 
-    Reads ``doc_id`` and ``text`` of ``docs`` only. Ids and texts stay in the
-    Python worker, so that only digests leave it. A null id stays null.
+    Reads ``doc_id`` and ``text`` of ``docs`` only, and passes on the columns
+    ``keep``, last. Ids and texts stay in the Python worker, so that only
+    digests leave it. A null id stays null.
     """
     small_batches(docs.sparkSession)
 
@@ -207,6 +208,7 @@ def digests(docs: DataFrame, model: bytes, end: bool = True) -> DataFrame:
                 rows.append((len(ids), said, back, int((ends - begins).sum())))
             columns = list(zip(*rows)) or [[]] * 4
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([keys, *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True)), *batch.columns[2:]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes", *keep])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, DIGEST)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    return rows.mapInArrow(run, ", ".join([DIGEST, *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])]))

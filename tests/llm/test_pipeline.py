@@ -3,7 +3,10 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from glyphgrid.llm import mixing
 from glyphgrid.llm.sentencepiece_codec import Codec, model_bytes
 
 
@@ -50,3 +53,22 @@ def test_stages(spark, tmp_path):
 def test_empty(spark, tmp_path):
     corpus(spark).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_positions_follow_the_schedule(spark, tmp_path):
+    sources = {k: "abc"[min(2, k % 7)] for k in range(400)}
+    docs = spark.createDataFrame([(k, f"text {k}", s) for k, s in sources.items()], "doc_id long, text string, source string")
+    mixed = str(tmp_path / "mixed")
+    mixing.in_mixed_order(docs).write.option("maxRecordsPerFile", 17).parquet(mixed)
+    got = {r.doc_id: r.position for r in corpus_pipeline.encoded(spark, spark.read.parquet(mixed), str(tmp_path)).collect()}
+    # earliest deadline first, block by block
+    weight = {r.source: r.weight for r in mixing.source_weights(docs.groupBy("source").agg(F.count("*").alias("n"))).collect()}
+    order = {r.doc_id: r.h % 2**64 >> 1 for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    queues = {s: sorted((k for k in sources if sources[k] == s), key=order.get) for s in weight}
+    period, size, had, expect, t = sum(weight.values()), mixing.BLOCK, dict.fromkeys(weight, 0), [], 0
+    while len(expect) < len(sources):
+        ready = [(-(-(had[s] + 1) * period // w), (had[s] + 1) * period % w == 0, -w, s) for s, w in weight.items() if had[s] * period // w <= t]
+        s = min(ready)[-1]
+        expect += queues[s][had[s] * size : (had[s] + 1) * size]
+        had[s], t = had[s] + 1, t + 1
+    assert sorted(got, key=got.get) == expect and sorted(got.values()) == list(range(400))
