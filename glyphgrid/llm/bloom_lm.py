@@ -8,9 +8,11 @@ are interpolated from the quantised counts of bigram, history and word and a
 uniform share.
 
 The filter is sent to every worker, so its size is bounded by ``FILTER_BYTES``:
-n-grams with counts below a cutoff are left out (their share backs off to the
-shorter n-gram), and the cutoff is read off the histogram of all counts so that
-the rest fits. All counts are over all training documents.
+it holds the n-grams with counts of at least a cutoff, read off the histogram
+of all counts so that they fit. N-grams below the cutoff are looked up in the
+counts by joins and quantised in the same way, so that no counted n-gram is lost
+and a text's score depends on the counts only, not on the filter's size. All
+counts are over all training documents.
 
 The base score needs exact counts. The ``HEAD`` most frequent tokens are sent to
 the workers, the other tokens of each document are joined with the counts.
@@ -44,7 +46,7 @@ WEIGHTS = (0.5, 0.45, 0.05)
 #: Words contain no blank, so this is no word's hash.
 END = " "
 REMEMBERED = 300_000
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>, times array<long>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>, times array<long>, pair array<long>, said array<long>, past array<long>, word array<long>, past_level array<tinyint>, word_level array<tinyint>"
 
 
 class TokenHashes(dict):
@@ -245,7 +247,9 @@ def score(docs: DataFrame, head: int = HEAD, limit: int = FILTER_BYTES, weights:
     first = np.asarray(frequent.column("gram").combine_chunks()).view(np.uint64) if frequent.num_rows else np.zeros(0, np.uint64)
     order = np.argsort(first)
     often = np.asarray(frequent.column("n").combine_chunks())[order] if frequent.num_rows else np.zeros(0, np.int64)
-    made, _ = build_filter(grams, limit)
+    made, least = build_filter(grams, limit)
+    # what the filter holds has at least this level; below it are false hits and, from a cutoff of 2 on, n-grams to look up
+    lowest, complete = int(made.level(np.array([least]))[0]), least <= 1
     sent = spark.sparkContext.broadcast((first[order], often, made.blocks, made.bits))
     floor = total + 0.5 * (distinct + 1)
 
@@ -264,16 +268,28 @@ def score(docs: DataFrame, head: int = HEAD, limit: int = FILTER_BYTES, weights:
             pair = np.concatenate([bigrams(x, hashes.end) for x in lists])
             # the model, by probing; each different token of the batch once
             some, which = np.unique(token, return_inverse=True)
-            word = grams_.count(grams_.find(some))[which]
-            ends = grams_.count(grams_.find(np.array([hashes.end])))[0]
-            past = np.concatenate(([ends], word[:-1]))
-            past[np.cumsum(size) - size] = ends
-            both = grams_.count(grams_.find(pair))
+            levels = lambda x: (k := grams_.find(x)) * (k >= lowest)
+            word_level = levels(some)[which]
+            ends = levels(np.array([hashes.end]))[0]
+            starts = np.cumsum(size) - size
+            past_level, before = np.concatenate(([ends], word_level[:-1])), np.concatenate(([hashes.end], token[:-1]))
+            past_level[starts], before[starts] = ends, hashes.end
+            pair_level = levels(pair)
+            word, past, both = grams_.count(word_level), grams_.count(past_level), grams_.count(pair_level)
             a, b, c = weights
             seen = past > 0
             p = b * word / max(total, 1) + c / (distinct + 1)
             p = np.where(seen, a * np.minimum(both / np.maximum(past, 1.0), 1.0) + p, p / (b + c))
-            model = np.bincount(owner, np.log10(np.minimum(p, 1.0)), len(lists))
+            sure = np.ones(len(pair), np.bool_) if complete else pair_level > 0
+            model = np.bincount(owner, np.log10(np.minimum(p, 1.0)) * sure, len(lists))
+            # the bigrams not in the filter, each once a text; of their tokens those not in the filter are named
+            rare = np.nonzero(~sure)[0]
+            kinds, kind = np.unique(pair[rare], return_inverse=True)
+            open_, one, said_ = np.unique(owner[rare] * max(len(kinds), 1) + kind, return_index=True, return_counts=True)
+            at_ = rare[one]
+            open_cut = np.searchsorted(owner[at_], np.arange(len(lists) + 1)).astype(np.int32)
+            named = lambda x, level: np.where(level[at_] > 0, np.uint64(0), x[at_]).view(np.int64)
+            opens = (pair[at_].view(np.int64), said_.astype(np.int64), named(before, past_level), named(token, word_level), past_level[at_].astype(np.int8), word_level[at_].astype(np.int8))
             # the base: frequent tokens here, the others by a join
             at = np.minimum(np.searchsorted(known, some), max(len(known) - 1, 0))
             is_known = known[at] == some if len(known) else np.zeros(len(some), np.bool_)
@@ -286,20 +302,52 @@ def score(docs: DataFrame, head: int = HEAD, limit: int = FILTER_BYTES, weights:
             cut = np.searchsorted(whose, np.arange(len(lists) + 1)).astype(np.int32)
             tails, times = some[rest % len(some)].view(np.int64), often_here.astype(np.int64)
             lists_of = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size.astype(np.int64)), pa.array(mine), pa.array(base), pa.array(model), lists_of(tails), lists_of(times)], names=[x.split()[0] for x in SCORED.split(", ")])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size.astype(np.int64)), pa.array(mine), pa.array(base), pa.array(model), lists_of(tails), lists_of(times), *(pa.ListArray.from_arrays(pa.array(open_cut, pa.int32()), pa.array(x)) for x in opens)], names=[x.split()[0] for x in SCORED.split(", ")])
 
     rows = keyed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(run, SCORED)
-    # a row whose tokens are all frequent still needs one, of its own, to join with
-    entry = F.explode_outer(F.arrays_zip("tail", "times")).alias("t")
-    each = rows.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "score", entry)
-    each = each.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "score", F.coalesce("t.tail", F.xxhash64("row")).alias("gram"), F.coalesce("t.times", F.lit(0)).alias("times"))
-    joined = each.join(tokens, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return joined.groupBy("row").agg(
+    about = ("row", "doc_id", "held_out", "n_tokens", "known", "base", "score")
+    level_of = lambda n: F.when(n > 0, F.floor(F.log(n) / F.lit(math.log(BASE)) + F.lit(1e-9)) + 1).otherwise(F.lit(0))
+    value = lambda k: F.when(k > 1, F.pow(F.lit(BASE), k - 1.0) * ((1 + BASE) / 2)).otherwise(k.cast("double"))
+    a, b, c = weights
+
+    def model_score(times: F.Column, both: F.Column, past: F.Column, word: F.Column) -> F.Column:
+        both, past, word = value(both), value(past), value(word)
+        p = word * (b / max(total, 1)) + F.lit(c / (distinct + 1))
+        p = F.when(past > 0, F.least(both / F.greatest(past, F.lit(1.0)), F.lit(1.0)) * a + p).otherwise(p / (b + c))
+        return times * F.log10(F.least(p, F.lit(1.0)))
+
+    byte = lambda k: F.lit(k).cast("tinyint")
+    none = F.lit(0).cast("long")
+    tails = F.transform(F.arrays_zip("tail", "times"), lambda t: F.struct(t["tail"].alias("gram"), byte(1).alias("size"), t["times"].alias("times"), none.alias("past"), none.alias("word"), byte(0).alias("past_level"), byte(0).alias("word_level")))
+    pairs = F.transform(F.arrays_zip("pair", "said", "past", "word", "past_level", "word_level"), lambda t: F.struct(t["pair"].alias("gram"), byte(2).alias("size"), t["said"].alias("times"), t["past"].alias("past"), t["word"].alias("word"), t["past_level"].alias("past_level"), t["word_level"].alias("word_level")))
+    # a row whose n-grams are all in what is sent still needs one, of its own, to join with
+    each = rows.select(*about, F.explode_outer(F.concat(tails, pairs)).alias("t")).select(*about, "t.*")
+    each = each.withColumns({"gram": F.coalesce("gram", F.xxhash64("row")), "times": F.coalesce("times", F.lit(0)), "size": F.coalesce("size", byte(1))})
+    below = bucket(F.col("n")) < least
+    wanted = grams if complete else grams.filter((F.col("size") == 1) | below)
+    joined = each.join(wanted.filter("size = 1") if complete else wanted, ["gram", "size"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    is_token = F.col("size") == 1
+    settled = (F.col("past_level") > 0) & (F.col("word_level") > 0)
+    found = level_of(F.col("n"))
+    sums = joined.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("held_out").alias("held_out"),
         F.first("n_tokens").alias("n_tokens"),
-        (F.first("known") + F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0))).alias("n_known"),
+        (F.first("known") + F.sum(F.when(is_token & (F.col("n") > 0), F.col("times")).otherwise(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.first("base") + F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(float(floor))))).alias("base_score"),
-        F.first("score").alias("score"),
-    ).drop("row")
+        (F.first("base") + F.sum(F.when(is_token, F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(float(floor)))).otherwise(0.0))).alias("base_score"),
+        (F.first("score") + F.sum(F.when(~is_token & settled, model_score(F.col("times"), found, F.col("past_level"), F.col("word_level"))).otherwise(0.0))).alias("score"),
+        *(() if complete else (F.collect_list(F.when(~is_token & ~settled, F.struct("times", found.alias("level"), "past", "word", "past_level", "word_level"))).alias("open"),)),
+    )
+    if complete:
+        return sums.drop("row")
+    # bigrams with a token below the cutoff: its count is looked up as well
+    few = grams.filter((F.col("size") == 1) & below).select("gram", level_of(F.col("n")).alias("found"))
+    said_of = [x for x in sums.columns if x != "open"]
+    left = sums.select(*said_of, F.explode_outer("open").alias("o")).select(*said_of, "o.*").withColumn("salt", F.xxhash64("row", "past", "word"))
+    for side in ("past", "word"):
+        key = F.when(F.col(f"{side}_level") == 0, F.col(side)).otherwise(F.col("salt"))
+        left = left.withColumn("gram", F.coalesce(key, "salt")).join(few, "gram", "left")
+        left = left.withColumn(f"{side}_level", F.when(F.col(f"{side}_level") == 0, F.coalesce("found", F.lit(0))).otherwise(F.col(f"{side}_level"))).drop("gram", "found")
+    more = F.sum(F.coalesce(model_score(F.col("times"), F.col("level"), F.col("past_level"), F.col("word_level")), F.lit(0.0)))
+    return left.groupBy("row").agg(*(F.first(x).alias(x) for x in said_of if x not in ("row", "score")), (F.first("score") + more).alias("score")).drop("row")

@@ -299,3 +299,32 @@ def test_cut_and_appended_copies_are_found(spark):
     gone = {r.doc_id: r.kept_id for r in simhash.similar_copies(docs(spark, texts)).collect()}
     assert len(similar) > 80 and all(gone.get(100 + k) == k for k in similar)
     assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in gone.items())
+
+
+def test_no_counted_ngram_is_lost_to_the_filters_size(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(600)]
+    texts = [" ".join(vocabulary[min(int(rng.paretovariate(0.7)) - 1, 599)] for _ in range(rng.randrange(5, 80))) for _ in range(150)] + ODD
+    tokens = [(t or "").lower().split() + [" "] for t in texts]
+    ones, twos = collections.Counter(), collections.Counter()
+    for k, w in enumerate(tokens):
+        if zlib.crc32(str(k).encode()) % 5 != 1:
+            ones.update(w)
+            twos.update(zip([" "] + w, w))
+    f, total = bloom_lm.Filter(1), sum(ones.values())
+    value = lambda n: float(f.count(f.level(np.array([n])))[0]) if n else 0.0
+    a, b, c = bloom_lm.WEIGHTS
+
+    def expected(w):
+        out = 0.0
+        for past, word in zip([" "] + w, w):
+            p, h = b * value(ones[word]) / total + c / (len(ones) + 1), value(ones[past])
+            out += math.log10(min(1.0, a * min(value(twos[past, word]) / max(h, 1.0), 1.0) + p if h else p / (b + c)))
+        return out
+
+    for limit in (0, 300, 1500, bloom_lm.FILTER_BYTES):
+        got = {r.doc_id: r for r in bloom_lm.score(docs(spark, texts), head=20, limit=limit).collect()}
+        near = sum(got[k].score == pytest.approx(expected(w), rel=1e-6) for k, w in enumerate(tokens))
+        # false hits of the filter may raise a level
+        assert near >= (1.0 if limit == 0 else 0.3 if limit == bloom_lm.FILTER_BYTES else 0.8) * len(texts), (limit, near)
+        assert sum(got[k].score for k in got) == pytest.approx(sum(map(expected, tokens)), rel=0.02)
