@@ -1,33 +1,40 @@
 """Mixing sources to target weights by Pfair scheduling; DataFrame functions only.
 
-Target weights are multiples of 1/``PERIOD``. Block j (from 0) of a source of
+Target weights are multiples of 1/period, which is ``PERIOD`` or, of more
+sources, ``SLOTS`` for each. So sources too small for a slot of their own take
+at most 1/``SLOTS`` of any other's target. Block j (from 0) of a source of
 weight w may not run before slot floor(j / w), its release, and must have run
 by slot ceil((j + 1) / w), its deadline; every slot runs the released block
 with the earliest deadline. As the weights sum to one, every deadline is met
 and at every slot each source has had its weight's share to within less than
-one block. The schedule repeats after ``PERIOD`` slots, so one period is worked
-out and every block of a source finds its slot by arithmetic.
+one block. The schedule repeats after a period, so one period is worked
+out, on the driver from the weights alone and in time linear in its slots, and
+every block of a source finds its slot by arithmetic.
 
 A source that runs dry leaves its slots empty and the others go on in order;
 ``on_target`` marks the slots before the first such gap. No document is dropped
 or repeated.
 
 Defined results: null sources are one source, the empty name. Rows that repeat
-an id each have a place. Sources beyond ``PERIOD`` cannot have a weight of at
-least 1/``PERIOD`` and are an error. An empty table gives an empty result. In
+an id each have a place. An empty table gives an empty result. In
 the plain form only id and source are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphgrid.llm.columns import let
 from glyphgrid.session import materialize
 
 #: Slots in a period; documents in a block; the exponent that turns a source's share into its weight.
 PERIOD, BLOCK, TEMPERATURE = 1000, 16, 0.7
+#: Slots of a period for each source, at least.
+SLOTS = 200
 #: Rows that one part of a source should have, for numbering.
 PART = 50_000
 
@@ -40,7 +47,8 @@ def source_weights(counts: DataFrame, period: int = PERIOD, temperature: float =
     """
     raw = F.pow(F.col("n").cast("double"), F.lit(temperature))
     if targets:
-        raw = F.coalesce(*(F.when(F.col("source") == s, F.lit(float(w))) for s, w in targets.items()), F.lit(0.0))
+        wanted = counts.sparkSession.createDataFrame(pa.table({"source": pa.array(list(targets), pa.string()), "target": pa.array(list(targets.values()), pa.float64())}))
+        counts, raw = counts.join(wanted, "source", "left"), F.coalesce("target", F.lit(0.0))
     all_ = Window.partitionBy()
     # each source has 1, and shares in the others by weight
     given = counts.withColumn("k", F.count("*").over(all_)).withColumn("share", raw / F.sum(raw).over(all_) * (period - F.col("k")))
@@ -49,36 +57,34 @@ def source_weights(counts: DataFrame, period: int = PERIOD, temperature: float =
     return given.withColumn("short", short).withColumn("rank", order).select("source", "n", (1 + F.floor("share") + (F.col("rank") <= F.col("short")).cast("long")).alias("weight"))
 
 
-def one_period(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(source, weight, j, slot): the slot of each block of a period, by earliest deadline.
-
-    The weights of all sources, at most ``period`` of them, are one row here.
-    """
-    row = weights.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "weight"))).alias("s"))
-
-    def slot(state: Column, t: Column) -> Column:
-        """The chosen source of slot t, from the blocks each has had."""
-
-        def waiting(w: Column, i: Column) -> Column:
-            had = F.get(state["had"], i)
-            release = F.floor(had * period / w["weight"])
-            deadline = F.ceil((had + 1) * period / w["weight"])
+def slots_of(weights: list[int]) -> tuple[list[int], list[int]]:
+    """For each slot of a period its source (a place in ``weights``) and which of its blocks, by earliest deadline."""
+    period = sum(weights)
+    had, turn, block = [0] * len(weights), [], []
+    released: list[tuple] = []
+    due: dict[int, list[int]] = {0: list(range(len(weights)))}
+    for t in range(period):
+        for i in due.pop(t, ()):
+            w, n = weights[i], had[i] + 1
             # of equal deadlines, the one whose next window overlaps is the more urgent, then the heavier, then the first
-            overlap = F.when((had + 1) * period % w["weight"] == 0, F.lit(1)).otherwise(F.lit(0))
-            return F.struct((release > t).alias("early"), deadline.alias("deadline"), overlap.alias("overlap"), (-w["weight"]).alias("light"), i.alias("i"))
-
-        def take(best: Column) -> Column:
-            return F.struct(
-                F.transform(state["had"], lambda h, i: h + F.when(i == best["i"], 1).otherwise(0).cast("long")).alias("had"),
-                F.concat(state["out"], F.array(F.struct(best["i"].alias("i"), F.get(state["had"], best["i"]).alias("j"), t.alias("slot")))).alias("out"),
-            )
-
-        return let(F.array_min(F.transform(F.col("s"), waiting)), take)
-
-    start = F.struct(F.transform("s", lambda _: F.lit(0).cast("long")).alias("had"), F.array().cast("array<struct<i:int,j:long,slot:long>>").alias("out"))
-    done = F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(period - 1).cast("long")), start, slot)
-    picked = row.filter(F.size("s") > 0).select("s", F.explode(done["out"]).alias("o"))
-    return picked.select(F.get("s", F.col("o.i"))["source"].alias("source"), F.get("s", F.col("o.i"))["weight"].alias("weight"), F.col("o.j").alias("j"), F.col("o.slot").alias("slot"))
+            heapq.heappush(released, (-(-n * period // w), n * period % w == 0, -w, i))
+        i = heapq.heappop(released)[-1]
+        turn.append(i)
+        block.append(had[i])
+        had[i] += 1
+        if had[i] < weights[i]:
+            due.setdefault(max(t + 1, had[i] * period // weights[i]), []).append(i)
+    return turn, block
+
+
+def one_period(weights: DataFrame) -> DataFrame:
+    """(source, weight, j, slot): the slot of each block of a period. Only sources and weights come to the driver."""
+    rows = sorted(((r["source"], int(r["weight"])) for r in weights.select("source", "weight").collect()), key=lambda r: (r[0].encode(), r[1]))
+    turn, block = (np.array(x, np.int64) for x in slots_of([w for _, w in rows]))
+    plan = pa.table({"i": turn, "j": block, "slot": np.arange(len(turn))})
+    names = pa.table({"i": np.arange(len(rows)), "source": pa.array([s for s, _ in rows], pa.string()), "weight": pa.array([w for _, w in rows], pa.int64())})
+    spark = weights.sparkSession
+    return spark.createDataFrame(plan).join(spark.createDataFrame(names), "i").select("source", "weight", "j", "slot")
 
 
 def numbered(docs: DataFrame, parts: int) -> DataFrame:
@@ -96,17 +102,19 @@ def numbered(docs: DataFrame, parts: int) -> DataFrame:
     return ranked.join(before, ["source", "part"]).withColumn("n", F.col("k") + F.col("before")).drop("k", "before", "part")
 
 
-def mix(docs: DataFrame, period: int = PERIOD, block: int = BLOCK, temperature: float = TEMPERATURE, targets: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, period: int | None = None, block: int = BLOCK, temperature: float = TEMPERATURE, targets: dict[str, float] | None = None) -> DataFrame:
     """doc_id, source, block, release, deadline, slot, place, on_target for every row.
 
     ``place`` numbers the documents of a slot; (slot, place) is the order of the mix.
+    Without ``period`` it follows from the number of sources.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).withColumn("order", F.xxhash64("doc_id"))
     counts = materialize(rows.groupBy("source").agg(F.count("*").alias("n")), "source-counts")
     sources, n = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if sources > period:
-        raise ValueError(f"{sources} sources need a period of as many slots")
-    plan = materialize(one_period(source_weights(counts, period, temperature, targets), period), "mix-period")
+    # a period that is asked for grows only if it has less than a slot for each source
+    if period is None or period < sources:
+        period = max(PERIOD, SLOTS * sources)
+    plan = materialize(one_period(source_weights(counts, period, temperature, targets)), "mix-period")
     has = plan.groupBy("source", "weight").agg(F.count("*").alias("blocks")).join(counts.withColumnRenamed("n", "has"), "source").withColumn("has", F.floor((F.col("has") + block - 1) / block))
     # the first slot without its block: the next one of each source after its last
     dry = plan.join(has.select("source", "has"), "source").filter(F.col("j") == F.col("has") % F.col("weight")).agg(F.min(F.floor(F.col("has") / F.col("weight")) * period + F.col("slot")).alias("dry"))
@@ -114,10 +122,10 @@ def mix(docs: DataFrame, period: int = PERIOD, block: int = BLOCK, temperature:
     j = F.floor(F.col("n") / block)
     placed = numbered(rows, max(1, -(-n // PART))).withColumn("block", j).withColumn("place", F.col("n") % block)
     weight = plan.select("source", "weight", "j", "slot")
-    # the weight is needed to find the place in the period: sources are few (at most period), blocks of a period exactly period
-    of = F.broadcast(weight.select("source", "weight").distinct())
+    # the weight is needed to find the place in the period
+    of = weight.select("source", "weight").distinct()
     there = placed.join(of, "source").withColumn("j", F.col("block") % F.col("weight"))
-    slotted = there.join(F.broadcast(weight.drop("weight")), ["source", "j"]).withColumn("slot", F.floor(F.col("block") / F.col("weight")) * period + F.col("slot"))
+    slotted = there.join(weight.drop("weight"), ["source", "j"]).withColumn("slot", F.floor(F.col("block") / F.col("weight")) * period + F.col("slot"))
     return slotted.select(
         "doc_id",
         "source",
@@ -130,7 +138,7 @@ def mix(docs: DataFrame, period: int = PERIOD, block: int = BLOCK, temperature:
     )
 
 
-def in_mixed_order(docs: DataFrame, period: int = PERIOD, block: int = BLOCK, temperature: float = TEMPERATURE, targets: dict[str, float] | None = None) -> DataFrame:
+def in_mixed_order(docs: DataFrame, period: int | None = None, block: int = BLOCK, temperature: float = TEMPERATURE, targets: dict[str, float] | None = None) -> DataFrame:
     """All rows and columns of ``docs``, dealt and sorted so that files, read in order, follow the mix."""
     order = mix(docs, period, block, temperature, targets).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("__at")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(order, docs["doc_id"].cast("long").eqNullSafe(order["__id"]))

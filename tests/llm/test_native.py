@@ -109,6 +109,21 @@ def test_mix_odd_inputs(spark):
     assert whole.columns == df.columns and whole.count() == 4
 
 
+@pytest.mark.parametrize("sources", [500, 1200])
+def test_many_sources_are_mixed_to_their_targets(spark, sources):
+    targets = {"s0": 0.33, "s1": 0.19} | {f"s{k}": 0.48 / (sources - 2) for k in range(2, sources)}
+    rows = [(k, f"s{k % sources}") for k in range(sources * 2)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block=1, targets=targets).collect()
+    assert len({r.doc_id for r in out}) == len(rows) == len(out) and len({r.slot for r in out}) == len(rows)
+    assert all(r.release <= r.slot < r.deadline for r in out)
+    # the second block of a source is due by slot 2 / weight
+    for s in ("s0", "s1"):
+        (due,) = [r.deadline for r in out if r.source == s and r.block == 1]
+        assert due == math.ceil(2 / targets[s])
+    weights = {r.source: r.weight for r in mixing.source_weights(spark.createDataFrame([(s, 1) for s in targets], "source string, n long"), mixing.SLOTS * sources, targets=targets).collect()}
+    assert all(abs(w / (mixing.SLOTS * sources) - targets[s]) <= 0.01 * targets[s] for s, w in weights.items())
+
+
 def base_spans(t):
     rules = (("assign", r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, re.I | re.A), ("access", r"(AKIA[A-Z0-9]+)", 18, 0), ("hex", r"([0-9a-f]+)", 16, 0))
     found = [(m.start(), n, k, m.end()) for n, (k, p, least, flags) in enumerate(rules) for m in re.finditer(p, t, flags) if len(m[1]) >= least]
