@@ -78,13 +78,19 @@ class TextAlignment:
 
     def align(self, regions: DataFrame, words: DataFrame) -> DataFrame:
         """``regions`` with the chosen candidate, its words, text and geometry; unmatched ones with nulls."""
+        return self.align_with_candidates(regions, words)[0]
+
+    def align_with_candidates(self, regions: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What :meth:`align` gives, all candidates, and those the selector chose, for :meth:`diagnostics`."""
         index, values = materialize(self.index(words), "word-index"), materialize(self.values(regions), "values")
-        chosen = S.last_of_region(self.chosen(self.candidates(values, index)))
+        candidates = materialize(self.candidates(values, index), "candidates")
+        selected = materialize(self.chosen(candidates), "selected")
+        chosen = S.last_of_region(selected)
         spans = chosen.select("page_key", "region_id", "candidate_id", "source", F.col("normalized_matched_text").alias("alto_text_normalized"), (F.col("similarity_int") / SCALE).alias("alignment_score"), "start_word", "end_word")
         each = spans.select("page_key", "region_id", F.explode(F.sequence("start_word", "end_word")).alias("word_index"))
         lists = each.join(words.select("page_key", *WORD), ["page_key", "word_index"]).groupBy("page_key", "region_id").agg(F.array_sort(F.collect_list(F.struct(*WORD))).alias("words"))
         named = mapped(regions, self.mapping).join(values.select("page_key", "region_id", F.col("norm").alias("input_text_normalized")), ["page_key", "region_id"], "left")
-        return with_alto(named.join(spans, ["page_key", "region_id"], "left").join(lists, ["page_key", "region_id"], "left"), self.geometry_format)
+        return with_alto(named.join(spans, ["page_key", "region_id"], "left").join(lists, ["page_key", "region_id"], "left"), self.geometry_format), candidates, selected
 
     def diagnostics(self, candidates: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Ambiguous and conflicted regions."""

@@ -309,6 +309,13 @@ def text_align(spark, sf_dir):
     return spread(found, "alto_bbox", "page_key", "region_id", "label", "input_text", "alto_text", "source", "alignment_score")
 
 
+@query()
+def text_run_summary(spark, sf_dir):
+    plan = TextAlignment(normalise=collapse_blanks)
+    aligned, candidates, chosen = plan.align_with_candidates(V.text_values(spark, sf_dir), V.ocr_words(spark, sf_dir))
+    return P.run_summary(aligned, *plan.diagnostics(candidates, chosen))
+
+
 @query("""WITH turns AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS k, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) AS n, text FROM conversations WHERE text IS NOT NULL
 ), ends AS (

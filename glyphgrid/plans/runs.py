@@ -64,7 +64,13 @@ def run(spark: SparkSession, mode: str, plan: GeometryAlignment | TextAlignment,
         if name not in regions.columns:
             regions = regions.withColumn(name, F.lit(None).cast(kind))
     regions = materialize(regions.filter("region_id IS NOT NULL"), "regions")
-    aligned = materialize(plan.align(regions, alto.words(parsed)), "aligned")
+    diagnostics: tuple[DataFrame, ...] = ()
+    if mode == json_pages.TEXT:
+        aligned, candidates, chosen = plan.align_with_candidates(regions, alto.words(parsed))
+        diagnostics = plan.diagnostics(candidates, chosen)
+    else:
+        aligned = plan.align(regions, alto.words(parsed))
+    aligned = materialize(aligned, "aligned")
     pages = alto.pages(parsed)
     if output_format == "label-studio":
         found = label_studio.results(aligned, pages, mode, text_source, geometry_source)
@@ -73,7 +79,7 @@ def run(spark: SparkSession, mode: str, plan: GeometryAlignment | TextAlignment,
         documents = json_pages.filled_documents(docs, aligned, mode, suffix, plan.geometry_format, text_source, geometry_source)
     else:
         documents = json_pages.grouped_documents(aligned, plan.geometry_format, geometry_source)
-    return Run(aligned, documents, missing, pairing.run_summary(aligned), pages)
+    return Run(aligned, documents, missing, pairing.run_summary(aligned, *diagnostics), pages)
 
 
 def with_images(found: Run, images: DataFrame, mode: str, fmt: str = "bbox", text_source: str = "json", geometry_source: str = "input") -> DataFrame:

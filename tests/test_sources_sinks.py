@@ -173,6 +173,17 @@ def test_text_run(spark, folders):
     assert [r.page_key for r in found.unpaired.collect()] == ["q"]
 
 
+def test_text_run_counts_ambiguous_and_conflicted(spark, folders):
+    # "last" stands twice for one value, and "two" is wanted by two values
+    words = "".join(f'<String ID="s{k}" CONTENT="{t}" HPOS="{20 * k}" VPOS="1" WIDTH="15" HEIGHT="10"/>' for k, t in enumerate(["last", "two", "last"]))
+    alto_xml = f'<alto xmlns="http://www.loc.gov/standards/alto/ns-v4#"><Layout><Page WIDTH="100" HEIGHT="100"><PrintSpace><TextBlock ID="b"><TextLine ID="l">{words}</TextLine></TextBlock></PrintSpace></Page></Layout></alto>'
+    for folder, name, content in (("alto2", "z.xml", alto_xml), ("json2", "z.json", '{"a": "last", "b": "two", "c": "two"}')):
+        (folders / folder).mkdir()
+        (folders / folder / name).write_text(content)
+    found = runs.run(spark, "text", TextAlignment(generator="exact"), str(folders / "alto2"), str(folders / "json2"))
+    assert found.summary.first().asDict() == {"pages": 1, "regions": 3, "matched": 2, "unmatched": 1, "ambiguous": 1, "conflicted": 1}
+
+
 def test_geometry_run(spark, folders):
     runs.main(["geometry", "--alto-dir", str(folders / "alto"), "--input-dir", str(folders / "json"), "--json-output-dir", str(folders / "out"), "--output-geometry-source", "alto"], spark)
     assert out(folders)["area"] == "ROME last" and out(folders)["area_bbox"] == {"x": 0, "y": 0, "width": 31, "height": 12}
