@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where materialised frames lie, so that they can be removed once nothing reads them.
+_written: WeakKeyDictionary = WeakKeyDictionary()
+#: Bytes of an Arrow batch of texts, beyond which it is closed whatever its rows.
+BATCH_BYTES = 32 << 20
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; any path that Spark's own readers can open."""
@@ -16,12 +22,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder of this
-    machine is taken and set.
+    Only where the session names none and runs on this machine alone (tests) a
+    temporary folder is taken and set; on a cluster it is an error, as every
+    executor would write to a folder of its own.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="glyphgrid-")
         sc.setCheckpointDir(configured)
     return configured.rstrip("/")
@@ -40,11 +49,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    _written[read] = path
+    return read
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove what :func:`materialize` wrote for these frames, once all that reads them is written itself."""
+    for df in frames:
+        path = _written.pop(df, None)
+        if path is not None:
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of any store Spark writes to."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the Arrow batches sent to Python where rows carry whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+    """Bound the Arrow batches sent to Python where rows carry whole texts, by rows and by bytes."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        said = spark.conf.get(key).removesuffix("b")
+        if not said.isdigit() or not 0 < int(said) <= most:
+            spark.conf.set(key, str(most))
