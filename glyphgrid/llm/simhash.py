@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from glyphgrid.llm.columns import each_index, let, words
 from glyphgrid.llm.components import connected_components
 from glyphgrid.llm.exact_dedup import ascii_lower
-from glyphgrid.session import materialize, small_batches
+from glyphgrid.session import discard, materialize, small_batches
 
 SHINGLE, RADIUS = 3, 3
 #: Codes under one top node before it is divided again.
-MOST = 200_000
+MOST = 5_000
 LEAF, FAN = 32, 8
 SALTS = 32
 
@@ -166,7 +166,7 @@ def divided(codes: DataFrame, fixed: int, radius: int) -> DataFrame:
 
 
 def near_links(codes: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
-    """(a, b): links whose classes are those of all pairs of ``codes`` (node, code, rep) of one node within the radius."""
+    """(a, b): links whose classes are those of all pairs of ``codes`` (node, code, rep) of one node within the radius; b is the smallest of its class under a node."""
     waiting, ready = codes.select("rep", "code", "node"), []
     fixed = 0
     while True:
@@ -196,8 +196,12 @@ def near_links(codes: DataFrame, radius: int = RADIUS, most: int = MOST) -> Data
             if held and sum(len(x[0]) for x in held) > 1:
                 reps, found = (np.concatenate(x) for x in zip(*held, strict=True))
                 label = GrayIndex(found.view(np.uint64), radius).link()
-                child = np.nonzero(label != np.arange(len(label)))[0]
-                yield pa.RecordBatch.from_arrays([pa.array(reps[child]), pa.array(reps[label[child]])], names=["a", "b"])
+                # the smallest id is a class's centre, under whatever node it is met, so that its stars coincide
+                least = np.full(len(label), np.iinfo(np.int64).max)
+                np.minimum.at(least, label, reps)
+                centre = least[label]
+                child = np.nonzero(reps != centre)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(reps[child]), pa.array(centre[child])], names=["a", "b"])
             held.clear()
 
         for batch in batches:
@@ -244,33 +248,28 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
 
 
-#: For copies by similarity: words of a shingle, the least Jaccard similarity, fingerprints of a text and the radius of candidates.
-SIMILAR_SHINGLE, SIMILARITY, PRINTS, SIMILAR_RADIUS = 5, 0.8, 4, 5
+#: For copies by similarity: words of a shingle, and the least Jaccard similarity.
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of minima of the shingles, and minima in a band: a pair of similarity s shares none with probability (1 - s**BAND)**BANDS, 3e-6 at 0.8.
 BANDS, BAND = 32, 5
-#: Comparisons in a group, and representatives at least and at most, in the first round and in later ones.
-COMPARED = ((8_192, 1, 64), (65_536, 4, 256))
+#: Rounds after which the groups that are left are divided by their other bands.
+ROUNDS = 2
+REMEMBERED = 300_000
 
 
-def word_prints(text: str | None, prints: int = PRINTS) -> list[int]:
-    """Independent 64-bit SimHashes of the different words of a text, A-Z in lower case."""
-    import xxhash
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-    different = set((text or "").encode().lower().split())
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in different), np.uint64, len(different))
-    found = []
-    for k in range(prints):
-        x = (h ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        ones = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        found.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]))
-    return found
 
+#: One for each minimum of a text.
+BAND_SALTS = _mixed(np.arange(1, BANDS * BAND + 1, dtype=np.uint64))
 
-def shingle_bands(text: str | None, hashes: dict[bytes, int], shingle: int = SIMILAR_SHINGLE, bands: int = BANDS, band: int = BAND) -> np.ndarray:
-    """A hash of each band of minima of a text's shingles; equal sets have equal bands. ``hashes`` remembers words."""
+
+def shingle_codes(text: str | None, hashes: dict[bytes, int], shingle: int = SIMILAR_SHINGLE) -> tuple[int, np.ndarray]:
+    """The SimHash of a text's different shingles, and a hash of each band of their minima; equal sets have equal ones. ``hashes`` remembers words."""
     import xxhash
 
     words = (text or "").encode().lower().split()
@@ -285,43 +284,32 @@ def shingle_bands(text: str | None, hashes: dict[bytes, int], shingle: int = SIM
     for j in range(k):
         joined = _mixed(joined ^ h[j : j + len(joined)])
     joined = np.unique(joined)
-    least = np.full(bands * band, ~np.uint64(0))
+    least, ones = np.full(BANDS * BAND, ~np.uint64(0)), np.zeros(64, np.int64)
     for at in range(0, len(joined), 1 << 13):
+        part = joined[at : at + (1 << 13)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         for i in range(0, len(least), 16):
-            np.minimum(least[i : i + 16], _mixed(joined[None, at : at + (1 << 13)] ^ BAND_SALTS[i : i + 16, None]).min(axis=1), out=least[i : i + 16])
-    code = np.zeros(bands, np.uint64)
-    for column in least.reshape(bands, band).T:
+            np.minimum(least[i : i + 16], _mixed(part[None, :] ^ BAND_SALTS[i : i + 16, None]).min(axis=1), out=least[i : i + 16])
+    code = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND).T:
         code = _mixed(code ^ column)
-    return code
+    return int(np.packbits(2 * ones > len(joined), bitorder="little").view("<u8")[0]), code
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-#: One for each minimum of a text.
-BAND_SALTS = _mixed(np.arange(1, BANDS * BAND + 1, dtype=np.uint64))
-REMEMBERED = 300_000
-
-
-def all_prints(docs: DataFrame, prints: int = PRINTS) -> DataFrame:
-    """(doc_id, node, code): the fingerprints of every row, the number of the print as the node, and its bands, as nodes b0, b1, ..."""
+def similar_codes(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """(doc_id, fp, bands): fingerprint and band codes of every row with an id."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[bytes, int] = {}
-        nodes = [*(str(k) for k in range(prints)), *(f"b{k}" for k in range(BANDS))]
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
-            found = np.array([np.append(np.array(word_prints(t, prints), np.uint64), shingle_bands(t, hashes)) for t in texts], np.uint64).reshape(-1, len(nodes))
-            ids = np.repeat(np.asarray(batch.column(0)), len(nodes))
-            names = pa.array(nodes * len(found), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), names, pa.array(found.ravel().view(np.int64))], names=["doc_id", "node", "code"])
+            found = [shingle_codes(t.as_py(), hashes, shingle) for t in batch.column(1)]
+            fp = np.array([f for f, _ in found], np.uint64).view(np.int64)
+            codes = np.concatenate([c for _, c in found]) if found else np.zeros(0, np.uint64)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(codes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), bands], names=["doc_id", "fp", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, node string, code long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, fp long, bands array<long>")
 
 
 def shingle_hashes(text: Column, k: int = SIMILAR_SHINGLE) -> Column:
@@ -335,53 +323,89 @@ def shingle_hashes(text: Column, k: int = SIMILAR_SHINGLE) -> Column:
     return let(words(ascii_lower(F.coalesce(text.cast("string"), F.lit("")))), of)
 
 
-def similar_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, radius: int = SIMILAR_RADIUS) -> DataFrame:
-    """(doc_id, kept_id): documents that go, each with the smaller id that stays and is as similar as asked.
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (doc, rep) whose ``sets`` (doc_id, s) are as similar as asked."""
+    own = pairs.join(sets.select(F.col("doc_id").alias("doc"), "s"), "doc")
+    both = own.join(sets.select(F.col("doc_id").alias("rep"), F.col("s").alias("rs")), "rep")
+    shared = F.size(F.array_intersect("s", "rs"))
+    return both.filter(shared >= similarity * (F.size("s") + F.size("rs") - shared)).select("doc", "rep").distinct()
+
+
+def similar_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, kept_id): documents that go, each with the smallest id of its group.
 
-    Candidates are linked if one of several fingerprints is near, each of the
-    different words of a text, which few edits change little, or if one band of
-    minima of the shingles is equal, which of a pair as similar as asked is so
-    whatever was edited, cut off or appended. The members of a
-    group of links are compared with its smallest ids: who is similar to one
-    that stays goes. Who is not is grouped anew with the others left, until no
-    one has a candidate; every round settles at least the smallest id of each
-    group. Ids must be unique; rows without an id have no copies.
+    A group is a connected part of the links between texts that share as much of
+    their shingles as asked. Candidates lie in one bucket: fingerprints that the
+    Gray-order index links, or an equal band of minima of the shingles, which a
+    pair as similar as asked has whatever was edited, cut off or appended. The
+    members of a bucket are compared with its smallest id; first each document
+    with the smallest of all its buckets', then, where this has not linked them
+    yet, with the others'. Those not linked to it make a smaller bucket without
+    it, and every ``ROUNDS`` rounds these are divided by the members' other bands,
+    which texts as similar as asked share and unlike ones do not. So no pair of a
+    bucket is given up, nor are all formed.
+
+    Rows with one id are one document, similar to others if one of its texts is;
+    rows without an id have no copies. Empty texts are equal texts.
     """
-    prints = materialize(all_prints(docs), "word-prints")
-    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone, left, turn = None, prints, 0
+    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    codes = materialize(similar_codes(docs, shingle), "shingle-codes")
+    distinct = codes.groupBy(F.col("fp").alias("code")).agg(F.min("doc_id").alias("rep")).withColumn("node", F.lit(""))
+    gray = materialize(near_links(distinct, radius).distinct(), "gray-links")
+    star = F.xxhash64(F.lit("gray"), F.col("b"))
+    banded = codes.select("doc_id", F.explode("bands").alias("key"))
+    printed = codes.select("doc_id", F.xxhash64(F.lit("print"), F.col("fp")).alias("key"))
+    linked = gray.select(F.explode(F.array("a", "b")).alias("doc_id"), star.alias("key")).distinct()
+    entries, sets, edges, groups, turn = banded.union(printed).union(linked), None, [], None, 0
+
+    def apart(met: DataFrame) -> DataFrame:
+        """What does not lie in one group yet."""
+        named = groups.withColumnRenamed("node", "doc_id")
+        with_doc = met.withColumnRenamed("doc", "doc_id").join(named.withColumnRenamed("component", "x"), "doc_id", "left").withColumnRenamed("doc_id", "doc")
+        with_rep = with_doc.withColumnRenamed("rep", "doc_id").join(named.withColumnRenamed("component", "y"), "doc_id", "left").withColumnRenamed("doc_id", "rep")
+        return with_rep.filter(F.coalesce("x", "doc") != F.coalesce("y", "rep")).select("key", "doc", "rep")
+
     while True:
-        # a code of a band that only one document has links nothing
-        codes = left.groupBy("node", "code").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-        codes = materialize(codes.filter(~F.col("node").startswith("b") | (F.col("rep") < F.col("last"))), "word-codes")
-        shared_codes = codes.filter(F.col("rep") < F.col("last")).select("node", "code", "rep")
-        same = left.join(shared_codes, ["node", "code"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        found = connected_components(same.union(near_links(codes.filter(~F.col("node").startswith("b")).select("node", "code", "rep"), radius)))
-        members = materialize(found.select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "members")
-        if members.isEmpty():
+        shared = entries.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").select("key", "rep")
+        met = entries.withColumnRenamed("doc_id", "doc").join(shared, "key").filter("doc <> rep")
+        met = materialize(met if groups is None else apart(met), "met")
+        if met.isEmpty():
             break
-        pairs, least, most = COMPARED[min(turn, 1)]
-        # the smallest ids of a group, from the smallest of each of its parts; in a small group all, in a large one few
-        sizes = members.groupBy("group").agg(F.count("*").alias("n"))
-        first = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-        for by in (["group", "part"], ["group"]):
-            first = first.drop("rank").withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("doc_id"))).filter(F.col("rank") <= most)
-        first = first.join(sizes, "group").filter(F.col("rank") <= F.greatest(F.lit(least), F.floor(F.lit(pairs) / F.col("n")))).select("group", F.col("doc_id").alias("rep"))
-        first = materialize(first, "representatives")
-        sets = materialize(members.select("doc_id", "group").join(texts, "doc_id").select("doc_id", "group", shingle_hashes(F.col("text"), shingle).alias("s")), "shingles")
-        reps = sets.join(first, (sets["doc_id"] == first["rep"]) & (sets["group"] == first["group"]), "left_semi").select(F.col("doc_id").alias("rep"), F.col("group").alias("of"), F.col("s").alias("rs"))
-        both = sets.join(reps, (F.col("group") == F.col("of")) & (F.col("doc_id") > F.col("rep")))
-        shared = F.size(F.array_intersect("s", "rs"))
-        near = materialize(both.filter(shared >= similarity * (F.size("s") + F.size("rs") - shared)).select("group", "doc_id", "rep"), "near")
-        # a representative that goes takes no one with it
-        ready = near.join(near.select(F.col("doc_id").alias("rep")).distinct(), "rep", "left_anti")
-        out = materialize(ready.groupBy("doc_id").agg(F.min("rep").alias("kept_id")), "gone")
-        gone = out if gone is None else gone.unionByName(out)
-        done = first.select(F.col("rep").alias("doc_id")).join(near.select("doc_id").distinct(), "doc_id", "left_anti")
-        open_ = members.select("doc_id").join(out.select("doc_id").union(done), "doc_id", "left_anti")
-        left = materialize(prints.join(open_, "doc_id", "left_semi"), "left")
+        if sets is None:
+            some = met.select(F.col("doc").alias("doc_id")).union(met.select("rep")).distinct()
+            sets = materialize(rows.join(some, "doc_id", "left_semi").select("doc_id", shingle_hashes(F.col("text"), shingle).alias("s")), "shingles")
+        first = materialize(similar_pairs(met.groupBy("doc").agg(F.min("rep").alias("rep")), sets, similarity), "similar")
+        edges.append(first)
+        groups = components_of(edges, groups)
+        # of those whose first comparison did not link them, all others
+        again = materialize(apart(met), "met-again")
+        rest = again.select("doc", "rep").distinct().join(met.groupBy("doc").agg(F.min("rep").alias("rep")), ["doc", "rep"], "left_anti")
+        second = materialize(similar_pairs(rest, sets, similarity), "similar")
+        edges.append(second)
+        groups = components_of(edges, groups)
+        left = apart(again).select(F.col("doc").alias("doc_id"), "key")
         turn += 1
-    return gone if gone is not None else members.select("doc_id", F.col("group").alias("kept_id"))
+        if turn % ROUNDS == 0:
+            divided_ = left.join(codes.select("doc_id", F.explode("bands").alias("band")), "doc_id").filter("key <> band")
+            left = divided_.select("doc_id", F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"))
+        left = materialize(left.distinct(), "left")
+        discard(met, again, *(() if turn == 1 else (entries,)))
+        entries = left
+    if groups is None:
+        return met.select(F.col("doc").alias("doc_id"), F.col("rep").alias("kept_id"))
+    discard(codes, gray, sets, met, *edges)
+    return groups.filter("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("kept_id"))
+
+
+def components_of(edges: list[DataFrame], before: DataFrame | None) -> DataFrame:
+    """(node, component) of all edges (doc, rep); what was known before is replaced."""
+    every = edges[0]
+    for more in edges[1:]:
+        every = every.union(more)
+    found = connected_components(every.toDF("a", "b"))
+    if before is not None:
+        discard(before)
+    return found
 
 
 def drop_similar_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
