@@ -1,31 +1,37 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-N-gram counts are quantised to ``level = 1 + floor(log(count) / log(BASE))``, and
-the filter holds the pairs (n-gram, 1) ... (n-gram, level). A worker finds an
-n-gram's level by probing upwards until a pair is missing; errors can only
-raise a level, and the longer the run of pairs the less likely. Probabilities
-are interpolated from the quantised counts of bigram, history and word and a
-uniform share.
+Bigram counts are quantised to ``level = 1 + floor(log(count) / log(BASE))``, and
+the filter holds the pairs (bigram, 1) ... (bigram, level). A worker finds a
+bigram's level by probing upwards until a pair is missing; errors can only
+raise a level, and the longer the run of pairs the less likely. The model is
 
-The filter is sent to every worker, so its size is bounded by ``FILTER_BYTES``:
-it holds the n-grams with counts of at least a cutoff, read off the histogram
-of all counts so that they fit. N-grams below the cutoff are looked up in the
-counts by joins and quantised in the same way, so that no counted n-gram is lost
-and a text's score depends on the counts only, not on the filter's size. All
-counts are over all training documents.
+    p(w | h) = low(h w) / (c(h) + MASS)              if h w was counted,
+               MASS / (c(h) + MASS) * p(w)           otherwise,
+    p(w)     = (1 - UNKNOWN) * c(w) / N + UNKNOWN / (V + 1),
+
+with c the exact counts of tokens and ``low`` the least count of the bigram's
+level, so that of any history the probabilities of all tokens and of the unknown
+one sum to at most one, but for what false hits of the filter add.
 
-The base score needs exact counts. The ``HEAD`` most frequent tokens are sent to
-the workers, the other tokens of each document are joined with the counts.
+The filter is sent to every worker, so its size is bounded by ``FILTER_BYTES``:
+it holds the bigrams with counts of at least a cutoff, read off the histogram
+of all counts so that they fit; ``HEAD`` tokens' counts are sent in the same
+way. What lies below these cutoffs is looked up in the counts, a table in
+buckets of its n-grams, by a join of the documents' n-grams. So no counted n-gram
+is lost, what is gathered grows with the corpus, and a text's score depends on
+the counts only, not on the filter's size. All counts are over all training
+documents.
 
 Defined results: a null text counts as empty and has one token, its end. Rows
 that repeat an id are each scored (and each train). With no training text every
 token is unknown, and N and V are zero: probabilities are then uniform over one
-token. Only id and text are read. Tokens are told apart by 64-bit hashes.
+token. Only id and text are read. N-grams are told apart by 63-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,20 +39,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphgrid.session import materialize, small_batches
+from glyphgrid.session import delete, discard, materialize, new_path, small_batches
 
 #: Rows whose checksum of the id leaves this remainder never train.
 FOLDS, HELD_OUT = 5, 1
 HEAD = 300_000
-FILTER_BYTES, BITS_AN_EVENT, PROBES = 16 << 20, 10, 5
+FILTER_BYTES = 16 << 20
+#: Bits for each pair in the filter: if all bigrams are in it, and if the rarest are not and a false hit takes several pairs.
+BITS_ALL, BITS_SOME = 32, 16
+#: Bits probed for a level, up to the cutoff's and above it.
+PROBES, PROBES_ABOVE = 8, 4
 BLOCK_BITS = 1 << 16
 BASE = 1.5
-#: Weights of bigram, word and uniform probabilities.
-WEIGHTS = (0.5, 0.45, 0.05)
+#: Weight of the tokens' own distribution against a history's count, and the share of unknown tokens in it.
+MASS, UNKNOWN = 100.0, 0.05
 #: Words contain no blank, so this is no word's hash.
 END = " "
 REMEMBERED = 300_000
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>, times array<long>, pair array<long>, said array<long>, past array<long>, word array<long>, past_level array<tinyint>, word_level array<tinyint>"
+#: What the workers return. ``kind`` 0: an n-gram to look up, a token (times it stands there, and before another) or a bigram (times, its word if that is to be
+#: looked up too, what it adds if it was never counted). 1, or 2 if held out: a row's own sums, with tokens, known tokens, id, base and model.
+SCORED = "row long, gram long, times int, past int, word long, a double, b double, kind tinyint"
 
 
 class TokenHashes(dict):
@@ -56,7 +68,7 @@ class TokenHashes(dict):
         import xxhash
 
         super().__init__()
-        self.digest = xxhash.xxh3_64_intdigest
+        self.digest = lambda word: xxhash.xxh3_64_intdigest(word) & ~1  # tokens are even, bigrams odd
         self.end = np.uint64(self.digest(END))
 
     def __missing__(self, word: bytes) -> int:
@@ -81,7 +93,7 @@ def scrambled(x: np.ndarray, salt: int) -> np.ndarray:
 def bigrams(tokens: np.ndarray, end: np.uint64) -> np.ndarray:
     """The hash of each token with the one before it; before the first stands the end."""
     before = np.concatenate(([end], tokens[:-1]))
-    return scrambled(before, 3) + tokens * np.uint64(0xBF58476D1CE4E5B9)
+    return (scrambled(before, 3) + tokens * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
 
 
 def held_out() -> F.Column:
@@ -93,23 +105,23 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(gram, size, n): how often each token and bigram occurs in the training rows."""
+    """(gram, n): how often each token (even) and bigram (odd) occurs in the training rows."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = TokenHashes(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind in (1, 2):
-                if held:
-                    gram, n = np.unique(np.concatenate([x[kind - 1] for x in held]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(np.full(len(gram), kind, np.int8)), pa.array(n.astype(np.int64))], names=["gram", "size", "n"])
+            if held:
+                gram, n = np.unique(np.concatenate(held), return_counts=True)
+                for at in range(0, len(gram), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[at : at + (1 << 16)].view(np.int64)), pa.array(n[at : at + (1 << 16)].astype(np.int64))], names=["gram", "n"])
             held.clear()
 
         for batch in batches:
             for t in batch.column(0):
                 tokens = hashes.of(t.as_py())
-                held.append((tokens, bigrams(tokens, hashes.end)))
+                held += [tokens, bigrams(tokens, hashes.end)]
                 size += len(tokens)
                 if size >= 4_000_000:
                     yield from flush()
@@ -117,55 +129,68 @@ def counts(docs: DataFrame) -> DataFrame:
         yield from flush()
 
     trained = keyed(docs).filter(~F.col("held_out")).select("text")
-    return trained.mapInArrow(run, "gram long, size byte, n long").groupBy("gram", "size").agg(F.sum("n").alias("n"))
+    return trained.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def in_buckets(grams: DataFrame) -> tuple[DataFrame, str, str]:
+    """``grams`` written in buckets of ``gram``, so that joins find them dealt; with the table's name and folder."""
+    spark = grams.sparkSession
+    name, path = f"glyphgrid_{uuid.uuid4().hex}", new_path(spark, "ngram-counts")
+    grams.write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram").saveAsTable(name)
+    return spark.table(name), name, path
 
 
 class Filter:
     """A blocked log-frequency Bloom filter: all bits of an n-gram are in one block."""
 
-    def __init__(self, blocks: int, base: float = BASE, probes: int = PROBES, filled: bool = True):
-        self.blocks, self.base, self.probes = blocks, base, probes
+    def __init__(self, blocks: int, lowest: int = 1, base: float = BASE, filled: bool = True):
+        self.blocks, self.lowest, self.base = blocks, lowest, base
         self.bits = np.zeros(blocks * BLOCK_BITS // 64 if filled else 0, np.uint64)
 
+    def probes(self, level: int) -> int:
+        return PROBES if level <= self.lowest else PROBES_ABOVE
+
     def level(self, n: np.ndarray) -> np.ndarray:
         return 1 + np.floor(np.log(n) / math.log(self.base) + 1e-9).astype(np.int64)
 
-    def count(self, level: np.ndarray) -> np.ndarray:
-        """The count a level stands for: the middle of its range, 1 for the first level."""
-        value = self.base ** (level - 1.0)
-        return np.where(level > 0, np.where(level > 1, value * (1 + self.base) / 2, 1.0), 0.0)
+    def low(self, level: np.ndarray) -> np.ndarray:
+        """The least count of a level."""
+        return np.ceil(self.base ** (level - 1.0) - 1e-6)
 
     def place(self, gram: np.ndarray) -> np.ndarray:
         return ((scrambled(gram, 17) >> np.uint64(32)) * np.uint64(self.blocks)) >> np.uint64(32)
 
-    def positions(self, gram: np.ndarray, level: np.ndarray, probe: int) -> np.ndarray:
-        """Bit numbers within the block."""
-        h = scrambled(gram + level.astype(np.uint64) * np.uint64(0x94D049BB133111EB), 29)
-        step = (h >> np.uint64(32)) | np.uint64(1)
-        return (h + np.uint64(probe) * step) & np.uint64(BLOCK_BITS - 1)
+    @staticmethod
+    def walk(gram: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where within its block the bits of a pair begin, and the step from one to the next."""
+        h = scrambled(gram + np.full(1, level, np.uint64) * np.uint64(0x94D049BB133111EB), 29)
+        return h, (h >> np.uint64(32)) | np.uint64(1)
 
     def block(self, gram: np.ndarray, n: np.ndarray) -> bytes:
         """The bits of one block that holds these n-grams."""
         level, bits = self.level(n), np.zeros(BLOCK_BITS, np.bool_)
-        every, each = np.repeat(gram, level), np.concatenate([np.arange(1, k + 1) for k in level.tolist()] or [np.zeros(0, np.int64)])
-        for probe in range(self.probes):
-            bits[self.positions(every, each, probe).astype(np.int64)] = True
+        for k in range(1, int(level.max(initial=0)) + 1):
+            h, step = self.walk(gram[level >= k], k)
+            for _ in range(self.probes(k)):
+                bits[(h & np.uint64(BLOCK_BITS - 1)).astype(np.int64)] = True
+                h = h + step
         return np.packbits(bits, bitorder="little").tobytes()
 
     def find(self, gram: np.ndarray) -> np.ndarray:
-        """The level of each n-gram, 0 if it is not in the filter; what misses a bit is asked no further."""
+        """The level of each n-gram, 0 below the lowest; what misses a bit is asked no further."""
         level, start = np.zeros(len(gram), np.int64), self.place(gram) * np.uint64(BLOCK_BITS)
         asked, k = np.arange(len(gram)), 0
-        while len(asked):
+        while len(asked) and self.blocks:
             k += 1
-            at, h = start[asked], scrambled(gram[asked] + np.uint64(k) * np.uint64(0x94D049BB133111EB), 29)
-            step = (h >> np.uint64(32)) | np.uint64(1)
-            for _ in range(self.probes):
+            at = start[asked]
+            h, step = self.walk(gram[asked], k)
+            for _ in range(self.probes(k)):
                 bit = at + (h & np.uint64(BLOCK_BITS - 1))
                 found = (self.bits[(bit >> np.uint64(6)).view(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
                 asked, at, step = asked[found], at[found], step[found]
                 h = h[found] + step
             level[asked] = k
+        level[level < self.lowest] = 0
         return level
 
 
@@ -184,26 +209,28 @@ def cutoff_for(sizes: dict[int, int], most: int) -> tuple[int, int]:
     return cutoff, held
 
 
-def build_filter(grams: DataFrame, limit: int = FILTER_BYTES, base: float = BASE, probes: int = PROBES) -> tuple[Filter, int]:
-    """The filter of all n-grams with at least the cutoff's count, and the cutoff.
+def build_filter(pairs: DataFrame, sizes: dict[int, int], limit: int = FILTER_BYTES) -> tuple[Filter, int]:
+    """The filter of all bigrams with at least the cutoff's count, and the cutoff; ``sizes``: levels held in each bucket of counts.
 
     Blocks are dealt to tasks and each is built where its n-grams are; only the
     bits, at most ``limit`` bytes, come to the driver.
     """
-    level = F.floor(F.log("n") / F.lit(math.log(base)) + F.lit(1e-9)) + 1
-    sizes = grams.groupBy(bucket(F.col("n")).alias("bucket")).agg(F.sum(level).alias("events")).collect()
-    cutoff, events = cutoff_for({r["bucket"]: r["events"] for r in sizes}, limit * 8 // BITS_AN_EVENT)
-    blocks = max(1, -(-events * BITS_AN_EVENT // BLOCK_BITS))
-    made = Filter(blocks, base, probes)
+    bits = BITS_ALL
+    cutoff, events = cutoff_for(sizes, limit * 8 // bits)
+    if cutoff > 1:
+        bits = BITS_SOME
+        cutoff, events = cutoff_for({n: k for n, k in sizes.items() if n > 1}, limit * 8 // bits)
+    blocks, lowest = -(-events * bits // BLOCK_BITS), 1 + math.floor(math.log(cutoff) / math.log(BASE) + 1e-9)
+    made = Filter(blocks, lowest)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = Filter(blocks, base, probes, filled=False)
+        empty = Filter(blocks, lowest, filled=False)
         for batch in batches:
             block = empty.place(np.asarray(batch.column(0)).view(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(block), *batch.columns], names=["block", "gram", "n"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = Filter(blocks, base, probes, filled=False)
+        empty = Filter(blocks, lowest, filled=False)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         name = None
 
@@ -224,7 +251,7 @@ def build_filter(grams: DataFrame, limit: int = FILTER_BYTES, base: float = BASE
                     held.append((gram[s:e].view(np.uint64), n[s:e]))
         yield from flush()
 
-    kept = grams.filter(bucket(F.col("n")) >= cutoff).select("gram", "n")
+    kept = pairs.filter(bucket(F.col("n")) >= cutoff).select("gram", "n")
     dealt = kept.mapInArrow(place, "block long, gram long, n long").repartition("block").sortWithinPartitions("block")
     per_block = BLOCK_BITS // 64
     for r in dealt.mapInArrow(fill, "block long, bits binary").toLocalIterator():
@@ -232,122 +259,123 @@ def build_filter(grams: DataFrame, limit: int = FILTER_BYTES, base: float = BASE
     return made, cutoff
 
 
-def score(docs: DataFrame, head: int = HEAD, limit: int = FILTER_BYTES, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+def score(docs: DataFrame, head: int = HEAD, limit: int = FILTER_BYTES, mass: float = MASS, unknown: float = UNKNOWN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    grams = materialize(counts(docs), "ngram-counts")
-    tokens = grams.filter("size = 1").select("gram", "n")
-    said = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
-    total, distinct = said["N"], said["V"]
+    grams, table, folder = in_buckets(counts(docs))
+    is_pair = F.col("gram").bitwiseAND(F.lit(1)) == 1
+    level_of = lambda n: F.floor(F.log(n) / F.lit(math.log(BASE)) + F.lit(1e-9)) + 1
+    sizes = grams.groupBy(is_pair.alias("pair"), bucket(F.col("n")).alias("bucket")).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(level_of(F.col("n"))).alias("levels")).collect()
+    of_tokens = {r["bucket"]: r for r in sizes if not r["pair"]}
+    total, distinct = sum(r["n"] for r in of_tokens.values()), sum(r["k"] for r in of_tokens.values())
     # the frequent tokens by a cutoff from the histogram, so that no task gathers the candidates of all
-    sizes = tokens.groupBy(bucket(F.col("n")).alias("bucket")).agg(F.count("*").alias("k")).collect()
-    cutoff, _ = cutoff_for({r["bucket"]: r["k"] for r in sizes}, head)
-    frequent = tokens.filter(bucket(F.col("n")) >= cutoff).toArrow()
+    rarest, _ = cutoff_for({n: r["k"] for n, r in of_tokens.items()}, head)
+    frequent = grams.filter(~is_pair & (bucket(F.col("n")) >= rarest)).toArrow()
     first = np.asarray(frequent.column("gram").combine_chunks()).view(np.uint64) if frequent.num_rows else np.zeros(0, np.uint64)
     order = np.argsort(first)
     often = np.asarray(frequent.column("n").combine_chunks())[order] if frequent.num_rows else np.zeros(0, np.int64)
-    made, least = build_filter(grams, limit)
-    # what the filter holds has at least this level; below it are false hits and, from a cutoff of 2 on, n-grams to look up
-    lowest, complete = int(made.level(np.array([least]))[0]), least <= 1
-    sent = spark.sparkContext.broadcast((first[order], often, made.blocks, made.bits))
+    made, least = build_filter(grams.filter(is_pair), {r["bucket"]: r["levels"] for r in sizes if r["pair"]}, limit)
+    sent = spark.sparkContext.broadcast((first[order], often, made.blocks, made.lowest, made.bits))
     floor = total + 0.5 * (distinct + 1)
+    # the tokens' own distribution: intercept and slope over counts
+    share, slope = (unknown / (distinct + 1), (1 - unknown) / total) if total else (1.0, 0.0)
+    all_pairs, all_tokens = least <= 1, rarest <= 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often_, blocks, bits = sent.value
-        grams_ = Filter(blocks, filled=False)
-        grams_.bits = bits
+        known, often_, blocks, lowest, bits = sent.value
+        filter_ = Filter(blocks, lowest, filled=False)
+        filter_.bits = bits
         hashes = TokenHashes()
+        nothing = lambda size: np.zeros(size, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             lists = [hashes.of(t.as_py()) for t in batch.column(3)]
-            size = np.array([len(x) for x in lists])
-            owner = np.repeat(np.arange(len(lists)), size)
+            size, rows = np.array([len(x) for x in lists]), np.asarray(batch.column(0))
+            owner, starts = np.repeat(np.arange(len(lists)), size), np.cumsum(size) - size
             token = np.concatenate(lists)
-            pair = np.concatenate([bigrams(x, hashes.end) for x in lists])
-            # the model, by probing; each different token of the batch once
-            some, which = np.unique(token, return_inverse=True)
-            levels = lambda x: (k := grams_.find(x)) * (k >= lowest)
-            word_level = levels(some)[which]
-            ends = levels(np.array([hashes.end]))[0]
-            starts = np.cumsum(size) - size
-            past_level, before = np.concatenate(([ends], word_level[:-1])), np.concatenate(([hashes.end], token[:-1]))
-            past_level[starts], before[starts] = ends, hashes.end
-            pair_level = levels(pair)
-            word, past, both = grams_.count(word_level), grams_.count(past_level), grams_.count(pair_level)
-            a, b, c = weights
-            seen = past > 0
-            p = b * word / max(total, 1) + c / (distinct + 1)
-            p = np.where(seen, a * np.minimum(both / np.maximum(past, 1.0), 1.0) + p, p / (b + c))
-            sure = np.ones(len(pair), np.bool_) if complete else pair_level > 0
-            model = np.bincount(owner, np.log10(np.minimum(p, 1.0)) * sure, len(lists))
-            # the bigrams not in the filter, each once a text; of their tokens those not in the filter are named
-            rare = np.nonzero(~sure)[0]
-            kinds, kind = np.unique(pair[rare], return_inverse=True)
-            open_, one, said_ = np.unique(owner[rare] * max(len(kinds), 1) + kind, return_index=True, return_counts=True)
-            at_ = rare[one]
-            open_cut = np.searchsorted(owner[at_], np.arange(len(lists) + 1)).astype(np.int32)
-            named = lambda x, level: np.where(level[at_] > 0, np.uint64(0), x[at_]).view(np.int64)
-            opens = (pair[at_].view(np.int64), said_.astype(np.int64), named(before, past_level), named(token, word_level), past_level[at_].astype(np.int8), word_level[at_].astype(np.int8))
-            # the base: frequent tokens here, the others by a join
+            # each different token and bigram of the batch is looked up once; -1: a token that is not among the frequent
+            some, which = np.unique(np.append(token, hashes.end), return_inverse=True)
             at = np.minimum(np.searchsorted(known, some), max(len(known) - 1, 0))
-            is_known = known[at] == some if len(known) else np.zeros(len(some), np.bool_)
-            value = np.where(is_known, np.log10((often_[at] + 0.5) / floor) if len(known) else 0.0, 0.0)
-            here = is_known[which]
-            base = np.bincount(owner, value[which], len(lists))
-            mine = np.bincount(owner, here, len(lists)).astype(np.int64)
-            rest, often_here = np.unique(owner[~here] * len(some) + which[~here], return_counts=True)
-            whose = rest // len(some)
-            cut = np.searchsorted(whose, np.arange(len(lists) + 1)).astype(np.int32)
-            tails, times = some[rest % len(some)].view(np.int64), often_here.astype(np.int64)
-            lists_of = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size.astype(np.int64)), pa.array(mine), pa.array(base), pa.array(model), lists_of(tails), lists_of(times), *(pa.ListArray.from_arrays(pa.array(open_cut, pa.int32()), pa.array(x)) for x in opens)], names=[x.split()[0] for x in SCORED.split(", ")])
+            count = np.where(known[at] == some, often_[at], -1) if len(known) else np.full(len(some), -1)
+            if all_tokens:
+                count = np.maximum(count, 0)
+            end, which = which[-1], which[:-1]
+            past = np.concatenate(([end], which[:-1]))
+            past[starts] = end
+            pair = np.concatenate([bigrams(x, hashes.end) for x in lists])
+            kinds, one, kind = np.unique(pair, return_index=True, return_inverse=True)
+            level = filter_.find(kinds)
+            c_word, c_past = count[which], count[past]
+            # a bigram is no more frequent than its tokens
+            most = np.minimum(c_word[one], c_past[one])
+            level = np.where(most < 0, level, np.where(most < least, 0, np.minimum(level, filter_.level(np.maximum(most, 1)))))
+            held = level[kind]
+            own = np.log10(share + slope * np.maximum(c_word, 0)) + math.log10(mass)
+            found = np.log10(filter_.low(np.maximum(held, 1)))
+            impossible = (c_word >= 0) & (c_past >= 0) & (np.minimum(c_word, c_past) < 1)  # a token of it was never seen
+            settled = (held > 0) | ((impossible | all_pairs) & (c_word >= 0))
+            said = np.where(held > 0, found, np.where(settled, own, 0.0)) - np.where(c_past >= 0, np.log10(np.maximum(c_past, 0) + mass), 0.0)
+            model = np.bincount(owner, said, len(lists))
+            value = np.log10((np.maximum(count, 0) + 0.5) / floor)
+            base = np.bincount(owner, np.where(c_word >= 0, value[which], 0.0), len(lists))
+            sure = np.bincount(owner, c_word > 0, len(lists)).astype(np.int64)
+            yield rows_of(rows, scrambled(rows.view(np.uint64), 41).view(np.int64), size, sure, batch.column(1), base, model, np.asarray(batch.column(2).cast(pa.int8())) + 1)
+            # tokens that are not among the frequent, once a row: how often they stand there, and how often before a token
+            rare, n_rare = np.nonzero(c_word < 0)[0], np.nonzero(c_past < 0)[0]
+            if len(rare) or len(n_rare):
+                keys = np.concatenate((owner[rare] * len(some) + which[rare], owner[n_rare] * len(some) + past[n_rare]))
+                each, back = np.unique(keys, return_inverse=True)
+                times = np.bincount(back[: len(rare)], minlength=len(each))
+                before = np.bincount(back[len(rare) :], minlength=len(each))
+                zero = np.zeros(len(each))
+                yield rows_of(rows[each // len(some)], some[each % len(some)].view(np.int64), times, before, nothing(len(each)), zero, zero, nothing(len(each)))
+            # bigrams that the filter does not settle, once a row
+            open_ = np.nonzero(~settled)[0]
+            if len(open_):
+                _, one, times = np.unique(owner[open_] * len(kinds) + kind[open_], return_index=True, return_counts=True)
+                at_ = open_[one]
+                yield rows_of(rows[owner[at_]], pair[at_].view(np.int64), times, nothing(len(at_)), np.where(c_word[at_] < 0, token[at_], np.uint64(0)).view(np.int64), np.zeros(len(at_)), own[at_], nothing(len(at_)))
 
     rows = keyed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(run, SCORED)
-    about = ("row", "doc_id", "held_out", "n_tokens", "known", "base", "score")
-    level_of = lambda n: F.when(n > 0, F.floor(F.log(n) / F.lit(math.log(BASE)) + F.lit(1e-9)) + 1).otherwise(F.lit(0))
-    value = lambda k: F.when(k > 1, F.pow(F.lit(BASE), k - 1.0) * ((1 + BASE) / 2)).otherwise(k.cast("double"))
-    a, b, c = weights
-
-    def model_score(times: F.Column, both: F.Column, past: F.Column, word: F.Column) -> F.Column:
-        both, past, word = value(both), value(past), value(word)
-        p = word * (b / max(total, 1)) + F.lit(c / (distinct + 1))
-        p = F.when(past > 0, F.least(both / F.greatest(past, F.lit(1.0)), F.lit(1.0)) * a + p).otherwise(p / (b + c))
-        return times * F.log10(F.least(p, F.lit(1.0)))
-
-    byte = lambda k: F.lit(k).cast("tinyint")
-    none = F.lit(0).cast("long")
-    tails = F.transform(F.arrays_zip("tail", "times"), lambda t: F.struct(t["tail"].alias("gram"), byte(1).alias("size"), t["times"].alias("times"), none.alias("past"), none.alias("word"), byte(0).alias("past_level"), byte(0).alias("word_level")))
-    pairs = F.transform(F.arrays_zip("pair", "said", "past", "word", "past_level", "word_level"), lambda t: F.struct(t["pair"].alias("gram"), byte(2).alias("size"), t["said"].alias("times"), t["past"].alias("past"), t["word"].alias("word"), t["past_level"].alias("past_level"), t["word_level"].alias("word_level")))
-    # a row whose n-grams are all in what is sent still needs one, of its own, to join with
-    each = rows.select(*about, F.explode_outer(F.concat(tails, pairs)).alias("t")).select(*about, "t.*")
-    each = each.withColumns({"gram": F.coalesce("gram", F.xxhash64("row")), "times": F.coalesce("times", F.lit(0)), "size": F.coalesce("size", byte(1))})
-    below = bucket(F.col("n")) < least
-    wanted = grams if complete else grams.filter((F.col("size") == 1) | below)
-    joined = each.join(wanted.filter("size = 1") if complete else wanted, ["gram", "size"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    is_token = F.col("size") == 1
-    settled = (F.col("past_level") > 0) & (F.col("word_level") > 0)
-    found = level_of(F.col("n"))
-    sums = joined.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("held_out").alias("held_out"),
-        F.first("n_tokens").alias("n_tokens"),
-        (F.first("known") + F.sum(F.when(is_token & (F.col("n") > 0), F.col("times")).otherwise(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.first("base") + F.sum(F.when(is_token, F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(float(floor)))).otherwise(0.0))).alias("base_score"),
-        (F.first("score") + F.sum(F.when(~is_token & settled, model_score(F.col("times"), found, F.col("past_level"), F.col("word_level"))).otherwise(0.0))).alias("score"),
-        *(() if complete else (F.collect_list(F.when(~is_token & ~settled, F.struct("times", found.alias("level"), "past", "word", "past_level", "word_level"))).alias("open"),)),
+    # of the counts, those that are not sent
+    below = lambda least: F.lit(False) if least <= 1 else bucket(F.col("n")) < least
+    others = grams.filter((is_pair & below(least)) | (~is_pair & below(rarest)))
+    joined = rows.join(others, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    self_, token, pair, times = F.col("kind") > 0, (F.col("kind") == 0) & ~is_pair, (F.col("kind") == 0) & is_pair, F.col("times")
+    seen = F.col("n") > 0
+    # bigrams never counted, of a token that is not among the frequent: its own count is looked up below
+    open_ = F.when(pair & ~seen, F.col("word")).otherwise(F.lit(0))
+    low = F.log10(F.ceil(F.pow(F.lit(BASE), level_of(F.col("n")) - 1) - F.lit(1e-6)))
+    told = F.when(self_, F.col("b")).when(token, -F.col("past") * F.log10(F.col("n") + F.lit(mass))).when(seen, times * low).when(open_ == 0, times * F.col("b")).otherwise(F.lit(0.0))
+    mine = lambda c: F.when(self_, F.col(c))
+    sums = joined.groupBy("row", open_.alias("gram")).agg(
+        F.max(mine("word")).alias("doc_id"),
+        F.max(F.col("kind")).alias("kind"),
+        F.max(mine("times")).cast("long").alias("n_tokens"),
+        F.sum(F.when(self_, F.col("past")).when(token & seen, times).otherwise(0)).alias("n_known"),
+        F.sum(F.when(token, times * F.log10((F.col("n") + 0.5) / F.lit(float(floor)))).otherwise(F.col("a"))).alias("base_score"),
+        F.sum(told).alias("score"),
+        F.sum(times).alias("times"),
     )
-    if complete:
-        return sums.drop("row")
-    # bigrams with a token below the cutoff: its count is looked up as well
-    few = grams.filter((F.col("size") == 1) & below).select("gram", level_of(F.col("n")).alias("found"))
-    said_of = [x for x in sums.columns if x != "open"]
-    left = sums.select(*said_of, F.explode_outer("open").alias("o")).select(*said_of, "o.*").withColumn("salt", F.xxhash64("row", "past", "word"))
-    for side in ("past", "word"):
-        key = F.when(F.col(f"{side}_level") == 0, F.col(side)).otherwise(F.col("salt"))
-        left = left.withColumn("gram", F.coalesce(key, "salt")).join(few, "gram", "left")
-        left = left.withColumn(f"{side}_level", F.when(F.col(f"{side}_level") == 0, F.coalesce("found", F.lit(0))).otherwise(F.col(f"{side}_level"))).drop("gram", "found")
-    more = F.sum(F.coalesce(model_score(F.col("times"), F.col("level"), F.col("past_level"), F.col("word_level")), F.lit(0.0)))
-    return left.groupBy("row").agg(*(F.first(x).alias(x) for x in said_of if x not in ("row", "score")), (F.first("score") + more).alias("score")).drop("row")
+    sums = materialize(sums, "scores")
+    words = sums.filter("gram <> 0").select("row", "gram", "times").join(others, "gram", "left")
+    rest = words.groupBy("row").agg(F.sum(F.col("times") * (F.log10(F.lit(share) + F.lit(slope) * F.coalesce("n", F.lit(0))) + F.lit(math.log10(mass)))).alias("rest"))
+    done = materialize(
+        sums.filter("gram = 0").join(rest, "row", "left").select(
+            "doc_id", (F.col("kind") == 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+            "base_score", (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
+        ),
+        "scored",
+    )
+    spark.sql(f"DROP TABLE {table}")
+    delete(spark, folder)
+    discard(sums)
+    return done
+
+
+def rows_of(row: np.ndarray, gram: np.ndarray, times: np.ndarray, past: np.ndarray, word: np.ndarray | pa.Array, a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    """A batch of ``SCORED``."""
+    columns = [pa.array(row, pa.int64()), pa.array(gram, pa.int64()), pa.array(times.astype(np.int32)), pa.array(past.astype(np.int32)), word if isinstance(word, pa.Array) else pa.array(word, pa.int64())]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(a, pa.float64()), pa.array(b, pa.float64()), pa.array(kind.astype(np.int8))], names=[x.split()[0] for x in SCORED.split(", ")])
