@@ -12,9 +12,10 @@ known elsewhere but whose words differ: these are checked at the factor's
 boundary window by window. Windows found in a smaller document, joined, are the
 factors of at least ``SPAN`` words, and the words they cover are duplicates.
 
-Blocks and windows are compared by 128 bits of hash. Before anything is
-shuffled, equal blocks of a batch are one row; texts are moved for boundary
-checks and for the result, never for the index.
+Blocks and windows are compared by 128 bits, two hashes that have the halves of
+their words' 128-bit hashes. Before anything is shuffled, equal blocks of a batch
+are one row; texts are moved for boundary checks and for the result, never for
+the index.
 
 Defined results: a null text has no words; texts shorter than a window are kept
 whole. Windows repeated inside a document do not count against it. Rows that
@@ -26,62 +27,45 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphgrid.session import materialize, small_batches
+from glyphgrid.session import discard, materialize, small_batches
 
 SPAN, ANCHOR = 50, 8
-#: A text is hashed in parts of about so many bytes, as a power of two.
-PART_BITS = 20
-#: White space of ASCII, by byte.
-BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-RUN = "anchor long, block long, doc_id long, row long, start int, n int"
-FACTOR = "row long, doc_id long, start int, n int"
-
-
-@lru_cache(maxsize=1)
-def powers(exponent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For two odd bases the powers below 2**exponent and their inverses, modulo 2**64."""
-    out = []
-    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        pair = []
-        for x in (base, pow(base, -1, 1 << 64)):
-            p = np.full(1 << exponent, x, np.uint64)
-            p[0] = 1
-            pair.append(np.cumprod(p, dtype=np.uint64))
-        out.append((pair[0], pair[1]))
-    return out
-
-
-def part_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a part, from running sums over its bytes."""
-    b = np.frombuffer(data, np.uint8)
-    blank = np.concatenate(([True], BLANK[b], [True]))
-    edge = np.flatnonzero(blank[1:] != blank[:-1])
-    start, stop = edge[::2], edge[1::2]
-    sums = []
-    for power, inverse in powers(max(PART_BITS, len(b).bit_length())):
-        run = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], dtype=np.uint64, out=run[1:])
-        sums.append((run[stop] - run[start]) * inverse[start])
-    return mixed(sums[0], sums[1], 3)
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """Hashes of the words of a text; a long one is taken in parts that begin at a blank."""
-    found, at = [], 0
-    while at < len(data):
-        end = min(at + (1 << PART_BITS), len(data))
-        while end < len(data) and not BLANK[data[end]]:
-            end += 1
-        found.append(part_hashes(data[at:end]))
-        at = end
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+#: Words whose hashes a worker remembers.
+REMEMBERED = 300_000
+RUN = "anchor long, block long, check long, doc_id long, row long, start int, n int"
+KEY = ("anchor", "block", "check")
+
+
+class WordHashes(dict):
+    """128-bit hashes of words, remembered as the places of their halves."""
+
+    def __init__(self):
+        import xxhash
+
+        super().__init__()
+        self.digest = xxhash.xxh3_128_digest
+        self.found = bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        self.found += self.digest(word)
+        return place
+
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of the hashes of the words of a text, in order."""
+        words = text.split()
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.found = bytearray()
+        place = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        halves = np.frombuffer(bytes(self.found), "<u8").reshape(-1, 2)
+        return halves[place, 0], halves[place, 1]
 
 
 def mixed(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
@@ -114,14 +98,14 @@ def least_of(values: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(now[:-rest], now[rest:]) if rest else now
 
 
-def blocks(one: np.ndarray, span: int = SPAN, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(anchor, hash, first window, windows) of the blocks of a document."""
-    window = of_length(one, span, 11)
+def blocks(one: np.ndarray, two: np.ndarray, span: int = SPAN, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """(anchor, hash, second hash, first window, windows) of the blocks of a document, from the halves of its words' hashes."""
     least = least_of(of_length(one, anchor, 7), span - anchor + 1)
     first = np.concatenate(([0], np.nonzero(least[1:] != least[:-1])[0] + 1))
     n = np.diff(np.append(first, len(least)))
-    place = np.arange(len(least)) - np.repeat(first, n)
-    return least[first], np.add.reduceat(mixed(window, place.astype(np.uint64), 5), first) + n.astype(np.uint64), first, n
+    place = (np.arange(len(least)) - np.repeat(first, n)).astype(np.uint64)
+    both = [np.add.reduceat(mixed(of_length(half, span, 11), place, 5), first) + n.astype(np.uint64) for half in (one, two)]
+    return least[first], *both, first, n
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -135,31 +119,32 @@ def block_rows(rows: DataFrame, merged: bool, span: int, anchor: int) -> DataFra
     """The blocks of all documents; ``merged``: equal blocks of a batch once, under the smallest (``doc_id``) and with the largest id (``row``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
             for k in range(batch.num_rows):
                 if not batch.column(0)[k].is_valid:
                     continue
-                one = word_hashes(batch.column(1)[k].as_py().encode())
+                one, two = hashes.of(batch.column(1)[k].as_py().encode())
                 if len(one) < span:
                     continue
-                found = blocks(one, span, anchor)
+                found = blocks(one, two, span, anchor)
                 size = len(found[0])
                 doc, row = np.full(size, batch.column(0)[k].as_py(), np.int64), np.full(size, batch.column(2)[k].as_py(), np.int64)
-                for part, x in zip(parts, (*found[:2], doc, row, *found[2:]), strict=True):
+                for part, x in zip(parts, (*found[:3], doc, row, *found[3:]), strict=True):
                     part.append(x)
             if not parts[0]:
                 continue
-            a, b, doc, row, first, n = (np.concatenate(x) for x in parts)
+            a, b, c, doc, row, first, n = (np.concatenate(x) for x in parts)
             if merged:
-                order = np.lexsort((doc, b, a))
-                a, b, doc = a[order], b[order], doc[order]
-                new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+                order = np.lexsort((doc, c, b, a))
+                a, b, c, doc = a[order], b[order], c[order], doc[order]
+                new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])))
                 at = np.nonzero(new)[0]
                 row = doc[np.append(at[1:], len(doc)) - 1]  # the largest id of the block
-                a, b, doc, first, n = a[at], b[at], doc[at], np.zeros(len(at)), np.zeros(len(at))
-            columns = [a.view(np.int64), b.view(np.int64), doc, row, first.astype(np.int32), n.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "block", "doc_id", "row", "start", "n"])
+                a, b, c, doc, first, n = a[at], b[at], c[at], doc[at], np.zeros(len(at)), np.zeros(len(at))
+            columns = [a.view(np.int64), b.view(np.int64), c.view(np.int64), doc, row, first.astype(np.int32), n.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in RUN.split(", ")])
 
     return rows.select("doc_id", "text", "row").mapInArrow(run, RUN)
 
@@ -170,13 +155,14 @@ def windows_of(rows: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     joined = rows.join(lists.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "text", "row", "at.start", "at.n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             parts: list[list[np.ndarray]] = [[] for _ in range(5)]
             for doc, text, row, start, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                one = word_hashes(text.encode())
+                one, two = hashes.of(text.encode())
                 start, n = np.array(start, np.int64), np.array(n, np.int64)
                 at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                for part, x in zip(parts, (of_length(one, span, 11)[at], of_length(one, span, 23)[at], np.full(len(at), doc, np.int64), np.full(len(at), row, np.int64), at), strict=True):
+                for part, x in zip(parts, (of_length(one, span, 11)[at], of_length(two, span, 11)[at], np.full(len(at), doc, np.int64), np.full(len(at), row, np.int64), at), strict=True):
                     part.append(x)
             if parts[0]:
                 w1, w2, doc, row, at = (np.concatenate(x) for x in parts)
@@ -186,20 +172,25 @@ def windows_of(rows: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
 
 
 def factors(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
-    """(row, doc_id, start, n): n windows from the start-th word that a smaller document holds."""
+    """(row, doc_id, start, n): n windows from the start-th word that a smaller document holds.
+
+    A block or window may be that of a third of all documents: blocks are summed
+    up in each task first, and what is known of a key is written before it is
+    joined, so that both sides of a join are plain shuffles that can be split.
+    """
     small_batches(docs.sparkSession)
     rows = keyed(docs)
-    held = block_rows(rows, True, span, anchor).select("anchor", "block", "doc_id", F.col("row").alias("last"))
-    # dealt by anchor alone, so that the blocks of an anchor can be counted where they are
-    known = held.repartition("anchor").groupBy("anchor", "block").agg(F.min("doc_id").alias("least"), F.max("last").alias("last"))
-    known = materialize(known, "known-blocks")  # read twice below, and the texts are not hashed again for it
-    varied = known.groupBy("anchor").agg(((F.count("*") > 1) & (F.min("least") < F.max("last"))).alias("varied"))
-    index = known.join(varied, "anchor").filter("varied OR least < last").select("anchor", "block", "least", "varied")
-    parsed = materialize(block_rows(rows, False, span, anchor).join(index, ["anchor", "block"]).filter("least < doc_id OR varied"), "parsed-blocks")
+    held = block_rows(rows, True, span, anchor).select(*KEY, "doc_id", F.col("row").alias("last"))
+    # read several times below, and the texts are not hashed again for it
+    known = materialize(held.groupBy(*KEY).agg(F.min("doc_id").alias("least"), F.max("last").alias("last")), "known-blocks")
+    varied = materialize(known.groupBy("anchor").agg(F.count("*").alias("blocks"), F.min("least").alias("from"), F.max("last").alias("to")).filter("blocks > 1 AND from < to").select("anchor", F.lit(True).alias("varied")), "varied-anchors")
+    index = known.join(varied, "anchor", "left").withColumn("varied", F.coalesce("varied", F.lit(False))).filter("varied OR least < last").select(*KEY, "least", "varied")
+    parsed = materialize(block_rows(rows, False, span, anchor).join(index, [*KEY]).filter("least < doc_id OR varied"), "parsed-blocks")
+    discard(known, varied)
     whole = parsed.filter("least < doc_id").select("row", "doc_id", "start", "n")
     windows = materialize(windows_of(rows, parsed.filter("least = doc_id").select("doc_id", "row", "start", "n").distinct(), span), "boundary-windows")
     shared = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last").drop("last")
-    checked = windows.join(shared, ["w1", "w2"]).filter("least < doc_id").select("row", "doc_id", "start", F.lit(1).alias("n"))
+    checked = windows.join(materialize(shared, "shared-windows"), ["w1", "w2"]).filter("least < doc_id").select("row", "doc_id", "start", F.lit(1).alias("n"))
     return whole.union(checked)
 
 

@@ -250,12 +250,23 @@ def test_word_hashes_tell_words_apart():
     rng = random.Random(12)
     words = {"".join(rng.choice("abé") for _ in range(rng.randrange(1, 9))).encode() for _ in range(5000)}
     data = b" \t".join(sorted(words)) + b"\n"
-    assert len(set(substring_dedup.word_hashes(data).tolist())) == len(words)
-    assert substring_dedup.word_hashes(b"x" + data)[5:].tolist() == substring_dedup.word_hashes(data)[5:].tolist()
-    assert substring_dedup.word_hashes(b" \t").size == 0
-    long_ = b"abc " * 400_000 + b"d" * 1_200_000 + b" abc"
-    h = substring_dedup.word_hashes(long_)
-    assert len(h) == 400_002 and len(set(h.tolist())) == 2 and h[0] == h[-1]
+    hashes = substring_dedup.WordHashes()
+    for half in hashes.of(data):
+        assert len(set(half.tolist())) == len(words)
+    assert hashes.of(b"x  " + data)[1][1:].tolist() == hashes.of(data)[1].tolist() == substring_dedup.WordHashes().of(data)[1].tolist()
+    assert hashes.of(b" \t")[0].size == 0
+
+
+def test_words_that_collide_under_polynomials_are_different(spark):
+    """Thue-Morse words of equal polynomials modulo 2**64 to every odd base; and windows of words of a MB."""
+    morse = "a"
+    while len(morse) < 4096:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    other, rest = morse.translate(str.maketrans("ab", "ba")), " ".join(f"w{k}" for k in range(49))
+    long_ = " ".join(["x" * 1_000_000] + [f"v{k}" for k in range(49)])
+    texts = [f"{morse} {rest}", f"{other} {rest}", f"{other} {rest}", long_, long_]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.without_duplicates(docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 50, 3: 0, 4: 50}
 
 
 def jaccard(a, b):
