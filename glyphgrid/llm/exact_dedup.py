@@ -8,8 +8,8 @@ one content. A document then is its recipe, the ordered list of identifiers,
 and only recipes are compared and moved.
 
 Defined results: null counts as empty, and all empty texts are one group. Of
-equal texts the row with the largest id stays; rows that repeat the largest id
-stay together. Null ids are smaller than all others. An empty table gives an
+equal texts one row with the largest id stays, whichever if rows repeat it.
+Null ids are smaller than all others. An empty table gives an
 empty result. Only the id and text columns are read.
 """
 
@@ -63,17 +63,18 @@ def recipes(docs: DataFrame, bits: int = 64) -> DataFrame:
     clash = collisions(docs, bits)
     if clash.isEmpty():
         return docs.withColumn("recipe", parts)
-    plain = docs.withColumn("recipe", F.transform(parts, lambda h: F.struct(h.alias("h"), F.lit("").alias("number"))))
-    keyed = plain.withColumn("row", F.monotonically_increasing_id())
+    plain = docs.withColumn("recipe", F.transform(parts, lambda h: F.struct(h.alias("h"), F.lit("").alias("digest"))))
+    # rows are numbered once, in what is written
+    keyed = materialize(plain.withColumn("number", F.monotonically_increasing_id()), "numbered")
     found = (
-        keyed.select("row", F.posexplode(chunks(F.col("norm"))).alias("at", "chunk"))
+        keyed.select("number", F.posexplode(chunks(F.col("norm"))).alias("at", "chunk"))
         .withColumn("h", identifier(F.col("chunk"), bits))
         .join(clash, "h")
-        .groupBy("row")
-        .agg(F.map_from_entries(F.collect_list(F.struct("at", F.sha2("chunk", 256).alias("number")))).alias("numbers"))
+        .groupBy("number")
+        .agg(F.map_from_entries(F.collect_list(F.struct("at", F.sha2("chunk", 256).alias("digest")))).alias("digests"))
     )
-    number = F.transform(F.col("recipe"), lambda x, i: F.struct(x["h"].alias("h"), F.coalesce(F.element_at(F.col("numbers"), i), F.lit("")).alias("number")))
-    return keyed.join(found, "row", "left").withColumn("recipe", F.when(F.col("numbers").isNull(), F.col("recipe")).otherwise(number)).drop("row", "numbers")
+    verified = F.transform(F.col("recipe"), lambda x, i: F.struct(x["h"].alias("h"), F.coalesce(F.element_at(F.col("digests"), i), F.lit("")).alias("digest")))
+    return keyed.join(found, "number", "left").withColumn("recipe", F.when(F.col("digests").isNull(), F.col("recipe")).otherwise(verified)).drop("number", "digests")
 
 
 def exact_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
@@ -84,15 +85,24 @@ def exact_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(text).alias("norm"))
-    rows = materialize(recipes(base, bits).select("doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), "recipe", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")), "recipes")
-    parts = rows.groupBy("recipe", "salt").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    whole = parts.groupBy("recipe").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    sha = F.unhex(F.sha2("norm", 256)).alias("sha")
+    rows = materialize(recipes(base, bits).select(F.monotonically_increasing_id().alias("row"), "doc_id", sha, "recipe", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")), "recipes")
+    id_ = lambda name: F.coalesce(F.col(name), F.lit(-(2**63)))
+    parts = rows.groupBy("recipe", "salt").agg(F.max("doc_id").alias("keep_id"), F.max_by("row", id_("doc_id")).alias("keep_row"), F.count("*").alias("n"))
+    whole = parts.groupBy("recipe").agg(F.max("keep_id").alias("keep_id"), F.max_by("keep_row", id_("keep_id")).alias("keep_row"), F.sum("n").alias("group_size"))
     back = parts.select("recipe", "salt").join(whole, "recipe")
-    return rows.join(back, ["recipe", "salt"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return rows.join(back, ["recipe", "salt"]).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; told apart by id and text."""
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__kept")).distinct()
+    """The rows of ``docs`` that stay, with all their columns, one of each group; told apart by id and text."""
+    last = exact_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    kept = materialize(last.groupBy(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__kept")).agg(F.count("*").alias("__n")), "kept")
     sha = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256))
-    return docs.withColumn("__sha", sha).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept")), "left_semi").drop("__sha")
+    keyed = docs.withColumn("__sha", sha)
+    of = lambda which: keyed.join(kept.filter(which), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept")), "left_semi")
+    if kept.filter("__n > 1").isEmpty():
+        return of("__n = 1").drop("__sha")
+    # rows that repeat id and text: one of each
+    again = of("__n > 1").withColumn("__id", F.col("doc_id").cast("long")).dropDuplicates(["__id", "__sha"]).drop("__id")
+    return of("__n = 1").unionByName(again).drop("__sha")

@@ -43,8 +43,11 @@ def test_chunks_join_to_the_text(spark):
 def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (0, "b"), (None, "c")], "doc_id long, text string")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(df).collect())
-    assert got == [(False, 0, 0, 1, True), (False, 1, 1, 3, True), (False, 1, 1, 3, True), (True, 0, 0, 1, True), (True, 0, 1, 3, False)]
-    assert exact_dedup.drop_exact_duplicates(df).count() == 4
+    assert got == [(False, 0, 0, 1, True), (False, 1, 1, 3, False), (False, 1, 1, 3, True), (True, 0, 0, 1, True), (True, 0, 1, 3, False)]
+    left = exact_dedup.drop_exact_duplicates(df)
+    assert left.columns == df.columns and sorted(left.collect(), key=str) == [(0, "b"), (1, "a"), (None, "c")]
+    nameless = spark.createDataFrame([(None, "c"), (None, "c"), (2, "d")], "doc_id long, text string")
+    assert sorted(exact_dedup.drop_exact_duplicates(nameless).collect(), key=str) == [(2, "d"), (None, "c")]
     assert exact_dedup.exact_duplicates(df.limit(0)).count() == 0
 
 
