@@ -252,8 +252,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of minima of the shingles, and minima in a band: a pair of similarity s shares none with probability (1 - s**BAND)**BANDS, 3e-6 at 0.8.
 BANDS, BAND = 32, 5
-#: Rounds after which the groups that are left are divided by their other bands.
-ROUNDS = 2
+#: Members of a bucket that the others are compared with in one round.
+REPS = 16
 REMEMBERED = 300_000
 
 
@@ -337,12 +337,11 @@ def similar_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     A group is a connected part of the links between texts that share as much of
     their shingles as asked. Candidates lie in one bucket: fingerprints that the
     Gray-order index links, or an equal band of minima of the shingles, which a
-    pair as similar as asked has whatever was edited, cut off or appended. The
-    members of a bucket are compared with its smallest id; first each document
-    with the smallest of all its buckets', then, where this has not linked them
-    yet, with the others'. Those not linked to it make a smaller bucket without
-    it, and every ``ROUNDS`` rounds these are divided by the members' other bands,
-    which texts as similar as asked share and unlike ones do not. So no pair of a
+    pair as similar as asked has whatever was edited, cut off or appended. First
+    each document is compared with the smallest id of all its buckets; in buckets
+    that this does not settle, with the ``REPS`` smallest. Members linked to none
+    of these are divided by their other bands, which texts as similar as asked
+    share and unlike ones do not, and compared anew without them. So no pair of a
     bucket is given up, nor are all formed.
 
     Rows with one id are one document, similar to others if one of its texts is;
@@ -352,60 +351,43 @@ def similar_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     codes = materialize(similar_codes(docs, shingle), "shingle-codes")
     distinct = codes.groupBy(F.col("fp").alias("code")).agg(F.min("doc_id").alias("rep")).withColumn("node", F.lit(""))
     gray = materialize(near_links(distinct, radius).distinct(), "gray-links")
-    star = F.xxhash64(F.lit("gray"), F.col("b"))
-    banded = codes.select("doc_id", F.explode("bands").alias("key"))
+    bands = codes.select("doc_id", F.explode("bands").alias("key"))
     printed = codes.select("doc_id", F.xxhash64(F.lit("print"), F.col("fp")).alias("key"))
-    linked = gray.select(F.explode(F.array("a", "b")).alias("doc_id"), star.alias("key")).distinct()
-    entries, sets, edges, groups, turn = banded.union(printed).union(linked), None, [], None, 0
-
-    def apart(met: DataFrame) -> DataFrame:
-        """What does not lie in one group yet."""
-        named = groups.withColumnRenamed("node", "doc_id")
-        with_doc = met.withColumnRenamed("doc", "doc_id").join(named.withColumnRenamed("component", "x"), "doc_id", "left").withColumnRenamed("doc_id", "doc")
-        with_rep = with_doc.withColumnRenamed("rep", "doc_id").join(named.withColumnRenamed("component", "y"), "doc_id", "left").withColumnRenamed("doc_id", "rep")
-        return with_rep.filter(F.coalesce("x", "doc") != F.coalesce("y", "rep")).select("key", "doc", "rep")
-
-    while True:
-        shared = entries.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").select("key", "rep")
-        met = entries.withColumnRenamed("doc_id", "doc").join(shared, "key").filter("doc <> rep")
-        met = materialize(met if groups is None else apart(met), "met")
-        if met.isEmpty():
-            break
-        if sets is None:
-            some = met.select(F.col("doc").alias("doc_id")).union(met.select("rep")).distinct()
-            sets = materialize(rows.join(some, "doc_id", "left_semi").select("doc_id", shingle_hashes(F.col("text"), shingle).alias("s")), "shingles")
-        first = materialize(similar_pairs(met.groupBy("doc").agg(F.min("rep").alias("rep")), sets, similarity), "similar")
-        edges.append(first)
-        groups = components_of(edges, groups)
-        # of those whose first comparison did not link them, all others
-        again = materialize(apart(met), "met-again")
-        rest = again.select("doc", "rep").distinct().join(met.groupBy("doc").agg(F.min("rep").alias("rep")), ["doc", "rep"], "left_anti")
-        second = materialize(similar_pairs(rest, sets, similarity), "similar")
-        edges.append(second)
-        groups = components_of(edges, groups)
-        left = apart(again).select(F.col("doc").alias("doc_id"), "key")
-        turn += 1
-        if turn % ROUNDS == 0:
-            divided_ = left.join(codes.select("doc_id", F.explode("bands").alias("band")), "doc_id").filter("key <> band")
-            left = divided_.select("doc_id", F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"))
-        left = materialize(left.distinct(), "left")
-        discard(met, again, *(() if turn == 1 else (entries,)))
-        entries = left
-    if groups is None:
-        return met.select(F.col("doc").alias("doc_id"), F.col("rep").alias("kept_id"))
-    discard(codes, gray, sets, met, *edges)
+    linked = gray.select(F.explode(F.array("a", "b")).alias("doc_id"), F.xxhash64(F.lit("gray"), F.col("b")).alias("key")).distinct()
+    entries = bands.union(printed).union(linked)
+    shared = entries.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").select("key", "rep")
+    met = materialize(entries.withColumnRenamed("doc_id", "doc").join(shared, "key").filter("doc <> rep").select("key", "doc", "rep"), "met")
+    some = met.select(F.col("doc").alias("doc_id")).union(met.select("rep")).distinct()
+    sets = materialize(rows.join(some, "doc_id", "left_semi").select("doc_id", shingle_hashes(F.col("text"), shingle).alias("s")), "shingles")
+    compared = materialize(met.groupBy("doc").agg(F.min("rep").alias("rep")), "compared")
+    edges = materialize(similar_pairs(compared, sets, similarity), "similar")
+    open_ = apart(met, edges)
+    left = materialize(open_.select("key", F.col("doc").alias("doc_id")).union(open_.select("key", "rep")).distinct(), "left")
+    while not left.isEmpty():
+        first = left.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))).filter(F.col("rank") <= REPS).select("key", F.col("doc_id").alias("rep"))
+        first, last = materialize(first, "representatives"), met
+        met = materialize(left.withColumnRenamed("doc_id", "doc").join(first, "key").filter("doc > rep").select("key", "doc", "rep"), "met")
+        fresh = apart(met, edges).select("doc", "rep").distinct().join(compared, ["doc", "rep"], "left_anti")
+        edges = materialize(edges.union(similar_pairs(fresh, sets, similarity)), "similar")
+        # members that no representative stands for
+        alone = met.select("key", "doc").distinct().join(first.withColumnRenamed("rep", "doc"), ["key", "doc"], "left_anti")
+        alone = alone.join(met.join(apart(met, edges), ["key", "doc", "rep"], "left_anti"), ["key", "doc"], "left_anti")
+        divided_ = alone.withColumnRenamed("doc", "doc_id").join(bands.withColumnRenamed("key", "band"), "doc_id").filter("key <> band")
+        parts = divided_.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "doc_id")
+        several = parts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+        before, left = left, materialize(parts.join(several, "key"), "left")
+        discard(last, before, first)
+    groups = connected_components(edges.toDF("a", "b"))
+    discard(codes, gray, sets, compared, met, left, edges)
     return groups.filter("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("kept_id"))
 
 
-def components_of(edges: list[DataFrame], before: DataFrame | None) -> DataFrame:
-    """(node, component) of all edges (doc, rep); what was known before is replaced."""
-    every = edges[0]
-    for more in edges[1:]:
-        every = every.union(more)
-    found = connected_components(every.toDF("a", "b"))
-    if before is not None:
-        discard(before)
-    return found
+def apart(met: DataFrame, edges: DataFrame) -> DataFrame:
+    """What of ``met`` is not seen to lie in one group: the two are not linked, nor have one smallest partner."""
+    least = edges.groupBy("doc").agg(F.min("rep").alias("least"))
+    of_doc, of_rep = least.select("doc", F.col("least").alias("x")), least.select(F.col("doc").alias("rep"), F.col("least").alias("y"))
+    named = met.join(of_doc, "doc", "left").join(of_rep, "rep", "left").join(edges.withColumn("linked", F.lit(True)), ["doc", "rep"], "left")
+    return named.filter(F.col("linked").isNull() & (F.coalesce("x", "doc") != F.coalesce("y", "rep"))).select("key", "doc", "rep")
 
 
 def drop_similar_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -309,9 +309,7 @@ def test_repeated_rows_and_empty_texts_are_copies(spark):
     assert gone == {(7, 4), (9, 8)}
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_copies_among_texts_that_share_a_passage(spark, rounds, monkeypatch):
-    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+def test_copies_among_texts_that_share_a_passage(spark):
     rng = random.Random(31)
     vocabulary = [f"w{k}" for k in range(4000)]
     some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
