@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphgrid.functions import geometry as G
 from glyphgrid.functions.polygons import clipped, is_valid, ring_area
-from glyphgrid.operators.orthogonal import region_ring
+from glyphgrid.operators.orthogonal import orthogonal_polygon
 from glyphgrid.operators.overlap import ALL, WORD_COVERAGE, assigned, overlaps
 from glyphgrid.plans.aligners import GeometryAlignment
 
@@ -99,51 +99,65 @@ def test_clip_agrees_with_sampling():
 
 
 def word(x, y, w, h, line=None, block=0):
-    return {"x": x, "y": y, "width": w, "height": h, "line_index": line, "block_index": block}
-
-
-def test_one_word_outline():
-    assert region_ring([word(1, 2, 3, 4, 0)]) == [(1, 2), (4, 2), (4, 6), (1, 6), (1, 2)]
-
-
-def test_l_shape_is_clockwise_from_top_left():
-    ring = region_ring([word(0, 0, 20, 10, 0), word(0, 10, 10, 10, 1)])
-    assert ring == [(0, 0), (20, 0), (20, 10), (10, 10), (10, 20), (0, 20), (0, 0)]
-
-
-def test_gap_is_bridged_over_the_common_width():
-    ring = region_ring([word(0, 0, 20, 10, 0), word(10, 20, 20, 10, 1)])
-    assert ring == [(0, 0), (20, 0), (20, 20), (30, 20), (30, 30), (10, 30), (10, 10), (0, 10), (0, 0)]
-
-
-def test_equal_lines_are_one_box():
-    assert region_ring([word(0, 0, 10, 10, 0), word(0, 10, 10, 10, 1)]) == [(0, 0), (10, 0), (10, 20), (0, 20), (0, 0)]
-
-
-def test_bands_that_touch_at_a_corner_fall_back_to_the_union():
-    assert region_ring([word(0, 0, 10, 10, 0), word(10, 10, 10, 10, 1)]) == [(0, 0), (20, 0), (20, 20), (0, 20), (0, 0)]
-
-
-def test_lines_of_different_blocks_stay_apart():
-    ring = region_ring([word(0, 0, 10, 10, 0, 0), word(0, 20, 30, 10, 0, 1)])
-    assert ring == [(0, 0), (10, 0), (10, 20), (30, 20), (30, 30), (0, 30), (0, 0)]
-
-
-def test_degenerate_word_has_a_closed_ring():
-    ring = region_ring([word(5, 5, 0, 0, 0)])
-    assert len(ring) == 5 and set(ring) == {(5, 5)}
-
-
-def test_outline_holds_its_words_on_random_pages():
+    return (float(x), float(y), float(w), float(h), line, block)
+
+
+def rings(spark, *regions_):
+    rows = [(k, [(i, *w) for i, w in enumerate(ws)]) for k, ws in enumerate(regions_)]
+    df = spark.createDataFrame(rows, "k int, words array<struct<word_index:int,x:double,y:double,width:double,height:double,line_index:int,block_index:int>>")
+    found = df.select("k", orthogonal_polygon(F.col("words")).alias("ring")).collect()
+    return [r.ring and [(p.x, p.y) for p in r.ring] for r in sorted(found)]
+
+
+def test_outlines(spark):
+    got = rings(
+        spark,
+        [word(1, 2, 3, 4, 0)],
+        [word(0, 0, 20, 10, 0), word(0, 10, 10, 10, 1)],  # an L, clockwise from the top left
+        [word(0, 0, 20, 10, 0), word(10, 20, 20, 10, 1)],  # a gap is bridged over the common width
+        [word(0, 0, 10, 10, 0), word(0, 10, 10, 10, 1)],  # equal lines are one box
+        [word(0, 0, 10, 10, 0), word(10, 10, 10, 10, 1)],  # strips that touch at a corner
+        [word(0, 0, 10, 10, 0, 0), word(0, 20, 30, 10, 0, 1)],  # lines of different blocks
+        [word(5, 5, 0, 0, 0)],
+        [word(0, 0, 9, 9, 0), word(20, 4, 0, 0, 1)],  # a point beside
+        [],
+    )
+    assert got == [
+        [(1, 2), (4, 2), (4, 6), (1, 6), (1, 2)],
+        [(0, 0), (20, 0), (20, 10), (10, 10), (10, 20), (0, 20), (0, 0)],
+        [(0, 0), (20, 0), (20, 20), (30, 20), (30, 30), (10, 30), (10, 10), (0, 10), (0, 0)],
+        [(0, 0), (10, 0), (10, 20), (0, 20), (0, 0)],
+        [(0, 0), (20, 0), (20, 20), (0, 20), (0, 0)],
+        [(0, 0), (10, 0), (10, 20), (30, 20), (30, 30), (0, 30), (0, 0)],
+        [(5, 5)] * 5,
+        [(0, 0), (20, 0), (20, 9), (0, 9), (0, 0)],
+        None,
+    ]
+
+
+def test_outlines_have_the_area_of_their_rows(spark):
+    """Row by row of height one: as wide as the lines there, or as what neighbours have in common."""
     rng = random.Random(5)
-    from glyphgrid.operators.orthogonal import holds
-
-    for _ in range(200):
-        ws = [word(rng.randrange(0, 60), rng.randrange(0, 5) * 12, rng.randrange(1, 30), 10, rng.choice([None, 0, 1, 2])) for _ in range(rng.randrange(1, 7))]
-        ring = region_ring(ws)
-        assert ring[0] == ring[-1]
-        for w in ws:
-            assert all(holds(ring[:-1], (w["x"] + a * w["width"], w["y"] + b * w["height"])) for a in (0, 1) for b in (0, 1))
+    pages = [[word(rng.randrange(0, 60), rng.randrange(0, 5) * 12 + rng.randrange(3), rng.randrange(1, 30), 10, rng.choice([None, 0, 1, 2])) for _ in range(rng.randrange(1, 7))] for _ in range(120)]
+    for ws, ring in zip(pages, rings(spark, *pages), strict=True):
+        lines = {}
+        for k, (x, y, w, h, line, _) in enumerate(ws):
+            lines.setdefault(("alone", k) if line is None else line, []).append((x, y, x + w, y + h))
+        boxes = [(min(b[0] for b in bs), min(b[1] for b in bs), max(b[2] for b in bs), max(b[3] for b in bs)) for bs in lines.values()]
+        top, bottom = int(min(b[1] for b in boxes)), int(max(b[3] for b in boxes))
+        row = lambda y: [b for b in boxes if b[1] <= y < b[3]]
+        wide = [(min(b[0] for b in row(y)), max(b[2] for b in row(y))) if row(y) else None for y in range(top, bottom)]
+        full = list(wide)
+        for k, w in enumerate(full):
+            if w is None:
+                above, below = next(x for x in full[k::-1] if x), next(x for x in full[k:] if x)
+                left, right = max(above[0], below[0]), min(above[1], below[1])
+                wide[k] = (left, right) if left < right else (min(above[0], below[0]), max(above[1], below[1]))
+        joined = all(max(a[0], b[0]) < min(a[1], b[1]) for a, b in zip(wide, wide[1:]))
+        area = sum(r - l for l, r in wide) if joined else (max(b[2] for b in boxes) - min(b[0] for b in boxes)) * (bottom - top)
+        assert ring[0] == ring[-1] == min(ring[:-1], key=lambda p: (p[1], p[0]))
+        assert sum((a[0] * b[1] - b[0] * a[1]) / 2 for a, b in zip(ring, ring[1:])) == pytest.approx(area)
+        assert all((a[0] == b[0]) != (a[1] == b[1]) and (a[0] == b[0]) != (b[0] == c[0]) for a, b, c in zip(ring, ring[1:], [*ring[2:], ring[1]]))
 
 
 def test_quality_issues(spark):
