@@ -316,17 +316,31 @@ def text_run_summary(spark, sf_dir):
     return P.run_summary(aligned, *plan.diagnostics(candidates, chosen))
 
 
-@query("""WITH turns AS (
+TURNS = """WITH turns AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS k, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) AS n, text FROM conversations WHERE text IS NOT NULL
 ), ends AS (
   SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS e FROM turns
-) SELECT 'conv-' || conv_id AS page_key, CAST(k AS INTEGER) AS region_id, CAST(e - n AS INTEGER) AS start_word, CAST(e - 1 AS INTEGER) AS end_word, CAST(0 AS INTEGER) AS edit_distance FROM ends WHERE n > 0""")
-def ordered_alignment(spark, sf_dir):
+) SELECT 'conv-' || conv_id AS page_key, CAST(k AS INTEGER) AS region_id, CAST(e - n AS INTEGER) AS start_word, CAST(e - 1 AS INTEGER) AS end_word, CAST({edits} AS INTEGER) AS edit_distance FROM ends WHERE n > 0"""
+
+
+def ordered_spans(spark: SparkSession, sf_dir: str, regions: DataFrame) -> DataFrame:
     plan = TextAlignment(generator=ORDERED, normalise=collapse_blanks)
-    found = plan.candidates(plan.values(V.conversation_values(spark, sf_dir)), plan.index(V.conversation_words(spark, sf_dir)))
+    found = plan.candidates(plan.values(regions), plan.index(V.conversation_words(spark, sf_dir)))
     return found.select("page_key", "region_id", "start_word", "end_word", "edit_distance")
 
 
+@query(TURNS.format(edits=0))
+def ordered_alignment(spark, sf_dir):
+    return ordered_spans(spark, sf_dir, V.conversation_values(spark, sf_dir))
+
+
+@query(TURNS.format(edits=1))
+def ordered_alignment_edits(spark, sf_dir):
+    """Every value begins with a character that no page has: it can only be replaced."""
+    regions = V.conversation_values(spark, sf_dir)
+    return ordered_spans(spark, sf_dir, regions.withColumn("input_text", F.concat(F.lit("\u00a7"), F.expr("substring(input_text, 2)"))))
+
+
 def yolo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.col("bbox")
     raw = F.concat_ws(" ", F.col("category_id").cast("string"), *(c.cast("string") for c in (b["x"] + b["width"] / 2, b["y"] + b["height"] / 2, b["width"], b["height"], F.col("confidence"))), "label")

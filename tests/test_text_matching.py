@@ -8,7 +8,7 @@ import pytest
 from glyphgrid.functions.text import normalise
 from glyphgrid.operators import candidates as C
 from glyphgrid.operators import select as S
-from glyphgrid.operators.ordered import aligned_characters, edit_distance, page_spans
+from glyphgrid.operators.ordered import aligned_characters, ordered_candidates, runs
 from glyphgrid.operators.textindex import index_words
 from glyphgrid.plans.aligners import TextAlignment
 
@@ -119,16 +119,40 @@ def walk(a, b):
 
 def test_banded_paths_against_the_full_table():
     rng = random.Random(11)
-    for _ in range(400):
-        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(0, 40))) for _ in range(2))
-        assert edit_distance(a, b) == table(a, b)[-1][-1]
-        assert aligned_characters(a, b) == walk(a, b)
+    for size in [40] * 300 + [200] * 20:
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(0, size))) for _ in range(2))
+        assert aligned_characters(a, b).tolist() == [-1 if x is None else x for x in walk(a, b)]
 
 
-def test_ordered_spans():
-    words = list(enumerate(["first", "inserted", "second", "third"]))
-    assert page_spans([(0, "first"), (1, "second"), (2, "third")], words) == [(0, 0, 0, 0), (1, 2, 2, 0), (2, 3, 3, 0)]
-    assert page_spans([(0, "")], words) == [] and page_spans([(0, "x")], []) == []
+def test_runs_of_characters():
+    assert runs("one two", "one xtwo") == [(0, 0, 4, True), (4, 5, 3, True)]
+    assert runs("abcd", "abXd") == [(0, 0, 2, True), (2, 2, 1, False), (3, 3, 1, True)]
+    assert runs("", "x") == runs("x", "") == []
+
+
+def test_unlike_texts_take_little_memory():
+    import tracemalloc
+
+    rng = random.Random(3)
+    a, b = ("".join(rng.choice(letters) for _ in range(6000)) for letters in ("abc", "xyz"))
+    tracemalloc.start()
+    aligned_characters(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20  # the whole table has 144 MB
+    tracemalloc.stop()
+
+
+def ordered(spark, texts, *words_):
+    found = ordered_candidates(values(spark, *texts), index_words(page(spark, *words_)), max_cer=0.9, max_edits=9)
+    return sorted((r.region_id, r.start_word, r.end_word, r.edit_distance) for r in found.collect())
+
+
+def test_ordered_spans(spark):
+    assert ordered(spark, ["first", "second", "third"], "first", "inserted", "second", "third") == [(0, 0, 0, 0), (1, 2, 2, 0), (2, 3, 3, 0)]
+    assert ordered(spark, [""], "first") == [] and ordered(spark, ["x"], "") == []
+    # edits within words, a value over two words, and words of no value
+    assert ordered(spark, ["Praha hlavni", "mesto", "1925"], "Prcha", "hlavnf", "-", "mesto", "rok", "1926") == [(0, 0, 1, 2), (1, 3, 3, 0), (2, 5, 5, 1)]
+    # words at the edge go when the value is nearer without them
+    assert ordered(spark, ["middle"], "x", "middle", "y") == [(0, 1, 1, 0)]
 
 
 def test_diagnostics(spark):
