@@ -1,10 +1,13 @@
 """WARC archives with a two-level capture index.
 
 Every task writes its own archive files, one gzip member a record, and returns
-where each record lies. The captures are sorted by reversed-host key and written
-as compressed blocks of ``BLOCK_LINES`` lines; a sparse directory keeps the first
-key and the place of each block. A lookup binary-searches the directory, then
-the one or two blocks that can hold the key, and range-reads the records.
+where each record lies. The captures are sorted by reversed-host key, dealt to
+ranges, and each range written as compressed blocks of ``BLOCK_LINES`` lines; a
+sparse directory keeps the first key and the place of each block. A lookup finds
+a key's ranges (at most ``RANGES``, all that is sent to the workers) by binary
+search, meets the range's part of the directory in a task, binary-searches it and
+then the blocks that can hold the key, and range-reads the records. A key that
+very many captures share lies in many ranges.
 
 Files have a new name for every attempt of a task, and only those that the
 committed capture table names are ever read, so a lost or repeated task leaves
@@ -37,12 +40,14 @@ from pyspark.sql import functions as F
 from glyphgrid.session import materialize, new_path, small_batches
 
 REVISIT_BYTES, BLOCK_LINES, FILE_BYTES = 1000, 2000, 1 << 30
-#: A directory of more blocks is not sent to the workers; lookups then join the decoded index.
-DIRECTORY_ROWS = 500_000
+#: Ranges of the sorted index at most, and captures that a range should have while there are fewer.
+RANGES, RANGE_LINES = 4096, 4000
+#: Records, and their bytes in the archive, read in one go, in the order of the files.
+READ_AHEAD, READ_BYTES = 256, 8 << 20
 SALTS = 32
 DATE = "2024-01-01T00:00:00Z"
 CAPTURE = "key string, page_id long, url string, type string, file string, offset long, length long"
-DIRECTORY = "first_key string, last_key string, file string, offset long, length long, n long"
+DIRECTORY = "part long, first_key string, last_key string, file string, offset long, length long, n long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string"
 
 
@@ -66,9 +71,12 @@ def url_key(url: str | None) -> str:
 
 
 def store(folder: str):
-    """(file system, path) of a folder: a local path or the URI of any store Arrow opens."""
+    """(file system, path) of a folder: a local path or the URI of any store Arrow opens, under Hadoop's names for it too."""
     from pyarrow import fs
 
+    for hadoop, name in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        if folder.startswith(hadoop):
+            folder = name + folder.removeprefix(hadoop)
     system, path = fs.FileSystem.from_uri(folder)
     return system, path
 
@@ -192,13 +200,14 @@ def write(pages: DataFrame, folder: str | None = None, block_lines: int = BLOCK_
         out.close()
 
     captures = materialize(with_revisits(pages).mapInArrow(records, CAPTURE), "captures")
+    parts = max(1, min(RANGES, -(-captures.count() // RANGE_LINES)))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = Writer(f"{folder}/index", ".cdx.gz"), []
+        out, held, part = Writer(f"{folder}/index", ".cdx.gz"), [], TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
             place = out.add(gzip.compress("".join(json.dumps(x) + "\n" for x in held).encode(), mtime=0))
-            row = (held[0][0], held[-1][0], *place, len(held))
+            row = (part, held[0][0], held[-1][0], *place, len(held))
             held.clear()
             return table([row], listed)
 
@@ -212,63 +221,68 @@ def write(pages: DataFrame, folder: str | None = None, block_lines: int = BLOCK_
         out.close()
 
     order = ["key", "page_id", "file", "offset"]
-    ranged = captures.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = captures.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return folder, Archive(captures, materialize(ranged.mapInArrow(blocks, DIRECTORY), "directory"))
 
 
-def read_all(folder: str, archive: Archive) -> DataFrame:
-    """Every record (``RECORD``), through the index: blocks are dealt to tasks, each reads what its blocks list."""
-    read = arrow(RECORD)
+def wanted_keys(urls: DataFrame, archive: Archive) -> tuple[DataFrame, int]:
+    """(part, key): the ranges that can hold each different key of ``urls``, and the number of ranges."""
+    tops = sorted(map(tuple, archive.directory.groupBy("part").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).select("first", "last", "part").collect()))
+    first, last, part = ([t[k] for t in tops] for k in range(3))
+    found = arrow("part long, key string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, data = Reader(f"{folder}/index"), Reader(f"{folder}/archive")
         for batch in batches:
-            for name, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
-                lines = [json.loads(x) for x in gzip.decompress(index.read(name, offset, length)).splitlines()]
-                lines.sort(key=lambda x: x[4:6])  # in the order of the files
-                for k in range(0, len(lines), 256):
-                    yield table([parse(data.read(*x[4:7])) for x in lines[k : k + 256]], read)
+            keys = {url_key(u) for u in batch.column(0).to_pylist()}
+            yield table([(part[i], key) for key in keys for i in range(bisect_left(last, key), bisect_right(first, key))], found)
 
-    return archive.directory.repartition("file", "offset").mapInArrow(run, RECORD)
+    return urls.select(F.col("url").cast("string")).mapInArrow(run, "part long, key string").distinct(), max(len(tops), 1)
 
 
-def lookup(folder: str, archive: Archive, urls: DataFrame, most_blocks: int = DIRECTORY_ROWS) -> DataFrame:
-    """The records of every url of ``urls`` (column ``url``), by binary search."""
-    spark = urls.sparkSession
+def lookup(folder: str, archive: Archive, urls: DataFrame) -> DataFrame:
+    """The records (``RECORD``) of every different url of ``urls`` (column ``url``), by binary search; urls of one key are one."""
     read = arrow(RECORD)
-    wanted = urls.select("url").distinct()
-    if archive.directory.count() > most_blocks:
-        key = F.udf(url_key, "string")
-        places = archive.captures.join(wanted.select(key("url").alias("key")).distinct(), "key", "left_semi").select("file", "offset", "length")
-
-        def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            data = Reader(f"{folder}/archive")
-            for batch in batches:
-                yield table([parse(data.read(*x)) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)], read)
-
-        return places.mapInArrow(direct, RECORD)
-    rows = sorted(map(tuple, archive.directory.collect()))
-    sent = spark.sparkContext.broadcast((rows, [r[0] for r in rows]))
+    wanted, parts = wanted_keys(urls, archive)
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    blocks = archive.directory.select("part", F.lit(0).alias("kind"), F.col("first_key").alias("key"), "last_key", "file", "offset", "length")
+    both = blocks.unionByName(wanted.select("part", F.lit(1).alias("kind"), "key", *none("string", "last_key", "file"), *none("long", "offset", "length")))
+    # a range's blocks come before the keys, both in order; the number of tasks is given, so that few rows are not one task
+    dealt = both.repartition(parts, "part").sortWithinPartitions("part", "kind", "key", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        directory, first = sent.value
         index, data = Reader(f"{folder}/index"), Reader(f"{folder}/archive")
-        for batch in batches:
-            found = []
-            for url in batch.column(0).to_pylist():
-                key = url_key(url)
-                for block in directory[max(bisect_left(first, key) - 1, 0) : bisect_right(first, key)]:
-                    if block[1] < key:
-                        continue
-                    lines = [json.loads(x) for x in gzip.decompress(index.read(*block[2:5])).splitlines()]
-                    keys = [x[0] for x in lines]
-                    found += [parse(data.read(*x[4:7])) for x in lines[bisect_left(keys, key) : bisect_right(keys, key)]]
-            yield table(found, read)
+        now, directory, held = None, [], []
+        lines: list[list] = []
+        opened, waiting = None, 0
+
+        def records() -> pa.RecordBatch:
+            found = [parse(data.read(*x[4:7])) for x in sorted(held, key=lambda x: x[4:6])]
+            held.clear()
+            return table(found, read)
 
-    return wanted.mapInArrow(run, RECORD)
+        for batch in batches:
+            for part, kind, key, last, file, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    now, directory = part, []
+                if kind == 0:
+                    directory.append((key, last, file, offset, length))
+                    continue
+                # the blocks of a range are in order, so the first and the last keys are too
+                for block in directory[bisect_left(directory, key, key=lambda b: b[1]) : bisect_right(directory, key, key=lambda b: b[0])]:
+                    if block != opened:
+                        opened, lines = block, [json.loads(x) for x in gzip.decompress(index.read(*block[2:])).splitlines()]
+                    for line in lines[bisect_left(lines, key, key=lambda x: x[0]) : bisect_right(lines, key, key=lambda x: x[0])]:
+                        held.append(line)
+                        waiting += line[6]
+                        if len(held) == READ_AHEAD or waiting >= READ_BYTES:
+                            yield records()
+                            waiting = 0
+        yield records()
+
+    return dealt.mapInArrow(run, RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages, read the archives back and describe every record."""
+    """Write the pages, look all their urls up in the archives and describe every record."""
     folder, archive = write(pages)
-    return read_all(folder, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return lookup(folder, archive, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from glyphgrid.llm import bloom_lm, components, langid, simhash, substring_dedup, warc
 
@@ -182,7 +183,8 @@ def test_warc_round_trip_and_lookup(spark):
     rows = [(k, f"http://WWW.Site{k % 7}.example.com:80/a/{k}?q={k}", h) for k, h in enumerate([None, "", "small", "small", big, big, big, "x" * 1000, "line\r\n\r\nend" * 200, "🎉" * 400])]
     rows += [(100 + k, f"https://many.example.org/{k % 5}", f"body {k}") for k in range(60)] + [(None, None, "no id")]
     folder, archive = warc.write(pages(spark, rows), block_lines=7)
-    got = {r.page_id: r for r in warc.read_all(folder, archive).collect()}
+    got = {r.page_id: r for r in warc.lookup(folder, archive, pages(spark, rows)).collect()}
+    assert len(got) == len(rows)
     for k, url, html in rows:
         data = (html or "").encode()
         same = [i for i, _, h in rows if h == html and i is not None]
@@ -195,7 +197,16 @@ def test_warc_round_trip_and_lookup(spark):
     urls = spark.createDataFrame([(u,) for u in wanted], "url string")
     expect = sorted(k for k, u, _ in rows if u in wanted)
     assert sorted(r.page_id for r in warc.lookup(folder, archive, urls).collect()) == expect
-    assert sorted(r.page_id for r in warc.lookup(folder, archive, urls, most_blocks=0).collect()) == expect
+
+
+def test_a_url_of_very_many_captures_lies_in_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_LINES", 20)
+    rows = [(k, "http://hot.example/" if k % 3 else f"http://h{k}.example/", f"text {k}") for k in range(200)]
+    folder, archive = warc.write(pages(spark, rows), block_lines=7)
+    assert archive.directory.filter("first_key = 'example,hot)/' AND last_key = first_key").select("part").distinct().count() > 3
+    found = warc.lookup(folder, archive, pages(spark, rows).withColumns({n: F.lit("clash") for n in ("key", "part", "kind")}))
+    assert found.rdd.getNumPartitions() > 5 and sorted(r.page_id for r in found.collect()) == list(range(200))
+    assert sorted(r.page_id for r in warc.lookup(folder, archive, spark.createDataFrame([("http://hot.example/",)], "url string")).collect()) == [k for k in range(200) if k % 3]
 
 
 def test_warc_odd_tables(spark):
