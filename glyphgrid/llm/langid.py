@@ -4,12 +4,15 @@ For each language a suffix automaton holds a bounded sample of labelled text. A
 text is parsed greedily against it: a phrase grows as long as it occurs in the
 sample, then the next begins. A text in the sample's language needs few, long
 phrases; phrases times the logarithm of the sample's length estimate the cross
-entropy, and the language with the least wins (ties: the smaller name).
+entropy, and the language with the least wins (ties: the smaller name). A letter
+that the sample lacks is a phrase of its own and costs ``LITERAL`` bits more, as
+it has to be spelled out.
 
 The whole text is parsed, in rows of ``ROW`` characters that all advance by one
 character at a time, so that a batch of texts of any lengths is a few array
-operations a character. A phrase ends at the end of its row, for every language
-alike.
+operations a character. A row begins in the state in which the row before it
+ended: rows whose state was not known yet are parsed again, until none changes.
+Parses from different states soon meet, so that is twice in all but rare cases.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0,
 and so is every text if nothing was learned. Rows are judged one by one;
@@ -31,11 +34,13 @@ from pyspark.sql import functions as F
 
 from glyphgrid.session import small_batches
 
-#: The sample: rows looked at and characters held for each language.
-SAMPLE_ROWS, SAMPLE_CHARS = 48, 20_000
-#: Different characters told apart; the rarer ones match nothing.
-SYMBOLS = 64
+#: The sample: languages learned (those with most rows), rows looked at and characters held for each.
+LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS = 64, 48, 20_000
 ROW = 256
+#: Languages with more letters have their transitions in a sorted list instead of a table.
+WIDEST = 256
+#: Bits that name any code point.
+LITERAL = 20
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -44,7 +49,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> dict[str, str]:
     """Labelled text for each language: the first rows by a hash of the id, joined, up to ``chars`` characters.
 
     Only labels, ids and texts of training rows are looked at; the best rows of
@@ -52,8 +57,9 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS)
     burden to one task.
     """
     usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("order"))
+    known = [r["lang"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
     first = Window.partitionBy("lang").orderBy("order", "doc_id", "text")
-    picked = usable.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows).select("lang", "n", F.substring("text", 1, chars).alias("text"))
+    picked = usable.filter(F.col("lang").isin(known)).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows).select("lang", "n", F.substring("text", 1, chars).alias("text"))
     texts: dict[str, str] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["n"])):
         texts[r["lang"]] = (texts.get(r["lang"], "") + " " + r["text"])[:chars]
@@ -100,75 +106,123 @@ class SuffixAutomaton:
                     link[q] = link[new] = twin
             last = new
 
-    def parser(self, pad: int, width: int) -> np.ndarray:
-        """The greedy parse as one table: twice the offset of the next state, plus 1 where a phrase begins."""
-        root = self.next[0]
-        table = np.empty((len(self.next), width), np.int32)
-        table[:] = [2 * width * root.get(c, 0) + 1 for c in range(width)]
-        for state, row in enumerate(self.next):
-            for c, to in row.items():
-                table[state, c] = 2 * width * to + (state == 0)
-        table[:, pad] = 0
-        return table.ravel()
+    def transitions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(state, symbol, next state) of all transitions."""
+        flat = [(state, c, to) for state, row in enumerate(self.next) for c, to in row.items()]
+        return tuple(np.array(x, np.int64) for x in zip(*flat, strict=True)) if flat else (np.zeros(0, np.int64),) * 3
+
+
+class Greedy:
+    """The greedy parse of one language: its letters, and from state and symbol twice the next state, plus 1 where a phrase begins."""
+
+    def __init__(self, text: str, symbol: np.ndarray, letters_: int):
+        # symbols of the language: its letters, then one for blanks, for letters it has not, and for what fills a row
+        own = np.unique(text_symbols(text, symbol))
+        own = own[own < letters_]
+        self.blank, self.other, self.pad, self.width = len(own), len(own) + 1, len(own) + 2, len(own) + 3
+        self.local = np.full(letters_ + 3, self.other, np.int64)
+        self.local[own] = np.arange(len(own))
+        self.local[letters_], self.local[letters_ + 2] = self.blank, self.pad
+        sequence = self.local[text_symbols(text, symbol)]
+        automaton = SuffixAutomaton(sequence.tolist())
+        state, c, to = automaton.transitions()
+        self.bits = math.log2(max(len(sequence), 2))
+        root = np.full(self.width, 1, np.int64)  # from the root; what the sample has not is a phrase of its own
+        root[c[state == 0]] = 2 * to[state == 0] + 1
+        self.table, self.keys = None, None
+        if self.width <= WIDEST:
+            self.table = np.tile(root, (len(automaton.next), 1))
+            self.table[state, c] = 2 * to + (state == 0)
+            self.table[:, self.pad] = 0
+            self.table = self.table.ravel().astype(np.int32)
+        else:
+            order = np.argsort(state * self.width + c)
+            self.keys, self.to, self.root = (state * self.width + c)[order], (2 * to + (state == 0))[order], root
+            self.root[self.pad] = 0
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        key = state * self.width + c
+        if self.table is not None:
+            return self.table[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], self.root[c])
+
+    def phrases(self, columns: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each row of symbols (given by columns); ``first``: does a row begin its text."""
+        n = columns.shape[1]
+        begin, end, count = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        wanted = np.arange(n)
+        while len(wanted):
+            state, some = begin[wanted], np.zeros(len(wanted), np.int64)
+            for column in columns[:, wanted] if len(wanted) < n else columns:
+                state = self.step(state, self.local[column])
+                some += state & 1
+                state = state >> 1
+            end[wanted], count[wanted] = state, some
+            carried = np.where(first, 0, np.concatenate(([0], end[:-1])))
+            wanted = np.flatnonzero(carried != begin)
+            begin = carried
+        return count
+
+
+def text_symbols(text: str, symbol: np.ndarray) -> np.ndarray:
+    """Letters by number; a run of anything else is one blank."""
+    s = symbol[code_points(text)]
+    blank = s == symbol[0]  # NUL is no letter
+    return s[~(blank & np.concatenate(([False], blank[:-1])))]
 
 
 class Parser:
-    """The automata of all languages over one alphabet; built once in each Python worker."""
+    """The automata of all languages over one alphabet of all their letters; built once in each Python worker."""
 
-    def __init__(self, texts: tuple[tuple[str, str], ...], symbols: int = SYMBOLS):
+    def __init__(self, texts: tuple[tuple[str, str], ...]):
         self.names = [name for name, _ in texts]
-        seen = np.zeros(0x110000, np.int64)
+        seen = np.zeros(0x110000, np.bool_)
         for _, t in texts:
-            np.add.at(seen, code_points(t.lower()), 1)
-        seen[~letters()] = 0
-        best = np.argsort(-seen, kind="stable")[: symbols - 3]
-        best = best[seen[best] > 0]
-        self.blank, self.rare, self.pad, self.width = len(best), len(best) + 1, len(best) + 2, len(best) + 3
-        self.symbol = np.where(letters(), self.rare, self.blank).astype(np.uint8)
-        for k, c in enumerate(best.tolist()):
+            seen[code_points(t.lower())] = True
+        known = np.flatnonzero(seen & letters())
+        n = len(known)
+        # a letter, a blank, a letter of no sample, and what fills a row
+        self.symbol, self.fill = np.where(letters(), n + 1, n).astype(np.int32), n + 2
+        for k, c in enumerate(known.tolist()):
             self.symbol[c] = k
+        for k, c in enumerate(known.tolist()):
             for other in (chr(c).upper(), chr(c).title()):
-                if len(other) == 1 and self.symbol[ord(other)] == self.rare:
+                if len(other) == 1 and self.symbol[ord(other)] == n + 1:
                     self.symbol[ord(other)] = k
-        self.tables, self.weights = [], []
-        for _, t in texts:
-            s = self.symbols(t)
-            self.tables.append(SuffixAutomaton(np.where(s == self.rare, self.blank, s).tolist()).parser(self.pad, self.width))
-            self.weights.append(math.log2(max(len(s), 2)))
+        self.languages = [Greedy(t, self.symbol, n) for _, t in texts]
 
     def symbols(self, text: str) -> np.ndarray:
-        """Letters by number; a run of anything else is one blank."""
-        s = self.symbol[code_points(text)]
-        blank = s == self.blank
-        return s[~(blank & np.concatenate(([False], blank[:-1])))]
+        return text_symbols(text, self.symbol)
 
     def phrases(self, sequences: list[np.ndarray], row: int = ROW) -> np.ndarray:
         """Phrases needed, for each sequence and language."""
         rows = np.array([-(-len(s) // row) for s in sequences], np.int64)
-        grid = np.full((int(rows.sum()), row), self.pad, np.uint8)
-        flat, at = grid.ravel(), np.concatenate(([0], np.cumsum(rows)))[:-1] * row
-        for s, a in zip(sequences, at.tolist(), strict=True):
-            flat[a : a + len(s)] = s
-        steps = np.ascontiguousarray(grid.T).astype(np.int32)
+        grid = np.full((int(rows.sum()), row), self.fill, np.int32)
+        start = np.cumsum(rows) - rows
+        flat = grid.ravel()
+        for s, a in zip(sequences, start.tolist(), strict=True):
+            flat[a * row : a * row + len(s)] = s
+        columns = np.ascontiguousarray(grid.T)
+        first = np.zeros(len(grid), np.bool_)
+        first[start[rows > 0]] = True
         owner = np.repeat(np.arange(len(sequences)), rows)
-        out = np.zeros((len(sequences), len(self.tables)), np.int64)
-        for k, table in enumerate(self.tables):
-            state, count = np.zeros(len(grid), np.int32), np.zeros(len(grid), np.int32)
-            for column in steps:
-                state = table[state + column]
-                count += state & 1
-                state >>= 1
-            out[:, k] = np.bincount(owner, count, len(sequences)).astype(np.int64)
-        return out
+        return np.stack([np.bincount(owner, x.phrases(columns, first), len(sequences)).astype(np.int64) for x in self.languages], axis=1)
+
+    def bits(self, sequences: list[np.ndarray]) -> np.ndarray:
+        """The cross entropy of each sequence and language."""
+        lacking = np.array([[np.count_nonzero(x.local[s] == x.other) for x in self.languages] for s in sequences])
+        return self.phrases(sequences) * np.array([x.bits for x in self.languages]) + LITERAL * lacking
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         if not self.names:
             return out
         who = [k for k, t in enumerate(texts) if t and letters()[code_points(t)].any()]
-        counts = self.phrases([self.symbols(texts[k]) for k in who])
-        for k, row in zip(who, counts.tolist(), strict=True):
-            order = sorted((n * w, name) for n, w, name in zip(row, self.weights, self.names, strict=True))
+        if not who:
+            return out
+        for k, row in zip(who, self.bits([self.symbols(texts[k]) for k in who]).tolist(), strict=True):
+            order = sorted(zip(row, self.names, strict=True))
             best, second = order[0][0], (order[1][0] if len(order) > 1 else math.inf)
             out[k] = (order[0][1], 1.0 if second == math.inf else second / (best + second))
         return out

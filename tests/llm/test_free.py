@@ -231,15 +231,39 @@ def parse_by_hand(sample, text):
     return n
 
 
-def test_phrases_against_substring_search():
+def squeezed(t):
+    return " ".join(t.split(" ")) if "  " not in t else squeezed(t.replace("  ", " "))
+
+
+@pytest.mark.parametrize("widest", [256, 1])
+def test_phrases_against_substring_search(widest, monkeypatch):
+    monkeypatch.setattr(langid, "WIDEST", widest)
     rng = random.Random(6)
-    for _ in range(20):
+    for size in [200] * 12 + [5000] * 3:
         sample = "".join(rng.choice("abcd ") for _ in range(200))
         p = langid.Parser((("x", sample),))
-        texts = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(1, 200))) for _ in range(5)]
-        squeeze = lambda t: " ".join(t.split(" ")) if "  " not in t else squeeze(t.replace("  ", " "))
+        texts = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(1, size))) for _ in range(5)]
         got = p.phrases([p.symbols(t) for t in texts])[:, 0].tolist()
-        assert got == [parse_by_hand(squeeze(sample), squeeze(t)) for t in texts]
+        assert got == [parse_by_hand(squeezed(sample), squeezed(t)) for t in texts]
+
+
+def test_a_long_part_of_the_sample_is_one_phrase():
+    rng = random.Random(9)
+    sample = "".join(rng.choice("abcdefgh ") for _ in range(20_000))
+    p = langid.Parser((("x", sample), ("y", sample[::-1])))
+    assert p.phrases([p.symbols(squeezed(sample)[4000:9000].strip())])[0, 0] == 1
+
+
+def test_languages_of_thousands_of_letters():
+    rng = random.Random(10)
+    one, two = [chr(c) for c in range(0x4E00, 0x5600)], [chr(c) for c in range(0x5400, 0x5C00)]
+    write = lambda signs, n: "".join(signs[min(int(rng.expovariate(0.004)), len(signs) - 1)] for _ in range(n))
+    p = langid.Parser((("en", "the quick brown fox " * 200), ("one", write(one, 20_000)), ("two", write(two, 20_000))))
+    texts = [write(one, 400), write(two, 400), "a lazy brown dog and the fox", write(one, 3000)]
+    assert [x for x, _ in p.predict(texts)] == ["one", "two", "en", "one"]
+    sample, text = write(one, 3000), write(one, 1500)
+    q = langid.Parser((("one", sample),))
+    assert q.languages[0].table is None and q.phrases([q.symbols(text)])[0, 0] == parse_by_hand(sample, text)
 
 
 def test_languages(spark):
