@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from glyphgrid.llm import bloom_lm, exact_dedup, langid, mixing, quality, secrets, sentencepiece_codec, simhash, substring_dedup, warc
 from glyphgrid.session import read_table
 
-#: The vocabulary file's default place; callers may pass another.
-TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+#: The vocabulary file of the first query; callers may pass the path of another.
+VOCABULARY = "piece_bpe_32k.model"
 
 
-def op1_sentencepiece_codec(spark: SparkSession, sf_dir: str, model_path: str = TOKENIZER) -> DataFrame:
-    return sentencepiece_codec.digests(read_table(spark, sf_dir, "documents"), sentencepiece_codec.model_bytes(model_path))
+def tokenizer(name: str = VOCABULARY) -> str:
+    """Where a vocabulary file of the public tokenizers lies on the driver."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_sentencepiece_codec(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    return sentencepiece_codec.digests(read_table(spark, sf_dir, "documents"), sentencepiece_codec.model_bytes(model_path or tokenizer()))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

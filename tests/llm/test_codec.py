@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from glyphgrid.llm.queries import TOKENIZER
+from glyphgrid.llm.queries import tokenizer
 from glyphgrid.llm.sentencepiece_codec import CharacterMap, Codec, decode, digests, encode, model_bytes
 
 TEXTS = ["", " ", "Hello world", "  two  spaces ", "naïve café – 東京 🎉", "\n\ttabs\r\n", "▁under▁score", "a\u0000b", "ﬁ ligature ①", "x" * 5000, "é" * 300 + " "]
@@ -14,7 +14,7 @@ TEXTS = ["", " ", "Hello world", "  two  spaces ", "naïve café – 東京 🎉
 
 @pytest.fixture(scope="module")
 def model():
-    return model_bytes(TOKENIZER)
+    return model_bytes(tokenizer())
 
 
 def test_digests_equal_the_library(spark, model):

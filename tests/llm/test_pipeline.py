@@ -43,13 +43,30 @@ def test_stages(spark, tmp_path):
     assert kept["mixing"] == kept["simhash"] == kept["sentencepiece"]
     own = {r.doc_id: r.lang for r in spark.read.parquet(str(tmp_path / "mixing")).collect()}
     assert all(own[r.doc_id] == r.lang for r in docs.filter("lang IS NOT NULL").collect() if r.doc_id in own)
-    model = Codec(model_bytes(corpus_pipeline.TOKENIZER)).model
+    model = Codec(model_bytes(corpus_pipeline.tokenizer())).model
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in now.collect():
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, model.encode(texts[r.doc_id], add_eos=True))).encode()).hexdigest()
     assert sorted(corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(now.collect())
 
 
+def test_odd_rows_pass_every_stage(spark, tmp_path):
+    """Null ids, repeated rows, ties, empty and very long texts, and columns with the names the operators use inside."""
+    long_ = " ".join(f"word{k}" for k in range(60_000))
+    rows = [(1, "one small text", "s"), (1, "one small text", "s"), (None, "no id here", None), (None, "no id here", None), (5, long_, "s"), (6, long_ + " end", "t"), (7, "", "t"), (8, None, "t"), (9, "ONE small text", "u")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({n: F.lit("clash") for n in ("row", "key", "rep", "doc", "slot", "place", "order", "component", "s", "n", "salt", "recipe", "norm", "fp", "bands")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    now, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        assert name == "sentencepiece" or now.columns == docs.columns
+        kept.append(sorted((r.doc_id or 0) for r in now.collect()))
+    assert kept == [[0, 0, 1, 1, 5, 6, 9], [0, 5, 6, 9], [0, 5, 9], [0, 5, 9], [0, 5, 9]]
+    assert sorted(r.position for r in now.collect()) == [0, 1, 2]
+
+
 def test_empty(spark, tmp_path):
     corpus(spark).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
