@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphgrid.functions import geometry as G
 from glyphgrid.functions.text import normaliser
 from glyphgrid.operators import select as S
-from glyphgrid.operators.build import WORD, matched_words, with_alto
+from glyphgrid.operators.build import WORD, joined_text, matched_words, with_alto
 from glyphgrid.operators.candidates import Fuzzy, combined, exact_candidates, fuzzy_candidates
 from glyphgrid.operators.labels import mapped, require
 from glyphgrid.operators.ordered import ordered_candidates
+from glyphgrid.operators.orthogonal import orthogonal_polygon
 from glyphgrid.operators.overlap import BIDIRECTIONAL, GREATEST, assigned, overlaps
 from glyphgrid.operators.textindex import index_words
 from glyphgrid.schemas import SCALE
@@ -26,39 +27,54 @@ BEST, PASS = "cp-sat", "pass-through"
 
 @dataclass(frozen=True)
 class GeometryAlignment:
-    """Boxes and polygons take the text of the words they cover."""
+    """Boxes and polygons take the text of the words they cover.
+
+    A strategy, an assignment, the text and the geometry of matched words may
+    each be a function instead of a name: of (regions, words), of the overlaps,
+    and of the column of words.
+    """
 
     minimum: float = 0.65
-    strategy: str = BIDIRECTIONAL
-    assignment: str = GREATEST
+    strategy: str | Callable[[DataFrame, DataFrame], DataFrame] = BIDIRECTIONAL
+    assignment: str | Callable[[DataFrame], DataFrame] = GREATEST
     geometry_format: str = "bbox"
     mapping: dict[str, str] | None = None
     polygons: bool = True
+    text: Callable[[Column], Column] = joined_text
+    outline: Callable[[Column], Column] = orthogonal_polygon
 
     def align(self, regions: DataFrame, words: DataFrame) -> DataFrame:
         """``regions`` with words, alignment_score, alto_text, alto_bbox, alto_polygon, quality_issues; unmatched ones with nulls."""
         if "polygon" not in regions.columns:
             regions = regions.withColumn("polygon", F.lit(None).cast("array<struct<x:double,y:double>>"))
         named = mapped(regions, self.mapping).withColumn("quality_issues", G.quality_issues(F.col("bbox"), F.col("polygon")))
-        found = assigned(overlaps(named, words, self.minimum, self.strategy, polygons=self.polygons), self.assignment)
-        return with_alto(named.join(matched_words(found, words), ["page_key", "region_id"], "left"), self.geometry_format)
+        met = self.strategy(named, words) if callable(self.strategy) else overlaps(named, words, self.minimum, self.strategy, polygons=self.polygons)
+        found = self.assignment(met) if callable(self.assignment) else assigned(met, self.assignment)
+        return with_alto(named.join(matched_words(found, words), ["page_key", "region_id"], "left"), self.geometry_format, self.text, self.outline)
 
 
 @dataclass(frozen=True)
 class TextAlignment:
-    """Text values take the geometry of the words that spell them."""
+    """Text values take the geometry of the words that spell them.
+
+    Generator, selector, and the text and the geometry of matched words may each
+    be a function instead of a name: of (values, index), of the candidates, and
+    of the column of words.
+    """
 
-    generator: str = COMBINED
-    selector: str = BEST
+    generator: str | Callable[[DataFrame, DataFrame], DataFrame] = COMBINED
+    selector: str | Callable[[DataFrame], DataFrame] = BEST
     normalizers: Sequence[str] = ()
     fuzzy: Fuzzy = field(default_factory=Fuzzy)
     geometry_format: str = "bbox"
     mapping: dict[str, str] | None = None
     normalise: Callable | None = None
+    text: Callable[[Column], Column] = joined_text
+    outline: Callable[[Column], Column] = orthogonal_polygon
 
     def __post_init__(self):
-        require(self.generator in (EXACT, COMBINED, ORDERED), f"unknown candidate generator {self.generator!r}")
-        require(self.selector in (BEST, PASS), f"unknown candidate selector {self.selector!r}")
+        require(callable(self.generator) or self.generator in (EXACT, COMBINED, ORDERED), f"unknown candidate generator {self.generator!r}")
+        require(callable(self.selector) or self.selector in (BEST, PASS), f"unknown candidate selector {self.selector!r}")
 
     def index(self, words: DataFrame) -> DataFrame:
         return index_words(words, self.normalise or normaliser(self.normalizers))
@@ -68,12 +84,16 @@ class TextAlignment:
         return regions.select("page_key", "region_id", "input_text", norm.alias("norm"))
 
     def candidates(self, values: DataFrame, index: DataFrame) -> DataFrame:
+        if callable(self.generator):
+            return self.generator(values, index)
         if self.generator == ORDERED:
             return ordered_candidates(values, index, self.fuzzy.length_boundary, self.fuzzy.max_cer, self.fuzzy.max_edits)
         exact = exact_candidates(values, index)
         return exact if self.generator == EXACT else combined([exact, fuzzy_candidates(values, index, self.fuzzy)])
 
     def chosen(self, candidates: DataFrame) -> DataFrame:
+        if callable(self.selector):
+            return self.selector(candidates)
         return S.selected(candidates) if self.selector == BEST else S.passed_through(candidates)
 
     def align(self, regions: DataFrame, words: DataFrame) -> DataFrame:
@@ -90,7 +110,7 @@ class TextAlignment:
         each = spans.select("page_key", "region_id", F.explode(F.sequence("start_word", "end_word")).alias("word_index"))
         lists = each.join(words.select("page_key", *WORD), ["page_key", "word_index"]).groupBy("page_key", "region_id").agg(F.array_sort(F.collect_list(F.struct(*WORD))).alias("words"))
         named = mapped(regions, self.mapping).join(values.select("page_key", "region_id", F.col("norm").alias("input_text_normalized")), ["page_key", "region_id"], "left")
-        return with_alto(named.join(spans, ["page_key", "region_id"], "left").join(lists, ["page_key", "region_id"], "left"), self.geometry_format), candidates, selected
+        return with_alto(named.join(spans, ["page_key", "region_id"], "left").join(lists, ["page_key", "region_id"], "left"), self.geometry_format, self.text, self.outline), candidates, selected
 
     def diagnostics(self, candidates: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Ambiguous and conflicted regions."""

@@ -20,13 +20,18 @@ from glyphgrid.plans.aligners import BEST, COMBINED, EXACT, ORDERED, PASS, Geome
 from glyphgrid.session import materialize
 from glyphgrid.sinks import json_pages, label_studio, render
 from glyphgrid.sources import alto, files, json_tree, yolo
+from glyphgrid.sources import label_studio as label_studio_source
 
+FORMATS = {json_pages.TEXT: ("json",), json_pages.GEOMETRY: ("json", "yolo", "label-studio")}
 LEVELS = ("ALL", "DEBUG", "INFO", "WARN", "ERROR", "FATAL", "OFF")
 
 
 @dataclass(frozen=True)
 class Run:
-    """What a run found: aligned regions, documents as JSON, what had no OCR page, and the counters."""
+    """What a run found: aligned regions, documents as JSON, what had no OCR page, the counters, and the pages.
+
+    ``pages`` and ``documents`` have ``page_ordinal``, the place of a page's file among those the run was given.
+    """
 
     aligned: DataFrame
     documents: DataFrame
@@ -39,12 +44,17 @@ def run(spark: SparkSession, mode: str, plan: GeometryAlignment | TextAlignment,
         text_source: str = "json", geometry_source: str = "input", output_format: str = "package", image_prefix: str = "", fail_on_missing: bool = False, groups=(), strict: bool = True) -> Run:
     """Align folders (a path) or files (a list, in the order of the pages)."""
     require(mode in (json_pages.TEXT, json_pages.GEOMETRY), f"unknown alignment mode {mode!r}")
-    require(input_format in (("json",) if mode == json_pages.TEXT else ("json", "yolo")), f"{mode} alignment does not read {input_format!r}")
+    require(input_format in FORMATS[mode], f"{mode} alignment does not read {input_format!r}")
     require(output_format in ("package", "label-studio"), f"unknown output format {output_format!r}")
     require(output_format == "package" or bool(image_prefix), "Label Studio output needs an image prefix")
     suffix = suffix or ("_bbox" if mode == json_pages.GEOMETRY or plan.geometry_format == "bbox" else "_polygon")
     ocr = pairing.require_unique(files.read_files(spark, alto_files, files.ALTO if isinstance(alto_files, str) else ()), "ALTO")
-    inputs = pairing.require_unique(files.read_files(spark, input_files, files.JSON if input_format == "json" and isinstance(input_files, str) else ()), "input")
+    inputs = files.read_files(spark, input_files, files.JSON if input_format != "yolo" and isinstance(input_files, str) else ())
+    exports = None
+    if input_format == "label-studio":  # pages are named by the tasks of the exports
+        exports = inputs.select(F.col("path").alias("export"), F.col("content").alias("raw"))
+        inputs = label_studio_source.tasks(exports).join(inputs.select("page_ordinal", F.col("path").alias("export")), "export").select("page_key", "page_ordinal", F.col("export").alias("path"), F.lit("").alias("content"))
+    inputs = pairing.require_unique(inputs, "input")
     if fail_on_missing:
         pairing.require_paired(inputs, ocr)
     missing = pairing.unpaired(inputs.select("page_key", "path"), ocr)
@@ -53,9 +63,10 @@ def run(spark: SparkSession, mode: str, plan: GeometryAlignment | TextAlignment,
     docs = paired.select("page_key", "page_ordinal", F.col("content").alias("raw"))
     if input_format == "yolo":
         regions = yolo.detections(yolo.lines_of(paired), strict)
-        conflicts = yolo.category_conflicts(regions, by_page=True)
-        require(conflicts.isEmpty(), "category ids and names must belong together in each file")
+        require(yolo.category_conflicts(regions).isEmpty(), "category ids and names must belong together, in a file and across files")
         regions = yolo.deduplicated(regions, groups)
+    elif input_format == "label-studio":
+        regions = label_studio_source.regions(exports, strict).join(paired.select("page_key"), "page_key", "left_semi")
     elif mode == json_pages.TEXT:
         regions = json_tree.text_regions(docs, suffix, overwrite, strict=strict)
     else:
@@ -71,7 +82,8 @@ def run(spark: SparkSession, mode: str, plan: GeometryAlignment | TextAlignment,
     else:
         aligned = plan.align(regions, alto.words(parsed))
     aligned = materialize(aligned, "aligned")
-    pages = alto.pages(parsed)
+    order = paired.select("page_key", "page_ordinal")
+    pages = alto.pages(parsed).join(order, "page_key")
     if output_format == "label-studio":
         found = label_studio.results(aligned, pages, mode, text_source, geometry_source)
         documents = label_studio.documents(found, pages, image_prefix)
@@ -79,7 +91,7 @@ def run(spark: SparkSession, mode: str, plan: GeometryAlignment | TextAlignment,
         documents = json_pages.filled_documents(docs, aligned, mode, suffix, plan.geometry_format, text_source, geometry_source)
     else:
         documents = json_pages.grouped_documents(aligned, plan.geometry_format, geometry_source)
-    return Run(aligned, documents, missing, pairing.run_summary(aligned, *diagnostics), pages)
+    return Run(aligned, documents.join(order, "page_key"), missing, pairing.run_summary(aligned, *diagnostics), pages)
 
 
 def with_images(found: Run, images: DataFrame, mode: str, fmt: str = "bbox", text_source: str = "json", geometry_source: str = "input") -> DataFrame:
@@ -94,7 +106,7 @@ def parser() -> argparse.ArgumentParser:
         p = modes.add_parser(mode)
         for name in ("--alto-dir", "--input-dir", "--json-output-dir"):
             p.add_argument(name, required=True)
-        p.add_argument("--input-format", choices=("json",) if mode == "text" else ("json", "yolo"), default="json")
+        p.add_argument("--input-format", choices=FORMATS[mode], default="json")
         p.add_argument("--output-json-format", choices=("package", "label-studio"), default="package")
         p.add_argument("--label-studio-image-prefix", default="")
         p.add_argument("--class-mapping-file")

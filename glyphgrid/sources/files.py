@@ -22,6 +22,12 @@ def page_key_of(path: Column) -> Column:
     return F.when(name.rlike(r"^\.[^.]*$|\.$"), name).otherwise(F.regexp_replace(name, r"(.)\.[^.]*$", "$1"))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's readers name it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toString()
+
+
 def read_files(spark: SparkSession, paths: str | Sequence[str], suffixes: Sequence[str] = (), text: bool = True) -> DataFrame:
     """(page_key, page_ordinal, path, content): the top level of a folder, or files in the given order.
 
@@ -35,7 +41,8 @@ def read_files(spark: SparkSession, paths: str | Sequence[str], suffixes: Sequen
     if isinstance(paths, str):
         found = found.withColumn("page_ordinal", F.lit(None).cast("int"))
     else:
-        order = spark.createDataFrame([(p.rsplit("/", 1)[-1], k) for k, p in enumerate(listed)], "name string, page_ordinal int")
-        found = found.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(F.broadcast(order), "name").drop("name")
+        # as many rows as the caller has named files
+        order = spark.createDataFrame([(qualified(spark, p), k) for k, p in enumerate(listed)], "path string, page_ordinal int")
+        found = found.join(F.broadcast(order), "path")
     content = F.decode("content", "UTF-8") if text else F.col("content")
     return found.select(page_key_of(F.col("path")).alias("page_key"), "page_ordinal", "path", content.alias("content"))

@@ -46,6 +46,13 @@ def duplicate_pages(found: DataFrame) -> DataFrame:
     return found.groupBy("export", "page_key").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def one_task_a_page(found: DataFrame) -> DataFrame:
+    """The tasks, or an error if two of an export name one page (checked as they are read)."""
+    of_page = Window.partitionBy("export", "page_key")
+    fail = F.raise_error(F.concat(F.lit("more than one task for page "), "page_key")).cast("boolean")
+    return found.withColumn("alone", F.when(F.count("*").over(of_page) > 1, fail).otherwise(F.lit(True))).filter("alone").drop("alone")
+
+
 def newest(found: DataFrame) -> DataFrame:
     """The annotation of each task by time of update (or creation), creation, place; no time is earliest."""
     time = lambda c: F.coalesce(c.try_cast("timestamp").cast("double"), F.lit(float("-inf")))
@@ -55,8 +62,8 @@ def newest(found: DataFrame) -> DataFrame:
 
 
 def regions(exports: DataFrame, strict: bool = True) -> DataFrame:
-    """Rectangles in pixels, numbered as they stand; rotated or ill-formed ones are an error (or have ``error``)."""
-    each = newest(tasks(exports)).select("export", "task_index", "page_key", "annotation_index", F.posexplode("result").alias("result_index", "r")).filter("r.type = 'rectanglelabels'")
+    """Rectangles in pixels, numbered as they stand; rotated or ill-formed ones are an error (or have ``error``). Two tasks of a page always are."""
+    each = newest(one_task_a_page(tasks(exports))).select("export", "task_index", "page_key", "annotation_index", F.posexplode("result").alias("result_index", "r")).filter("r.type = 'rectanglelabels'")
     v = F.col("r.value")
     positive = lambda c: F.coalesce(G.finite(c) & (c > 0), F.lit(False))
     labels = v["rectanglelabels"]

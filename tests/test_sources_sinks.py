@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphgrid.functions import geometry as G
 from glyphgrid.operators.labels import checked_mapping, mapped, read_mapping
+from glyphgrid.operators.candidates import exact_candidates
 from glyphgrid.plans import runs
 from glyphgrid.plans.aligners import GeometryAlignment, TextAlignment
 from glyphgrid.sinks import json_pages, label_studio as ls_sink
@@ -201,6 +202,54 @@ def test_yolo_run_and_label_studio_output(spark, folders):
     assert task["predictions"][0]["score"] == result[0]["score"] == 0.5
 
 
+def test_categories_belong_together_across_pages(spark, folders):
+    (folders / "alto/q.xml").write_text(ALTO)
+    (folders / "yolo/q.txt").write_text("0 18 8 36 16 0.5 Other name\n")
+    with pytest.raises(ValueError, match="across"):
+        runs.run(spark, "geometry", GeometryAlignment(), str(folders / "alto"), str(folders / "yolo"), "yolo")
+
+
+def test_files_keep_their_order_and_folders(spark, folders):
+    (folders / "more").mkdir()
+    for name in ("c", "a", "b"):
+        (folders / "alto" / f"{name}.xml").write_text(ALTO)
+        (folders / ("more" if name == "a" else "json") / f"{name}.json").write_text('{"city": "ROME"}')
+    (folders / "json/a.json").write_text('{"city": "another file of this name"}')
+    inputs = [str(folders / x) for x in ("json/c.json", "more/a.json", "json/b.json")]
+    found = runs.run(spark, "text", TextAlignment(generator="exact"), [str(folders / f"alto/{x}.xml") for x in "abc"], inputs)
+    assert [r.page_key for r in found.documents.orderBy("page_ordinal").collect()] == [r.page_key for r in found.pages.orderBy("page_ordinal").collect()] == ["c", "a", "b"]
+    assert found.aligned.count() == 3 and {r.input_text for r in found.aligned.collect()} == {"ROME"}
+
+
+def label_studio_task(image, **value):
+    box = {"x": 0, "y": 0, "width": 36, "height": 8, "rectanglelabels": ["City"]} | value
+    return {"id": 1, "data": {"image": image}, "annotations": [{"result": [{"type": "rectanglelabels", "original_width": 100, "original_height": 200, "image_rotation": 0, "value": box}]}]}
+
+
+def test_label_studio_run(spark, folders):
+    (folders / "exports").mkdir()
+    (folders / "exports/one.json").write_text(json.dumps([label_studio_task("s3://b/p.jpg"), label_studio_task("s3://b/absent.jpg")]))
+    found = runs.run(spark, "geometry", GeometryAlignment(), str(folders / "alto"), str(folders / "exports"), "label-studio")
+    assert [(r.page_key, r.label, r.alto_text) for r in found.aligned.collect()] == [("p", "City", "ROME last")]
+    assert [r.page_key for r in found.unpaired.collect()] == ["absent"]
+
+
+def test_two_tasks_of_a_page_are_an_error(spark):
+    raw = json.dumps([label_studio_task("s3://b/p.jpg"), label_studio_task("s3://c/p.png")])
+    with pytest.raises(Exception, match="more than one task"):
+        label_studio.regions(spark.createDataFrame([("e", raw)], "export string, raw string")).collect()
+
+
+def test_parts_of_an_alignment_can_be_functions(spark):
+    words = spark.createDataFrame([("p", 0, "ab", 0.0, 0.0, 9.0, 9.0, 0, 0), ("p", 1, "cd", 10.0, 0.0, 9.0, 9.0, 0, 0)], "page_key string, word_index int, text string, x double, y double, width double, height double, line_index int, block_index int")
+    regions = spark.createDataFrame([("p", 0, "r", "cd", (0.0, 0.0, 30.0, 9.0))], "page_key string, region_id int, label string, input_text string, bbox struct<x:double,y:double,width:double,height:double>")
+    first = lambda met: met.filter("word_index = 0")
+    plan = GeometryAlignment(assignment=first, text=lambda ws: F.array_join(F.transform(ws, lambda w: F.upper(w["text"])), "+"))
+    assert plan.align(regions, words).first().alto_text == "AB"
+    plan = TextAlignment(generator=exact_candidates, selector=lambda found: found, geometry_format="polygon", outline=lambda ws: F.transform(ws, lambda w: F.struct(w["x"].alias("x"), w["y"].alias("y"))))
+    assert [tuple(p) for p in plan.align(regions, words).first().alto_polygon] == [(10.0, 0.0)]
+
+
 def test_missing_pages_can_fail(spark, folders):
     with pytest.raises(ValueError, match="q"):
         runs.run(spark, "text", TextAlignment(), str(folders / "alto"), str(folders / "json"), fail_on_missing=True)
