@@ -25,9 +25,12 @@ def union_box(words: Column) -> Column:
 
 
 def matched_words(assigned: DataFrame, words: DataFrame) -> DataFrame:
-    """(page_key, region_id, words, alignment_score): the assigned words of each region in document order."""
+    """(page_key, region_id, words, alignment_score): the assigned words of each region in document order.
+
+    Overlaps that carry the words' columns need no join with the words.
+    """
     scores = ("word_coverage", "input_geometry_coverage", "overlap_score")
-    joined = assigned.join(words.select("page_key", *WORD), ["page_key", "word_index"])
+    joined = assigned if set(WORD) <= set(assigned.columns) else assigned.select("page_key", "region_id", "word_index", *scores).join(words.select("page_key", *WORD), ["page_key", "word_index"])
     return joined.groupBy("page_key", "region_id").agg(
         F.array_sort(F.collect_list(F.struct(*WORD, *scores))).alias("words"),
         F.avg("overlap_score").alias("alignment_score"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glyphgrid.functions.text import fixed_point, length_without_blanks, trigrams
 from glyphgrid.operators.labels import require
-from glyphgrid.operators.textindex import in_one_block, interval, norm_text, page_arrays, raw_text, token_postings, trigram_postings
+from glyphgrid.operators.textindex import in_one_block, interval, norm_text, page_arrays, raw_text
 from glyphgrid.schemas import SCALE
 from glyphgrid.session import materialize
 
@@ -80,25 +80,61 @@ def for_values(values: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
+def token_stream(index: DataFrame) -> DataFrame:
+    """(page_key, at, token, word, first, last): the tokens of a page in order; is it the first or last of its word."""
+    tokens = F.transform(F.split("norm", " "), lambda t, i: F.struct(t.alias("token"), i.alias("i")))
+    each = index.filter("norm <> ''").select("page_key", F.col("word_index").alias("word"), F.size(F.split("norm", " ")).alias("k"), F.explode(tokens).alias("t"))
+    order = Window.partitionBy("page_key").orderBy("word", "t.i")
+    return each.select("page_key", (F.row_number().over(order) - 1).alias("at"), "t.token", "word", (F.col("t.i") == 0).alias("first"), (F.col("t.i") == F.col("k") - 1).alias("last"))
+
+
+def runs_of_tokens(stream: DataFrame, sizes: list[int]) -> DataFrame:
+    """(page_key, at, size, hash): the hash of the tokens from each one on, for sizes that are powers of two; by doubling."""
+    order = Window.partitionBy("page_key").orderBy("at")
+    widest, size, hashed = max(sizes), 1, stream.withColumn("h1", F.xxhash64("token"))
+    while size < widest:
+        hashed = hashed.withColumn(f"h{2 * size}", F.when(F.lead(f"h{size}", size).over(order).isNotNull(), F.xxhash64(f"h{size}", F.lead(f"h{size}", size).over(order))))
+        size *= 2
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("size"), F.col(f"h{n}").alias("hash")) for n in sizes)))
+    return hashed.filter("first").select("page_key", "at", each.alias("r")).filter("r.hash IS NOT NULL").select("page_key", "at", "r.size", "r.hash")
+
+
 def exact_spans(values: DataFrame, index: DataFrame) -> DataFrame:
-    """Every place where the words of a page spell a query, overlapping ones too.
+    """Every place where the words of a page spell a query, overlapping ones too; a place begins and ends with a word.
 
-    The first token is an equi-join with the page's tokens; the rest is compared
-    in the page's own array. A place begins and ends with a word.
+    The first tokens of a query, as many as the largest power of two in it, are
+    one hash, an equi-join with the hashes of as many tokens from every place of
+    the page. Only the tokens of what this finds are compared.
     """
-    tokens = F.flatten(F.transform("words", lambda w: F.when(w["norm"] == "", F.array().cast("array<struct<token:string,word:int,first:boolean,last:boolean>>")).otherwise(F.transform(F.split(w["norm"], " "), lambda t, i: F.struct(t.alias("token"), w["word_index"].alias("word"), (i == 0).alias("first"), (i == F.size(F.split(w["norm"], " ")) - 1).alias("last"))))))
-    pages = page_arrays(index).select("page_key", "words", tokens.alias("stream"))
-    places = pages.select("page_key", F.posexplode("stream").alias("at", "t")).filter("t.first").select("page_key", "at", F.col("t.token").alias("head"))
-    starts = queries_of(values).withColumn("head", F.get("tokens", F.lit(0))).join(places, ["page_key", "head"]).select("page_key", "query", "tokens", "at")
-    part = F.slice("stream", F.col("at") + 1, F.size("tokens"))
-    found = starts.join(pages, "page_key").withColumn("part", part).filter((F.transform("part", lambda t: t["token"]) == F.col("tokens")) & F.element_at("part", -1)["last"])
-    words = interval(F.col("words"), F.col("start_word"), F.col("end_word"))
-    return (
-        found.withColumn("start_word", F.element_at("part", 1)["word"])
-        .withColumn("end_word", F.element_at("part", -1)["word"])
-        .withColumn("span", words)
-        .select("page_key", "query", "start_word", "end_word", F.element_at("span", 1)["char_start"].alias("start_char"), F.element_at("span", -1)["char_end"].alias("end_char"), raw_text(F.col("span")).alias("matched_text"), F.col("query").alias("normalized_matched_text"), F.lit(0).alias("edit_distance"), F.lit("exact").alias("source"))
-    )
+    queries = queries_of(values).withColumn("size", F.pow(F.lit(2), F.floor(F.log2(F.size("tokens")))).cast("int"))
+    heads = F.transform("tokens", lambda t: F.xxhash64(t))
+    sizes = sorted(r["size"] for r in queries.select("size").distinct().collect())  # a few powers of two
+    if not sizes:
+        sizes = [1]
+    halves, size = heads, 1
+    of_size = F.when(F.col("size") == 1, F.get(heads, F.lit(0)))
+    while size < sizes[-1]:
+        halves, size = pairs_hashed(halves), 2 * size
+        of_size = of_size.when(F.col("size") == size, F.get(halves, F.lit(0)))
+    stream = token_stream(index)
+    starts = queries.withColumn("hash", of_size).join(runs_of_tokens(stream, sizes), ["page_key", "size", "hash"]).select("page_key", "query", "at", F.posexplode("tokens").alias("j", "wanted"))
+    met = starts.withColumn("place", F.col("at") + F.col("j")).join(stream.withColumnRenamed("at", "place"), ["page_key", "place"])
+    spelled = met.groupBy("page_key", "query", "at").agg(
+        F.count_if(F.col("token") == F.col("wanted")).alias("same"), F.min("word").alias("start_word"), F.max("word").alias("end_word"), F.max_by("last", "j").alias("ends"), F.min_by("first", "j").alias("begins"),
+    )
+    found = spelled.filter((F.col("same") == F.size(F.split("query", " "))) & F.col("begins") & F.col("ends")).select("page_key", "query", "start_word", "end_word")
+    words = index.select("page_key", "word_index", "text", "char_start", "char_end")
+    inside = found.withColumn("word_index", F.explode(F.sequence("start_word", "end_word"))).join(words, ["page_key", "word_index"])
+    spans = inside.groupBy("page_key", "query", "start_word", "end_word").agg(F.array_sort(F.collect_list(F.struct("word_index", "text", "char_start", "char_end"))).alias("span"))
+    return spans.select(
+        "page_key", "query", "start_word", "end_word", F.element_at("span", 1)["char_start"].alias("start_char"), F.element_at("span", -1)["char_end"].alias("end_char"),
+        raw_text(F.col("span")).alias("matched_text"), F.col("query").alias("normalized_matched_text"), F.lit(0).alias("edit_distance"), F.lit("exact").alias("source"),
+    )
+
+
+def pairs_hashed(hashes: Column) -> Column:
+    """Of hashes of runs of n tokens that follow each other, those of 2n: neighbours joined two by two."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(hashes) / 2) - 1, F.lit(0))), lambda i: F.xxhash64(F.get(hashes, (2 * i).cast("int")), F.get(hashes, (2 * i + 1).cast("int"))))
 
 
 def exact_candidates(values: DataFrame, index: DataFrame) -> DataFrame:
@@ -107,19 +143,23 @@ def exact_candidates(values: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def start_votes(queries: DataFrame, index: DataFrame, options: Fuzzy = Fuzzy()) -> DataFrame:
-    """(page_key, query, start, votes): where shared tokens and rare shared trigrams say that a query begins."""
+    """(page_key, query, start, votes): where shared tokens and rare shared trigrams say that a query begins.
+
+    Tokens (kind 0) and trigrams (kind 1) of the words are dealt once, to those
+    the page's queries have, and are counted where they meet them.
+    """
+    kinds = lambda tokens, grams: F.concat(F.transform(tokens, lambda t: F.struct(F.lit(0).alias("kind"), t.alias("gram"))), F.transform(grams, lambda g: F.struct(F.lit(1).alias("kind"), g.alias("gram"))))
     tokens = queries.select("page_key", "query", F.posexplode("tokens").alias("qi", "token"))
-    by_token = token_postings(index)
-    usable = by_token.groupBy("page_key", "token").agg(F.count("*").alias("postings")).filter(F.col("postings") <= options.max_postings)
-    weight = 3 + F.floor(F.floor(F.lit(options.max_postings) / F.col("postings")) / 8)
-    voted = tokens.join(usable, ["page_key", "token"]).join(by_token, ["page_key", "token"]).select("page_key", "query", (F.col("word_index") - F.col("qi")).alias("start"), weight.alias("weight"))
-    by_gram = trigram_postings(index)
-    rare = by_gram.groupBy("page_key", "trigram").agg(F.count("*").alias("postings")).filter(F.col("postings") <= options.max_postings)
-    grams = tokens.select("page_key", "query", "qi", F.explode(trigrams(F.col("token"))).alias("trigram"))
-    budget = Window.partitionBy("page_key", "query").orderBy("postings", "qi", "trigram")
-    features = grams.join(rare, ["page_key", "trigram"]).withColumn("rank", F.row_number().over(budget)).filter(F.col("rank") <= options.max_features)
-    hinted = features.join(by_gram, ["page_key", "trigram"]).select("page_key", "query", (F.col("word_index") - F.col("qi")).alias("start"), F.lit(1).cast("long").alias("weight"))
-    return voted.unionByName(hinted).groupBy("page_key", "query", "start").agg(F.sum("weight").alias("votes"))
+    asked = tokens.select("page_key", "query", "qi", F.explode(kinds(F.array("token"), trigrams(F.col("token")))).alias("f")).select("page_key", "query", "qi", "f.*")
+    parts = F.split("norm", " ")
+    held = index.filter("norm <> ''").select("page_key", "word_index", F.explode(kinds(F.array_distinct(parts), F.array_distinct(F.flatten(F.transform(parts, trigrams))))).alias("f")).select("page_key", "word_index", "f.*")
+    key = ["page_key", "kind", "gram"]
+    postings = held.join(asked.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.count("*").alias("postings"), F.collect_list("word_index").alias("places")).filter(F.col("postings") <= options.max_postings)
+    budget = Window.partitionBy("page_key", "query", "kind").orderBy("postings", "qi", "gram")
+    hits = asked.join(postings, key).withColumn("rank", F.row_number().over(budget)).filter((F.col("kind") == 0) | (F.col("rank") <= options.max_features))
+    weight = F.when(F.col("kind") == 0, 3 + F.floor(F.floor(F.lit(options.max_postings) / F.col("postings")) / 8)).otherwise(F.lit(1).cast("long"))
+    voted = hits.select("page_key", "query", "qi", weight.alias("weight"), F.explode("places").alias("place"))
+    return voted.groupBy("page_key", "query", (F.col("place") - F.col("qi")).alias("start")).agg(F.sum("weight").alias("votes"))
 
 
 def top_starts(votes: DataFrame, options: Fuzzy = Fuzzy()) -> DataFrame:
@@ -139,8 +179,10 @@ def windows_around(starts: DataFrame, queries: DataFrame, sizes: DataFrame, opti
 
 def scored_windows(windows: DataFrame, pages: DataFrame, options: Fuzzy = Fuzzy(), source: str = "fuzzy-anchor") -> DataFrame:
     """Windows whose text is near enough to their query, from one block if any is, else (if allowed) across blocks."""
-    part = interval(F.col("words"), F.col("start_word"), F.col("end_word"))
-    cut = windows.join(pages, "page_key").select("page_key", "query", "start_word", "end_word", part.alias("part"))
+    # a page's words meet the page's windows once, and only slices go on
+    asked = windows.groupBy("page_key").agg(F.collect_list(F.struct("query", "start_word", "end_word")).alias("asked"))
+    slices = F.transform("asked", lambda a: F.struct(a["query"].alias("query"), a["start_word"].alias("start_word"), a["end_word"].alias("end_word"), interval(F.col("words"), a["start_word"], a["end_word"]).alias("part")))
+    cut = asked.join(pages, "page_key").select("page_key", F.explode(slices).alias("c")).select("page_key", "c.*")
     solid, length = length_without_blanks(F.col("query")), F.length("query")
     most = F.when(solid >= options.length_boundary, F.floor(length * options.max_cer + EPSILON).cast("int")).otherwise(F.lit(options.max_edits))
     first, last = F.element_at("part", 1), F.element_at("part", -1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ EPSILON = 1e-12
 ROW_HEIGHT = 64.0
 
 
-def overlaps(regions: DataFrame, words: DataFrame, minimum: float = 0.65, strategy: str = BIDIRECTIONAL, row_height: float = ROW_HEIGHT, polygons: bool = True) -> DataFrame:
-    """(page_key, region_id, word_index, word_coverage, input_geometry_coverage, overlap_score).
+def overlaps(regions: DataFrame, words: DataFrame, minimum: float = 0.65, strategy: str = BIDIRECTIONAL, row_height: float = ROW_HEIGHT, polygons: bool = True, carried: Sequence[str] = ()) -> DataFrame:
+    """(page_key, region_id, word_index, word_coverage, input_geometry_coverage, overlap_score), and the ``carried`` columns of the words.
 
     A page is cut into rows of fixed height; regions and words meet in the rows
     they touch, once, in the first row both touch. So a page with very many
@@ -29,7 +31,7 @@ def overlaps(regions: DataFrame, words: DataFrame, minimum: float = 0.65, strate
     require(strategy in (BIDIRECTIONAL, WORD_COVERAGE), f"unknown overlap strategy {strategy!r}")
     bbox, polygon = F.col("bbox"), F.col("polygon") if polygons else F.lit(None).cast("array<struct<x:double,y:double>>")
     r = regions.select("page_key", "region_id", "bbox", *(["polygon"] if polygons else []), G.bounds(bbox, polygon).alias("rb"), G.area(bbox, polygon).alias("region_area")).filter("region_area > 0")
-    w = words.select("page_key", "word_index", G.box(F.col("x"), F.col("y"), F.col("width"), F.col("height")).alias("wb")).filter("wb.width > 0 AND wb.height > 0")
+    w = words.select("page_key", "word_index", *carried, G.box(F.col("x"), F.col("y"), F.col("width"), F.col("height")).alias("wb")).filter("wb.width > 0 AND wb.height > 0")
     rows = lambda b: F.sequence(F.floor(b["y"] / row_height), F.floor(G.y_max(b) / row_height))
     r = r.withColumn("row", F.explode(rows(F.col("rb"))))
     w = w.withColumn("row", F.explode(rows(F.col("wb"))))
@@ -43,7 +45,7 @@ def overlaps(regions: DataFrame, words: DataFrame, minimum: float = 0.65, strate
     of_region = G.bounded_ratio(F.col("meet"), F.col("region_area"))
     score = F.col("word_coverage") if strategy == WORD_COVERAGE else F.greatest("word_coverage", "input_geometry_coverage")
     return (
-        joined.select("page_key", "region_id", "word_index", of_word.alias("word_coverage"), of_region.alias("input_geometry_coverage"))
+        joined.select("page_key", "region_id", "word_index", *carried, of_word.alias("word_coverage"), of_region.alias("input_geometry_coverage"))
         .withColumn("overlap_score", score)
         .filter(F.col("overlap_score") + EPSILON >= minimum)
     )

@@ -48,7 +48,7 @@ class GeometryAlignment:
         if "polygon" not in regions.columns:
             regions = regions.withColumn("polygon", F.lit(None).cast("array<struct<x:double,y:double>>"))
         named = mapped(regions, self.mapping).withColumn("quality_issues", G.quality_issues(F.col("bbox"), F.col("polygon")))
-        met = self.strategy(named, words) if callable(self.strategy) else overlaps(named, words, self.minimum, self.strategy, polygons=self.polygons)
+        met = self.strategy(named, words) if callable(self.strategy) else overlaps(named, words, self.minimum, self.strategy, polygons=self.polygons, carried=WORD[1:])
         found = self.assignment(met) if callable(self.assignment) else assigned(met, self.assignment)
         return with_alto(named.join(matched_words(found, words), ["page_key", "region_id"], "left"), self.geometry_format, self.text, self.outline)
 

@@ -91,16 +91,31 @@ def spread(df: DataFrame, column: str, *others: str) -> DataFrame:
     return df.select(*others, *(F.col(f"{column}.{n}").alias(n) for n in BOX_COLUMNS))
 
 
-def index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_words(V.ocr_words(spark, sf_dir), collapse_blanks)
+def laid_out_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, written, as regions or values are derived from them too."""
+    return materialize(V.ocr_words(spark, sf_dir), "ocr-words")
 
 
-def values_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.text_values(spark, sf_dir).withColumn("norm", collapse_blanks(F.col("input_text")))
+def index_of(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
+    return index_words(words or V.ocr_words(spark, sf_dir), collapse_blanks)
+
+
+def values_of(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
+    return V.text_values(spark, sf_dir, words).withColumn("norm", collapse_blanks(F.col("input_text")))
+
+
+def values_and_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    words = laid_out_once(spark, sf_dir)
+    return values_of(spark, sf_dir, words), index_of(spark, sf_dir, words)
+
+
+def queries_and_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    values, index = values_and_index(spark, sf_dir)
+    return C.queries_of(values), index
 
 
 def aligned_regions(spark: SparkSession, sf_dir: str, fmt: str = "bbox", mapping: dict[str, str] | None = None) -> DataFrame:
-    return GeometryAlignment(geometry_format=fmt, mapping=mapping, polygons=False).align(V.geom_regions(spark, sf_dir), V.ocr_words(spark, sf_dir))
+    return GeometryAlignment(geometry_format=fmt, mapping=mapping, polygons=False).align(V.geom_regions(spark, sf_dir, words := laid_out_once(spark, sf_dir)), words)
 
 
 @query(WORDS + "SELECT * FROM ocr_words")
@@ -210,18 +225,18 @@ def grouped_json(spark, sf_dir):
 
 @query(EXACT + "SELECT page_key, region_id, start_word, CAST(end_word AS INTEGER) AS end_word, start_char, end_char, length(input_text) AS quality_chars, CAST(row_number() OVER (PARTITION BY page_key ORDER BY region_id, start_word, end_word) - 1 AS INTEGER) AS candidate_id FROM hits".replace("length(input_text)", "CAST(length(input_text) AS INTEGER)"))
 def exact_candidates(spark, sf_dir):
-    return C.exact_candidates(values_of(spark, sf_dir), index_of(spark, sf_dir)).select("page_key", "region_id", "start_word", "end_word", "start_char", "end_char", "quality_chars", "candidate_id")
+    return C.exact_candidates(*values_and_index(spark, sf_dir)).select("page_key", "region_id", "start_word", "end_word", "start_char", "end_char", "quality_chars", "candidate_id")
 
 
 @query(EXACT + "SELECT page_key, region_id, max(start_word) AS start_word FROM hits GROUP BY page_key, region_id")
 def exact_passthrough_last(spark, sf_dir):
-    found = C.exact_candidates(values_of(spark, sf_dir), index_of(spark, sf_dir))
+    found = C.exact_candidates(*values_and_index(spark, sf_dir))
     return S.last_of_region(S.passed_through(found)).select("page_key", "region_id", "start_word")
 
 
 @query(EXACT + "SELECT page_key, region_id, count(*) AS spans FROM hits GROUP BY page_key, region_id HAVING count(*) > 1")
 def ambiguous_regions(spark, sf_dir):
-    return S.ambiguous(C.exact_candidates(values_of(spark, sf_dir), index_of(spark, sf_dir)))
+    return S.ambiguous(C.exact_candidates(*values_and_index(spark, sf_dir)))
 
 
 VOTES = (
@@ -254,12 +269,12 @@ VOTES = (
 
 @query(VOTES + "SELECT * FROM votes")
 def fuzzy_votes(spark, sf_dir):
-    return C.start_votes(C.queries_of(values_of(spark, sf_dir)), index_of(spark, sf_dir)).withColumn("start", F.col("start").cast("int"))
+    return C.start_votes(*queries_and_index(spark, sf_dir)).withColumn("start", F.col("start").cast("int"))
 
 
 @query(VOTES + "SELECT * FROM starts")
 def fuzzy_top_starts(spark, sf_dir):
-    return C.top_starts(C.start_votes(C.queries_of(values_of(spark, sf_dir)), index_of(spark, sf_dir))).withColumn("start", F.col("start").cast("int"))
+    return C.top_starts(C.start_votes(*queries_and_index(spark, sf_dir))).withColumn("start", F.col("start").cast("int"))
 
 
 @query(VOTES + """, sizes AS (SELECT page_key, count(*) AS n FROM ocr_words GROUP BY page_key)
@@ -267,14 +282,13 @@ SELECT DISTINCT page_key, query, CAST(start + s AS INTEGER) AS start_word, CAST(
 FROM starts JOIN sizes USING (page_key), (VALUES (-1), (0), (1)) a(s), (SELECT unnest(range(1, 12)) AS k) b
 WHERE k BETWEEN greatest(1, len(string_split(query, ' ')) - 2) AND len(string_split(query, ' ')) + 2 AND start + s >= 0 AND start + s + k - 1 < n""")
 def fuzzy_windows(spark, sf_dir):
-    index = index_of(spark, sf_dir)
-    queries = C.queries_of(values_of(spark, sf_dir))
+    queries, index = queries_and_index(spark, sf_dir)
     sizes = index.groupBy("page_key").agg(F.count("*").cast("int").alias("n"))
     return C.windows_around(C.top_starts(C.start_votes(queries, index)), queries, sizes)
 
 
 def fuzzy_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.fuzzy_candidates(values_of(spark, sf_dir), index_of(spark, sf_dir))
+    return C.fuzzy_candidates(*values_and_index(spark, sf_dir))
 
 
 @query()
@@ -283,7 +297,7 @@ def fuzzy_candidates(spark, sf_dir):
 
 
 def all_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exact = C.exact_candidates(values_of(spark, sf_dir), index_of(spark, sf_dir))
+    exact = C.exact_candidates(*values_and_index(spark, sf_dir))
     return C.combined([exact, fuzzy_found(spark, sf_dir)])
 
 

@@ -42,9 +42,9 @@ def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laid_out(document_texts(spark, sf_dir))
 
 
-def geom_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping boxes a line."""
-    lines = ocr_words(spark, sf_dir).groupBy("page_key", "line_index").agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
+def geom_regions(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
+    """Two overlapping boxes a line; ``words``: the words, if they are at hand."""
+    lines = (words or ocr_words(spark, sf_dir)).groupBy("page_key", "line_index").agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
     two = lines.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
     li, k = F.col("line_index"), F.col("k")
     box = G.box(F.col("x0") + (li * 7) % 40 - 20 + 150 * k, F.col("y0") - 2 + li % 3, 300 + 20 * (li % 5), 9 + li % 4)
@@ -53,9 +53,9 @@ def geom_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two.select("page_key", region.alias("region_id"), label.alias("label"), box.alias("bbox"), (region % 3).cast("int").alias("category_id"), ((region % 10) / 10).alias("confidence"))
 
 
-def text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_values(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
     """Three values a page: three of its words, the same with a letter changed, and a phrase that is nowhere."""
-    words = ocr_words(spark, sf_dir).filter("word_index BETWEEN 5 AND 7")
+    words = (words or ocr_words(spark, sf_dir)).filter("word_index BETWEEN 5 AND 7")
     phrase = words.groupBy("page_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "text"))), lambda w: w["text"]), " ").alias("phrase"))
     changed = F.concat(F.substring("phrase", 1, 1), F.lit("q"), F.expr("substring(phrase, 3)"))
     value = lambda k, label, text: F.struct(F.lit(k).alias("region_id"), F.lit(label).alias("label"), text.alias("input_text"))
