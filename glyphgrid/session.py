@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Where materialised frames lie, so that they can be removed once nothing reads them.
 _written: WeakKeyDictionary = WeakKeyDictionary()
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of an Arrow batch of texts, beyond which it is closed whatever its rows.
 BATCH_BYTES = 32 << 20
 
@@ -48,12 +51,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     _written[read] = path
     return read
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Writes inside leave no shuffle files behind when they are done; else these stay until the driver collects its garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove what :func:`materialize` wrote for these frames, once all that reads them is written itself."""
     for df in frames:
