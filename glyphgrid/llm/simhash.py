@@ -252,8 +252,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of minima of the shingles, and minima in a band: a pair of similarity s shares none with probability (1 - s**BAND)**BANDS, 3e-6 at 0.8.
 BANDS, BAND = 32, 5
-#: Members of a bucket that the others are compared with in one round.
-REPS = 16
+#: Shingles of all members of a bucket that one task compares, members of a larger one that all others are compared with in a round, and the
+#: share of the bands by which it is then divided, others for every bucket.
+TOGETHER, REPS, DIVIDED_BY = 4_000_000, 4, 8
 REMEMBERED = 300_000
 
 
@@ -338,11 +339,15 @@ def similar_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     their shingles as asked. Candidates lie in one bucket: fingerprints that the
     Gray-order index links, or an equal band of minima of the shingles, which a
     pair as similar as asked has whatever was edited, cut off or appended. First
-    each document is compared with the smallest id of all its buckets; in buckets
-    that this does not settle, with the ``REPS`` smallest. Members linked to none
-    of these are divided by their other bands, which texts as similar as asked
-    share and unlike ones do not, and compared anew without them. So no pair of a
-    bucket is given up, nor are all formed.
+    each document is compared with the smallest id of all its buckets. Then what
+    of a bucket does not lie in its largest group yet is compared with all members
+    of other groups, by the shingles they hold, in one task if they have at most
+    ``TOGETHER``; a spanning forest of the links leaves it. Of larger buckets all
+    are compared with the ``REPS`` that have most links, or are first by a hash,
+    and what this leaves apart goes on in smaller buckets, of members that share
+    one of some other bands too: a pair as similar as asked shares a third of
+    them, unlike ones few. It meets in some ten buckets and in one of the smaller
+    ones of each with probability 0.8, so that it is lost to all with 1e-7.
 
     Rows with one id are one document, similar to others if one of its texts is;
     rows without an id have no copies. Empty texts are equal texts.
@@ -354,40 +359,107 @@ def similar_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     bands = codes.select("doc_id", F.explode("bands").alias("key"))
     printed = codes.select("doc_id", F.xxhash64(F.lit("print"), F.col("fp")).alias("key"))
     linked = gray.select(F.explode(F.array("a", "b")).alias("doc_id"), F.xxhash64(F.lit("gray"), F.col("b")).alias("key")).distinct()
-    entries = bands.union(printed).union(linked)
+    entries = bands.withColumn("band", F.lit(True)).union(printed.union(linked).withColumn("band", F.lit(False)))
     shared = entries.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").select("key", "rep")
-    met = materialize(entries.withColumnRenamed("doc_id", "doc").join(shared, "key").filter("doc <> rep").select("key", "doc", "rep"), "met")
-    some = met.select(F.col("doc").alias("doc_id")).union(met.select("rep")).distinct()
-    sets = materialize(rows.join(some, "doc_id", "left_semi").select("doc_id", shingle_hashes(F.col("text"), shingle).alias("s")), "shingles")
-    compared = materialize(met.groupBy("doc").agg(F.min("rep").alias("rep")), "compared")
-    edges = materialize(similar_pairs(compared, sets, similarity), "similar")
-    open_ = apart(met, edges)
-    left = materialize(open_.select("key", F.col("doc").alias("doc_id")).union(open_.select("key", "rep")).distinct(), "left")
-    while not left.isEmpty():
-        first = left.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))).filter(F.col("rank") <= REPS).select("key", F.col("doc_id").alias("rep"))
-        first, last = materialize(first, "representatives"), met
-        met = materialize(left.withColumnRenamed("doc_id", "doc").join(first, "key").filter("doc > rep").select("key", "doc", "rep"), "met")
-        fresh = apart(met, edges).select("doc", "rep").distinct().join(compared, ["doc", "rep"], "left_anti")
-        edges = materialize(edges.union(similar_pairs(fresh, sets, similarity)), "similar")
-        # members that no representative stands for
-        alone = met.select("key", "doc").distinct().join(first.withColumnRenamed("rep", "doc"), ["key", "doc"], "left_anti")
-        alone = alone.join(met.join(apart(met, edges), ["key", "doc", "rep"], "left_anti"), ["key", "doc"], "left_anti")
-        divided_ = alone.withColumnRenamed("doc", "doc_id").join(bands.withColumnRenamed("key", "band"), "doc_id").filter("key <> band")
-        parts = divided_.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "doc_id")
-        several = parts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-        before, left = left, materialize(parts.join(several, "key"), "left")
-        discard(last, before, first)
+    met = materialize(entries.join(shared, "key"), "met")
+    sets = materialize(rows.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", shingle_hashes(F.col("text"), shingle).alias("s")), "shingles")
+    pairs = materialize(met.filter("doc_id <> rep").groupBy(F.col("doc_id").alias("doc")).agg(F.min("rep").alias("rep")), "pairs")
+    tested = [pairs]
+    edges = materialize(similar_pairs(pairs, sets, similarity), "similar")
     groups = connected_components(edges.toDF("a", "b"))
-    discard(codes, gray, sets, compared, met, left, edges)
+    # the rounds go on with bands alone, as they hold every pair
+    buckets, mine = met.filter("band").select("key", "doc_id"), ()
+    sizes = sets.select("doc_id", F.size("s").alias("n"))
+    while True:
+        members = open_members(buckets, groups)
+        weights = members.join(sizes, "doc_id").groupBy("key").agg(F.sum("n").alias("weight"))
+        members = materialize(members.join(weights, "key"), "members")
+        discard(*mine)
+        if members.isEmpty():
+            break
+        found = linked_within(members.filter(F.col("weight") <= TOGETHER).join(sets, "doc_id"), similarity)
+        many = members.filter(F.col("weight") > TOGETHER)
+        more = not many.isEmpty()
+        if more:
+            links = edges.select(F.explode(F.array("doc", "rep")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("links"))
+            best = Window.partitionBy("key").orderBy(F.desc("links"), F.xxhash64("key", "doc_id"), "doc_id")
+            ranked = many.join(links, "doc_id", "left").withColumn("links", F.coalesce("links", F.lit(0))).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= REPS)
+            asked = ranked.select("key", F.col("doc_id").alias("other"), F.col("component").alias("of"))
+            both = many.join(asked, "key").filter("component <> of").select(F.greatest("doc_id", "other").alias("doc"), F.least("doc_id", "other").alias("rep")).distinct()
+            for seen in tested:
+                both = both.join(seen, ["doc", "rep"], "left_anti")
+            tested.append(materialize(both, "pairs"))
+            found = found.union(similar_pairs(tested[-1], sets, similarity))
+        found = materialize(found.distinct(), "similar")
+        if not found.isEmpty():
+            before, groups = groups, connected_components(groups.toDF("a", "b").union(found.toDF("a", "b")))
+            edges = edges.union(found)
+            discard(before)
+        discard(*(() if more else (members,)))
+        if not more:
+            break
+        # of a bucket of no more than REPS members all pairs have been compared
+        with_bands = open_members(many.filter(F.col("size") > REPS).select("key", "doc_id"), groups).select("key", "doc_id", "asks").join(codes.select("doc_id", "bands"), "doc_id")
+        chosen = F.transform(F.sequence(F.lit(0), F.lit(BANDS // DIVIDED_BY - 1)), lambda j: F.get("bands", (F.pmod(F.xxhash64("key"), F.lit(DIVIDED_BY)) + j * DIVIDED_BY).cast("int")))
+        parts = with_bands.select("key", "doc_id", "asks", F.explode(chosen).alias("band")).filter("key <> band")
+        parts = parts.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "doc_id", "asks")
+        several = parts.groupBy("key").agg(F.count("*").alias("n"), F.max("asks").alias("asks")).filter("n > 1 AND asks").select("key")
+        buckets = materialize(parts.select("key", "doc_id").join(several, "key").distinct(), "buckets")
+        discard(members)
+        mine = (buckets,)
+    discard(codes, gray, met, sets, members, *tested)
     return groups.filter("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("kept_id"))
 
 
-def apart(met: DataFrame, edges: DataFrame) -> DataFrame:
-    """What of ``met`` is not seen to lie in one group: the two are not linked, nor have one smallest partner."""
-    least = edges.groupBy("doc").agg(F.min("rep").alias("least"))
-    of_doc, of_rep = least.select("doc", F.col("least").alias("x")), least.select(F.col("doc").alias("rep"), F.col("least").alias("y"))
-    named = met.join(of_doc, "doc", "left").join(of_rep, "rep", "left").join(edges.withColumn("linked", F.lit(True)), ["doc", "rep"], "left")
-    return named.filter(F.col("linked").isNull() & (F.coalesce("x", "doc") != F.coalesce("y", "rep"))).select("key", "doc", "rep")
+def linked_within(members: DataFrame, similarity: float) -> DataFrame:
+    """(doc, rep): links that join the groups of every bucket's members (key, doc_id, component, asks, s), as all links of as similar sets do."""
+
+    def joined(ids: np.ndarray, group: np.ndarray, asks: np.ndarray, size: np.ndarray, flat: np.ndarray) -> list[tuple[int, int]]:
+        _, held = np.unique(flat, return_inverse=True)
+        owner = np.repeat(np.arange(len(ids)), size)
+        order = np.argsort(held, kind="stable")
+        holders, cut = owner[order], np.concatenate(([0], np.cumsum(np.bincount(held))))
+        start, out = np.concatenate(([0], np.cumsum(size))), []
+        for i in np.flatnonzero(asks).tolist():
+            shared = np.bincount(np.concatenate([holders[cut[t] : cut[t + 1]] for t in held[start[i] : start[i + 1]].tolist()]), minlength=len(ids))
+            for j in np.flatnonzero((shared >= similarity * (size[i] + size - shared)) & (group != group[i])).tolist():
+                if group[j] != group[i]:
+                    out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+                    group[group == group[j]] = group[i]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        now = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                ids, group, asks, sets = zip(*rows, strict=True)
+                found = joined(np.array(ids), np.array(group), np.array(asks), np.array([len(x) for x in sets]), np.concatenate(sets))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([int(x) for x in c], pa.int64()) for c in zip(*found, strict=True)], names=["doc", "rep"])
+            rows.clear()
+
+        for batch in batches:
+            key, ids, group, asks = (batch.column(k).to_pylist() for k in range(4))
+            sets = batch.column(4)
+            offset, flat = np.asarray(sets.offsets), np.asarray(sets.values)
+            for k in range(len(key)):
+                if key[k] != now:
+                    yield from flush()
+                    now = key[k]
+                rows.append((ids[k], group[k], asks[k], flat[offset[k] : offset[k + 1]]))
+        yield from flush()
+
+    return members.select("key", "doc_id", "component", "asks", "s").repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, rep long")
+
+
+def open_members(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """``buckets`` (key, doc_id) that are not in one group, with each member's ``component``, ``asks``: is it not in the bucket's largest, ``apart``, how many are not, and ``size``."""
+    named = buckets.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", "n").alias("largest"), (F.sum("n") - F.max("n")).alias("apart"), F.sum("n").alias("size")).filter("apart > 0")
+    return named.join(largest, "key").withColumn("asks", F.col("component") != F.col("largest")).drop("largest")
 
 
 def drop_similar_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -344,7 +344,9 @@ def test_repeated_rows_and_empty_texts_are_copies(spark):
     assert gone == {(7, 4), (9, 8)}
 
 
-def test_copies_among_texts_that_share_a_passage(spark):
+@pytest.mark.parametrize("together", [simhash.TOGETHER, 1500])
+def test_copies_among_texts_that_share_a_passage(spark, together, monkeypatch):
+    monkeypatch.setattr(simhash, "TOGETHER", together)
     rng = random.Random(31)
     vocabulary = [f"w{k}" for k in range(4000)]
     some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
