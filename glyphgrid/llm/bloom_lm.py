@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphgrid.session import delete, discard, materialize, new_path, small_batches
+from glyphgrid.session import delete, discard, materialize, new_path, shuffles_removed, small_batches
 
 #: Rows whose checksum of the id leaves this remainder never train.
 FOLDS, HELD_OUT = 5, 1
@@ -56,9 +56,9 @@ MASS, UNKNOWN = 100.0, 0.05
 #: Words contain no blank, so this is no word's hash.
 END = " "
 REMEMBERED = 300_000
-#: What the workers return. ``kind`` 0: an n-gram to look up, a token (times it stands there, and before another) or a bigram (times, its word if that is to be
-#: looked up too, what it adds if it was never counted). 1, or 2 if held out: a row's own sums, with tokens, known tokens, id, base and model.
-SCORED = "row long, gram long, times int, past int, word long, a double, b double, kind tinyint"
+#: What the workers return. ``kind`` 0: an n-gram to look up, a token (times it stands there, and before another) or a bigram (times, its word's count, or the word
+#: if that is to be looked up too). 1, or 2 if held out: a row's own sums, with tokens, known tokens, id, base and model.
+SCORED = "row long, gram long, times int, past long, word long, a double, b double, kind tinyint"
 
 
 class TokenHashes(dict):
@@ -136,7 +136,8 @@ def in_buckets(grams: DataFrame) -> tuple[DataFrame, str, str]:
     """``grams`` written in buckets of ``gram``, so that joins find them dealt; with the table's name and folder."""
     spark = grams.sparkSession
     name, path = f"glyphgrid_{uuid.uuid4().hex}", new_path(spark, "ngram-counts")
-    grams.write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram").saveAsTable(name)
+    with shuffles_removed(spark):
+        grams.write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram").saveAsTable(name)
     return spark.table(name), name, path
 
 
@@ -334,9 +335,12 @@ def score(docs: DataFrame, head: int = HEAD, limit: int = FILTER_BYTES, mass: fl
             # bigrams that the filter does not settle, once a row
             open_ = np.nonzero(~settled)[0]
             if len(open_):
+                # a training row's bigrams were all counted, so that what an unseen one would add is not needed
+                trains = ~np.asarray(batch.column(2).cast(pa.int8())).astype(np.bool_)[owner]
+                c_word, token = np.where(trains, 0, c_word), np.where(trains, np.uint64(0), token)
                 _, one, times = np.unique(owner[open_] * len(kinds) + kind[open_], return_index=True, return_counts=True)
                 at_ = open_[one]
-                yield rows_of(rows[owner[at_]], pair[at_].view(np.int64), times, nothing(len(at_)), np.where(c_word[at_] < 0, token[at_], np.uint64(0)).view(np.int64), np.zeros(len(at_)), own[at_], nothing(len(at_)))
+                yield rows_of(rows[owner[at_]], pair[at_].view(np.int64), times, np.maximum(c_word[at_], 0), np.where(c_word[at_] < 0, token[at_], np.uint64(0)).view(np.int64), np.zeros(len(at_)), np.zeros(len(at_)), nothing(len(at_)))
 
     rows = keyed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(run, SCORED)
     # of the counts, those that are not sent
@@ -347,8 +351,9 @@ def score(docs: DataFrame, head: int = HEAD, limit: int = FILTER_BYTES, mass: fl
     seen = F.col("n") > 0
     # bigrams never counted, of a token that is not among the frequent: its own count is looked up below
     open_ = F.when(pair & ~seen, F.col("word")).otherwise(F.lit(0))
+    own = lambda n: F.log10(F.lit(share) + F.lit(slope) * n) + F.lit(math.log10(mass))
     low = F.log10(F.ceil(F.pow(F.lit(BASE), level_of(F.col("n")) - 1) - F.lit(1e-6)))
-    told = F.when(self_, F.col("b")).when(token, -F.col("past") * F.log10(F.col("n") + F.lit(mass))).when(seen, times * low).when(open_ == 0, times * F.col("b")).otherwise(F.lit(0.0))
+    told = F.when(self_, F.col("b")).when(token, -F.col("past") * F.log10(F.col("n") + F.lit(mass))).when(seen, times * low).when(open_ == 0, times * own(F.col("past"))).otherwise(F.lit(0.0))
     mine = lambda c: F.when(self_, F.col(c))
     sums = joined.groupBy("row", open_.alias("gram")).agg(
         F.max(mine("word")).alias("doc_id"),
@@ -361,7 +366,7 @@ def score(docs: DataFrame, head: int = HEAD, limit: int = FILTER_BYTES, mass: fl
     )
     sums = materialize(sums, "scores")
     words = sums.filter("gram <> 0").select("row", "gram", "times").join(others, "gram", "left")
-    rest = words.groupBy("row").agg(F.sum(F.col("times") * (F.log10(F.lit(share) + F.lit(slope) * F.coalesce("n", F.lit(0))) + F.lit(math.log10(mass)))).alias("rest"))
+    rest = words.groupBy("row").agg(F.sum(F.col("times") * own(F.coalesce("n", F.lit(0)))).alias("rest"))
     done = materialize(
         sums.filter("gram = 0").join(rest, "row", "left").select(
             "doc_id", (F.col("kind") == 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
@@ -377,5 +382,5 @@ def score(docs: DataFrame, head: int = HEAD, limit: int = FILTER_BYTES, mass: fl
 
 def rows_of(row: np.ndarray, gram: np.ndarray, times: np.ndarray, past: np.ndarray, word: np.ndarray | pa.Array, a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
     """A batch of ``SCORED``."""
-    columns = [pa.array(row, pa.int64()), pa.array(gram, pa.int64()), pa.array(times.astype(np.int32)), pa.array(past.astype(np.int32)), word if isinstance(word, pa.Array) else pa.array(word, pa.int64())]
+    columns = [pa.array(row, pa.int64()), pa.array(gram, pa.int64()), pa.array(times.astype(np.int32)), pa.array(past, pa.int64()), word if isinstance(word, pa.Array) else pa.array(word, pa.int64())]
     return pa.RecordBatch.from_arrays([*columns, pa.array(a, pa.float64()), pa.array(b, pa.float64()), pa.array(kind.astype(np.int8))], names=[x.split()[0] for x in SCORED.split(", ")])
