@@ -17,6 +17,7 @@ from glyphgrid.operators.build import line_envelopes, matched_words
 from glyphgrid.operators.labels import mapped
 from glyphgrid.operators.textindex import index_words, token_postings, trigram_postings
 from glyphgrid.plans import views as V
+from glyphgrid.plans.aligners import EXACT as ONLY_EXACT
 from glyphgrid.plans.aligners import ORDERED, GeometryAlignment, TextAlignment
 from glyphgrid.session import materialize, read_table
 from glyphgrid.sinks import json_pages, label_studio as ls_sink, render
@@ -218,7 +219,12 @@ def grouped_labels(spark, sf_dir):
     return lists.select("page_key", "label", "ordinal", F.size("texts").cast("long").alias("n"), plain.alias("texts"))
 
 
-@query()
+@query(ALIGNED + """, named AS (SELECT *, CASE label WHEN 'PageNumber' THEN label ELSE 'heading' END AS export FROM aligned
+), lists AS (
+  SELECT page_key, export, min(region_id) AS ordinal, string_agg(coalesce(CAST(to_json(alto_text) AS VARCHAR), 'null'), ',' ORDER BY region_id) AS texts,
+         string_agg('{"x":' || CAST(rx AS BIGINT) || ',"y":' || CAST(ry AS BIGINT) || ',"width":' || CAST(rw AS BIGINT) || ',"height":' || CAST(rh AS BIGINT) || '}', ',' ORDER BY region_id) AS boxes
+  FROM named GROUP BY page_key, export
+) SELECT page_key, '{' || string_agg('"' || export || '":[' || texts || '],"' || export || '_bbox":[' || boxes || ']', ',' ORDER BY ordinal) || '}' AS json FROM lists GROUP BY page_key""")
 def grouped_json(spark, sf_dir):
     return json_pages.grouped_documents(aligned_regions(spark, sf_dir, mapping=MAPPING))
 
@@ -323,10 +329,23 @@ def text_align(spark, sf_dir):
     return spread(found, "alto_bbox", "page_key", "region_id", "label", "input_text", "alto_text", "source", "alignment_score")
 
 
-@query()
+@query(EXACT + """, twice AS (
+  SELECT page_key, input_text FROM text_values UNION ALL SELECT page_key, input_text FROM text_values WHERE region_id = 0
+), wishes AS (
+  SELECT page_key, input_text, count(*) AS m FROM twice GROUP BY ALL
+), places AS (
+  SELECT page_key, input_text, count(DISTINCT start_word) AS k FROM hits GROUP BY ALL
+), met AS (
+  SELECT page_key, m, coalesce(k, 0) AS k FROM wishes LEFT JOIN places USING (page_key, input_text)
+) SELECT count(DISTINCT page_key) AS pages, CAST(sum(m) AS BIGINT) AS regions, CAST(sum(least(m, k)) AS BIGINT) AS matched, CAST(sum(m - least(m, k)) AS BIGINT) AS unmatched,
+  CAST(sum(CASE WHEN k > 1 THEN m ELSE 0 END) AS BIGINT) AS ambiguous, CAST(sum(CASE WHEN k > 0 THEN m - least(m, k) ELSE 0 END) AS BIGINT) AS conflicted FROM met""")
 def text_run_summary(spark, sf_dir):
-    plan = TextAlignment(normalise=collapse_blanks)
-    aligned, candidates, chosen = plan.align_with_candidates(V.text_values(spark, sf_dir), V.ocr_words(spark, sf_dir))
+    """Every page wants one phrase twice: where it stands once, one region is left, in conflict; where it stands again, all are ambiguous."""
+    words = laid_out_once(spark, sf_dir)
+    values = V.text_values(spark, sf_dir, words)
+    regions = values.unionByName(values.filter("region_id = 0").withColumn("region_id", F.lit(3)))
+    plan = TextAlignment(generator=ONLY_EXACT, normalise=collapse_blanks)
+    aligned, candidates, chosen = plan.align_with_candidates(regions, words)
     return P.run_summary(aligned, *plan.diagnostics(candidates, chosen))
 
 
@@ -373,7 +392,21 @@ def yolo_category_check(spark, sf_dir):
     return yolo.category_conflicts(yolo.detections(yolo_lines(spark, sf_dir)))
 
 
-@query()
+@query(REGIONS.replace("WITH ", "WITH RECURSIVE ", 1) + """, parsed AS (
+  SELECT page_key, region_id, label, CAST(region_id % 10 AS DOUBLE) / 10 AS confidence, rx + rw / 2 - rw / 2 AS x, ry + rh / 2 - rh / 2 AS y, rw AS width, rh AS height FROM geom_regions
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY confidence DESC, region_id) AS k FROM parsed WHERE label IN ('Title', 'Subtitle')
+), walk AS (
+  SELECT page_key, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(region_id INTEGER, label VARCHAR, x DOUBLE, y DOUBLE, width DOUBLE, height DOUBLE)[]) AS kept FROM (SELECT DISTINCT page_key FROM ranked)
+  UNION ALL
+  SELECT w.page_key, r.k, CASE WHEN len(list_filter(w.kept, lambda s: s.label <> r.label AND greatest(least(s.x + s.width, r.x + r.width) - greatest(s.x, r.x), 0)
+    * greatest(least(s.y + s.height, r.y + r.height) - greatest(s.y, r.y), 0) / greatest(s.width * s.height, r.width * r.height) >= 0.2)) > 0 THEN w.kept
+    ELSE list_append(w.kept, {'region_id': r.region_id, 'label': r.label, 'x': r.x, 'y': r.y, 'width': r.width, 'height': r.height}) END
+  FROM walk w JOIN ranked r ON r.page_key = w.page_key AND r.k = w.k + 1
+), stay AS (
+  SELECT page_key, unnest(list_transform(kept, lambda s: s.region_id)) AS region_id FROM (SELECT page_key, arg_max(kept, k) AS kept FROM walk GROUP BY page_key)
+) SELECT p.page_key, p.region_id, p.label, p.confidence, p.x, p.y, p.width, p.height FROM parsed p LEFT JOIN stay s ON s.page_key = p.page_key AND s.region_id = p.region_id
+WHERE p.label NOT IN ('Title', 'Subtitle') OR s.region_id IS NOT NULL""")
 def yolo_dedup(spark, sf_dir):
     groups = [yolo.Group(frozenset({"Title", "Subtitle"}), 0.2)]
     return spread(yolo.deduplicated(yolo.detections(yolo_lines(spark, sf_dir)), groups), "bbox", "page_key", "region_id", "label", "confidence")
@@ -516,9 +549,27 @@ def region_line_envelopes(spark, sf_dir):
     return line_envelopes(matched_words(found, words))
 
 
-@query()
+@query(OVERLAPS + """, own_lines AS (
+  SELECT page_key, region_id, min(x) AS l, min(y) AS t, max(x + width) AS r, max(y + height) AS b FROM (SELECT b.*, w.line_index FROM best b JOIN ocr_words w USING (page_key, word_index)) GROUP BY page_key, region_id, line_index
+), edges AS (
+  SELECT page_key, region_id, y AS t, lead(y) OVER (PARTITION BY page_key, region_id ORDER BY y) AS b FROM (SELECT DISTINCT page_key, region_id, unnest([t, b]) AS y FROM own_lines)
+), strips AS (
+  SELECT e.page_key, e.region_id, e.t, e.b, min(x.l) AS l, max(x.r) AS r FROM edges e LEFT JOIN own_lines x ON x.page_key = e.page_key AND x.region_id = e.region_id AND x.t < e.b AND x.b > e.t WHERE e.b IS NOT NULL GROUP BY ALL
+), beside AS (
+  SELECT *, lag(l) OVER o AS l0, lag(r) OVER o AS r0, lead(l) OVER o AS l1, lead(r) OVER o AS r1 FROM strips WINDOW o AS (PARTITION BY page_key, region_id ORDER BY t)
+), bridged AS (
+  SELECT page_key, region_id, t, b, CASE WHEN l IS NOT NULL THEN l WHEN greatest(l0, l1) < least(r0, r1) THEN greatest(l0, l1) ELSE least(l0, l1) END AS l,
+         CASE WHEN l IS NOT NULL THEN r WHEN greatest(l0, l1) < least(r0, r1) THEN least(r0, r1) ELSE greatest(r0, r1) END AS r FROM beside
+), turns AS (
+  SELECT *, lead(l) OVER o AS ln, lead(r) OVER o AS rn FROM bridged WINDOW o AS (PARTITION BY page_key, region_id ORDER BY t)
+) SELECT page_key, region_id,
+  CAST(CASE WHEN bool_and(ln IS NULL OR greatest(l, ln) < least(r, rn)) THEN 5 + 2 * (count(*) FILTER (WHERE ln <> l) + count(*) FILTER (WHERE rn <> r)) ELSE 5 END AS INTEGER) AS corners,
+  CASE WHEN bool_and(ln IS NULL OR greatest(l, ln) < least(r, rn)) THEN sum((r - l) * (b - t)) ELSE (max(r) - min(l)) * (max(b) - min(t)) END AS area
+FROM turns GROUP BY page_key, region_id""")
 def orthogonal_polygon(spark, sf_dir):
-    return aligned_regions(spark, sf_dir, "polygon").filter("words IS NOT NULL").select("page_key", "region_id", "alto_polygon")
+    """Outlines, by their corners and area; lines a region's words come from are cut into strips as the SQL does."""
+    found = aligned_regions(spark, sf_dir, "polygon").filter("words IS NOT NULL")
+    return found.select("page_key", "region_id", F.size("alto_polygon").alias("corners"), G.polygon_area(F.col("alto_polygon")).alias("area"))
 
 
 @query(REGIONS + """SELECT page_key, region_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(ordinal % 6 AS INTEGER) AS colour,
