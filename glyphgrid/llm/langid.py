@@ -120,7 +120,7 @@ class Greedy:
         own = np.unique(text_symbols(text, symbol))
         own = own[own < letters_]
         self.blank, self.other, self.pad, self.width = len(own), len(own) + 1, len(own) + 2, len(own) + 3
-        self.local = np.full(letters_ + 3, self.other, np.int64)
+        self.local = np.full(letters_ + 3, self.other, np.int32)
         self.local[own] = np.arange(len(own))
         self.local[letters_], self.local[letters_ + 2] = self.blank, self.pad
         sequence = self.local[text_symbols(text, symbol)]
@@ -141,25 +141,25 @@ class Greedy:
             self.root[self.pad] = 0
 
     def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
-        key = state * self.width + c
         if self.table is not None:
-            return self.table[key]
+            return self.table[state * self.width + c]
+        key = state.astype(np.int64) * self.width + c
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.to[at], self.root[c])
+        return np.where(self.keys[at] == key, self.to[at], self.root[c]).astype(np.int32)
 
     def phrases(self, columns: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Phrases that begin in each row of symbols (given by columns); ``first``: does a row begin its text."""
-        n = columns.shape[1]
-        begin, end, count = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        n, own = columns.shape[1], self.local[columns]
+        begin, end, count = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
         wanted = np.arange(n)
         while len(wanted):
-            state, some = begin[wanted], np.zeros(len(wanted), np.int64)
-            for column in columns[:, wanted] if len(wanted) < n else columns:
-                state = self.step(state, self.local[column])
+            state, some = begin[wanted], np.zeros(len(wanted), np.int32)
+            for column in own[:, wanted] if len(wanted) < n else own:
+                state = self.step(state, column)
                 some += state & 1
                 state = state >> 1
             end[wanted], count[wanted] = state, some
-            carried = np.where(first, 0, np.concatenate(([0], end[:-1])))
+            carried = np.where(first, 0, np.concatenate((end[:1], end[:-1]))).astype(np.int32)
             wanted = np.flatnonzero(carried != begin)
             begin = carried
         return count
