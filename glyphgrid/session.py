@@ -58,6 +58,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return read
 
 
+def tasks(spark: SparkSession) -> int:
+    """The number of partitions a shuffle has; given outright, partitions of few bytes but much work are not folded together."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Writes inside leave no shuffle files behind when they are done; else these stay until the driver collects its garbage."""
