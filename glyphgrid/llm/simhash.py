@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from glyphgrid.llm.columns import each_index, let, words
 from glyphgrid.llm.components import connected_components
 from glyphgrid.llm.exact_dedup import ascii_lower
-from glyphgrid.session import discard, materialize, small_batches
+from glyphgrid.session import discard, materialize, small_batches, tasks
 
 SHINGLE, RADIUS = 3, 3
 #: Codes under one top node before it is divided again.
@@ -219,7 +219,7 @@ def near_links(codes: DataFrame, radius: int = RADIUS, most: int = MOST) -> Data
                 held.append((reps[s:e], found[s:e]))
         yield from flush()
 
-    dealt = nodes.withColumn("rank", gray_rank(F.col("code"))).repartition("node").sortWithinPartitions("node", "rank").select("node", "rep", "code")
+    dealt = nodes.withColumn("rank", gray_rank(F.col("code"))).repartition(tasks(codes.sparkSession), "node").sortWithinPartitions("node", "rank").select("node", "rep", "code")
     return dealt.mapInArrow(links, "a long, b long")
 
 
@@ -451,7 +451,7 @@ def linked_within(members: DataFrame, similarity: float) -> DataFrame:
                 rows.append((ids[k], group[k], asks[k], flat[offset[k] : offset[k + 1]]))
         yield from flush()
 
-    return members.select("key", "doc_id", "component", "asks", "s").repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, rep long")
+    return members.select("key", "doc_id", "component", "asks", "s").repartition(tasks(members.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "doc long, rep long")
 
 
 def open_members(buckets: DataFrame, groups: DataFrame) -> DataFrame:
