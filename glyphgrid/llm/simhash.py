@@ -325,11 +325,11 @@ def shingle_hashes(text: Column, k: int = SIMILAR_SHINGLE) -> Column:
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (doc, rep) whose ``sets`` (doc_id, s) are as similar as asked."""
+    """Those of ``pairs`` (doc, rep) whose ``sets`` (doc_id, s) are as similar as asked, again for every text of an id."""
     own = pairs.join(sets.select(F.col("doc_id").alias("doc"), "s"), "doc")
     both = own.join(sets.select(F.col("doc_id").alias("rep"), F.col("s").alias("rs")), "rep")
     shared = F.size(F.array_intersect("s", "rs"))
-    return both.filter(shared >= similarity * (F.size("s") + F.size("rs") - shared)).select("doc", "rep").distinct()
+    return both.filter(shared >= similarity * (F.size("s") + F.size("rs") - shared)).select("doc", "rep")
 
 
 def similar_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -390,7 +390,7 @@ def similar_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
                 both = both.join(seen, ["doc", "rep"], "left_anti")
             tested.append(materialize(both, "pairs"))
             found = found.union(similar_pairs(tested[-1], sets, similarity))
-        found = materialize(found.distinct(), "similar")
+        found = materialize(found, "similar")
         if not found.isEmpty():
             before, groups = groups, connected_components(groups.toDF("a", "b").union(found.toDF("a", "b")))
             edges = edges.union(found)
