@@ -5,89 +5,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-Choice = tuple[int, int, int, int, int]  # quality, exact, count, -starts, -ids
+from glyphgrid.operators.choice import best_of
+from glyphgrid.operators.labels import require
+from glyphgrid.session import discard, materialize
 
+OPTIMAL, FEASIBLE = "optimal", "feasible"
+FIELDS = ("candidate_id", "region_id", "start_word", "end_word", "quality_chars", "exact")
+#: How often labels pass along words and regions before it is looked whether they still change.
+PASSES = 4
 
-def best_of(spans: list[tuple[int, int, int, int, int, int]]) -> list[int]:
-    """Ids of the best consistent choice among (id, region, start, end, quality, exact).
 
-    At most one span a region and one a word. Most quality, then most exact,
-    then most spans, then earliest, then smallest ids. Regions are taken in
-    turn; what is left to gain depends only on the words taken that later
-    regions could use, so each such state is solved once.
+def parts(candidates: DataFrame) -> DataFrame:
+    """(page_key, part, alone and the six numbers that count) of every candidate: candidates that share words or regions are one part.
+
+    Spans that overlap are one run of words; the smallest label then passes from run to region and
+    back until it stays. ``alone`` says that the part has one region only.
     """
-    regions: dict[int, list[tuple]] = {}
-    for s in sorted(spans):
-        regions.setdefault(s[1], []).append(s)
-    order = [regions[r] for r in sorted(regions, key=lambda r: (min(s[2] for s in regions[r]), r))]
-    mask = lambda s: ((1 << (s[3] - s[2] + 1)) - 1) << s[2]
-    later = [0] * (len(order) + 1)
-    for k in range(len(order) - 1, -1, -1):
-        later[k] = later[k + 1]
-        for s in order[k]:
-            later[k] |= mask(s)
-    layers: list[dict[int, tuple[Choice, tuple | None, int]]] = [{0: ((0, 0, 0, 0, 0), None, 0)}]
-    for k, options in enumerate(order):
-        now: dict[int, tuple[Choice, tuple | None, int]] = {}
-        for taken, (value, _, _) in layers[-1].items():
-            for s in (None, *options):
-                if s is None:
-                    gain, state = value, taken & later[k + 1]
-                elif taken & mask(s):
-                    continue
-                else:
-                    gain = (value[0] + s[4], value[1] + s[5], value[2] + 1, value[3] - s[2], value[4] - s[0] - 1)
-                    state = (taken | mask(s)) & later[k + 1]
-                if state not in now or gain > now[state][0]:
-                    now[state] = (gain, s, taken)
-        layers.append(now)
-    chosen, state = [], 0
-    for layer in reversed(layers[1:]):
-        _, s, before = layer[state]
-        if s is not None:
-            chosen.append(s[0])
-        state = before
-    return sorted(chosen)
-
-
-def components(spans: list[tuple]) -> list[list[tuple]]:
-    """Spans that share regions or words, directly or through others."""
-    parent = list(range(len(spans)))
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    seen: dict[tuple, int] = {}
-    for i, s in enumerate(spans):
-        for key in (("r", s[1]), *(("w", w) for w in range(s[2], s[3] + 1))):
-            parent[top(i)] = top(seen.setdefault(key, i))
-    groups: dict[int, list[tuple]] = {}
-    for i, s in enumerate(spans):
-        groups.setdefault(top(i), []).append(s)
-    return list(groups.values())
-
-
-def selected(candidates: DataFrame) -> DataFrame:
-    """The globally best consistent candidates of each page.
-
-    The goals are sums, so the pages' independent parts are solved alone; only
-    the six numbers that count go to Python.
+    slim = candidates.select("page_key", *(F.col(f).cast("int").alias(f) for f in FIELDS)).repartition("page_key")
+    earlier = Window.partitionBy("page_key").orderBy("start_word", "end_word", "candidate_id")
+    reach = F.max("end_word").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    runs = slim.withColumn("fresh", (F.col("start_word") > F.coalesce(reach, F.lit(-1))).cast("int")).withColumn("run", F.sum("fresh").over(earlier)).drop("fresh")
+    now, moved = runs.withColumn("part", F.col("run").cast("int")), 1
+    by_region, by_run = Window.partitionBy("page_key", "region_id"), Window.partitionBy("page_key", "run")
+    while moved:
+        for _ in range(PASSES):
+            now = now.withColumn("before", F.col("part")).withColumn("part", F.min("part").over(by_region)).withColumn("part", F.min("part").over(by_run))
+        last, now = now, materialize(now, "parts")
+        moved = now.filter("part <> before").limit(1).count()
+        discard(last)
+        now = now.repartition("page_key") if moved else now
+    whole = Window.partitionBy("page_key", "part")
+    alone = F.min("region_id").over(whole) == F.max("region_id").over(whole)
+    return now.withColumn("alone", alone).select("page_key", "part", "alone", *FIELDS)
+
+
+def choices(candidates: DataFrame, seconds: float | None = None, require_optimal: bool = True) -> DataFrame:
+    """(page_key, part, candidate_id, status): the best consistent candidates of each part, and whether they are known to be the best.
+
+    The goals are sums, so parts are solved alone, each a group of its own with at
+    most ``seconds`` of search. A part that is not settled by then is an error, or
+    with ``require_optimal`` false gives the best choice found.
     """
-    fields = ("candidate_id", "region_id", "start_word", "end_word", "quality_chars", "exact")
+    require(seconds is None or seconds > 0, "the time limit must be positive")
 
     def solve(key, pdf):
         import pandas as pd
 
-        spans = [tuple(map(int, r)) for r in pdf[list(fields)].itertuples(index=False)]
-        ids = [i for part in components(spans) for i in best_of(part)]
-        return pd.DataFrame({"page_key": [key[0]] * len(ids), "candidate_id": ids})
+        ids, optimal = best_of([tuple(map(int, r)) for r in pdf[list(FIELDS)].itertuples(index=False)], seconds)
+        if require_optimal and not optimal:
+            raise RuntimeError(f"page {key[0]}: no choice was shown to be the best in {seconds} s")
+        return pd.DataFrame({"page_key": [key[0]] * len(ids), "part": [key[1]] * len(ids), "candidate_id": ids, "status": [OPTIMAL if optimal else FEASIBLE] * len(ids)})
+
+    found = parts(candidates)
+    first = Window.partitionBy("page_key", "part").orderBy(F.desc("quality_chars"), F.desc("exact"), "start_word", "candidate_id")
+    single = found.filter("alone").withColumn("rank", F.row_number().over(first)).filter("rank = 1").select("page_key", "part", "candidate_id", F.lit(OPTIMAL).alias("status"))
+    solved = found.filter("NOT alone").groupBy("page_key", "part").applyInPandas(solve, "page_key string, part int, candidate_id int, status string")
+    return single.unionByName(solved)
+
 
-    slim = candidates.select("page_key", *(F.col(f).cast("int").alias(f) for f in fields))
-    chosen = slim.groupBy("page_key").applyInPandas(solve, "page_key string, candidate_id int")
-    return candidates.join(chosen, ["page_key", "candidate_id"], "left_semi")
+def selected(candidates: DataFrame, seconds: float | None = None, require_optimal: bool = True) -> DataFrame:
+    """The globally best consistent candidates of each page."""
+    return candidates.join(choices(candidates, seconds, require_optimal), ["page_key", "candidate_id"], "left_semi")
 
 
 def passed_through(candidates: DataFrame) -> DataFrame:

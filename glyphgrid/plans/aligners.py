@@ -59,7 +59,9 @@ class TextAlignment:
 
     Generator, selector, and the text and the geometry of matched words may each
     be a function instead of a name: of (values, index), of the candidates, and
-    of the column of words.
+    of the column of words. ``time_limit`` bounds the search for the best choice
+    (seconds for each independent part); what is not known to be the best by then
+    is an error, or with ``require_optimal`` false the best found.
     """
 
     generator: str | Callable[[DataFrame, DataFrame], DataFrame] = COMBINED
@@ -68,6 +70,8 @@ class TextAlignment:
     fuzzy: Fuzzy = field(default_factory=Fuzzy)
     geometry_format: str = "bbox"
     mapping: dict[str, str] | None = None
+    time_limit: float | None = None
+    require_optimal: bool = True
     normalise: Callable | None = None
     text: Callable[[Column], Column] = joined_text
     outline: Callable[[Column], Column] = orthogonal_polygon
@@ -94,7 +98,7 @@ class TextAlignment:
     def chosen(self, candidates: DataFrame) -> DataFrame:
         if callable(self.selector):
             return self.selector(candidates)
-        return S.selected(candidates) if self.selector == BEST else S.passed_through(candidates)
+        return S.selected(candidates, self.time_limit, self.require_optimal) if self.selector == BEST else S.passed_through(candidates)
 
     def align(self, regions: DataFrame, words: DataFrame) -> DataFrame:
         """``regions`` with the chosen candidate, its words, text and geometry; unmatched ones with nulls."""

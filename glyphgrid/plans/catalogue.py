@@ -555,11 +555,12 @@ def region_line_envelopes(spark, sf_dir):
   SELECT page_key, region_id, y AS t, lead(y) OVER (PARTITION BY page_key, region_id ORDER BY y) AS b FROM (SELECT DISTINCT page_key, region_id, unnest([t, b]) AS y FROM own_lines)
 ), strips AS (
   SELECT e.page_key, e.region_id, e.t, e.b, min(x.l) AS l, max(x.r) AS r FROM edges e LEFT JOIN own_lines x ON x.page_key = e.page_key AND x.region_id = e.region_id AND x.t < e.b AND x.b > e.t WHERE e.b IS NOT NULL GROUP BY ALL
-), beside AS (
-  SELECT *, lag(l) OVER o AS l0, lag(r) OVER o AS r0, lead(l) OVER o AS l1, lead(r) OVER o AS r1 FROM strips WINDOW o AS (PARTITION BY page_key, region_id ORDER BY t)
+), solid AS (
+  SELECT *, lead(t) OVER o AS t1, lead(l) OVER o AS l1, lead(r) OVER o AS r1 FROM strips WHERE l IS NOT NULL WINDOW o AS (PARTITION BY page_key, region_id ORDER BY t)
 ), bridged AS (
-  SELECT page_key, region_id, t, b, CASE WHEN l IS NOT NULL THEN l WHEN greatest(l0, l1) < least(r0, r1) THEN greatest(l0, l1) ELSE least(l0, l1) END AS l,
-         CASE WHEN l IS NOT NULL THEN r WHEN greatest(l0, l1) < least(r0, r1) THEN least(r0, r1) ELSE greatest(r0, r1) END AS r FROM beside
+  SELECT page_key, region_id, t, b, l, r FROM solid
+  UNION ALL SELECT page_key, region_id, b, t1, CASE WHEN greatest(l, l1) < least(r, r1) THEN greatest(l, l1) ELSE least(l, l1) END, CASE WHEN greatest(l, l1) < least(r, r1) THEN least(r, r1) ELSE greatest(r, r1) END
+  FROM solid WHERE b < t1
 ), turns AS (
   SELECT *, lead(l) OVER o AS ln, lead(r) OVER o AS rn FROM bridged WINDOW o AS (PARTITION BY page_key, region_id ORDER BY t)
 ) SELECT page_key, region_id,

@@ -126,6 +126,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--fuzzy-max-cer-at-or-above-boundary", type=float, default=0.20)
             p.add_argument("--fuzzy-max-edit-distance-below-boundary", type=int, default=1)
             p.add_argument("--fuzzy-max-candidates-per-value", type=int, default=5)
+            p.add_argument("--solver-time-limit-seconds", type=float)
             p.add_argument("--overwrite-existing-geometry", action="store_true")
         else:
             p.add_argument("--minimum-overlap-coverage", type=float, default=0.65)
@@ -149,7 +150,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Ru
     common = {"suffix": a.geometry_suffix, "output_format": a.output_json_format, "image_prefix": a.label_studio_image_prefix, "fail_on_missing": a.fail_on_missing_alto}
     if a.mode == json_pages.TEXT:
         fuzzy = Fuzzy(a.fuzzy_query_length_boundary, a.fuzzy_max_cer_at_or_above_boundary, a.fuzzy_max_edit_distance_below_boundary, a.fuzzy_max_candidates_per_value)
-        plan = TextAlignment(a.candidate_generator, a.candidate_selector, tuple(a.text_normalizer), fuzzy, a.output_alto_geometry_format, mapping)
+        plan = TextAlignment(a.candidate_generator, a.candidate_selector, tuple(a.text_normalizer), fuzzy, a.output_alto_geometry_format, mapping, a.solver_time_limit_seconds)
         found = run(spark, a.mode, plan, a.alto_dir, a.input_dir, "json", overwrite=a.overwrite_existing_geometry, text_source=a.output_text_source, **common)
     else:
         plan = GeometryAlignment(a.minimum_overlap_coverage, a.overlap_strategy, a.word_assignment_strategy, a.output_alto_geometry_format, mapping)

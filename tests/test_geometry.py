@@ -109,6 +109,16 @@ def rings(spark, *regions_):
     return [r.ring and [(p.x, p.y) for p in r.ring] for r in sorted(found)]
 
 
+def test_a_gap_that_flat_words_cut_is_one_gap(spark):
+    got = rings(
+        spark,
+        [word(0, 0, 100, 10, 0), word(50, 20, 100, 10, 1), word(60, 15, 20, 0, 2)],
+        [word(0, 0, 10, 10, 0), word(30, 40, 10, 10, 1), word(32, 20, 5, 0, 2), word(35, 30, 5, 0, 3)],  # nothing in common: all of it
+    )
+    assert got[0] == [(0, 0), (100, 0), (100, 20), (150, 20), (150, 30), (50, 30), (50, 10), (0, 10), (0, 0)]
+    assert got[1] == [(0, 0), (10, 0), (10, 10), (40, 10), (40, 50), (30, 50), (30, 40), (0, 40), (0, 0)]
+
+
 def test_outlines(spark):
     got = rings(
         spark,

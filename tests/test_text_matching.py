@@ -8,6 +8,7 @@ import pytest
 from glyphgrid.functions.text import normalise
 from glyphgrid.operators import candidates as C
 from glyphgrid.operators import select as S
+from glyphgrid.operators.choice import best_of
 from glyphgrid.operators.ordered import aligned_characters, ordered_candidates, runs
 from glyphgrid.operators.textindex import index_words
 from glyphgrid.plans.aligners import TextAlignment
@@ -77,18 +78,77 @@ def brute(spans):
     return best
 
 
-def test_selection_against_enumeration():
+def worth(spans, ids):
+    pick = [s for s in spans if s[0] in ids]
+    words = [w for s in pick for w in range(s[2], s[3] + 1)]
+    assert len(pick) == len(ids) and len(set(words)) == len(words) and len({s[1] for s in pick}) == len(pick)
+    return (sum(s[4] for s in pick), sum(s[5] for s in pick), len(pick), -sum(s[2] for s in pick), -sum(s[0] + 1 for s in pick))
+
+
+def random_spans(rng, n, regions, words, quality, exact=2):
+    spans = []
+    for k in range(n):
+        start = rng.randrange(0, words)
+        spans.append((k, rng.randrange(0, regions), start, start + rng.randrange(0, 3), quality(rng), rng.randrange(0, exact)))
+    return spans
+
+
+@pytest.mark.parametrize("quality", [lambda rng: rng.randrange(1, 6), lambda rng: 5, lambda rng: rng.randrange(0, 2)])
+def test_selection_against_enumeration(quality):
     rng = random.Random(7)
     for _ in range(150):
+        spans = random_spans(rng, rng.randrange(1, 10), 4, 8, quality)
+        ids, optimal = best_of(spans)
+        assert optimal and worth(spans, ids) == brute(spans)
+
+
+def test_selection_in_parts(spark):
+    rng = random.Random(8)
+    pages = {f"p{k}": random_spans(rng, 12, 6, 30, lambda r: r.randrange(1, 4)) for k in range(12)}
+    # a chain of parts that labels have to walk: region k and k + 1 share a word
+    pages["chain"] = [(2 * k + i, k, 2 * k + i, 2 * k + i + 1 + i, 3, 1) for k in range(40) for i in (0, 1)]
+    rows = [(p, *s, "clash") for p, spans in pages.items() for s in spans]
+    df = spark.createDataFrame(rows, "page_key string, candidate_id int, region_id int, start_word int, end_word int, quality_chars int, exact int, part string")
+    found = S.choices(df).collect()
+    assert {r.status for r in found} == {S.OPTIMAL}
+    for p, spans in pages.items():
+        ids = [r.candidate_id for r in found if r.page_key == p]
+        assert worth(spans, ids) == (brute(spans) if p != "chain" else worth(spans, best_of(spans)[0]))
+    assert len({r.part for r in S.parts(df.filter("page_key = 'chain'")).collect()}) == 1
+    assert S.choices(df.limit(0)).count() == 0
+
+
+def test_crowded_parts_are_settled_in_little_time():
+    rng = random.Random(9)
+    for regions, words in ((20, 30), (30, 40), (60, 40), (60, 300)):
         spans = []
-        for k in range(rng.randrange(1, 9)):
-            start = rng.randrange(0, 8)
-            spans.append((k, rng.randrange(0, 4), start, start + rng.randrange(0, 3), rng.randrange(1, 6), rng.randrange(0, 2)))
-        ids = {i for part in S.components(spans) for i in S.best_of(part)}
-        pick = [s for s in spans if s[0] in ids]
-        words = [w for s in pick for w in range(s[2], s[3] + 1)]
-        assert len(set(words)) == len(words) and len({s[1] for s in pick}) == len(pick)
-        assert (sum(s[4] for s in pick), sum(s[5] for s in pick), len(pick), -sum(s[2] for s in pick), -sum(s[0] + 1 for s in pick)) == brute(spans)
+        for region in range(regions):
+            length, quality = rng.randint(1, 3), rng.randint(1, 20)
+            for _ in range(5):
+                start = rng.randrange(words - length)
+                spans.append((len(spans), region, start, start + length - 1, quality, 1))
+        ids, optimal = best_of(spans, 30)
+        assert optimal
+        worth(spans, ids)
+
+
+def test_values_that_stand_for_each_other():
+    spans = [(r * 50 + k, r, 2 * k, 2 * k, 1, 1) for r in range(30) for k in range(50)]
+    ids, optimal = best_of(spans)
+    assert optimal and worth(spans, ids)[:4] == (30, 30, 30, -2 * sum(range(30)))
+
+
+def test_a_search_cut_short_is_an_error_or_said(spark):
+    rng = random.Random(10)
+    spans = [(5 * r + k, r, s := rng.randrange(0, 80), s + rng.randrange(0, 3), 5, 1) for r in range(80) for k in range(5)]
+    df = spark.createDataFrame([("p", *s) for s in spans], "page_key string, candidate_id int, region_id int, start_word int, end_word int, quality_chars int, exact int")
+    with pytest.raises(Exception, match="shown to be the best"):
+        S.choices(df, 1e-9).collect()
+    found = S.choices(df, 1e-9, require_optimal=False).collect()
+    assert S.FEASIBLE in {r.status for r in found}
+    worth(spans, [r.candidate_id for r in found])
+    with pytest.raises(ValueError):
+        S.choices(df, 0.0)
 
 
 def test_long_fuzzy_beats_short_exact(spark):
