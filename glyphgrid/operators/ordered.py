@@ -20,7 +20,6 @@ from glyphgrid.operators.candidates import accepted, for_values, in_order
 from glyphgrid.operators.labels import require
 from glyphgrid.operators.orthogonal import once
 from glyphgrid.operators.textindex import norm_text, raw_text
-from glyphgrid.session import small_batches
 
 SOURCE = "ordered-alignment"
 #: Characters in a bin, by which runs meet values and words.
@@ -152,7 +151,6 @@ def runs(source: str, target: str) -> list[tuple[int, int, int, bool]]:
 
 def page_runs(texts: DataFrame) -> DataFrame:
     """``RUN`` of every page (page_key, source, target). A page's texts are one row, as their alignment is one path."""
-    small_batches(texts.sparkSession)
     schema = pa.schema([("page_key", pa.string()), ("source_at", pa.int32()), ("target_at", pa.int32()), ("n", pa.int32()), ("same", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -95,3 +95,13 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         said = spark.conf.get(key).removesuffix("b")
         if not said.isdigit() or not 0 < int(said) <= most:
             spark.conf.set(key, str(most))
+
+
+def slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches a few rows at a time, where what is made of whole texts takes many times their room.
+
+    Spark itself closes a batch by its bytes (``spark.sql.execution.arrow.maxBytesPerBatch``).
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
