@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphgrid.llm.columns import unused
 from glyphgrid.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,13 +97,14 @@ def exact_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns, one of each group; told apart by id and text."""
+    id_, kept_, n_, sha_ = unused(docs, "id", "kept", "n", "sha")
     last = exact_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    kept = materialize(last.groupBy(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__kept")).agg(F.count("*").alias("__n")), "kept")
+    kept = materialize(last.groupBy(F.col("doc_id").alias(id_), F.unhex("text_sha256").alias(kept_)).agg(F.count("*").alias(n_)), "kept")
     sha = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256))
-    keyed = docs.withColumn("__sha", sha)
-    of = lambda which: keyed.join(kept.filter(which), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept")), "left_semi")
-    if kept.filter("__n > 1").isEmpty():
-        return of("__n = 1").drop("__sha")
+    keyed = docs.withColumn(sha_, sha)
+    of = lambda which: keyed.join(kept.filter(which), F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(sha_) == F.col(kept_)), "left_semi")
+    if kept.filter(F.col(n_) > 1).isEmpty():
+        return of(F.col(n_) == 1).drop(sha_)
     # rows that repeat id and text: one of each
-    again = of("__n > 1").withColumn("__id", F.col("doc_id").cast("long")).dropDuplicates(["__id", "__sha"]).drop("__id")
-    return of("__n = 1").unionByName(again).drop("__sha")
+    again = of(F.col(n_) > 1).withColumn(id_, F.col("doc_id").cast("long")).dropDuplicates([id_, sha_]).drop(id_)
+    return of(F.col(n_) == 1).unionByName(again).drop(sha_)

@@ -11,8 +11,14 @@ it has to be spelled out.
 The whole text is parsed, in rows of ``ROW`` characters that all advance by one
 character at a time, so that a batch of texts of any lengths is a few array
 operations a character. A row begins in the state in which the row before it
-ended: rows whose state was not known yet are parsed again, until none changes.
-Parses from different states soon meet, so that is twice in all but rare cases.
+ended: rows whose state was not known yet are parsed again. Parses from different
+states soon meet, so that is twice in most cases; rows that have not met after
+``PASSES`` (a run of one letter) are gone through one character after the other,
+so that the time is in proportion to the text, whatever it repeats.
+
+Memory of a worker: the tables of all languages take at most ``TABLE_BYTES``, with
+a share for each; a language whose letters need more has its transitions in a sorted
+list. A text of a 65th label, by number of rows, is given one of the 64 learned.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0,
 and so is every text if nothing was learned. Rows are judged one by one;
@@ -32,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphgrid.session import small_batches
+from glyphgrid.session import slices
 
 #: The sample: languages learned (those with most rows), rows looked at and characters held for each.
 LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS = 64, 48, 20_000
 ROW = 256
-#: Languages with more letters have their transitions in a sorted list instead of a table.
-WIDEST = 256
+#: Bytes of all languages' tables, and passes over rows side by side.
+TABLE_BYTES = 256 << 20
+PASSES = 3
 #: Bits that name any code point.
 LITERAL = 20
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -115,7 +122,7 @@ class SuffixAutomaton:
 class Greedy:
     """The greedy parse of one language: its letters, and from state and symbol twice the next state, plus 1 where a phrase begins."""
 
-    def __init__(self, text: str, symbol: np.ndarray, letters_: int):
+    def __init__(self, text: str, symbol: np.ndarray, letters_: int, room: int = TABLE_BYTES):
         # symbols of the language: its letters, then one for blanks, for letters it has not, and for what fills a row
         own = np.unique(text_symbols(text, symbol))
         own = own[own < letters_]
@@ -130,7 +137,7 @@ class Greedy:
         root = np.full(self.width, 1, np.int64)  # from the root; what the sample has not is a phrase of its own
         root[c[state == 0]] = 2 * to[state == 0] + 1
         self.table, self.keys = None, None
-        if self.width <= WIDEST:
+        if 4 * len(automaton.next) * self.width <= room:
             self.table = np.tile(root, (len(automaton.next), 1))
             self.table[state, c] = 2 * to + (state == 0)
             self.table[:, self.pad] = 0
@@ -152,7 +159,9 @@ class Greedy:
         n, own = columns.shape[1], self.local[columns]
         begin, end, count = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
         wanted = np.arange(n)
-        while len(wanted):
+        for _ in range(PASSES):
+            if not len(wanted):
+                break
             state, some = begin[wanted], np.zeros(len(wanted), np.int32)
             for column in own[:, wanted] if len(wanted) < n else own:
                 state = self.step(state, column)
@@ -162,9 +171,33 @@ class Greedy:
             carried = np.where(first, 0, np.concatenate((end[:1], end[:-1]))).astype(np.int32)
             wanted = np.flatnonzero(carried != begin)
             begin = carried
+        if len(wanted):
+            self.one_by_one(own, first, begin, end, count, wanted)
         return count
 
 
+    def one_by_one(self, own: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray, count: np.ndarray, wanted: np.ndarray) -> None:
+        """Parse the rows that have not met, and those that then begin otherwise, in order; counts change in place."""
+        if self.table is not None:
+            table, width = memoryview(self.table), self.width
+            step = lambda state, c: table[state * width + c]
+        else:
+            to, root, width = dict(zip(self.keys.tolist(), self.to.tolist(), strict=True)), self.root.tolist(), self.width
+            step = lambda state, c: to.get(state * width + c, root[c])
+        row, due = -1, wanted.tolist()
+        for start in due:
+            row = max(row, start)
+            while row < len(first) and (row == start or begin[row] != (0 if first[row] else end[row - 1])):
+                state = begin[row] = 0 if first[row] else end[row - 1]
+                state, some = int(state), 0
+                for c in own[:, row].tolist():
+                    state = step(state, c)
+                    some += state & 1
+                    state >>= 1
+                end[row], count[row] = state, some
+                row += 1
+
+
 def text_symbols(text: str, symbol: np.ndarray) -> np.ndarray:
     """Letters by number; a run of anything else is one blank."""
     s = symbol[code_points(text)]
@@ -190,7 +223,7 @@ class Parser:
             for other in (chr(c).upper(), chr(c).title()):
                 if len(other) == 1 and self.symbol[ord(other)] == n + 1:
                     self.symbol[ord(other)] = k
-        self.languages = [Greedy(t, self.symbol, n) for _, t in texts]
+        self.languages = [Greedy(t, self.symbol, n, TABLE_BYTES // max(len(texts), 1)) for _, t in texts]
 
     def symbols(self, text: str) -> np.ndarray:
         return text_symbols(text, self.symbol)
@@ -239,12 +272,11 @@ def predict(docs: DataFrame, texts: dict[str, str], rows: int = 256) -> DataFram
     The score is the second best language's share of the two best entropies: one
     half if nothing tells them apart, near 1 if the best is far better.
     """
-    small_batches(docs.sparkSession, rows)
     known = tuple(sorted(texts.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(known)
-        for batch in batches:
+        for batch in slices(batches, rows):
             found = p.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -253,14 +285,14 @@ def predict(docs: DataFrame, texts: dict[str, str], rows: int = 256) -> DataFram
 
 def relabelled(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     """``docs`` with the predicted language as ``lang``, without the rows that have none (``und``)."""
-    small_batches(docs.sparkSession)
     known = tuple(sorted(texts.items()))
 
     @F.pandas_udf("string")
     def predicted(column):
         import pandas as pd
 
-        return pd.Series([x for x, _ in parser(known).predict([t if isinstance(t, str) else None for t in column])], dtype=object)
+        p, texts_ = parser(known), [t if isinstance(t, str) else None for t in column]
+        return pd.Series([x for at in range(0, len(texts_), 256) for x, _ in p.predict(texts_[at : at + 256])], dtype=object)
 
     return docs.withColumn("lang", predicted(F.col("text").cast("string"))).filter("lang <> 'und'")
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphgrid.llm.columns import unused
 from glyphgrid.session import materialize
 
 #: Slots in a period; documents in a block; the exponent that turns a source's share into its weight.
@@ -37,6 +38,8 @@ PERIOD, BLOCK, TEMPERATURE = 1000, 16, 0.7
 SLOTS = 200
 #: Rows that one part of a source should have, for numbering.
 PART = 50_000
+#: Files whose starts are broadcast, some MB.
+FILES = 100_000
 
 
 def source_weights(counts: DataFrame, period: int = PERIOD, temperature: float = TEMPERATURE, targets: dict[str, float] | None = None) -> DataFrame:
@@ -140,19 +143,24 @@ def mix(docs: DataFrame, period: int | None = None, block: int = BLOCK, temperat
 
 def in_mixed_order(docs: DataFrame, period: int | None = None, block: int = BLOCK, temperature: float = TEMPERATURE, targets: dict[str, float] | None = None) -> DataFrame:
     """All rows and columns of ``docs``, dealt and sorted so that files, read in order, follow the mix."""
-    order = mix(docs, period, block, temperature, targets).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("__at")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(order, docs["doc_id"].cast("long").eqNullSafe(order["__id"]))
-    return joined.repartitionByRange("__at").sortWithinPartitions("__at").drop("__at", "__id")
+    at, id_ = unused(docs, "at", "id")
+    order = mix(docs, period, block, temperature, targets).groupBy(F.col("doc_id").alias(id_)).agg(F.min(F.struct("slot", "place")).alias(at))
+    joined = docs.join(order, docs["doc_id"].cast("long").eqNullSafe(order[id_]))
+    return joined.repartitionByRange(at).sortWithinPartitions(at).drop(at, id_)
 
 
 def in_file_order(docs: DataFrame, name: str = "position") -> DataFrame:
     """``docs``, read from the files of :func:`in_mixed_order`, with each row's number in the order of the mix.
 
-    Rows are numbered by file name and place in the file, whatever order the
-    scan takes files in. Only the number of rows of each file is gathered.
+    Rows are numbered by the number in the file's name, the name and the place in the
+    file, whatever order the scan takes files in. Only the number of rows of each file
+    is gathered, and broadcast if it is for at most ``FILES`` files.
     """
-    placed = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    sizes = placed.groupBy("__file").agg(F.count("*").alias("__n"))
-    ahead = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("__file", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
-    return placed.join(F.broadcast(before), "__file").withColumn(name, F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
+    file, row, ahead = unused(docs, "file", "row", "ahead")
+    placed = docs.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    sizes = materialize(placed.groupBy(file).agg(F.count("*").alias("n")), "file-sizes")
+    number = F.regexp_extract(file, r"^part-(\d+)", 1).try_cast("long")
+    before = Window.orderBy(number, file).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(file, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(ahead))
+    starts = F.broadcast(starts) if sizes.count() <= FILES else starts
+    return placed.join(starts, file).withColumn(name, F.col(ahead) + F.col(row)).drop(file, row, ahead)

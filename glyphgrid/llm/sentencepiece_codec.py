@@ -25,8 +25,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphgrid.session import small_batches
-
 SPACE = "▁".encode()
 ENCODED = "n_tokens long, ids array<int>, begins array<int>, ends array<int>"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long"
@@ -152,8 +150,6 @@ def encode(df: DataFrame, text: str | Column, model: bytes, end: bool = True) ->
 
     Columns of ``df`` with one of these names are replaced.
     """
-    small_batches(df.sparkSession)
-
     @F.pandas_udf(ENCODED)
     def encoded(texts):
         import pandas as pd
@@ -172,8 +168,6 @@ def encode(df: DataFrame, text: str | Column, model: bytes, end: bool = True) ->
 
 def decode(df: DataFrame, ids: str, model: bytes, to: str = "decoded") -> DataFrame:
     """``df`` with the text of the ids; null ids decode to the empty string."""
-    small_batches(df.sparkSession)
-
     @F.pandas_udf("string")
     def decoded(lists):
         import pandas as pd
@@ -191,8 +185,6 @@ def digests(docs: DataFrame, model: bytes, end: bool = True, keep: tuple[str, ..
     ``keep``, last. Ids and texts stay in the Python worker, so that only
     digests leave it. A null id stays null.
     """
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         decimal = c.decimal.__getitem__

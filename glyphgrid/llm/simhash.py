@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphgrid.llm.columns import each_index, let, words
+from glyphgrid.llm.columns import each_index, let, unused, words
 from glyphgrid.llm.components import connected_components
 from glyphgrid.llm.exact_dedup import ascii_lower
-from glyphgrid.session import discard, materialize, small_batches, tasks
+from glyphgrid.session import discard, materialize, tasks
 
 SHINGLE, RADIUS = 3, 3
 #: Codes under one top node before it is divided again.
@@ -66,8 +66,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row, the fingerprint as a signed 64-bit number."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
@@ -226,14 +224,21 @@ def near_links(codes: DataFrame, radius: int = RADIUS, most: int = MOST) -> Data
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """doc_id, fingerprint and component_id (the smallest id reachable over links) of every row.
 
-    A fingerprint may be that of a third of all rows; its rows meet in
-    ``SALTS`` parts and get their answer the same way.
+    Fingerprints are linked by numbers of their own, so that one whose rows have no
+    id still links others; ids come to the components afterwards. A fingerprint may
+    be that of a third of all rows, and a component may hold a third of all
+    fingerprints; both meet in ``SALTS`` parts and get their answer the same way.
     """
     rows = materialize(fingerprints(docs, shingle), "fingerprints").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     parts = rows.groupBy("fp", "salt").agg(F.min("doc_id").alias("rep"))
-    codes = materialize(parts.groupBy("fp").agg(F.min("rep").alias("rep")), "codes")
-    found = connected_components(near_links(codes.filter("rep IS NOT NULL").select("rep", F.col("fp").alias("code"), F.lit("").alias("node")), radius, most))
-    named = codes.join(found, codes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    codes = materialize(parts.groupBy("fp").agg(F.min("rep").alias("rep")).withColumn("number", F.monotonically_increasing_id()), "codes")
+    found = connected_components(near_links(codes.select(F.col("number").alias("rep"), F.col("fp").alias("code"), F.lit("").alias("node")), radius, most))
+    of = codes.join(found, codes["number"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "number").alias("component"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("part"))
+    of = materialize(of, "code-components")
+    some = of.groupBy("component", "part").agg(F.min("rep").alias("rep"))
+    least = some.select("component", "part").join(some.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
+    named = of.join(least, ["component", "part"]).select("fp", "component_id")
+    discard(codes, found)
     back = parts.select("fp", "salt").join(named, "fp")
     return rows.join(back, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -244,8 +249,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
     Rows with one id are one document here: all go if one of them is a near copy
     of a smaller id. Rows without an id stay.
     """
-    gone = near_duplicates(docs, shingle, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    [name] = unused(docs, "gone")
+    gone = near_duplicates(docs, shingle, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
 
 
 #: For copies by similarity: words of a shingle, and the least Jaccard similarity.
@@ -299,8 +305,6 @@ def shingle_codes(text: str | None, hashes: dict[bytes, int], shingle: int = SIM
 
 def similar_codes(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """(doc_id, fp, bands): fingerprint and band codes of every row with an id."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[bytes, int] = {}
         for batch in batches:
@@ -464,5 +468,6 @@ def open_members(buckets: DataFrame, groups: DataFrame) -> DataFrame:
 
 def drop_similar_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without copies by similarity; rows without an id stay."""
-    gone = similar_copies(docs, similarity).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    [name] = unused(docs, "gone")
+    gone = similar_copies(docs, similarity).select(F.col("doc_id").alias(name))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

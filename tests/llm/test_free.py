@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -235,9 +236,9 @@ def squeezed(t):
     return " ".join(t.split(" ")) if "  " not in t else squeezed(t.replace("  ", " "))
 
 
-@pytest.mark.parametrize("widest", [256, 1])
-def test_phrases_against_substring_search(widest, monkeypatch):
-    monkeypatch.setattr(langid, "WIDEST", widest)
+@pytest.mark.parametrize("room", [langid.TABLE_BYTES, 1])
+def test_phrases_against_substring_search(room, monkeypatch):
+    monkeypatch.setattr(langid, "TABLE_BYTES", room)
     rng = random.Random(6)
     for size in [200] * 12 + [5000] * 3:
         sample = "".join(rng.choice("abcd ") for _ in range(200))
@@ -254,7 +255,8 @@ def test_a_long_part_of_the_sample_is_one_phrase():
     assert p.phrases([p.symbols(squeezed(sample)[4000:9000].strip())])[0, 0] == 1
 
 
-def test_languages_of_thousands_of_letters():
+def test_languages_of_thousands_of_letters(monkeypatch):
+    monkeypatch.setattr(langid, "TABLE_BYTES", 1 << 20)
     rng = random.Random(10)
     one, two = [chr(c) for c in range(0x4E00, 0x5600)], [chr(c) for c in range(0x5400, 0x5C00)]
     write = lambda signs, n: "".join(signs[min(int(rng.expovariate(0.004)), len(signs) - 1)] for _ in range(n))
@@ -408,3 +410,34 @@ def test_scores_against_the_counts_whatever_is_sent(spark, head, limit):
     # hits of the filter may raise a level
     assert near >= (1.0 if limit == 0 else 0.9) * len(texts)
     assert sum(got[k].score for k in got) == pytest.approx(sum(expected), rel=0.002)
+
+
+def test_a_row_without_an_id_links_others(spark, monkeypatch):
+    codes = {1: 0b0, None: 0b11100, 2: 0b11111100, 9: 0xFFFF0000}  # the null row is the only bridge from 1 to 2
+    frame = spark.createDataFrame([(k, c) for k, c in codes.items()] + [(None, 0xFFFF0001), (None, 0x7FFF000000000000)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: frame)
+    got = sorted((r.fingerprint, r.doc_id or -1, r.component_id) for r in simhash.near_duplicates(frame).collect())
+    assert got == [("0000000000000000", 1, 1), ("000000000000001c", -1, 1), ("00000000000000fc", 2, 1), ("00000000ffff0000", 9, 9), ("00000000ffff0001", -1, 9), ("7fff000000000000", -1, None)]
+
+
+def test_long_repetitive_texts_are_one_pass(monkeypatch):
+    rng = random.Random(1)
+    samples = tuple({"aa": " ".join(rng.choice(["tion", "the", "aaa", "aaaaaa"]) for _ in range(3000)), "bb": " ".join(rng.choice(["que", "ment", "ab"]) for _ in range(3000))}.items())
+    p = langid.Parser(samples)
+
+    def by_hand(g, sequence):
+        state = n = 0
+        for c in g.local[sequence].tolist():
+            to = int(g.step(np.array([state]), np.array([c]))[0])
+            n, state = n + (to & 1), to >> 1
+        return n
+
+    texts = ["a" * 5000, "the " * 700 + "a" * 3000, "ab" * 2000, "", "zz", "aaa que " * 400]
+    for room in (langid.TABLE_BYTES, 1):  # in tables and in lists
+        monkeypatch.setattr(langid, "TABLE_BYTES", room)
+        p = langid.Parser(samples)
+        sequences = [p.symbols(t) for t in texts]
+        assert p.phrases(sequences).tolist() == [[by_hand(g, s) for g in p.languages] for s in sequences]
+    began = time.time()
+    langid.Parser(samples).predict(["a" * 2_000_000])
+    assert time.time() - began < 60

@@ -56,6 +56,7 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
     rows = [(1, "one small text", "s"), (1, "one small text", "s"), (None, "no id here", None), (None, "no id here", None), (5, long_, "s"), (6, long_ + " end", "t"), (7, "", "t"), (8, None, "t"), (9, "ONE small text", "u")]
     docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs = docs.withColumns({n: F.lit("clash") for n in ("row", "key", "rep", "doc", "slot", "place", "order", "component", "s", "n", "salt", "recipe", "norm", "fp", "bands")})
+    docs = docs.withColumns({n: F.lit("clash") for n in ("id", "kept", "sha", "gone", "at", "__sha", "__id", "__kept", "__at", "__row", "__file", "__n", "__gone", "__before", "file", "ahead")})
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     now, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
     for name, stage in corpus_pipeline.STAGES:
@@ -89,3 +90,16 @@ def test_positions_follow_the_schedule(spark, tmp_path):
         expect += queues[s][had[s] * size : (had[s] + 1) * size]
         had[s], t = had[s] + 1, t + 1
     assert sorted(got, key=got.get) == expect and sorted(got.values()) == list(range(400))
+
+
+def test_positions_follow_the_numbers_of_files(spark, tmp_path):
+    """Names of six digits come after those of five, though not as texts; columns stay, whatever they are called."""
+    docs = spark.createDataFrame([(k, f"text {k}", "s") for k in range(6)], "doc_id long, text string, source string").withColumns({n: F.col("doc_id") for n in ("file", "row", "ahead", "__row")})
+    for k, number in enumerate(("00007", "99999", "100000")):
+        docs.filter(F.col("doc_id").between(2 * k, 2 * k + 1)).coalesce(1).sortWithinPartitions("doc_id").write.parquet(str(tmp_path / number))
+        [part] = (tmp_path / number).glob("part-*.parquet")
+        (tmp_path / "all").mkdir(exist_ok=True)
+        part.rename(tmp_path / "all" / f"part-{number}-x.parquet")
+    out = mixing.in_file_order(spark.read.parquet(str(tmp_path / "all")))
+    assert {r.doc_id: r.position for r in out.collect()} == {k: k for k in range(6)}
+    assert out.columns == [*docs.columns, "position"]
