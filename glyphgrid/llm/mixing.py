@@ -1,19 +1,25 @@
 """Mixing sources to target weights by Pfair scheduling; DataFrame functions only.
 
-Target weights are multiples of 1/period, which is ``PERIOD`` or, of more
-sources, ``SLOTS`` for each. So sources too small for a slot of their own take
-at most 1/``SLOTS`` of any other's target. Block j (from 0) of a source of
+Target weights are multiples of 1/period. Block j (from 0) of a source of
 weight w may not run before slot floor(j / w), its release, and must have run
 by slot ceil((j + 1) / w), its deadline; every slot runs the released block
 with the earliest deadline. As the weights sum to one, every deadline is met
 and at every slot each source has had its weight's share to within less than
-one block. The schedule repeats after a period, so one period is worked
-out, on the driver from the weights alone and in time linear in its slots, and
-every block of a source finds its slot by arithmetic.
+one block.
+
+A source with a target of at least 1/``PERIOD`` is scheduled by itself. Smaller
+ones whose targets lie within a factor of ``GRID`` are one kind with one weight,
+which is their mean, and take the kind's blocks in turn: block j of its s-th of m
+members is block j * m + s of the kind, whose window lies within the member's own,
+so that members deviate by less than a block too. Whatever the number of sources,
+there are at most ``PERIOD`` of the first sort and some hundred kinds, and the
+period, ``PERIOD`` or ``SLOTS`` for each of them if that is more, is bounded; the
+schedule of one period is worked out on the driver from the kinds' weights alone,
+and every block of a source finds its slot by arithmetic.
 
 A source that runs dry leaves its slots empty and the others go on in order;
 ``on_target`` marks the slots before the first such gap. No document is dropped
-or repeated.
+or repeated; a source without a target gets some slots too.
 
 Defined results: null sources are one source, the empty name. Rows that repeat
 an id each have a place. An empty table gives an empty result. In
@@ -23,6 +29,7 @@ the plain form only id and source are read.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -34,30 +41,55 @@ from glyphgrid.session import materialize
 
 #: Slots in a period; documents in a block; the exponent that turns a source's share into its weight.
 PERIOD, BLOCK, TEMPERATURE = 1000, 16, 0.7
-#: Slots of a period for each source, at least.
-SLOTS = 200
+#: Slots of a period for each kind of sources, at least, and the factor within which small targets are one kind.
+SLOTS, GRID = 200, 1.05
 #: Rows that one part of a source should have, for numbering.
 PART = 50_000
 #: Files whose starts are broadcast, some MB.
 FILES = 100_000
 
 
-def source_weights(counts: DataFrame, period: int = PERIOD, temperature: float = TEMPERATURE, targets: dict[str, float] | None = None) -> DataFrame:
-    """(source, n, weight): whole numbers of at least 1 that sum to ``period``.
+def kinds_of(counts: DataFrame, temperature: float = TEMPERATURE, targets: dict[str, float] | None = None) -> DataFrame:
+    """(source, n, share, kind): a source's target share, and the name of the kind it is scheduled with.
 
-    Without ``targets`` a source's weight follows its share of documents to the
-    power ``temperature``. Largest remainders settle the rounding.
+    Without ``targets`` a source's share follows its documents to the power ``temperature``.
     """
     raw = F.pow(F.col("n").cast("double"), F.lit(temperature))
     if targets:
         wanted = counts.sparkSession.createDataFrame(pa.table({"source": pa.array(list(targets), pa.string()), "target": pa.array(list(targets.values()), pa.float64())}))
         counts, raw = counts.join(wanted, "source", "left"), F.coalesce("target", F.lit(0.0))
+    total = counts.agg(F.sum(raw)).first()[0] or 1.0
+    share = raw / F.lit(float(total))
+    step = F.floor(F.log(F.col("share")) / F.lit(math.log(GRID))).cast("string")
+    kind = F.when(F.col("share") >= 1 / PERIOD, F.concat(F.lit("="), "source")).when(F.col("share") > 0, F.concat(F.lit("~"), step)).otherwise(F.lit("none"))
+    return counts.select("source", "n", share.alias("share")).withColumn("kind", kind)
+
+
+def kind_weights(kinds: DataFrame, period: int | None = None) -> DataFrame:
+    """(kind, members, weight, period): whole numbers of at least 1 that sum to ``period``; largest remainders settle the rounding.
+
+    A period that is asked for grows only if it has less than a slot for each kind.
+    """
+    each = materialize(kinds.groupBy("kind").agg(F.count("*").alias("members"), F.sum("share").alias("share")), "kinds")  # a bounded number
+    found = each.count()
+    if period is None or period < found:
+        period = max(PERIOD, SLOTS * found)
     all_ = Window.partitionBy()
-    # each source has 1, and shares in the others by weight
-    given = counts.withColumn("k", F.count("*").over(all_)).withColumn("share", raw / F.sum(raw).over(all_) * (period - F.col("k")))
-    short = period - F.col("k") - F.sum(F.floor("share")).over(all_)
-    order = F.row_number().over(Window.partitionBy().orderBy(F.desc(F.round(F.col("share") - F.floor("share"), 9)), "source"))
-    return given.withColumn("short", short).withColumn("rank", order).select("source", "n", (1 + F.floor("share") + (F.col("rank") <= F.col("short")).cast("long")).alias("weight"))
+    # each kind has 1, and shares in the others by weight
+    given = each.withColumn("share", F.col("share") / F.greatest(F.sum("share").over(all_), F.lit(1e-300)) * (period - found))
+    short = period - found - F.sum(F.floor("share")).over(all_)
+    order = F.row_number().over(Window.partitionBy().orderBy(F.desc(F.round(F.col("share") - F.floor("share"), 9)), "kind"))
+    ranked = given.withColumn("short", short).withColumn("rank", order)
+    return ranked.select("kind", "members", (1 + F.floor("share") + (F.col("rank") <= F.col("short")).cast("long")).alias("weight"), F.lit(period).cast("long").alias("period"))
+
+
+def source_weights(counts: DataFrame, period: int | None = None, temperature: float = TEMPERATURE, targets: dict[str, float] | None = None) -> DataFrame:
+    """(source, n, kind, members, member, weight, period): the weight of a source's kind, and which of its members the source is."""
+    kinds = materialize(kinds_of(counts, temperature, targets), "source-kinds")
+    turns = kinds.select(F.col("kind").alias("source"), F.col("source").alias("doc_id"), "n", F.xxhash64("source").alias("order"))
+    sources = kinds.count()
+    member = numbered(turns.withColumnRenamed("n", "has"), max(1, -(-sources // PART))).select(F.col("doc_id").alias("source"), F.col("has").alias("n"), F.col("source").alias("kind"), F.col("n").alias("member"))
+    return member.join(kind_weights(kinds, period), "kind").select("source", "n", "kind", "members", "member", "weight", "period")
 
 
 def slots_of(weights: list[int]) -> tuple[list[int], list[int]]:
@@ -81,13 +113,11 @@ def slots_of(weights: list[int]) -> tuple[list[int], list[int]]:
 
 
 def one_period(weights: DataFrame) -> DataFrame:
-    """(source, weight, j, slot): the slot of each block of a period. Only sources and weights come to the driver."""
-    rows = sorted(((r["source"], int(r["weight"])) for r in weights.select("source", "weight").collect()), key=lambda r: (r[0].encode(), r[1]))
+    """(kind, j, slot): the slot of each block of a period. Only the kinds and their weights come to the driver."""
+    rows = sorted(((r["kind"], int(r["weight"])) for r in weights.select("kind", "weight").distinct().collect()), key=lambda r: (r[0].encode(), r[1]))
     turn, block = (np.array(x, np.int64) for x in slots_of([w for _, w in rows]))
-    plan = pa.table({"i": turn, "j": block, "slot": np.arange(len(turn))})
-    names = pa.table({"i": np.arange(len(rows)), "source": pa.array([s for s, _ in rows], pa.string()), "weight": pa.array([w for _, w in rows], pa.int64())})
-    spark = weights.sparkSession
-    return spark.createDataFrame(plan).join(spark.createDataFrame(names), "i").select("source", "weight", "j", "slot")
+    names = pa.array([s for s, _ in rows], pa.string())
+    return weights.sparkSession.createDataFrame(pa.table({"kind": names.take(pa.array(turn)), "j": block, "slot": np.arange(len(turn))}))
 
 
 def numbered(docs: DataFrame, parts: int) -> DataFrame:
@@ -109,35 +139,32 @@ def mix(docs: DataFrame, period: int | None = None, block: int = BLOCK, temperat
     """doc_id, source, block, release, deadline, slot, place, on_target for every row.
 
     ``place`` numbers the documents of a slot; (slot, place) is the order of the mix.
-    Without ``period`` it follows from the number of sources.
+    Without ``period`` it follows from the number of kinds of sources.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).withColumn("order", F.xxhash64("doc_id"))
+    order = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"))), F.xxhash64(F.monotonically_increasing_id()))
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), order.alias("order")), "mix-rows")
     counts = materialize(rows.groupBy("source").agg(F.count("*").alias("n")), "source-counts")
-    sources, n = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # a period that is asked for grows only if it has less than a slot for each source
-    if period is None or period < sources:
-        period = max(PERIOD, SLOTS * sources)
-    plan = materialize(one_period(source_weights(counts, period, temperature, targets)), "mix-period")
-    has = plan.groupBy("source", "weight").agg(F.count("*").alias("blocks")).join(counts.withColumnRenamed("n", "has"), "source").withColumn("has", F.floor((F.col("has") + block - 1) / block))
+    weights = materialize(source_weights(counts, period, temperature, targets), "source-weights")
+    plan = materialize(one_period(weights), "mix-period")
+    n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    period_, weight, members = F.col("period"), F.col("weight"), F.col("members")
+    # a block of a source is a block of its kind, whose turn in the period the plan has
+    turn = lambda j: (j * members + F.col("member"))
+    in_plan = lambda df: df.withColumn("j", F.col("turn") % weight).join(plan, ["kind", "j"]).withColumn("slot", F.floor(F.col("turn") / weight) * period_ + F.col("slot"))
     # the first slot without its block: the next one of each source after its last
-    dry = plan.join(has.select("source", "has"), "source").filter(F.col("j") == F.col("has") % F.col("weight")).agg(F.min(F.floor(F.col("has") / F.col("weight")) * period + F.col("slot")).alias("dry"))
-    horizon = dry.first()["dry"]
-    j = F.floor(F.col("n") / block)
-    placed = numbered(rows, max(1, -(-n // PART))).withColumn("block", j).withColumn("place", F.col("n") % block)
-    weight = plan.select("source", "weight", "j", "slot")
-    # the weight is needed to find the place in the period
-    of = weight.select("source", "weight").distinct()
-    there = placed.join(of, "source").withColumn("j", F.col("block") % F.col("weight"))
-    slotted = there.join(weight.drop("weight"), ["source", "j"]).withColumn("slot", F.floor(F.col("block") / F.col("weight")) * period + F.col("slot"))
+    dry = in_plan(weights.withColumn("turn", turn(F.ceil(F.col("n") / block)))).agg(F.min("slot")).first()[0]
+    placed = numbered(rows, max(1, -(-n // PART))).withColumn("block", F.floor(F.col("n") / block)).withColumn("place", F.col("n") % block)
+    slotted = in_plan(placed.drop("n").join(weights.drop("n"), "source").withColumn("turn", turn(F.col("block"))))
     return slotted.select(
         "doc_id",
         "source",
         "block",
-        F.floor(F.col("block") * period / F.col("weight")).alias("release"),
-        F.ceil((F.col("block") + 1) * period / F.col("weight")).alias("deadline"),
+        F.floor(F.col("block") * period_ * members / weight).alias("release"),
+        F.ceil((F.col("block") + 1) * period_ * members / weight).alias("deadline"),
         "slot",
         "place",
-        (F.col("slot") < F.lit(horizon)).alias("on_target"),
+        (F.col("slot") < F.lit(dry)).alias("on_target"),
     )
 
 

@@ -32,6 +32,8 @@ SHORTEST = 50
 #: Largest distances that pass.
 MOST_CHARS, MOST_WORDS = 0.35, 0.75
 WINDOW = 5
+#: Languages whose references are broadcast.
+SENT = 20_000
 
 
 def removed(text: Column, pattern: str) -> Column:
@@ -54,20 +56,6 @@ def repeated_words(ws: Column, n: int = WINDOW) -> Column:
     return let(F.transform(ws, lambda w: F.xxhash64(w)), counted)
 
 
-def common_words(docs: DataFrame, k: int = COMMON) -> dict[str | None, list[tuple[str, float]]]:
-    """The k most common words of each language with their share of its words, most common first."""
-    counts = docs.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    counts = materialize(counts, "word-counts")
-    sums = counts.groupBy("lang").agg(F.sum("n").alias("all"))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    known = {r["lang"]: r["all"] for r in sums.collect()}
-    found: dict[str | None, list[tuple[str, float]]] = {}
-    for r in sorted(top.collect(), key=lambda r: r["rank"]):
-        found.setdefault(r["lang"], []).append((r["word"], r["n"] / known[r["lang"]]))
-    return found
-
-
 def shares(counts: Column) -> Column:
     return let(counts, lambda c: let(F.greatest(total(c), F.lit(1)), lambda n: F.transform(c, lambda x: x / n)))
 
@@ -82,7 +70,25 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
-def features(docs: DataFrame, common: dict[str | None, list[tuple[str, float]]]) -> DataFrame:
+def references(docs: DataFrame, k: int = COMMON) -> DataFrame:
+    """(key, common, word_share): of each language the hashes of its k most common words, most common first, and their shares and that of all others."""
+    counts = docs.select("key", F.explode(words(F.col("text"))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
+    counts = materialize(counts.select("key", "word", F.xxhash64("word").alias("h"), "n"), "word-counts")
+    sums = counts.groupBy("key").agg(F.sum("n").alias("all"))
+    best = Window.partitionBy("key").orderBy(F.desc("n"), "word")
+    top = counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    lists = top.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rank", "h", "n"))).alias("top")).join(sums, "key")
+    share = F.transform("top", lambda x: x["n"] / F.col("all"))
+    rest = F.greatest(1 - F.aggregate(share, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+    return lists.select("key", F.transform("top", lambda x: x["h"]).alias("common"), F.concat(share, F.array(rest)).alias("word_share"))
+
+
+def by_language(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """``docs`` with what a written table ``of`` has for their language: broadcast for at most ``SENT`` languages (each some hundred bytes), else joined as Spark chooses."""
+    return docs.join(F.broadcast(of) if of.count() <= SENT else of, "key", "left")
+
+
+def features(docs: DataFrame) -> DataFrame:
     """One row a document: the base counts, the class counts and the common words' counts."""
     rest = docs.withColumn("words", words(F.col("text"))).withColumn("marks", removed(F.col("text"), r"\p{L}+"))
     length, left = F.length("text"), F.length("marks")
@@ -92,44 +98,33 @@ def features(docs: DataFrame, common: dict[str | None, list[tuple[str, float]]])
     classes = F.array(*(x.cast("long") for x in (upper, length - left - upper, digits, blanks, symbols, points, left - digits - blanks - symbols - points)))
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
-    def hits(ws: list[str]) -> Column:
-        if not ws:
-            return F.array().cast("array<long>")
-        return let(F.filter(F.col("words"), lambda w: w.isin(ws)), lambda c: F.transform(F.array(*map(F.lit, ws)), lambda r: F.size(F.filter(c, lambda w: w == r)).cast("long")))
-
-    of_language = F.array().cast("array<long>")
-    for lang, ws in common.items():
-        of_language = F.when(F.col("lang").eqNullSafe(F.lit(lang)), hits([w for w, _ in ws])).otherwise(of_language)
+    hits = let(F.coalesce("common", F.array().cast("array<long>")), lambda known: let(F.filter(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.array_contains(known, h)), lambda met: F.transform(known, lambda r: F.size(F.filter(met, lambda h: h == r)).cast("long"))))
     return rest.select(
         "doc_id",
-        "lang",
+        "key",
         F.size("words").cast("long").alias("n_words"),
         (length - blanks).cast("long").alias("word_chars"),
         symbols.cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         classes.alias("classes"),
-        of_language.alias("hits"),
+        hits.alias("hits"),
+        F.coalesce("word_share", F.array(F.lit(1.0))).alias("word_share"),
     )
 
 
 def judge(docs: DataFrame, k: int = COMMON, shortest: int = SHORTEST, most_chars: float = MOST_CHARS, most_words: float = MOST_WORDS) -> DataFrame:
     """Every document with its counts, its two distances and the verdict."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    common = common_words(base, k)
-    found = materialize(features(base, common), "quality")
-    sums = found.groupBy("lang").agg(*(F.sum(F.col("classes")[i]).alias(c) for i, c in enumerate(CLASSES)))
-    char_share, word_share = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>")
-    for r in sums.collect():
-        n, mine = max(sum(r[c] for c in CLASSES), 1), F.col("lang").eqNullSafe(F.lit(r["lang"]))
-        char_share = F.when(mine, F.array(*(F.lit(r[c] / n) for c in CLASSES))).otherwise(char_share)
-        ws = [p for _, p in common.get(r["lang"], [])]
-        word_share = F.when(mine, F.array(*map(F.lit, [*ws, max(1.0 - sum(ws), 0.0)]))).otherwise(word_share)
+    key = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("key"))
+    found = materialize(features(by_language(base, materialize(references(base, k), "common-words"))), "quality")
+    sums = found.groupBy("key").agg(F.array(*(F.sum(F.col("classes")[i]) for i in range(len(CLASSES)))).alias("sums"))
+    found = by_language(found, materialize(sums.select("key", shares(F.col("sums")).alias("char_share")), "class-shares"))
     in_words = let(F.col("hits"), lambda h: shares(F.concat(h, F.array(F.col("n_words") - total(h)))))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     odd = (F.col("n_words") >= shortest) & ((F.col("js_chars") > most_chars) | (F.col("js_words") > most_words))
     return (
-        found.withColumn("js_chars", distance(shares(F.col("classes")), char_share))
-        .withColumn("js_words", distance(in_words, word_share))
+        found.withColumn("js_chars", distance(shares(F.col("classes")), F.col("char_share")))
+        .withColumn("js_words", distance(in_words, F.col("word_share")))
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.coalesce(odd, F.lit(False))).alias("kept"), "js_chars", "js_words")
     )

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,8 +124,42 @@ def test_many_sources_are_mixed_to_their_targets(spark, sources):
     for s in ("s0", "s1"):
         (due,) = [r.deadline for r in out if r.source == s and r.block == 1]
         assert due == math.ceil(2 / targets[s])
-    weights = {r.source: r.weight for r in mixing.source_weights(spark.createDataFrame([(s, 1) for s in targets], "source string, n long"), mixing.SLOTS * sources, targets=targets).collect()}
-    assert all(abs(w / (mixing.SLOTS * sources) - targets[s]) <= 0.01 * targets[s] for s, w in weights.items())
+    weights = mixing.source_weights(spark.createDataFrame([(s, 1) for s in targets], "source string, n long"), targets=targets).collect()
+    assert len(weights) == sources and all(abs(r.weight / r.members / r.period - targets[r.source]) <= 0.01 * targets[r.source] for r in weights)
+
+
+def test_tens_of_thousands_of_sources(spark):
+    """As many tasks and driver steps as for a few: sources of like sizes take turns, each within its own windows."""
+    n = 20_000
+    rows = [(10 * k + j, f"s{k}") for k in range(n) for j in range(1 + (k % 3 == 0) + 8 * (k % 1000 == 0))] + [(10**6 + k, "large") for k in range(3000)] + [(None, "none")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    began = time.time()
+    out = mixing.mix(df, block=1).collect()
+    assert time.time() - began < 60
+    assert len(out) == len(rows) == len({r.slot for r in out})
+    assert all(r.release <= r.slot < r.deadline for r in out)
+    weights = mixing.source_weights(df.groupBy("source").agg(F.count("*").alias("n"))).collect()
+    total = sum(r.n**mixing.TEMPERATURE for r in weights)
+    assert all(abs(r.weight / r.members / r.period - r.n**mixing.TEMPERATURE / total) <= (0.06 + 1.5 / r.weight) * r.n**mixing.TEMPERATURE / total for r in weights)  # the grid, and whole slots
+    assert sorted(r.member for r in weights if r.n == 1) == list(range(sum(r.n == 1 for r in weights)))
+
+
+def test_as_many_languages_as_documents(spark):
+    """References are rows, not part of the plan: many languages, nulls and long words among them."""
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "w" * 5000, f"own{k}"]) for _ in range(60)), f"l{k % 300}" if k % 7 else None) for k in range(900)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    by = collections.defaultdict(collections.Counter)
+    for _, t, lang in rows:
+        by[lang].update(t.split())
+    for k, t, lang in rows[:40]:
+        top = sorted(by[lang].items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON]
+        size, own = sum(by[lang].values()), collections.Counter(t.split())
+        q = [n / size for _, n in top] + [max(0.0, 1 - sum(n for _, n in top) / size)]
+        p = [own[w] / 60 for w, _ in top] + [1 - sum(own[w] for w, _ in top) / 60]
+        part = lambda a, m: a * math.log2(a / m) if a > 0 else 0.0
+        js = sum(part(a, (a + b) / 2) + part(b, (a + b) / 2) for a, b in zip(p, q)) / 2
+        assert got[k].js_words == pytest.approx(math.sqrt(max(js, 0.0)), abs=1e-6)
 
 
 def base_spans(t):
