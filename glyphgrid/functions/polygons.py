@@ -1,84 +1,95 @@
-"""Polygon measures that Spark has no expression for, over Arrow batches."""
+"""What polygons share with boxes, and their validity, as column expressions.
+
+A polygon is a closed ring of points; inside, rings are open.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-Ring = list[tuple[float, float]]
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, evaluated once a row however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def before(ring: Column, k: Column) -> Column:
+    """The point before the k-th of an open ring; before the first stands the last."""
+    return F.get(ring, F.when(k == 0, F.size(ring) - 1).otherwise(k - 1))
+
+
+def opened(polygon: Column) -> Column:
+    """The ring of a polygon without a point that repeats the one before it, the first included."""
+    return once(polygon, lambda p: F.filter(p, lambda q, k: q != before(p, k)))
+
+
+def under(a: Column, b: Column, box: Column) -> Column:
+    """Signed area between a side and the top of a box, of what lies over and in the box: across the box's width only, and no deeper than its height."""
+    left, top, right, bottom = box["x"], box["y"], box["x"] + box["width"], box["y"] + box["height"]
+    within = lambda v, low, high: F.least(F.greatest(v, low), high)
+    slope = (b["y"] - a["y"]) / (b["x"] - a["x"])
+    # the part of the side across the box
+    part = F.struct(within(a["x"], left, right).alias("x1"), within(b["x"], left, right).alias("x2"))
+    cut = once(part, lambda s: F.struct(s["x1"], s["x2"], (a["y"] + (s["x1"] - a["x"]) * slope).alias("y1"), (a["y"] + (s["x2"] - a["x"]) * slope).alias("y2")))
+
+    def depth(s: Column) -> Column:
+        y1, y2 = s["y1"], s["y2"]
+        inner = once(F.struct(within(y1, top, bottom).alias("u"), within(y2, top, bottom).alias("v")), lambda c: (c["v"] - c["u"]) / (y2 - y1) * ((c["u"] + c["v"]) / 2 - top))
+        below = (F.greatest(y2, bottom) - F.greatest(y1, bottom)) / (y2 - y1) * (bottom - top)
+        return (s["x2"] - s["x1"]) * F.when(y1 == y2, within(y1, top, bottom) - top).otherwise(inner + below)
+
+    return F.when(a["x"] == b["x"], F.lit(0.0)).otherwise(once(cut, depth))
 
 
-def clipped(ring: Ring, left: float, top: float, right: float, bottom: float) -> Ring:
-    """The part of an open ring inside a rectangle, cut along its four sides in turn."""
-    for axis, limit, keep_less in ((0, left, False), (0, right, True), (1, top, False), (1, bottom, True)):
-        inside = (lambda p, a=axis, m=limit: p[a] <= m) if keep_less else (lambda p, a=axis, m=limit: p[a] >= m)
-        out: Ring = []
-        for k, now in enumerate(ring):
-            before = ring[k - 1]
-            if inside(now) != inside(before):
-                t = (limit - before[axis]) / (now[axis] - before[axis])
-                cut = [before[0] + t * (now[0] - before[0]), before[1] + t * (now[1] - before[1])]
-                cut[axis] = limit
-                out.append((cut[0], cut[1]))
-            if inside(now):
-                out.append(now)
-        ring = out
-        if not ring:
-            break
-    return ring
+def shared_area(ring: Column, box: Column) -> Column:
+    """Area that an open ring, whose sides do not cross, shares with a box: the sum of what its sides have above them in the box."""
+    each = lambda r: F.transform(r, lambda p, k: once(before(r, k), lambda q: under(q, p, box)))
+    return F.abs(F.aggregate(once(ring, each), F.lit(0.0), lambda s, x: s + x))
 
 
-def ring_area(ring: Ring) -> float:
-    return abs(sum(ring[k - 1][0] * p[1] - p[0] * ring[k - 1][1] for k, p in enumerate(ring))) / 2
+def ring_area(ring: Column) -> Column:
+    """Half the absolute shoelace sum of an open ring."""
+    cross = lambda r: F.transform(r, lambda p, k: before(r, k)["x"] * p["y"] - p["x"] * before(r, k)["y"])
+    return F.abs(F.aggregate(once(ring, cross), F.lit(0.0), lambda s, x: s + x)) / 2
 
 
-def crossing(a, b, c, d) -> bool:
+def crossing(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Do the segments ab and cd meet."""
-    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
-    on = lambda p, q, r: min(p[0], q[0]) <= r[0] <= max(p[0], q[0]) and min(p[1], q[1]) <= r[1] <= max(p[1], q[1])
-    w, x, y, z = turn(a, b, c), turn(a, b, d), turn(c, d, a), turn(c, d, b)
-    if ((w > 0) != (x > 0)) and ((y > 0) != (z > 0)) and w and x and y and z:
-        return True
-    return (w == 0 and on(a, b, c)) or (x == 0 and on(a, b, d)) or (y == 0 and on(c, d, a)) or (z == 0 and on(c, d, b))
-
-
-def is_valid(ring: Ring) -> bool:
-    """Of positive area, and no two sides meet but neighbours at their corner."""
-    points = [p for k, p in enumerate(ring) if p != ring[k - 1]]
-    n = len(points)
-    if n < 3 or ring_area(points) <= 0:
-        return False
-    sides = [(points[k], points[(k + 1) % n]) for k in range(n)]
-    for i in range(n):
-        for j in range(i + 1, n):
-            if j == i + 1 or (i == 0 and j == n - 1):
-                a, b = (sides[i], sides[j]) if j == i + 1 else (sides[j], sides[i])
-                corner, before, after = b[0], a[0], b[1]
-                flat = (before[0] - corner[0]) * (after[1] - corner[1]) == (before[1] - corner[1]) * (after[0] - corner[0])
-                back = (before[0] - corner[0]) * (after[0] - corner[0]) + (before[1] - corner[1]) * (after[1] - corner[1]) > 0
-                if flat and back:  # the ring turns back on itself
-                    return False
-            elif crossing(*sides[i], *sides[j]):
-                return False
-    return True
-
-
-@F.pandas_udf(T.DoubleType())
-def polygon_box_area(polygons, boxes):
-    """Area that polygons share with boxes; null polygons give null, an invalid polygon is an error."""
-    import pandas as pd
-
-    known: dict[tuple, Ring] = {}
-    out = []
-    for p, (x, y, w, h) in zip(polygons, boxes[["x", "y", "width", "height"]].itertuples(index=False), strict=True):
-        if p is None:
-            out.append(None)
-            continue
-        key = tuple((q["x"], q["y"]) for q in p)
-        if key not in known:
-            ring = list(key[:-1] if key[0] == key[-1] else key)
-            if not is_valid(ring):
-                raise ValueError(f"polygon is not valid: {key[:4]}")
-            known[key] = ring
-        out.append(ring_area(clipped(known[key], x, y, x + w, y + h)))
-    return pd.Series(out, dtype="float64")
+    turn = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+    between = lambda p, q, r, n: (F.least(p[n], q[n]) <= r[n]) & (r[n] <= F.greatest(p[n], q[n]))
+    on = lambda p, q, r: (turn(p, q, r) == 0) & between(p, q, r, "x") & between(p, q, r, "y")
+    apart = lambda p, q, r, s: F.signum(turn(p, q, r)) * F.signum(turn(p, q, s)) < 0
+    return (apart(a, b, c, d) & apart(c, d, a, b)) | on(a, b, c) | on(a, b, d) | on(c, d, a) | on(c, d, b)
+
+
+def turns_back(a: Column, corner: Column, b: Column) -> Column:
+    """Does a ring go back on itself at a corner."""
+    dx, dy, ex, ey = a["x"] - corner["x"], a["y"] - corner["y"], b["x"] - corner["x"], b["y"] - corner["y"]
+    return (dx * ey == dy * ex) & (dx * ex + dy * ey > 0)
+
+
+def is_valid(polygon: Column) -> Column:
+    """Of positive area, and no two sides meet but neighbours at their corner; null for a null polygon."""
+
+    def checked(ring: Column) -> Column:
+        n = F.size(ring)
+        at = lambda k: F.get(ring, F.pmod(k, n))
+
+        def clash(i: Column, j: Column) -> Column:
+            follows, closes = j == i + 1, (i == 0) & (j == n - 1)
+            return F.when(follows, turns_back(at(i), at(j), at(j + 1))).when(closes, turns_back(at(j), at(i), at(i + 1))).otherwise(crossing(at(i), at(i + 1), at(j), at(j + 1)))
+
+        numbers = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+        meets = F.exists(numbers, lambda i: F.exists(F.filter(numbers, lambda j: j > i), lambda j: clash(i, j)))
+        return (n >= 3) & (ring_area(ring) > 0) & ~meets
+
+    return F.when(polygon.isNotNull(), F.coalesce(once(opened(polygon), checked), F.lit(False)))
+
+
+def polygon_box_area(polygon: Column, box: Column, valid: Column) -> Column:
+    """Area that a polygon shares with a box; null polygons give null, one that is not ``valid`` is an error."""
+    wrong = F.raise_error(F.concat(F.lit("polygon is not valid: "), F.to_json(F.slice(polygon, 1, 4)))).cast("double")
+    return F.when(polygon.isNotNull(), F.when(valid, shared_area(opened(polygon), box)).otherwise(wrong))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphgrid.functions import geometry as G
-from glyphgrid.functions.polygons import polygon_box_area
+from glyphgrid.functions.polygons import is_valid, polygon_box_area
 from glyphgrid.operators.labels import require
 
 BIDIRECTIONAL, WORD_COVERAGE = "bidirectional-containment", "word-coverage"
@@ -30,7 +30,7 @@ def overlaps(regions: DataFrame, words: DataFrame, minimum: float = 0.65, strate
     require(0 <= minimum <= 1, "minimum overlap coverage must be in [0, 1]")
     require(strategy in (BIDIRECTIONAL, WORD_COVERAGE), f"unknown overlap strategy {strategy!r}")
     bbox, polygon = F.col("bbox"), F.col("polygon") if polygons else F.lit(None).cast("array<struct<x:double,y:double>>")
-    r = regions.select("page_key", "region_id", "bbox", *(["polygon"] if polygons else []), G.bounds(bbox, polygon).alias("rb"), G.area(bbox, polygon).alias("region_area")).filter("region_area > 0")
+    r = regions.select("page_key", "region_id", "bbox", *(["polygon", is_valid(polygon).alias("valid")] if polygons else []), G.bounds(bbox, polygon).alias("rb"), G.area(bbox, polygon).alias("region_area")).filter("region_area > 0")
     w = words.select("page_key", "word_index", *carried, G.box(F.col("x"), F.col("y"), F.col("width"), F.col("height")).alias("wb")).filter("wb.width > 0 AND wb.height > 0")
     rows = lambda b: F.sequence(F.floor(b["y"] / row_height), F.floor(G.y_max(b) / row_height))
     r = r.withColumn("row", F.explode(rows(F.col("rb"))))
@@ -39,7 +39,7 @@ def overlaps(regions: DataFrame, words: DataFrame, minimum: float = 0.65, strate
     meet = G.intersection_area(F.col("rb"), F.col("wb"))
     joined = r.join(w, ["page_key", "row"]).filter((F.col("row") == first) & (meet > 0)).withColumn("meet", meet)
     if polygons:
-        exact = F.when(F.col("bbox").isNull(), polygon_box_area(F.col("polygon"), F.col("wb"))).otherwise(F.col("meet"))
+        exact = F.when(F.col("bbox").isNull(), polygon_box_area(F.col("polygon"), F.col("wb"), F.col("valid"))).otherwise(F.col("meet"))
         joined = joined.withColumn("meet", exact).filter("meet > 0")
     of_word = G.bounded_ratio(F.col("meet"), F.col("wb.width") * F.col("wb.height"))
     of_region = G.bounded_ratio(F.col("meet"), F.col("region_area"))

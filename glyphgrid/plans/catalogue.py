@@ -162,10 +162,32 @@ def bbox_overlap_word_coverage(spark, sf_dir):
     return O.overlaps(V.geom_regions(spark, sf_dir), V.ocr_words(spark, sf_dir), strategy=O.WORD_COVERAGE, polygons=False)
 
 
-@query(OVERLAPS + "SELECT page_key, region_id, word_index, word_coverage, input_geometry_coverage, overlap_score FROM kept")
+#: What a triangle (0, 0), (rw, 0), (0, rh) shares with the box from its corner to (u, v).
+WEDGE = "least({u}, rw) * least({v}, rh) - 0.5 * rw * rh * power(greatest(least({u}, rw) / rw + least({v}, rh) / rh - 1, 0), 2)"
+
+
+@query(REGIONS + f""", near AS (
+  SELECT r.*, w.word_index, w.width * w.height AS word_area, greatest(w.x - rx, 0) AS a, greatest(w.x + w.width - rx, 0) AS b, greatest(w.y - ry, 0) AS c, greatest(w.y + w.height - ry, 0) AS d
+  FROM geom_regions r JOIN ocr_words w ON r.page_key = w.page_key AND w.y < ry + rh AND w.y + w.height > ry WHERE w.width > 0 AND w.height > 0
+), shared AS (
+  SELECT page_key, region_id, word_index, word_area,
+    CASE WHEN region_id % 2 = 0 THEN 0.75 ELSE 0.5 END * rw * rh AS region_area,
+    CASE WHEN region_id % 2 = 0 THEN greatest(least(b, rw) - a, 0) * greatest(least(d, rh) - c, 0) - greatest(least(b, rw) - greatest(a, rw / 2), 0) * greatest(least(d, rh / 2) - c, 0)
+    ELSE ({WEDGE.format(u="b", v="d")}) - ({WEDGE.format(u="a", v="d")}) - ({WEDGE.format(u="b", v="c")}) + ({WEDGE.format(u="a", v="c")}) END AS meet
+  FROM near WHERE b > 0 AND d > 0
+), covered AS (
+  SELECT page_key, region_id, word_index, least(1.0::DOUBLE, meet / word_area) AS word_coverage, least(1.0::DOUBLE, meet / region_area) AS input_geometry_coverage FROM shared WHERE meet > 1e-9
+) SELECT page_key, region_id, word_index, CAST(floor(word_coverage * 1e6 + 0.3141) AS BIGINT) AS word_coverage, CAST(floor(input_geometry_coverage * 1e6 + 0.3141) AS BIGINT) AS input_geometry_coverage, CAST(floor(greatest(word_coverage, input_geometry_coverage) * 1e6 + 0.3141) AS BIGINT) AS overlap_score
+FROM covered WHERE greatest(word_coverage, input_geometry_coverage) + 1e-12 >= 0.65""")
 def polygon_overlap(spark, sf_dir):
-    regions = V.geom_regions(spark, sf_dir).withColumn("polygon", G.box_polygon(F.col("bbox"))).withColumn("bbox", F.lit(None).cast("struct<x:double,y:double,width:double,height:double>"))
-    return O.overlaps(regions, V.ocr_words(spark, sf_dir))
+    """Boxes without their upper right quarter, and the upper left halves of boxes; shares in millionths, cut where no exact one lies."""
+    b = F.col("bbox")
+    left, top, right, bottom, across, down = b["x"], b["y"], G.x_max(b), G.y_max(b), b["x"] + b["width"] / 2, b["y"] + b["height"] / 2
+    ell = G.ring((left, top), (across, top), (across, down), (right, down), (right, bottom), (left, bottom), (left, top))
+    shape = F.when(F.col("region_id") % 2 == 0, ell).otherwise(G.ring((left, top), (right, top), (left, bottom), (left, top)))
+    regions = V.geom_regions(spark, sf_dir).withColumn("polygon", shape).withColumn("bbox", F.lit(None).cast("struct<x:double,y:double,width:double,height:double>"))
+    scores = ("word_coverage", "input_geometry_coverage", "overlap_score")
+    return O.overlaps(regions, V.ocr_words(spark, sf_dir)).select("page_key", "region_id", "word_index", *(F.floor(F.col(c) * 1e6 + 0.3141).alias(c) for c in scores))
 
 
 @query(OVERLAPS + "SELECT page_key, word_index, region_id, overlap_score FROM best")

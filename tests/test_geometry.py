@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphgrid.functions import geometry as G
-from glyphgrid.functions.polygons import clipped, is_valid, ring_area
+from glyphgrid.functions.polygons import is_valid, opened, shared_area
 from glyphgrid.operators.orthogonal import orthogonal_polygon
 from glyphgrid.operators.overlap import ALL, WORD_COVERAGE, assigned, overlaps
 from glyphgrid.plans.aligners import GeometryAlignment
@@ -84,18 +84,40 @@ def test_self_crossing_polygon_is_an_error(spark):
         overlaps(r, words(spark, (0, 0, 10, 10)), 0.1).collect()
 
 
-def test_clip_agrees_with_sampling():
+def polygons(spark, *rings):
+    closed = [[*r, r[0]] for r in rings]
+    return spark.createDataFrame([(k, r) for k, r in enumerate(closed)], f"k int, p {POINTS}")
+
+
+def test_shared_area_agrees_with_sampling(spark):
     rng = random.Random(3)
-    for _ in range(20):
+    rings = [[(0.0, 0.0), (rng.uniform(5, 9), rng.uniform(-2, 0)), (rng.uniform(8, 10), rng.uniform(4, 8)), (rng.uniform(0, 3), rng.uniform(6, 10))] for _ in range(20)]
+    l, t, r, b = 1.0, 1.0, 6.0, 5.0
+    box = F.struct(*(F.lit(v).alias(n) for v, n in ((l, "x"), (t, "y"), (r - l, "width"), (b - t, "height"))))
+    got = polygons(spark, *rings).select("k", is_valid(F.col("p")).alias("valid"), shared_area(opened(F.col("p")), box).alias("area")).collect()
+    for x in got:
         # a convex ring, so that a half-plane test can stand in
-        ring = [(0.0, 0.0), (rng.uniform(5, 9), rng.uniform(-2, 0)), (rng.uniform(8, 10), rng.uniform(4, 8)), (rng.uniform(0, 3), rng.uniform(6, 10))]
-        if not is_valid(ring):
-            continue
-        inside = lambda p: len({(b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) > 0 for a, b in zip(ring, ring[1:] + ring[:1])}) == 1
-        l, t, r, b = 1.0, 1.0, 6.0, 5.0
-        n = 120
-        hits = sum(inside((l + (i + 0.5) / n * (r - l), t + (j + 0.5) / n * (b - t))) for i in range(n) for j in range(n))
-        assert ring_area(clipped(ring, l, t, r, b)) == pytest.approx(hits / n / n * (r - l) * (b - t), abs=0.15)
+        ring = rings[x.k]
+        inside = lambda p: len({(q[0] - a[0]) * (p[1] - a[1]) - (q[1] - a[1]) * (p[0] - a[0]) > 0 for a, q in zip(ring, ring[1:] + ring[:1])}) == 1
+        if x.valid and all(inside(((p[0] + sum(c[0] for c in ring)) / 5, (p[1] + sum(c[1] for c in ring)) / 5)) for p in ring):
+            n = 120
+            hits = sum(inside((l + (i + 0.5) / n * (r - l), t + (j + 0.5) / n * (b - t))) for i in range(n) for j in range(n))
+            assert x.area == pytest.approx(hits / n / n * (r - l) * (b - t), abs=0.15)
+
+
+def test_valid_rings(spark):
+    cases = [
+        ([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], True),
+        ([(0.0, 0.0), (4.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], True),  # a repeated point
+        ([(0.0, 0.0), (2.0, 0.0), (4.0, 0.0), (4.0, 4.0)], True),  # a point on a side
+        ([(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (0.0, 4.0)], False),  # a bow
+        ([(0.0, 0.0), (4.0, 0.0), (2.0, 0.0), (2.0, 4.0)], False),  # back on itself
+        ([(0.0, 0.0), (4.0, 0.0), (8.0, 0.0)], False),  # no area
+        ([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 0.0), (0.0, 4.0)], False),  # a corner on another side
+    ]
+    got = {r.k: r.valid for r in polygons(spark, *(ring for ring, _ in cases)).select("k", is_valid(F.col("p")).alias("valid")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(cases)}
+    assert spark.range(1).select(is_valid(F.lit(None).cast(POINTS))).first()[0] is None
 
 
 def word(x, y, w, h, line=None, block=0):
