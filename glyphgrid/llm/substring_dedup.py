@@ -13,8 +13,8 @@ boundary window by window. Windows found in a smaller document, joined, are the
 factors of at least ``SPAN`` words, and the words they cover are duplicates.
 
 Blocks and windows are compared by 128 bits, two hashes that have the halves of
-their words' 128-bit hashes. Before anything is shuffled, equal blocks of a batch
-are one row; texts are moved for boundary checks and for the result, never for
+their words' 128-bit hashes. Before blocks are shuffled for the index, equal ones of a
+task are one row; texts are moved for boundary checks and for the result, never for
 the index.
 
 Defined results: a null text has no words; texts shorter than a window are kept
@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphgrid.session import discard, materialize, small_batches
+from glyphgrid.session import discard, materialize
 
 SPAN, ANCHOR = 50, 8
 #: Words whose hashes a worker remembers.
@@ -50,11 +50,12 @@ class WordHashes(dict):
 
         super().__init__()
         self.digest = xxhash.xxh3_128_digest
-        self.found = bytearray()
+        self.fresh = bytearray()
+        self.halves = np.empty((1 << 16, 2), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         place = self[word] = len(self)
-        self.found += self.digest(word)
+        self.fresh += self.digest(word)
         return place
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -62,10 +63,14 @@ class WordHashes(dict):
         words = text.split()
         if len(self) > REMEMBERED:
             self.clear()
-            self.found = bytearray()
+        known = len(self)
         place = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        halves = np.frombuffer(bytes(self.found), "<u8").reshape(-1, 2)
-        return halves[place, 0], halves[place, 1]
+        if self.fresh:
+            if len(self) > len(self.halves):
+                self.halves = np.concatenate((self.halves[:known], np.empty((2 * len(self) - known, 2), np.uint64)))
+            self.halves[known : len(self)] = np.frombuffer(bytes(self.fresh), "<u8").reshape(-1, 2)
+            self.fresh.clear()
+        return self.halves[place, 0], self.halves[place, 1]
 
 
 def mixed(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
@@ -115,36 +120,27 @@ def keyed(docs: DataFrame) -> DataFrame:
     return base.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-def block_rows(rows: DataFrame, merged: bool, span: int, anchor: int) -> DataFrame:
-    """The blocks of all documents; ``merged``: equal blocks of a batch once, under the smallest (``doc_id``) and with the largest id (``row``)."""
+def block_rows(rows: DataFrame, span: int, anchor: int) -> DataFrame:
+    """The blocks of all documents, a batch of them at a time; rows without an id have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             parts: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for k in range(batch.num_rows):
-                if not batch.column(0)[k].is_valid:
+            for doc, text, row in zip(*batch.columns, strict=True):
+                if not doc.is_valid:
                     continue
-                one, two = hashes.of(batch.column(1)[k].as_py().encode())
+                one, two = hashes.of(text.as_py().encode())
                 if len(one) < span:
                     continue
                 found = blocks(one, two, span, anchor)
                 size = len(found[0])
-                doc, row = np.full(size, batch.column(0)[k].as_py(), np.int64), np.full(size, batch.column(2)[k].as_py(), np.int64)
-                for part, x in zip(parts, (*found[:3], doc, row, *found[3:]), strict=True):
+                for part, x in zip(parts, (*found[:3], np.full(size, doc.as_py(), np.int64), np.full(size, row.as_py(), np.int64), *found[3:]), strict=True):
                     part.append(x)
-            if not parts[0]:
-                continue
-            a, b, c, doc, row, first, n = (np.concatenate(x) for x in parts)
-            if merged:
-                order = np.lexsort((doc, c, b, a))
-                a, b, c, doc = a[order], b[order], c[order], doc[order]
-                new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])))
-                at = np.nonzero(new)[0]
-                row = doc[np.append(at[1:], len(doc)) - 1]  # the largest id of the block
-                a, b, c, doc, first, n = a[at], b[at], c[at], doc[at], np.zeros(len(at)), np.zeros(len(at))
-            columns = [a.view(np.int64), b.view(np.int64), c.view(np.int64), doc, row, first.astype(np.int32), n.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in RUN.split(", ")])
+            if parts[0]:
+                a, b, c, doc, row, first, n = (np.concatenate(x) for x in parts)
+                columns = [a.view(np.int64), b.view(np.int64), c.view(np.int64), doc, row, first.astype(np.int32), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in RUN.split(", ")])
 
     return rows.select("doc_id", "text", "row").mapInArrow(run, RUN)
 
@@ -178,20 +174,26 @@ def factors(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFram
     up in each task first, and what is known of a key is written before it is
     joined, so that both sides of a join are plain shuffles that can be split.
     """
-    small_batches(docs.sparkSession)
     rows = keyed(docs)
-    held = block_rows(rows, True, span, anchor).select(*KEY, "doc_id", F.col("row").alias("last"))
-    # read several times below, and the texts are not hashed again for it
-    known = materialize(held.groupBy(*KEY).agg(F.min("doc_id").alias("least"), F.max("last").alias("last")), "known-blocks")
+    every = materialize(block_rows(rows, span, anchor), "blocks")  # so that texts are cut once
+    # read several times below
+    known = materialize(every.groupBy(*KEY).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")), "known-blocks")
     varied = materialize(known.groupBy("anchor").agg(F.count("*").alias("blocks"), F.min("least").alias("from"), F.max("last").alias("to")).filter("blocks > 1 AND from < to").select("anchor", F.lit(True).alias("varied")), "varied-anchors")
     index = known.join(varied, "anchor", "left").withColumn("varied", F.coalesce("varied", F.lit(False))).filter("varied OR least < last").select(*KEY, "least", "varied")
-    parsed = materialize(block_rows(rows, False, span, anchor).join(index, [*KEY]).filter("least < doc_id OR varied"), "parsed-blocks")
-    discard(known, varied)
+    parsed = materialize(every.join(index, [*KEY]).filter("least < doc_id OR varied"), "parsed-blocks")
+    discard(every, known, varied)
     whole = parsed.filter("least < doc_id").select("row", "doc_id", "start", "n")
     windows = materialize(windows_of(rows, parsed.filter("least = doc_id").select("doc_id", "row", "start", "n").distinct(), span), "boundary-windows")
     shared = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last").drop("last")
-    checked = windows.join(materialize(shared, "shared-windows"), ["w1", "w2"]).filter("least < doc_id").select("row", "doc_id", "start", F.lit(1).alias("n"))
-    return whole.union(checked)
+    checked = windows.join(materialize(shared, "shared-windows"), ["w1", "w2"]).filter("least < doc_id").select("row", "doc_id", "start")
+    return whole.union(joined_runs(checked))
+
+
+def joined_runs(windows: DataFrame) -> DataFrame:
+    """Single windows (row, doc_id, start) that follow each other as one row (row, doc_id, start, n)."""
+    order = Window.partitionBy("doc_id", "row").orderBy("start")
+    numbered = windows.withColumn("run", F.col("start") - F.row_number().over(order))
+    return numbered.groupBy("doc_id", "row", "run").agg(F.min("start").alias("start"), F.count("*").cast("int").alias("n")).select("row", "doc_id", "start", "n")
 
 
 def without_duplicates(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
