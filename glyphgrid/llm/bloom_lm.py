@@ -33,13 +33,14 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphgrid.session import delete, discard, materialize, new_path, shuffles_removed, small_batches
+from glyphgrid.session import delete, discard, materialize, new_path, shuffles_removed, slices
 
 #: Rows whose checksum of the id leaves this remainder never train.
 FOLDS, HELD_OUT = 5, 1
@@ -56,6 +57,8 @@ MASS, UNKNOWN = 100.0, 0.05
 #: Words contain no blank, so this is no word's hash.
 END = " "
 REMEMBERED = 300_000
+#: Rounds of probing, each with its share of the rows, so that only a part of what is looked up lies on disk at a time.
+ROUNDS = 2
 #: What the workers return. ``kind`` 0: an n-gram to look up, a token (times it stands there, and before another) or a bigram (times, its word's count, or the word
 #: if that is to be looked up too). 1, or 2 if held out: a row's own sums, with tokens, known tokens, id, base and model.
 SCORED = "row long, gram long, times int, past long, word long, a double, b double, kind tinyint"
@@ -106,7 +109,6 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def counts(docs: DataFrame) -> DataFrame:
     """(gram, n): how often each token (even) and bigram (odd) occurs in the training rows."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = TokenHashes(), [], 0
@@ -263,8 +265,17 @@ def build_filter(pairs: DataFrame, sizes: dict[int, int], limit: int = FILTER_BY
 def score(docs: DataFrame, head: int = HEAD, limit: int = FILTER_BYTES, mass: float = MASS, unknown: float = UNKNOWN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
-    small_batches(spark)
     grams, table, folder = in_buckets(counts(docs))
+    try:
+        return scored(docs, grams, head, limit, mass, unknown)
+    finally:  # whatever fails, no table stays in the caller's catalogue
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        delete(spark, folder)
+
+
+def scored(docs: DataFrame, grams: DataFrame, head: int, limit: int, mass: float, unknown: float) -> DataFrame:
+    """:func:`score` with the counts at hand."""
+    spark = docs.sparkSession
     is_pair = F.col("gram").bitwiseAND(F.lit(1)) == 1
     level_of = lambda n: F.floor(F.log(n) / F.lit(math.log(BASE)) + F.lit(1e-9)) + 1
     sizes = grams.groupBy(is_pair.alias("pair"), bucket(F.col("n")).alias("bucket")).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(level_of(F.col("n"))).alias("levels")).collect()
@@ -289,9 +300,7 @@ def score(docs: DataFrame, head: int = HEAD, limit: int = FILTER_BYTES, mass: fl
         filter_.bits = bits
         hashes = TokenHashes()
         nothing = lambda size: np.zeros(size, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             lists = [hashes.of(t.as_py()) for t in batch.column(3)]
             size, rows = np.array([len(x) for x in lists]), np.asarray(batch.column(0))
             owner, starts = np.repeat(np.arange(len(lists)), size), np.cumsum(size) - size
@@ -342,11 +351,12 @@ def score(docs: DataFrame, head: int = HEAD, limit: int = FILTER_BYTES, mass: fl
                 at_ = open_[one]
                 yield rows_of(rows[owner[at_]], pair[at_].view(np.int64), times, np.maximum(c_word[at_], 0), np.where(c_word[at_] < 0, token[at_], np.uint64(0)).view(np.int64), np.zeros(len(at_)), np.zeros(len(at_)), nothing(len(at_)))
 
-    rows = keyed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(run, SCORED)
     # of the counts, those that are not sent
     below = lambda least: F.lit(False) if least <= 1 else bucket(F.col("n")) < least
     others = grams.filter((is_pair & below(least)) | (~is_pair & below(rarest)))
-    joined = rows.join(others, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    numbered = keyed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    probed = lambda k: numbered.filter(F.col("row") % ROUNDS == k).mapInArrow(run, SCORED)
+    joined = lambda k: probed(k).join(others, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     self_, token, pair, times = F.col("kind") > 0, (F.col("kind") == 0) & ~is_pair, (F.col("kind") == 0) & is_pair, F.col("times")
     seen = F.col("n") > 0
     # bigrams never counted, of a token that is not among the frequent: its own count is looked up below
@@ -355,7 +365,7 @@ def score(docs: DataFrame, head: int = HEAD, limit: int = FILTER_BYTES, mass: fl
     low = F.log10(F.ceil(F.pow(F.lit(BASE), level_of(F.col("n")) - 1) - F.lit(1e-6)))
     told = F.when(self_, F.col("b")).when(token, -F.col("past") * F.log10(F.col("n") + F.lit(mass))).when(seen, times * low).when(open_ == 0, times * own(F.col("past"))).otherwise(F.lit(0.0))
     mine = lambda c: F.when(self_, F.col(c))
-    sums = joined.groupBy("row", open_.alias("gram")).agg(
+    summed = lambda k: joined(k).groupBy("row", open_.alias("gram")).agg(
         F.max(mine("word")).alias("doc_id"),
         F.max(F.col("kind")).alias("kind"),
         F.max(mine("times")).cast("long").alias("n_tokens"),
@@ -364,7 +374,9 @@ def score(docs: DataFrame, head: int = HEAD, limit: int = FILTER_BYTES, mass: fl
         F.sum(told).alias("score"),
         F.sum(times).alias("times"),
     )
-    sums = materialize(sums, "scores")
+    # one round's probes are gone before those of the next are written
+    rounds = [materialize(summed(k), "scores") for k in range(ROUNDS)]
+    sums = reduce(DataFrame.unionByName, rounds)
     words = sums.filter("gram <> 0").select("row", "gram", "times").join(others, "gram", "left")
     rest = words.groupBy("row").agg(F.sum(F.col("times") * own(F.coalesce("n", F.lit(0)))).alias("rest"))
     done = materialize(
@@ -374,9 +386,7 @@ def score(docs: DataFrame, head: int = HEAD, limit: int = FILTER_BYTES, mass: fl
         ),
         "scored",
     )
-    spark.sql(f"DROP TABLE {table}")
-    delete(spark, folder)
-    discard(sums)
+    discard(*rounds)
     return done
 
 
