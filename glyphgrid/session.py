@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 #: Where materialised frames lie, so that they can be removed once nothing reads them.
 _written: WeakKeyDictionary = WeakKeyDictionary()
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Bytes of an Arrow batch of texts, beyond which it is closed whatever its rows.
-BATCH_BYTES = 32 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,15 +86,6 @@ def delete(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the Arrow batches sent to Python where rows carry whole texts, by rows and by bytes."""
-    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        said = spark.conf.get(key).removesuffix("b")
-        if not said.isdigit() or not 0 < int(said) <= most:
-            spark.conf.set(key, str(most))
-
-
 def slices(batches: Iterator, rows: int = 256) -> Iterator:
     """Arrow batches a few rows at a time, where what is made of whole texts takes many times their room.
 
