@@ -315,39 +315,104 @@ def fuzzy_windows(spark, sf_dir):
     return C.windows_around(C.top_starts(C.start_votes(queries, index)), queries, sizes)
 
 
-def fuzzy_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.fuzzy_candidates(*values_and_index(spark, sf_dir))
+#: Candidates near to the values of documents in ASCII (edit distances are of bytes elsewhere).
+FUZZY = V.ascii_sql(VALUES + EXACT.removeprefix(VALUES) + VOTES.removeprefix(VALUES)) + """, sizes AS (
+  SELECT page_key, count(*) AS n FROM ocr_words GROUP BY page_key
+), asked AS (
+  SELECT page_key, query, n, len(string_split(query, ' ')) AS k FROM queries JOIN sizes USING (page_key)
+), counts AS (
+  SELECT unnest(range(1, 12)) AS c
+), windows AS (
+  SELECT DISTINCT page_key, query, start + s AS a, start + s + c - 1 AS b, 'fuzzy-anchor' AS source
+  FROM starts JOIN asked USING (page_key, query), (VALUES (-1), (0), (1)) t(s), counts WHERE c BETWEEN greatest(1, k - 2) AND k + 2 AND start + s >= 0 AND start + s + c - 1 < n
+  UNION ALL
+  SELECT w.page_key, query, word_index, word_index + c - 1, 'fuzzy-length-fallback'
+  FROM asked ANTI JOIN votes USING (page_key, query) JOIN ocr_words w ON w.page_key = asked.page_key, counts WHERE c BETWEEN greatest(1, k - 2) AND k + 2 AND word_index + c - 1 < n
+), fitting AS (
+  SELECT w.*, CAST(x.cs AS INTEGER) AS start_char, CAST(y.cs + length(y.text) AS INTEGER) AS end_char, x.block_index = y.block_index AS one, length(replace(query, ' ', '')) AS solid
+  FROM windows w JOIN indexed x ON x.page_key = w.page_key AND x.word_index = a JOIN indexed y ON y.page_key = w.page_key AND y.word_index = b
+  WHERE abs(length(query) - (y.cs + length(y.text) - x.cs)) <= CASE WHEN length(replace(query, ' ', '')) >= 6 THEN floor(length(query) * 0.2::DOUBLE + 1e-12) ELSE 1 END
+), spells AS (
+  SELECT f.page_key, f.query, f.a, f.b, string_agg(w.text, ' ' ORDER BY w.word_index) AS m FROM fitting f JOIN ocr_words w ON w.page_key = f.page_key AND w.word_index BETWEEN f.a AND f.b GROUP BY ALL
+), measured AS (
+  SELECT f.*, m, levenshtein(f.query, m) AS ed FROM fitting f JOIN spells s ON s.page_key = f.page_key AND s.query = f.query AND s.a = f.a AND s.b = f.b
+), near AS (
+  SELECT * FROM measured WHERE ed > 0 AND CASE WHEN solid >= 6 THEN ed / length(query) <= 0.2::DOUBLE + 1e-12 ELSE ed <= 1 END
+), named AS (
+  SELECT page_key, query, {'a': a, 'b': b, 'ed': ed, 'start_char': start_char, 'end_char': end_char, 'm': m, 'source': source || CASE WHEN one THEN '' ELSE '-cross-block' END} AS s
+  FROM near QUALIFY one = (max(CAST(one AS INTEGER)) OVER (PARTITION BY page_key, query) = 1)
+), lists AS (
+  SELECT page_key, query, list(s ORDER BY greatest(0, length(query) - s.ed) DESC, s.ed, s.a, s.b) AS s FROM named GROUP BY page_key, query
+), far AS (
+  SELECT *, list_reduce(list_transform(s, lambda x: [x]), lambda kept, x: CASE WHEN len(kept) < 5 AND len(list_filter(kept, lambda k: x[1].a <= k.b AND k.a <= x[1].b)) = 0 THEN kept || x ELSE kept END) AS f FROM lists
+), retained AS (
+  SELECT page_key, query, unnest((f || list_filter(s, lambda x: NOT list_contains(f, x)))[1:5]) AS s FROM far
+), found AS (
+  SELECT v.page_key, region_id, CAST(s.a AS INTEGER) AS start_word, CAST(s.b AS INTEGER) AS end_word, s.start_char AS start_char, s.end_char AS end_char, input_text AS query_text, s.m AS matched_text, CAST(s.ed AS INTEGER) AS edit_distance, s.source AS source
+  FROM retained r JOIN text_values v ON v.page_key = r.page_key AND v.input_text = r.query
+), spelled AS (
+  SELECT page_key, region_id, start_word, CAST(end_word AS INTEGER) AS end_word, start_char, end_char, input_text AS query_text, input_text AS matched_text, CAST(0 AS INTEGER) AS edit_distance, 'exact' AS source FROM hits
+), candidates AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY page_key ORDER BY region_id, start_word, end_word, edit_distance > 0, edit_distance, source) - 1 AS INTEGER) AS candidate_id, query_text AS normalized_query_text, matched_text AS normalized_matched_text,
+    edit_distance = 0 AS exact, CAST(round_even(edit_distance / length(query_text) * 1e6, 0) AS INTEGER) AS cer_int, CAST(round_even(greatest(0.0::DOUBLE, 1 - edit_distance / length(query_text)) * 1e6, 0) AS INTEGER) AS similarity_int,
+    CAST(length(replace(query_text, ' ', '')) AS INTEGER) AS query_length, CAST(greatest(0, length(query_text) - edit_distance) AS INTEGER) AS quality_chars
+  FROM {some}
+)"""
+BOTH = FUZZY.replace("{some}", "(SELECT * FROM spelled UNION ALL SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM spelled s WHERE s.page_key = f.page_key AND s.region_id = f.region_id AND s.start_word = f.start_word AND s.end_word = f.end_word))")
+#: Every page has three values, so that all choices can be gone through.
+CHOSEN = BOTH + """, options AS (
+  SELECT page_key, region_id, candidate_id, start_word AS a, end_word AS b, quality_chars AS q, CAST(exact AS INTEGER) AS e, 1 AS one FROM candidates
+  UNION ALL SELECT page_key, r, NULL, NULL, NULL, 0, 0, 0 FROM (SELECT DISTINCT page_key FROM candidates), (VALUES (0), (1), (2)) t(r)
+), choices AS (
+  SELECT page_key, [x.candidate_id, y.candidate_id, z.candidate_id] AS ids FROM options x JOIN options y USING (page_key) JOIN options z USING (page_key)
+  WHERE x.region_id = 0 AND y.region_id = 1 AND z.region_id = 2 AND coalesce(x.b < y.a OR y.b < x.a, true) AND coalesce(x.b < z.a OR z.b < x.a, true) AND coalesce(y.b < z.a OR z.b < y.a, true)
+  QUALIFY row_number() OVER (PARTITION BY page_key ORDER BY x.q + y.q + z.q DESC, x.e + y.e + z.e DESC, x.one + y.one + z.one DESC, coalesce(x.a, 0) + coalesce(y.a, 0) + coalesce(z.a, 0),
+    coalesce(x.candidate_id + 1, 0) + coalesce(y.candidate_id + 1, 0) + coalesce(z.candidate_id + 1, 0), coalesce((x.candidate_id + 1) ** 2, 0) + coalesce((y.candidate_id + 1) ** 2, 0) + coalesce((z.candidate_id + 1) ** 2, 0) DESC) = 1
+), chosen AS (
+  SELECT c.* FROM candidates c JOIN choices k ON k.page_key = c.page_key AND list_contains(k.ids, c.candidate_id)
+)"""
 
 
-@query()
+def ascii_values_and_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    words = materialize(V.ocr_words(spark, sf_dir, ascii_only=True), "ocr-words")
+    return values_of(spark, sf_dir, words), index_of(spark, sf_dir, words)
+
+
+@query(FUZZY.replace("{some}", "found") + "SELECT * FROM candidates")
 def fuzzy_candidates(spark, sf_dir):
-    return fuzzy_found(spark, sf_dir)
+    return C.fuzzy_candidates(*ascii_values_and_index(spark, sf_dir))
 
 
 def all_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exact = C.exact_candidates(*values_and_index(spark, sf_dir))
-    return C.combined([exact, fuzzy_found(spark, sf_dir)])
+    values, index = ascii_values_and_index(spark, sf_dir)
+    return C.combined([C.exact_candidates(values, index), C.fuzzy_candidates(values, index)])
 
 
-@query()
+@query(BOTH + "SELECT * FROM candidates")
 def composite_candidates(spark, sf_dir):
     return all_candidates(spark, sf_dir)
 
 
-@query()
+@query(CHOSEN + "SELECT * FROM chosen")
 def select_lexicographic(spark, sf_dir):
     return S.selected(materialize(all_candidates(spark, sf_dir), "candidates"))
 
 
-@query()
+@query(CHOSEN + """SELECT page_key, region_id FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM chosen k WHERE k.page_key = c.page_key AND k.region_id = c.region_id)
+GROUP BY page_key, region_id HAVING bool_and(EXISTS (SELECT 1 FROM chosen k WHERE k.page_key = c.page_key AND k.start_word <= c.end_word AND c.start_word <= k.end_word))""")
 def conflicted_regions(spark, sf_dir):
     found = materialize(all_candidates(spark, sf_dir), "candidates")
     return S.conflicted(found, materialize(S.selected(found), "selected"))
 
 
-@query()
+@query(CHOSEN + """, boxes AS (
+  SELECT k.page_key, k.region_id, min(w.x) AS x, min(w.y) AS y, max(w.x + w.width) - min(w.x) AS width, max(w.y + w.height) - min(w.y) AS height
+  FROM chosen k JOIN ocr_words w ON w.page_key = k.page_key AND w.word_index BETWEEN k.start_word AND k.end_word GROUP BY k.page_key, k.region_id
+) SELECT v.page_key, v.region_id, v.label, v.input_text, k.matched_text AS alto_text, k.source, k.similarity_int / 1e6 AS alignment_score, x, y, width, height
+FROM text_values v LEFT JOIN chosen k ON k.page_key = v.page_key AND k.region_id = v.region_id LEFT JOIN boxes b ON b.page_key = v.page_key AND b.region_id = v.region_id""")
 def text_align(spark, sf_dir):
-    found = TextAlignment(normalise=collapse_blanks).align(V.text_values(spark, sf_dir), V.ocr_words(spark, sf_dir))
+    words = materialize(V.ocr_words(spark, sf_dir, ascii_only=True), "ocr-words")
+    found = TextAlignment(normalise=collapse_blanks).align(V.text_values(spark, sf_dir, words), words)
     return spread(found, "alto_bbox", "page_key", "region_id", "label", "input_text", "alto_text", "source", "alignment_score")
 
 

@@ -38,8 +38,9 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("page_key"), "text")
 
 
-def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return laid_out(document_texts(spark, sf_dir))
+def ocr_words(spark: SparkSession, sf_dir: str, ascii_only: bool = False) -> DataFrame:
+    texts = document_texts(spark, sf_dir)
+    return laid_out(asciified(texts, "text") if ascii_only else texts)
 
 
 def geom_regions(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
@@ -115,5 +116,11 @@ phrases AS (
 }
 
 
+def ascii_sql(sql: str) -> str:
+    """SQL that begins with the views, over documents in ASCII."""
+    docs = r"WITH ascii_documents AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS text FROM documents), "
+    return docs + sql.removeprefix("WITH ").replace("FROM documents", "FROM ascii_documents")
+
+
 def with_views(*names: str) -> str:
     return "WITH " + ", ".join(SQL[n].strip() for n in names)

@@ -72,7 +72,7 @@ def brute(spans):
             words = [w for s in pick for w in range(s[2], s[3] + 1)]
             if len({s[1] for s in pick}) < n or len(set(words)) < len(words):
                 continue
-            value = (sum(s[4] for s in pick), sum(s[5] for s in pick), n, -sum(s[2] for s in pick), -sum(s[0] + 1 for s in pick))
+            value = (sum(s[4] for s in pick), sum(s[5] for s in pick), n, -sum(s[2] for s in pick), -sum(s[0] + 1 for s in pick), sum((s[0] + 1) ** 2 for s in pick))
             if best is None or value > best:
                 best = value
     return best
@@ -82,7 +82,7 @@ def worth(spans, ids):
     pick = [s for s in spans if s[0] in ids]
     words = [w for s in pick for w in range(s[2], s[3] + 1)]
     assert len(pick) == len(ids) and len(set(words)) == len(words) and len({s[1] for s in pick}) == len(pick)
-    return (sum(s[4] for s in pick), sum(s[5] for s in pick), len(pick), -sum(s[2] for s in pick), -sum(s[0] + 1 for s in pick))
+    return (sum(s[4] for s in pick), sum(s[5] for s in pick), len(pick), -sum(s[2] for s in pick), -sum(s[0] + 1 for s in pick), sum((s[0] + 1) ** 2 for s in pick))
 
 
 def random_spans(rng, n, regions, words, quality, exact=2):
