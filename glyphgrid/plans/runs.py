@@ -17,12 +17,13 @@ from glyphgrid.operators.candidates import Fuzzy
 from glyphgrid.operators.labels import read_mapping, require
 from glyphgrid.operators.overlap import ALL, BIDIRECTIONAL, GREATEST, WORD_COVERAGE
 from glyphgrid.plans.aligners import BEST, COMBINED, EXACT, ORDERED, PASS, GeometryAlignment, TextAlignment
-from glyphgrid.session import materialize
+from glyphgrid.session import materialize, materialize_counted
 from glyphgrid.sinks import json_pages, label_studio, render
-from glyphgrid.sources import alto, files, json_tree, yolo
+from glyphgrid.sources import alto, files, images, json_tree, yolo
 from glyphgrid.sources import label_studio as label_studio_source
 
 FORMATS = {json_pages.TEXT: ("json",), json_pages.GEOMETRY: ("json", "yolo", "label-studio")}
+COUNTERS = ("pages", "regions", "matched", "unmatched", "ambiguous", "conflicted")
 LEVELS = ("ALL", "DEBUG", "INFO", "WARN", "ERROR", "FATAL", "OFF")
 
 
@@ -31,6 +32,8 @@ class Run:
     """What a run found: aligned regions, documents as JSON, what had no OCR page, the counters, and the pages.
 
     ``pages`` and ``documents`` have ``page_ordinal``, the place of a page's file among those the run was given.
+    The counters were taken while the tables were written. A text run also has all candidates, the
+    ``selected`` ones, and the ambiguous and conflicted regions; a geometry run has none of these.
     """
 
     aligned: DataFrame
@@ -38,6 +41,10 @@ class Run:
     unpaired: DataFrame
     summary: DataFrame
     pages: DataFrame
+    candidates: DataFrame | None = None
+    selected: DataFrame | None = None
+    ambiguous: DataFrame | None = None
+    conflicted: DataFrame | None = None
 
 
 def run(spark: SparkSession, mode: str, plan: GeometryAlignment | TextAlignment, alto_files, input_files, input_format: str = "json", suffix: str | None = None, overwrite: bool = False,
@@ -60,6 +67,8 @@ def run(spark: SparkSession, mode: str, plan: GeometryAlignment | TextAlignment,
     missing = pairing.unpaired(inputs.select("page_key", "path"), ocr)
     paired = pairing.paired(inputs, ocr.select("page_key"))
     parsed = materialize(alto.parse_pages(ocr.join(inputs.select("page_key"), "page_key", "left_semi"), strict), "alto")
+    order, count = paired.select("page_key", "page_ordinal"), F.count(F.lit(1))
+    pages, counts = materialize_counted(alto.pages(parsed).join(order, "page_key"), "pages", pages=count)
     docs = paired.select("page_key", "page_ordinal", F.col("content").alias("raw"))
     if input_format == "yolo":
         regions = yolo.detections(yolo.lines_of(paired), strict)
@@ -75,15 +84,18 @@ def run(spark: SparkSession, mode: str, plan: GeometryAlignment | TextAlignment,
         if name not in regions.columns:
             regions = regions.withColumn(name, F.lit(None).cast(kind))
     regions = materialize(regions.filter("region_id IS NOT NULL"), "regions")
-    diagnostics: tuple[DataFrame, ...] = ()
+    found_by: tuple[DataFrame, ...] = ()
     if mode == json_pages.TEXT:
         aligned, candidates, chosen = plan.align_with_candidates(regions, alto.words(parsed))
-        diagnostics = plan.diagnostics(candidates, chosen)
+        (ambiguous, some), (conflicted, others) = (materialize_counted(df, n, **{n: count}) for n, df in zip(("ambiguous", "conflicted"), plan.diagnostics(candidates, chosen), strict=True))
+        counts |= some | others
+        found_by = (candidates, chosen, ambiguous, conflicted)
     else:
         aligned = plan.align(regions, alto.words(parsed))
-    aligned = materialize(aligned, "aligned")
-    order = paired.select("page_key", "page_ordinal")
-    pages = alto.pages(parsed).join(order, "page_key")
+    aligned, some = materialize_counted(aligned, "aligned", regions=count, matched=F.count_if(F.col("words").isNotNull()))
+    counts |= some
+    counts["unmatched"] = counts["regions"] - counts["matched"]
+    summary = spark.createDataFrame([tuple(counts.get(c, 0) for c in COUNTERS)], ", ".join(f"{c} long" for c in COUNTERS))
     if output_format == "label-studio":
         found = label_studio.results(aligned, pages, mode, text_source, geometry_source)
         documents = label_studio.documents(found, pages, image_prefix)
@@ -91,7 +103,7 @@ def run(spark: SparkSession, mode: str, plan: GeometryAlignment | TextAlignment,
         documents = json_pages.filled_documents(docs, aligned, mode, suffix, plan.geometry_format, text_source, geometry_source)
     else:
         documents = json_pages.grouped_documents(aligned, plan.geometry_format, geometry_source)
-    return Run(aligned, documents.join(order, "page_key"), missing, pairing.run_summary(aligned, *diagnostics), pages)
+    return Run(aligned, documents.join(order, "page_key"), missing, summary, pages, *found_by)
 
 
 def with_images(found: Run, images: DataFrame, mode: str, fmt: str = "bbox", text_source: str = "json", geometry_source: str = "input") -> DataFrame:
@@ -157,8 +169,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Ru
         found = run(spark, a.mode, plan, a.alto_dir, a.input_dir, a.input_format, overwrite=a.overwrite_existing_text, geometry_source=a.output_geometry_source, **common)
     json_pages.write_pages(found.documents, a.json_output_dir)
     if a.render_dir:  # the plan of what to draw; drawing itself needs an imaging library
-        images = files.read_files(spark, a.images_dir, files.IMAGES, text=False).select("page_key").join(found.pages, "page_key").select("page_key", F.col("alto_width").cast("int").alias("image_width"), F.col("alto_height").cast("int").alias("image_height"))
-        with_images(found, images, a.mode, a.output_alto_geometry_format).write.mode("overwrite").json(a.render_dir)
+        sizes = images.sizes(files.read_files(spark, a.images_dir, files.IMAGES, text=False)).drop("path")
+        with_images(found, sizes, a.mode, a.output_alto_geometry_format).write.mode("overwrite").json(a.render_dir)
     found.summary.show()
     return found
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Where materialised frames lie, so that they can be removed once nothing reads them.
 _written: WeakKeyDictionary = WeakKeyDictionary()
@@ -56,6 +56,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return read
 
 
+def materialize_counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`materialize`, and what was counted (aggregates) while the rows were written; nothing is read for it again."""
+    seen = Observation()
+    written = materialize(df.observe(seen, *(c.alias(n) for n, c in counts.items())), label)
+    return written, {n: seen.get.get(n) or 0 for n in counts}
+
+
 def tasks(spark: SparkSession) -> int:
     """The number of partitions a shuffle has; given outright, partitions of few bytes but much work are not folded together."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
