@@ -356,7 +356,8 @@ def scored(docs: DataFrame, grams: DataFrame, head: int, limit: int, mass: float
     others = grams.filter((is_pair & below(least)) | (~is_pair & below(rarest)))
     numbered = keyed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     probed = lambda k: numbered.filter(F.col("row") % ROUNDS == k).mapInArrow(run, SCORED)
-    joined = lambda k: probed(k).join(others, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # a bucket of counts, 16 bytes each, is held in memory instead of being sorted in each round
+    joined = lambda k: probed(k).join(others.hint("shuffle_hash"), "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     self_, token, pair, times = F.col("kind") > 0, (F.col("kind") == 0) & ~is_pair, (F.col("kind") == 0) & is_pair, F.col("times")
     seen = F.col("n") > 0
     # bigrams never counted, of a token that is not among the frequent: its own count is looked up below
