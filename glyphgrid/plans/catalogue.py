@@ -582,10 +582,23 @@ def label_studio_export(spark, sf_dir):
     return ls_sink.results(found, page_sizes(spark, sf_dir)).select("page_key", "region_id", "label", "text", "x", "y", "width", "height", "score")
 
 
-@query()
+def number_sql(value: str) -> str:
+    """A number as JSON text."""
+    return f"CASE WHEN abs({value} - round_even({value}, 0)) <= 1e-9 THEN CAST(CAST(round_even({value}, 0) AS BIGINT) AS VARCHAR) ELSE CAST({value} AS VARCHAR) END"
+
+
+@query(ALIGNED + f""", shown AS (
+  SELECT page_key, region_id, label, alto_text, rx / 1000 * 100 AS x, ry / 500 * 100 AS y, rw / 1000 * 100 AS w, rh / 500 * 100 AS h, CAST(region_id % 10 AS DOUBLE) / 10 AS confidence, alignment_score FROM aligned WHERE alto_text IS NOT NULL
+), entries AS (
+  SELECT page_key, region_id, least(confidence, alignment_score) AS score, '{{"from_name":"label","to_name":"image","type":"rectanglelabels","value":{{"x":' || {number_sql("x")} || ',"y":' || {number_sql("y")} || ',"width":' || {number_sql("w")} || ',"height":' || {number_sql("h")}
+    || ',"rectanglelabels":["' || label || '"]}},"meta":{{"text":[' || CAST(to_json(alto_text) AS VARCHAR) || '],"input_geometry_confidence":' || confidence || ',"alignment_score":' || alignment_score || '}},"score":' || least(confidence, alignment_score) || '}}' AS entry FROM shown
+), lists AS (
+  SELECT page_key, string_agg(entry, ',' ORDER BY region_id) AS r, min(score) AS score FROM entries GROUP BY page_key
+) SELECT 'doc-' || doc_id AS page_key, '{{"data":{{"image":"s3://images/doc-' || doc_id || '.jpg"}},"predictions":[{{"result":[' || coalesce(r, '') || ']' || coalesce(',"score":' || score, '') || '}}]}}' AS json
+FROM documents LEFT JOIN lists ON lists.page_key = 'doc-' || doc_id WHERE text IS NOT NULL""")
 def label_studio_documents(spark, sf_dir):
-    pages = page_sizes(spark, sf_dir)
-    return ls_sink.documents(ls_sink.results(aligned_regions(spark, sf_dir), pages), pages, "s3://images/")
+    pages, found = page_sizes(spark, sf_dir), aligned_regions(spark, sf_dir).withColumn("alignment_score", F.round("alignment_score", 6))
+    return ls_sink.documents(ls_sink.results(found, pages), pages, "s3://images/")
 
 
 def alto_files(spark: SparkSession, sf_dir: str) -> DataFrame:
