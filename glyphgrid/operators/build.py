@@ -37,13 +37,13 @@ def matched_words(assigned: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def with_alto(df: DataFrame, geometry_format: str = "bbox", text: Callable[[Column], Column] = joined_text, outline: Callable[[Column], Column] = orthogonal_polygon) -> DataFrame:
-    """alto_text and alto_bbox or alto_polygon from the column ``words``; ``text`` and ``outline`` build them."""
+def with_alto(df: DataFrame, geometry_format: str = "bbox", text: Callable[[Column], Column] = joined_text, outline: Callable[[Column], Column] = orthogonal_polygon, box: Callable[[Column], Column] = union_box) -> DataFrame:
+    """alto_text and alto_bbox or alto_polygon from the column ``words``; ``text``, ``outline`` and ``box`` build them."""
     if geometry_format not in ("bbox", "polygon"):
         raise ValueError(f"unknown geometry format {geometry_format!r}")
     none_box, none_ring = F.lit(None).cast("struct<x:double,y:double,width:double,height:double>"), F.lit(None).cast("array<struct<x:double,y:double>>")
     polygon = outline(F.col("words")) if geometry_format == "polygon" else none_ring
-    return df.withColumn("alto_text", text(F.col("words"))).withColumn("alto_bbox", union_box(F.col("words")) if geometry_format == "bbox" else none_box).withColumn("alto_polygon", polygon)
+    return df.withColumn("alto_text", text(F.col("words"))).withColumn("alto_bbox", box(F.col("words")) if geometry_format == "bbox" else none_box).withColumn("alto_polygon", polygon)
 
 
 def line_envelopes(matched: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphgrid.operators.labels import require
@@ -18,6 +18,13 @@ def require_unique(pages: DataFrame, side: str) -> DataFrame:
     return pages.join(twice, "page_key", "left").filter("twice IS NULL").drop("twice")
 
 
+def require_unique_regions(regions: DataFrame) -> DataFrame:
+    """The regions, or an error if two of a page have one id (checked as they are read)."""
+    n = F.count("*").over(Window.partitionBy("page_key", "region_id"))
+    twice = F.raise_error(F.concat(F.lit("more than one region "), F.col("region_id").cast("string"), F.lit(" on page "), "page_key")).cast("boolean")
+    return regions.withColumn("regions_of_id", n).filter(F.when(F.col("regions_of_id") > 1, twice).otherwise(F.lit(True))).drop("regions_of_id")
+
+
 def paired(inputs: DataFrame, alto: DataFrame) -> DataFrame:
     """Inputs that have an OCR page, with its columns."""
     return inputs.join(alto, "page_key")

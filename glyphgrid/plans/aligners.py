@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from glyphgrid.functions import geometry as G
 from glyphgrid.functions.text import normaliser
 from glyphgrid.operators import select as S
-from glyphgrid.operators.build import WORD, joined_text, matched_words, with_alto
+from glyphgrid.operators.build import WORD, joined_text, matched_words, union_box, with_alto
 from glyphgrid.operators.candidates import Fuzzy, combined, exact_candidates, fuzzy_candidates
 from glyphgrid.operators.labels import mapped, require
 from glyphgrid.operators.ordered import ordered_candidates
@@ -42,6 +43,7 @@ class GeometryAlignment:
     polygons: bool = True
     text: Callable[[Column], Column] = joined_text
     outline: Callable[[Column], Column] = orthogonal_polygon
+    box: Callable[[Column], Column] = union_box
 
     def align(self, regions: DataFrame, words: DataFrame) -> DataFrame:
         """``regions`` with words, alignment_score, alto_text, alto_bbox, alto_polygon, quality_issues; unmatched ones with nulls."""
@@ -50,7 +52,7 @@ class GeometryAlignment:
         named = mapped(regions, self.mapping).withColumn("quality_issues", G.quality_issues(F.col("bbox"), F.col("polygon")))
         met = self.strategy(named, words) if callable(self.strategy) else overlaps(named, words, self.minimum, self.strategy, polygons=self.polygons, carried=WORD[1:])
         found = self.assignment(met) if callable(self.assignment) else assigned(met, self.assignment)
-        return with_alto(named.join(matched_words(found, words), ["page_key", "region_id"], "left"), self.geometry_format, self.text, self.outline)
+        return with_alto(named.join(matched_words(found, words), ["page_key", "region_id"], "left"), self.geometry_format, self.text, self.outline, self.box)
 
 
 @dataclass(frozen=True)
@@ -75,10 +77,13 @@ class TextAlignment:
     normalise: Callable | None = None
     text: Callable[[Column], Column] = joined_text
     outline: Callable[[Column], Column] = orthogonal_polygon
+    box: Callable[[Column], Column] = union_box
 
     def __post_init__(self):
         require(callable(self.generator) or self.generator in (EXACT, COMBINED, ORDERED), f"unknown candidate generator {self.generator!r}")
         require(callable(self.selector) or self.selector in (BEST, PASS), f"unknown candidate selector {self.selector!r}")
+        if self.fuzzy.has_cliff:
+            warnings.warn(f"values of {self.fuzzy.length_boundary} characters may have fewer edits than shorter ones: rate {self.fuzzy.max_cer}, edits {self.fuzzy.max_edits}", stacklevel=3)
 
     def index(self, words: DataFrame) -> DataFrame:
         return index_words(words, self.normalise or normaliser(self.normalizers))
@@ -114,7 +119,7 @@ class TextAlignment:
         each = spans.select("page_key", "region_id", F.explode(F.sequence("start_word", "end_word")).alias("word_index"))
         lists = each.join(words.select("page_key", *WORD), ["page_key", "word_index"]).groupBy("page_key", "region_id").agg(F.array_sort(F.collect_list(F.struct(*WORD))).alias("words"))
         named = mapped(regions, self.mapping).join(values.select("page_key", "region_id", F.col("norm").alias("input_text_normalized")), ["page_key", "region_id"], "left")
-        return with_alto(named.join(spans, ["page_key", "region_id"], "left").join(lists, ["page_key", "region_id"], "left"), self.geometry_format, self.text, self.outline), candidates, selected
+        return with_alto(named.join(spans, ["page_key", "region_id"], "left").join(lists, ["page_key", "region_id"], "left"), self.geometry_format, self.text, self.outline, self.box), candidates, selected
 
     def diagnostics(self, candidates: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Ambiguous and conflicted regions."""

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,7 +84,7 @@ def run(spark: SparkSession, mode: str, plan: GeometryAlignment | TextAlignment,
     for name, kind in (("category_id", "int"), ("confidence", "double"), ("input_text", "string"), ("text_path", json_tree.PATH), ("geometry_path", json_tree.PATH)):
         if name not in regions.columns:
             regions = regions.withColumn(name, F.lit(None).cast(kind))
-    regions = materialize(regions.filter("region_id IS NOT NULL"), "regions")
+    regions = materialize(pairing.require_unique_regions(regions.filter("region_id IS NOT NULL")), "regions")
     found_by: tuple[DataFrame, ...] = ()
     if mode == json_pages.TEXT:
         aligned, candidates, chosen = plan.align_with_candidates(regions, alto.words(parsed))
@@ -149,7 +150,8 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Run:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, write: Callable[[DataFrame, str], object] = json_pages.write_pages, draw: Callable[[DataFrame, str], object] | None = None) -> Run:
+    """The command line. ``write`` takes the documents and the output folder, ``draw`` the render plan and the folder for drawings (the plan is written as JSON lines)."""
     top = parser()
     a = top.parse_args(argv)
     if a.output_json_format == "label-studio" and not a.label_studio_image_prefix:
@@ -167,10 +169,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Ru
     else:
         plan = GeometryAlignment(a.minimum_overlap_coverage, a.overlap_strategy, a.word_assignment_strategy, a.output_alto_geometry_format, mapping)
         found = run(spark, a.mode, plan, a.alto_dir, a.input_dir, a.input_format, overwrite=a.overwrite_existing_text, geometry_source=a.output_geometry_source, **common)
-    json_pages.write_pages(found.documents, a.json_output_dir)
+    write(found.documents, a.json_output_dir)
     if a.render_dir:  # the plan of what to draw; drawing itself needs an imaging library
         sizes = images.sizes(files.read_files(spark, a.images_dir, files.IMAGES, text=False)).drop("path")
-        with_images(found, sizes, a.mode, a.output_alto_geometry_format).write.mode("overwrite").json(a.render_dir)
+        plan_ = with_images(found, sizes, a.mode, a.output_alto_geometry_format)
+        draw(plan_, a.render_dir) if draw else plan_.write.mode("overwrite").json(a.render_dir)
     found.summary.show()
     return found
 

@@ -84,3 +84,31 @@ def test_a_run_without_pages(spark, tmp_path):
     (tmp_path / "json" / "p.json").write_text('{"city": "rome"}')
     found = runs.run(spark, "geometry", runs.GeometryAlignment(), str(tmp_path / "alto"), str(tmp_path / "json"))
     assert tuple(found.summary.first()) == (0, 0, 0, 0, 0, 0) and found.unpaired.count() == 1
+
+
+def test_writer_drawer_and_box_can_be_replaced(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from glyphgrid.operators.pairing import require_unique_regions
+    from glyphgrid.plans.aligners import TextAlignment
+
+    words = spark.createDataFrame([("p", 0, "rome", 10.0, 20.0, 30.0, 10.0, 0, 0)], "page_key string, word_index int, text string, x double, y double, width double, height double, line_index int, block_index int")
+    values = spark.createDataFrame([("p", 0, "city", "rome")], "page_key string, region_id int, label string, input_text string")
+    wide = lambda ws: F.struct(*(F.lit(v).alias(n) for n, v in (("x", 0.0), ("y", 0.0), ("width", 1.0), ("height", F.size(ws).cast("double")))))
+    assert TextAlignment(generator="exact", box=wide).align(values, words).first().alto_bbox.asDict() == {"x": 0.0, "y": 0.0, "width": 1.0, "height": 1.0}
+    with pytest.warns(UserWarning, match="fewer edits"):
+        from glyphgrid.operators.candidates import Fuzzy
+
+        TextAlignment(fuzzy=Fuzzy(length_boundary=3, max_cer=0.2, max_edits=1))
+    assert require_unique_regions(values).columns == values.columns
+    with pytest.raises(Exception, match="more than one region 0 on page p"):
+        require_unique_regions(values.union(values)).collect()
+    alto = '<alto><Layout><Page WIDTH="100" HEIGHT="50"><PrintSpace><TextBlock><TextLine><String CONTENT="rome" HPOS="10" VPOS="20" WIDTH="30" HEIGHT="10"/></TextLine></TextBlock></PrintSpace></Page></Layout></alto>'
+    for folder, name, data in (("alto", "p.xml", alto.encode()), ("json", "p.json", b'{"city": "rome"}'), ("images", "p.png", png(400, 500))):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / name).write_bytes(data)
+    seen = {}
+    at = lambda name: str(tmp_path / name)
+    args = ["text", "--alto-dir", at("alto"), "--input-dir", at("json"), "--json-output-dir", "o", "--images-dir", at("images"), "--render-dir", "r"]
+    runs.main(args, spark, write=lambda df, folder: seen.update({folder: df.count()}), draw=lambda df, folder: seen.update({folder: df.count()}))
+    assert seen == {"o": 1, "r": 1}
