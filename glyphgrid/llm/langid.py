@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphgrid.session import slices
+from glyphgrid.session import slices, small_batches
 
 #: The sample: languages learned (those with most rows), rows looked at and characters held for each.
 LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS = 64, 48, 20_000
@@ -272,6 +272,7 @@ def predict(docs: DataFrame, texts: dict[str, str], rows: int = 256) -> DataFram
     The score is the second best language's share of the two best entropies: one
     half if nothing tells them apart, near 1 if the best is far better.
     """
+    small_batches(docs.sparkSession, rows)
     known = tuple(sorted(texts.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,6 +286,7 @@ def predict(docs: DataFrame, texts: dict[str, str], rows: int = 256) -> DataFram
 
 def relabelled(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     """``docs`` with the predicted language as ``lang``, without the rows that have none (``und``)."""
+    small_batches(docs.sparkSession)
     known = tuple(sorted(texts.items()))
 
     @F.pandas_udf("string")

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphgrid.session import materialize, new_path, slices
+from glyphgrid.session import materialize, new_path, slices, small_batches
 
 REVISIT_BYTES, BLOCK_LINES, FILE_BYTES = 1000, 2000, 1 << 30
 #: Ranges of the sorted index at most, and captures that a range should have while there are fewer.
@@ -184,6 +184,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, folder: str | None = None, block_lines: int = BLOCK_LINES) -> tuple[str, Archive]:
     """Write the archives and their index below ``folder`` (a new shared one if not given)."""
     spark = pages.sparkSession
+    small_batches(spark)
     folder = folder or new_path(spark, "warc")
     captured, listed = arrow(CAPTURE), arrow(DIRECTORY)
 
