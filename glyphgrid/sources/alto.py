@@ -8,7 +8,11 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphgrid.session import small_batches
+
 NEEDED = ("CONTENT", "HPOS", "VPOS", "WIDTH", "HEIGHT")
+#: Words, as Python objects, after which those of the pages so far go on to Spark.
+HELD = 20_000
 PARSED = (
     "page_key string, path string, error string, page_id string, page_width double, page_height double, "
     "words array<struct<word_index:int,text:string,x:double,y:double,width:double,height:double,line_index:int,block_index:int,element_id:string>>"
@@ -46,26 +50,34 @@ def parse(content: str | bytes) -> tuple:
     return (page.attrib.get("ID") if page is not None else None), number("WIDTH"), number("HEIGHT"), words
 
 
-def parse_pages(files: DataFrame, strict: bool = True) -> DataFrame:
-    """One row a file with its words; what is wrong with a file is an error, or (not strict) the column ``error``."""
+def parsed_frames(frames: Iterator, strict: bool = True) -> Iterator:
+    """Frames of ``PARSED``, closed when their pages hold ``HELD`` words, however many files come at once."""
+    import pandas as pd
+
     names = ("word_index", "text", "x", "y", "width", "height", "line_index", "block_index", "element_id")
+    frame = lambda rows: pd.DataFrame(rows, columns=["page_key", "path", "error", "page_id", "page_width", "page_height", "words"])
+    rows, held = [], 0
+    for pdf in frames:
+        for key, path, content in pdf[["page_key", "path", "content"]].itertuples(index=False):
+            try:
+                page_id, width, height, words = parse(content)
+                rows.append((key, path, None, page_id, width, height, [dict(zip(names, w, strict=True)) for w in words]))
+                held += len(words)
+            except ValueError as e:
+                if strict:
+                    raise ValueError(f"{path}: {e}") from e
+                rows.append((key, path, str(e), None, None, None, []))
+            if held >= HELD:
+                yield frame(rows)
+                rows, held = [], 0
+    if rows:
+        yield frame(rows)
 
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for pdf in frames:
-            rows = []
-            for key, path, content in pdf[["page_key", "path", "content"]].itertuples(index=False):
-                try:
-                    page_id, width, height, words = parse(content)
-                    rows.append((key, path, None, page_id, width, height, [dict(zip(names, w, strict=True)) for w in words]))
-                except ValueError as e:
-                    if strict:
-                        raise ValueError(f"{path}: {e}") from e
-                    rows.append((key, path, str(e), None, None, None, []))
-            yield pd.DataFrame(rows, columns=["page_key", "path", "error", "page_id", "page_width", "page_height", "words"])
-
-    return files.select("page_key", "path", "content").mapInPandas(run, PARSED)
+
+def parse_pages(files: DataFrame, strict: bool = True) -> DataFrame:
+    """One row a file with its words; what is wrong with a file is an error, or (not strict) the column ``error``."""
+    small_batches(files.sparkSession)
+    return files.select("page_key", "path", "content").mapInPandas(lambda frames: parsed_frames(frames, strict), PARSED)
 
 
 def pages(parsed: DataFrame) -> DataFrame:
