@@ -24,6 +24,8 @@ from glyphgrid.operators.textindex import norm_text, raw_text
 SOURCE = "ordered-alignment"
 #: Characters in a bin, by which runs meet values and words.
 BIN = 256
+#: Edits up to which a page's path is searched edit by edit (their square is kept).
+EDITS = 1024
 RUN = "page_key string, source_at int, target_at int, n int, same boolean"
 FAR = np.int32(1 << 29)
 
@@ -88,11 +90,70 @@ def reaches(n: int, m: int) -> Iterator[int]:
     yield max(n, m, 1)
 
 
+def alike(a: np.ndarray, b: np.ndarray, step: int = 32) -> int:
+    """How many codes two texts begin with in common."""
+    most, at = min(len(a), len(b)), 0
+    while at < most:
+        unlike = a[at : min(at + step, most)] != b[at : min(at + step, most)]
+        k = int(unlike.argmax())
+        if unlike[k]:
+            return at + k
+        at, step = at + len(unlike), 4 * step
+    return most
+
+
+def furthest(a: np.ndarray, b: np.ndarray, most: int) -> list[np.ndarray] | None:
+    """For 0, 1, ... edits, how far in ``a`` each diagonal -edits..edits is reached with as many; None if the texts take more than ``most``."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return None
+    far = [np.array([alike(a, b)])]
+    while not (abs(m - n) < len(far) and far[-1][m - n + len(far) - 1] >= n):
+        d = len(far)
+        if d > most:
+            return None
+        none, last = np.full(2, -n - m - 2), far[-1]
+        replaced, deleted, inserted = np.concatenate((none[:1], last + 1, none[:1])), np.concatenate((last + 1, none)), np.concatenate((none, last))
+        k = np.arange(-d, d + 1)
+        now = np.minimum(np.maximum(np.maximum(replaced, deleted), inserted), np.minimum(n, m - k))
+        open_ = np.flatnonzero((now >= 0) & (now < n) & (now + k >= 0) & (now + k < m))
+        for x in open_[a[now[open_]] == b[now[open_] + k[open_]]].tolist():
+            now[x] += alike(a[now[x] :], b[now[x] + x - d :])
+        far.append(now)
+    return far
+
+
+def few_edits(a: np.ndarray, b: np.ndarray, found: np.ndarray, most: int) -> bool:
+    """Fill ``found`` as :func:`aligned_characters` says if ``most`` edits do; time grows with the square of the edits, not with the length times the band."""
+    far = furthest(a, b, most)
+    if far is None:
+        return False
+    i, j, d = len(a), len(b), len(far) - 1
+    within = lambda i, j, d: abs(j - i) <= d and i <= far[d][j - i + d]
+    while i and j:
+        # a match is always on a cheapest path
+        same = alike(a[:i][::-1], b[:j][::-1])
+        found[i - same : i] = np.arange(j - same, j)
+        i, j = i - same, j - same
+        if not i or not j:
+            break
+        d -= 1
+        if within(i - 1, j - 1, d):
+            i, j = i - 1, j - 1
+            found[i] = j
+        elif within(i - 1, j, d):
+            i -= 1
+        else:
+            j -= 1
+    return True
+
+
 def aligned_characters(source: str, target: str) -> np.ndarray:
     """For each source character the target character it is matched with or replaced by, or -1.
 
     One cheapest edit path, walked from the end; of equal steps a match goes
-    first, then a replacement, a deletion, an insertion. The band around the
+    first, then a replacement, a deletion, an insertion. Texts with few edits are
+    searched edit by edit; for others the band around the
     diagonal is doubled until the path cannot leave it. Of its rows one in as many
     as the root of their number is kept, and those between are worked out again
     when the walk gets there, so memory grows with the root of the length times
@@ -107,6 +168,8 @@ def aligned_characters(source: str, target: str) -> np.ndarray:
     found[i:] = np.arange(j, len(b))
     if not i or not j:
         return found
+    if few_edits(a[:i], b[:j], found, min(EDITS, max(64, 4 * math.isqrt(i)))):
+        return found
     step = max(16, math.isqrt(i))
     for reach in reaches(i, j):
         band, marks = Band(a[:i], b[:j], reach), {}
@@ -193,9 +256,18 @@ def owned_words(values: DataFrame, index: DataFrame) -> DataFrame:
     return votes.withColumn("rank", F.row_number().over(best)).filter("rank = 1").groupBy("page_key", "region_id").agg(F.min("word_index").alias("start_word"), F.max("word_index").alias("end_word"))
 
 
+def distance(a: Column, b: Column) -> Column:
+    """The edit distance; equal and near texts in time that grows with their length, not its square."""
+    within = lambda most: F.call_function("levenshtein", a, b, F.lit(most))
+    return F.when(a == b, F.lit(0)).otherwise(once(within(8), lambda x: F.when(x >= 0, x).otherwise(once(within(64), lambda y: F.when(y >= 0, y).otherwise(F.levenshtein(a, b))))))
+
+
 def trimmed(query: Column, part: Column) -> Column:
     """(from, to, distance): the words that stay of ``part`` when edge words go as long as the value gets nearer without them, the first one first."""
-    distance = lambda s, e: F.levenshtein(query, norm_text(F.slice(part, s + 1, e - s + 1)))
+    rest = lambda s, e: norm_text(F.slice(part, s + 1, e - s + 1))
+    far = F.lit(1 << 30)
+    # only what is nearer than the state's distance counts, so the rest need not be worked out
+    nearer_than = lambda s, e, d: once(F.call_function("levenshtein", query, rest(s, e), d - 1), lambda x: F.when(x < 0, far).otherwise(x))
     state = lambda s, e, d, more: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), d.cast("int").alias("d"), more.alias("more"))
 
     def without_edge(x: Column) -> Column:
@@ -204,11 +276,11 @@ def trimmed(query: Column, part: Column) -> Column:
             shorter = F.when(left <= right, state(x["s"] + 1, x["e"], left, F.lit(True))).otherwise(state(x["s"], x["e"] - 1, right, F.lit(True)))
             return F.when(F.least(left, right) >= x["d"], stays).otherwise(shorter)
 
-        both = F.struct(distance(x["s"] + 1, x["e"]).alias("l"), distance(x["s"], x["e"] - 1).alias("r"))
+        both = F.struct(nearer_than(x["s"] + 1, x["e"], x["d"]).alias("l"), nearer_than(x["s"], x["e"] - 1, x["d"]).alias("r"))
         return F.when(x["more"] & (x["d"] > 0) & (x["s"] < x["e"]), once(both, lambda b: nearer(b["l"], b["r"]))).otherwise(x)
 
     last = F.size(part) - 1
-    return F.aggregate(part, state(F.lit(0), last, distance(F.lit(0), last), F.lit(True)), lambda x, _: without_edge(x))
+    return F.aggregate(part, state(F.lit(0), last, distance(query, norm_text(part)), F.lit(True)), lambda x, _: without_edge(x))
 
 
 def ordered_candidates(values: DataFrame, index: DataFrame, boundary: int = 6, max_cer: float = 0.20, max_edits: int = 1) -> DataFrame:
