@@ -16,6 +16,8 @@ from glyphgrid.schemas import SCALE
 from glyphgrid.session import materialize
 
 EPSILON = 1e-12
+#: Hashes of what a page's queries are made of, up to which its words are compared with them all.
+WANTED = 512
 COLUMNS = (
     "page_key", "candidate_id", "region_id", "start_word", "end_word", "start_char", "end_char", "query_text", "matched_text",
     "normalized_query_text", "normalized_matched_text", "exact", "edit_distance", "cer_int", "similarity_int", "query_length", "quality_chars", "source",
@@ -80,29 +82,59 @@ def for_values(values: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def token_stream(index: DataFrame) -> DataFrame:
-    """(page_key, at, token, word, first, last): the tokens of a page in order; is it the first or last of its word."""
-    tokens = F.transform(F.split("norm", " "), lambda t, i: F.struct(t.alias("token"), i.alias("i")))
-    each = index.filter("norm <> ''").select("page_key", F.col("word_index").alias("word"), F.size(F.split("norm", " ")).alias("k"), F.explode(tokens).alias("t"))
-    order = Window.partitionBy("page_key").orderBy("word", "t.i")
-    return each.select("page_key", (F.row_number().over(order) - 1).alias("at"), "t.token", "word", (F.col("t.i") == 0).alias("first"), (F.col("t.i") == F.col("k") - 1).alias("last"))
+def features(token: Column) -> Column:
+    """A token (kind 0) and its different trigrams (kind 1)."""
+    kind = lambda k, g: F.struct(F.lit(k).alias("kind"), g.alias("gram"))
+    return F.concat(F.array(kind(0, token)), F.transform(trigrams(token), lambda g: kind(1, g)))
+
+
+def asked_features(queries: DataFrame) -> DataFrame:
+    """(page_key, query, qi, kind, gram) of the tokens of queries."""
+    return queries.select("page_key", "query", F.posexplode("tokens").alias("qi", "token")).select("page_key", "query", "qi", F.explode(features(F.col("token"))).alias("f")).select("page_key", "query", "qi", "f.*")
+
+
+def prepared(values: DataFrame, index: DataFrame) -> DataFrame:
+    """(page_key, words, n, wanted): the pages that have queries, and hashes of what these are made of, written once.
+
+    What several searches need of a page then lies in its row, and what has none of the
+    hashes is left out where it lies. ``wanted`` is null, and nothing left out, where there are more than ``WANTED``.
+    """
+    hashes = asked_features(queries_of(values)).groupBy("page_key").agg(F.collect_set(F.xxhash64("kind", "gram")).alias("wanted"))
+    bounded = hashes.withColumn("wanted", F.when(F.size("wanted") <= WANTED, F.col("wanted")))
+    return materialize(page_arrays(index).join(bounded, "page_key"), "pages")
+
+
+def words_of(pages: DataFrame) -> DataFrame:
+    each = pages.select("page_key", "wanted", F.inline("words"))
+    return each.withColumn("text", F.coalesce("text", "norm"))
+
+
+def is_wanted(kind: Column, gram: Column) -> Column:
+    return F.coalesce(F.array_contains("wanted", F.xxhash64(kind, gram)), F.lit(True))
+
+
+def token_stream(words: DataFrame) -> DataFrame:
+    """(page_key, at, token, word, first, last): tokens of words and their place in the page; is it the first or last of its word."""
+    each = words.filter("norm <> ''").withColumn("k", F.size(F.split("norm", " "))).select("page_key", F.col("word_index").alias("word"), "k", "at", F.posexplode(F.split("norm", " ")).alias("i", "token"))
+    return each.select("page_key", (F.col("at") + F.col("i")).alias("at"), "token", "word", (F.col("i") == 0).alias("first"), (F.col("i") == F.col("k") - 1).alias("last"))
 
 
 def runs_of_tokens(stream: DataFrame, sizes: list[int]) -> DataFrame:
-    """(page_key, at, size, hash): the hash of the tokens from each one on, for sizes that are powers of two; by doubling."""
+    """(page_key, at, size, hash): the hash of the tokens from each one on, if none is left out, for sizes that are powers of two; by doubling."""
     order = Window.partitionBy("page_key").orderBy("at")
     widest, size, hashed = max(sizes), 1, stream.withColumn("h1", F.xxhash64("token"))
     while size < widest:
-        hashed = hashed.withColumn(f"h{2 * size}", F.when(F.lead(f"h{size}", size).over(order).isNotNull(), F.xxhash64(f"h{size}", F.lead(f"h{size}", size).over(order))))
+        hashed = hashed.withColumn(f"h{2 * size}", F.when((F.lead("at", size).over(order) == F.col("at") + size) & F.lead(f"h{size}", size).over(order).isNotNull(), F.xxhash64(f"h{size}", F.lead(f"h{size}", size).over(order))))
         size *= 2
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("size"), F.col(f"h{n}").alias("hash")) for n in sizes)))
     return hashed.filter("first").select("page_key", "at", each.alias("r")).filter("r.hash IS NOT NULL").select("page_key", "at", "r.size", "r.hash")
 
 
-def exact_spans(values: DataFrame, index: DataFrame) -> DataFrame:
+def exact_spans(values: DataFrame, index: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Every place where the words of a page spell a query, overlapping ones too; a place begins and ends with a word.
 
-    The first tokens of a query, as many as the largest power of two in it, are
+    Of a page only words with a token of one of its queries are looked at, and
+    those without any. The first tokens of a query, as many as the largest power of two in it, are
     one hash, an equi-join with the hashes of as many tokens from every place of
     the page. Only the tokens of what this finds are compared.
     """
@@ -116,16 +148,18 @@ def exact_spans(values: DataFrame, index: DataFrame) -> DataFrame:
     while size < sizes[-1]:
         halves, size = pairs_hashed(halves), 2 * size
         of_size = of_size.when(F.col("size") == size, F.get(halves, F.lit(0)))
-    stream = token_stream(index)
+    some = F.exists(F.split("norm", " "), lambda token: is_wanted(F.lit(0), token))
+    simple = F.when(F.instr("norm", " ") == 0, is_wanted(F.lit(0), F.col("norm"))).otherwise(some)
+    words = materialize(words_of(prepared(values, index) if pages is None else pages).filter((F.col("norm") == "") | simple).drop("wanted"), "words-wanted")
+    stream = token_stream(words)
     starts = queries.withColumn("hash", of_size).join(runs_of_tokens(stream, sizes), ["page_key", "size", "hash"]).select("page_key", "query", "at", F.posexplode("tokens").alias("j", "wanted"))
     met = starts.withColumn("place", F.col("at") + F.col("j")).join(stream.withColumnRenamed("at", "place"), ["page_key", "place"])
     spelled = met.groupBy("page_key", "query", "at").agg(
         F.count_if(F.col("token") == F.col("wanted")).alias("same"), F.min("word").alias("start_word"), F.max("word").alias("end_word"), F.max_by("last", "j").alias("ends"), F.min_by("first", "j").alias("begins"),
     )
     found = spelled.filter((F.col("same") == F.size(F.split("query", " "))) & F.col("begins") & F.col("ends")).select("page_key", "query", "start_word", "end_word")
-    words = index.select("page_key", "word_index", "text", "char_start", "char_end")
-    inside = found.withColumn("word_index", F.explode(F.sequence("start_word", "end_word"))).join(words, ["page_key", "word_index"])
-    spans = inside.groupBy("page_key", "query", "start_word", "end_word").agg(F.array_sort(F.collect_list(F.struct("word_index", "text", "char_start", "char_end"))).alias("span"))
+    inside = found.withColumn("word_index", F.explode(F.sequence("start_word", "end_word"))).join(words.select("page_key", "word_index", "text", "norm", "char_start", "char_end"), ["page_key", "word_index"])
+    spans = inside.groupBy("page_key", "query", "start_word", "end_word").agg(F.array_sort(F.collect_list(F.struct("word_index", "text", "norm", "char_start", "char_end"))).alias("span"))
     return spans.select(
         "page_key", "query", "start_word", "end_word", F.element_at("span", 1)["char_start"].alias("start_char"), F.element_at("span", -1)["char_end"].alias("end_char"),
         raw_text(F.col("span")).alias("matched_text"), F.col("query").alias("normalized_matched_text"), F.lit(0).alias("edit_distance"), F.lit("exact").alias("source"),
@@ -137,24 +171,25 @@ def pairs_hashed(hashes: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(hashes) / 2) - 1, F.lit(0))), lambda i: F.xxhash64(F.get(hashes, (2 * i).cast("int")), F.get(hashes, (2 * i + 1).cast("int"))))
 
 
-def exact_candidates(values: DataFrame, index: DataFrame) -> DataFrame:
-    """Exact candidates; ``values``: page_key, region_id, input_text, norm."""
-    return for_values(values, exact_spans(values, index))
+def exact_candidates(values: DataFrame, index: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Exact candidates; ``values``: page_key, region_id, input_text, norm; ``pages``: what :func:`prepared` gave, if it is at hand."""
+    return for_values(values, exact_spans(values, index, pages))
 
 
-def start_votes(queries: DataFrame, index: DataFrame, options: Fuzzy = Fuzzy()) -> DataFrame:
+def start_votes(queries: DataFrame, pages: DataFrame, options: Fuzzy = Fuzzy()) -> DataFrame:
     """(page_key, query, start, votes): where shared tokens and rare shared trigrams say that a query begins.
 
-    Tokens (kind 0) and trigrams (kind 1) of the words are dealt once, to those
-    the page's queries have, and are counted where they meet them.
+    ``pages`` are :func:`prepared`: tokens (kind 0) and trigrams (kind 1) that no
+    query of the page has go no further than their row.
     """
-    kinds = lambda tokens, grams: F.concat(F.transform(tokens, lambda t: F.struct(F.lit(0).alias("kind"), t.alias("gram"))), F.transform(grams, lambda g: F.struct(F.lit(1).alias("kind"), g.alias("gram"))))
-    tokens = queries.select("page_key", "query", F.posexplode("tokens").alias("qi", "token"))
-    asked = tokens.select("page_key", "query", "qi", F.explode(kinds(F.array("token"), trigrams(F.col("token")))).alias("f")).select("page_key", "query", "qi", "f.*")
-    parts = F.split("norm", " ")
-    held = index.filter("norm <> ''").select("page_key", "word_index", F.explode(kinds(F.array_distinct(parts), F.array_distinct(F.flatten(F.transform(parts, trigrams))))).alias("f")).select("page_key", "word_index", "f.*")
+    asked = asked_features(queries)
+    tokens = words_of(pages).filter("norm <> ''").select("page_key", "wanted", "word_index", F.explode(F.split("norm", " ")).alias("token"))
+    cut = tokens.withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(F.length("token") - 2, F.lit(0)))))
+    kind, gram = F.when(F.col("i") > 0, 1).otherwise(0), F.when(F.col("i") == 0, F.col("token")).otherwise(F.substring("token", F.col("i"), F.lit(3)))
+    held = cut.select("page_key", "wanted", "word_index", kind.alias("kind"), gram.alias("gram")).filter(is_wanted(F.col("kind"), F.col("gram"))).drop("wanted")
     key = ["page_key", "kind", "gram"]
-    postings = held.join(asked.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.count("*").alias("postings"), F.collect_list("word_index").alias("places")).filter(F.col("postings") <= options.max_postings)
+    places = held.join(asked.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.collect_set("word_index").alias("places"))
+    postings = places.withColumn("postings", F.size("places").cast("long")).filter(F.col("postings") <= options.max_postings)
     budget = Window.partitionBy("page_key", "query", "kind").orderBy("postings", "qi", "gram")
     hits = asked.join(postings, key).withColumn("rank", F.row_number().over(budget)).filter((F.col("kind") == 0) | (F.col("rank") <= options.max_features))
     weight = F.when(F.col("kind") == 0, 3 + F.floor(F.floor(F.lit(options.max_postings) / F.col("postings")) / 8)).otherwise(F.lit(1).cast("long"))
@@ -177,17 +212,42 @@ def windows_around(starts: DataFrame, queries: DataFrame, sizes: DataFrame, opti
     return ended.filter("start_word >= 0 AND end_word < n").select("page_key", "query", "start_word", "end_word").distinct()
 
 
-def scored_windows(windows: DataFrame, pages: DataFrame, options: Fuzzy = Fuzzy(), source: str = "fuzzy-anchor") -> DataFrame:
-    """Windows whose text is near enough to their query, from one block if any is, else (if allowed) across blocks."""
-    # a page's words meet the page's windows once, and only slices go on
-    asked = windows.groupBy("page_key").agg(F.collect_list(F.struct("query", "start_word", "end_word")).alias("asked"))
-    slices = F.transform("asked", lambda a: F.struct(a["query"].alias("query"), a["start_word"].alias("start_word"), a["end_word"].alias("end_word"), interval(F.col("words"), a["start_word"], a["end_word"]).alias("part")))
-    cut = asked.join(pages, "page_key").select("page_key", F.explode(slices).alias("c")).select("page_key", "c.*")
-    solid, length = length_without_blanks(F.col("query")), F.length("query")
-    most = F.when(solid >= options.length_boundary, F.floor(length * options.max_cer + EPSILON).cast("int")).otherwise(F.lit(options.max_edits))
+def most_edits(query: Column, options: Fuzzy) -> Column:
+    """No accepted text is farther from a query."""
+    return F.when(length_without_blanks(query) >= options.length_boundary, F.floor(F.length(query) * options.max_cer + EPSILON).cast("int")).otherwise(F.lit(options.max_edits))
+
+
+def everywhere(page: Column, asked: Column, options: Fuzzy) -> Column:
+    """All windows of a page's words for the queries ``asked`` (query, k, most) that are of a possible length."""
+
+    def of_start(q: Column, first: Column, at: Column) -> Column:
+        counts = F.sequence(F.greatest(F.lit(1), q["k"] - options.word_delta), q["k"] + options.word_delta)
+        size = lambda c: F.get(page, (at + c - 1).cast("int"))["char_end"] - first["char_start"]
+        fitting = F.filter(counts, lambda c: F.abs(F.length(q["query"]) - size(c)) <= q["most"])
+        return F.transform(fitting, lambda c: F.struct(q["query"].alias("query"), at.cast("int").alias("start_word"), (at + c - 1).cast("int").alias("end_word")))
+
+    return F.flatten(F.transform(asked, lambda q: F.flatten(F.transform(page, lambda w, at: of_start(q, w, at)))))
+
+
+def scored_windows(windows: DataFrame, unvoted: DataFrame, pages: DataFrame, options: Fuzzy = Fuzzy()) -> DataFrame:
+    """Windows whose text is near enough to their query, from one block if any is, else (if allowed) across blocks.
+
+    ``windows`` are those to look at, and for the queries ``unvoted`` all of the page are.
+    """
+    # a page's words meet what is asked of them once; windows of impossible length are never cut out
+    fields = "array<struct<query:string,start_word:int,end_word:int>>"
+    listed = windows.groupBy("page_key").agg(F.collect_list(F.struct("query", "start_word", "end_word")).alias("asked"))
+    blank = unvoted.groupBy("page_key").agg(F.collect_list(F.struct("query", F.size("tokens").alias("k"), most_edits(F.col("query"), options).alias("most"))).alias("open"))
+    both = listed.join(blank, "page_key", "full")
+    slices = lambda asked, source: F.transform(asked, lambda a: F.struct(a["query"].alias("query"), a["start_word"].alias("start_word"), a["end_word"].alias("end_word"), F.lit(source).alias("source"), interval(F.col("words"), a["start_word"], a["end_word"]).alias("part")))
+    none = F.array().cast(fields)
+    every = F.concat(slices(F.coalesce("asked", none), "fuzzy-anchor"), slices(F.coalesce(everywhere(F.col("words"), F.col("open"), options), none), "fuzzy-length-fallback"))
+    cut = both.join(pages, "page_key").select("page_key", F.explode(every).alias("c")).select("page_key", "c.*")
+    solid = length_without_blanks(F.col("query"))
+    most = most_edits(F.col("query"), options)
     first, last = F.element_at("part", 1), F.element_at("part", -1)
     texts = cut.filter((first["norm"] != "") & (last["norm"] != "")).select(
-        "page_key", "query", "start_word", "end_word", first["char_start"].alias("start_char"), last["char_end"].alias("end_char"),
+        "page_key", "query", "start_word", "end_word", "source", first["char_start"].alias("start_char"), last["char_end"].alias("end_char"),
         raw_text(F.col("part")).alias("matched_text"), norm_text(F.col("part")).alias("normalized_matched_text"), in_one_block(F.col("part")).alias("one_block"), most.alias("most"), solid.alias("solid"),
     )
     # the difference in length bounds the distance from below
@@ -195,9 +255,9 @@ def scored_windows(windows: DataFrame, pages: DataFrame, options: Fuzzy = Fuzzy(
     measured = possible.withColumn("edit_distance", F.levenshtein("query", "normalized_matched_text"))
     good = measured.filter((F.col("edit_distance") > 0) & accepted(F.col("edit_distance"), F.length("query"), F.col("solid"), options.length_boundary, options.max_cer, options.max_edits))
     if not options.cross_block:
-        return good.filter("one_block").drop("most", "solid", "one_block").withColumn("source", F.lit(source))
+        return good.filter("one_block").drop("most", "solid", "one_block")
     any_ = F.max(F.col("one_block").cast("int")).over(Window.partitionBy("page_key", "query")) == 1
-    named = F.when(F.col("one_block"), F.lit(source)).otherwise(F.lit(f"{source}-cross-block"))
+    named = F.when(F.col("one_block"), F.col("source")).otherwise(F.concat("source", F.lit("-cross-block")))
     return good.withColumn("keep", F.col("one_block") == any_).filter("keep").withColumn("source", named).drop("most", "solid", "one_block", "keep")
 
 
@@ -215,22 +275,25 @@ def retained(scored: DataFrame, limit: int = 5) -> DataFrame:
     return lists.select("page_key", "query", F.explode(F.slice(F.concat("far", rest), 1, limit)).alias("s")).select("page_key", "query", *(f"s.{f}" for f in fields))
 
 
-def fuzzy_spans(values: DataFrame, index: DataFrame, options: Fuzzy = Fuzzy()) -> DataFrame:
+def fuzzy_spans(values: DataFrame, index: DataFrame, options: Fuzzy = Fuzzy(), pages: DataFrame | None = None) -> DataFrame:
     """Spans near to the queries; where a query has no vote at all, windows everywhere in its page."""
+    pages = prepared(values, index) if pages is None else pages
     # each is read several times below: computed once and written
-    index, queries = materialize(index, "word-index"), materialize(queries_of(values), "queries")
-    pages = materialize(page_arrays(index), "page-arrays")
-    sizes = pages.select("page_key", "n")
-    votes = materialize(start_votes(queries, index, options), "start-votes")
-    anchored = scored_windows(windows_around(top_starts(votes, options), queries, sizes, options), pages.drop("n"), options)
+    queries = materialize(queries_of(values), "queries")
+    votes = materialize(start_votes(queries, pages, options), "start-votes")
+    windows = windows_around(top_starts(votes, options), queries, pages.select("page_key", "n"), options)
     unvoted = queries.join(votes.select("page_key", "query").distinct(), ["page_key", "query"], "left_anti")
-    everywhere = unvoted.join(sizes, "page_key").select("page_key", "query", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
-    fallback = scored_windows(windows_around(everywhere, unvoted, sizes, options, 0), pages.drop("n"), options, "fuzzy-length-fallback")
-    return retained(anchored.unionByName(fallback), options.max_candidates)
+    return retained(scored_windows(windows, unvoted, pages.select("page_key", "words"), options), options.max_candidates)
+
+
+def fuzzy_candidates(values: DataFrame, index: DataFrame, options: Fuzzy = Fuzzy(), pages: DataFrame | None = None) -> DataFrame:
+    return for_values(values, fuzzy_spans(values, index, options, pages))
 
 
-def fuzzy_candidates(values: DataFrame, index: DataFrame, options: Fuzzy = Fuzzy()) -> DataFrame:
-    return for_values(values, fuzzy_spans(values, index, options))
+def exact_and_fuzzy(values: DataFrame, index: DataFrame, options: Fuzzy = Fuzzy()) -> DataFrame:
+    """Exact candidates first, then fuzzy ones; the pages are prepared once."""
+    pages = prepared(values, index)
+    return combined([exact_candidates(values, index, pages), fuzzy_candidates(values, index, options, pages)])
 
 
 def combined(generated: Sequence[DataFrame]) -> DataFrame:

@@ -17,7 +17,8 @@ def index_words(words: DataFrame, normalise: Callable[[Column], Column] | None =
     words that normalise to nothing have no interval.
     """
     norm = normalise(F.col("text")) if normalise else F.col("text")
-    named = words.select("page_key", "word_index", "text", "block_index", norm.alias("norm"))
+    # exchanged by page before there is a norm, so that a word goes once
+    named = words.select("page_key", "word_index", "text", "block_index").repartition("page_key").withColumn("norm", norm)
     before = Window.partitionBy("page_key").orderBy("word_index").rowsBetween(Window.unboundedPreceding, -1)
     step = F.when(F.col("norm") != "", F.length("norm") + 1).otherwise(0)
     start = F.coalesce(F.sum(step).over(before), F.lit(0)).cast("int")
@@ -26,9 +27,16 @@ def index_words(words: DataFrame, normalise: Callable[[Column], Column] | None =
 
 
 def page_arrays(index: DataFrame) -> DataFrame:
-    """(page_key, words, n): one row a page, its words in order."""
-    fields = F.struct("word_index", "text", "norm", "block_index", "char_start", "char_end")
-    return index.groupBy("page_key").agg(F.array_sort(F.collect_list(fields)).alias("words"), F.count("*").cast("int").alias("n"))
+    """(page_key, words, n): one row a page, its words in order; ``at``: the tokens before a word, ``text``: null where it is the norm.
+
+    The sum runs over the exchange by page that the index has, and the rows are gathered on it.
+    """
+    before = Window.partitionBy("page_key").orderBy("word_index").rowsBetween(Window.unboundedPreceding, -1)
+    tokens = F.when(F.col("norm") != "", F.size(F.split("norm", " "))).otherwise(0)
+    placed = index.withColumn("at", F.coalesce(F.sum(tokens).over(before), F.lit(0)).cast("int"))
+    raw = F.when(F.col("text").eqNullSafe(F.col("norm")), F.lit(None)).otherwise(F.col("text"))
+    fields = F.struct("word_index", raw.alias("text"), "norm", "block_index", "char_start", "char_end", "at")
+    return placed.groupBy("page_key").agg(F.array_sort(F.collect_list(fields)).alias("words"), F.count("*").cast("int").alias("n"))
 
 
 def token_postings(index: DataFrame) -> DataFrame:
@@ -48,7 +56,7 @@ def interval(words: Column, start: Column, end: Column) -> Column:
 
 
 def raw_text(part: Column) -> Column:
-    return F.array_join(F.transform(part, lambda w: w["text"]), " ")
+    return F.array_join(F.transform(part, lambda w: F.coalesce(w["text"], w["norm"])), " ")
 
 
 def norm_text(part: Column) -> Column:

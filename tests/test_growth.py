@@ -77,3 +77,31 @@ def test_long_texts_with_few_edits_are_quick():
     start = time.time()
     assert (ordered.aligned_characters(a, b) == np.arange(len(a))).all()
     assert time.time() - start < 3
+
+
+def searched(spark, wanted=None):
+    from glyphgrid.functions.text import collapse_blanks
+    from glyphgrid.operators import candidates as C
+    from glyphgrid.operators.textindex import index_words
+
+    pages = [("p", "one two, three four five one two three four six"), ("q", "nothing like it here at all"), ("r", "unasked words")]
+    words = V.laid_out(spark.createDataFrame(pages, "page_key string, text string"))
+    values = spark.createDataFrame([("p", 0, "three four"), ("p", 1, "twoo three"), ("p", 2, "zzyzx qqqqq"), ("q", 0, "likeit hexe"), ("q", 1, "xx")], "page_key string, region_id int, input_text string").withColumn("norm", F.col("input_text"))
+    return C, values, index_words(words, collapse_blanks)
+
+
+def test_only_pages_and_words_asked_for_are_searched(spark):
+    C, values, index = searched(spark)
+    pages = C.prepared(values, index)
+    assert {r["page_key"] for r in pages.collect()} == {"p", "q"}
+    held = C.words_of(pages).filter(C.is_wanted(F.lit(0), F.col("norm")))
+    assert {r["norm"] for r in held.collect()} == {"three", "four"}
+
+
+def test_pages_with_very_many_queries_are_searched_whole(spark, monkeypatch):
+    C, values, index = searched(spark)
+    found = [tuple(r) for r in C.exact_and_fuzzy(values, index).orderBy("page_key", "candidate_id").collect()]
+    monkeypatch.setattr(C, "WANTED", 0)
+    assert found == [tuple(r) for r in C.exact_and_fuzzy(values, index).orderBy("page_key", "candidate_id").collect()]
+    spans = [(r[2], r[3], r[4], r[-1]) for r in found if r[0] == "p"]
+    assert (0, 2, 3, "exact") in spans and (0, 7, 8, "exact") in spans and any(s[:3] == (1, 6, 7) for s in spans)
