@@ -44,8 +44,8 @@ def with_images(pages: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def match_counts(aligned: DataFrame) -> DataFrame:
-    """(page_key, regions, matched, unmatched): a region is matched if it has words."""
-    matched = F.count_if(F.col("words").isNotNull())
+    """(page_key, regions, matched, unmatched): a region is matched if it has words, and so a score; the words themselves need not be gathered."""
+    matched = F.count_if(F.col("alignment_score").isNotNull())
     return aligned.groupBy("page_key").agg(F.count("*").alias("regions"), matched.alias("matched"), (F.count("*") - matched).alias("unmatched"))
 
 
