@@ -105,3 +105,11 @@ def test_pages_with_very_many_queries_are_searched_whole(spark, monkeypatch):
     assert found == [tuple(r) for r in C.exact_and_fuzzy(values, index).orderBy("page_key", "candidate_id").collect()]
     spans = [(r[2], r[3], r[4], r[-1]) for r in found if r[0] == "p"]
     assert (0, 2, 3, "exact") in spans and (0, 7, 8, "exact") in spans and any(s[:3] == (1, 6, 7) for s in spans)
+
+
+@needs_data
+def test_counts_gather_no_words(spark):
+    from glyphgrid.plans import catalogue
+
+    for name in ("match_counts", "run_summary", "unmatched_regions"):
+        assert "collect_list" not in catalogue.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
