@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import time
 
 import numpy as np
@@ -113,3 +114,29 @@ def test_counts_gather_no_words(spark):
 
     for name in ("match_counts", "run_summary", "unmatched_regions"):
         assert "collect_list" not in catalogue.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def exchanged(df):
+    """What the exchanges of a plan deal by, when no join is broadcast."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return [re.findall(r"([a-z_]+)#", dealt) for dealt in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan_of(df.select("*")))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@needs_data
+def test_pages_are_exchanged_once_for_an_alignment(spark):
+    from glyphgrid.plans import catalogue
+
+    for name, sides in (("geometry_align_flagship", 3), ("assign_greatest_coverage", 2), ("bbox_overlap_bidirectional", 2), ("grouped_labels", 3), ("orthogonal_polygon", 3)):
+        assert exchanged(catalogue.QUERIES[name](spark, SMALL)) == [["page_key"]] * sides, name
+
+
+def test_texts_exchanged_by_page_are_laid_out_alike(spark):
+    texts = ["", " ", "\n", "a", "  aé b\n\n c  \U0001f600d ", "x\n y", None, "tab\there   nbsp\r\nend  "]
+    pages = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "page_key string, text string")
+    plain, dealt = (f(pages).orderBy("page_key", "word_index").collect() for f in (V.laid_out, V.laid_out_by_page))
+    assert plain == dealt and len(plain) > 8
