@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glyphgrid.functions.text import fixed_point, length_without_blanks, trigrams
 from glyphgrid.operators.labels import require
-from glyphgrid.operators.textindex import in_one_block, interval, norm_text, page_arrays, raw_text
+from glyphgrid.operators.textindex import in_one_block, interval, norm_text, page_arrays, placed_words, raw_text
 from glyphgrid.schemas import SCALE
 from glyphgrid.session import materialize
 
@@ -93,15 +93,19 @@ def asked_features(queries: DataFrame) -> DataFrame:
     return queries.select("page_key", "query", F.posexplode("tokens").alias("qi", "token")).select("page_key", "query", "qi", F.explode(features(F.col("token"))).alias("f")).select("page_key", "query", "qi", "f.*")
 
 
+def wanted_hashes(values: DataFrame) -> DataFrame:
+    """(page_key, wanted): hashes of what the queries of each page are made of; null where there are more than ``WANTED``."""
+    hashes = asked_features(queries_of(values)).groupBy("page_key").agg(F.collect_set(F.xxhash64("kind", "gram")).alias("wanted"))
+    return hashes.withColumn("wanted", F.when(F.size("wanted") <= WANTED, F.col("wanted")))
+
+
 def prepared(values: DataFrame, index: DataFrame) -> DataFrame:
     """(page_key, words, n, wanted): the pages that have queries, and hashes of what these are made of, written once.
 
     What several searches need of a page then lies in its row, and what has none of the
     hashes is left out where it lies. ``wanted`` is null, and nothing left out, where there are more than ``WANTED``.
     """
-    hashes = asked_features(queries_of(values)).groupBy("page_key").agg(F.collect_set(F.xxhash64("kind", "gram")).alias("wanted"))
-    bounded = hashes.withColumn("wanted", F.when(F.size("wanted") <= WANTED, F.col("wanted")))
-    return materialize(page_arrays(index).join(bounded, "page_key"), "pages")
+    return materialize(page_arrays(index).join(wanted_hashes(values), "page_key"), "pages")
 
 
 def words_of(pages: DataFrame) -> DataFrame:
@@ -150,7 +154,9 @@ def exact_spans(values: DataFrame, index: DataFrame, pages: DataFrame | None = N
         of_size = of_size.when(F.col("size") == size, F.get(halves, F.lit(0)))
     some = F.exists(F.split("norm", " "), lambda token: is_wanted(F.lit(0), token))
     simple = F.when(F.instr("norm", " ") == 0, is_wanted(F.lit(0), F.col("norm"))).otherwise(some)
-    words = materialize(words_of(prepared(values, index) if pages is None else pages).filter((F.col("norm") == "") | simple).drop("wanted"), "words-wanted")
+    # without prepared pages the words are filtered where they lie, and pages never gathered
+    whole = words_of(pages) if pages is not None else placed_words(index).join(wanted_hashes(values), "page_key")
+    words = materialize(whole.filter((F.col("norm") == "") | simple).drop("wanted"), "words-wanted")
     stream = token_stream(words)
     starts = queries.withColumn("hash", of_size).join(runs_of_tokens(stream, sizes), ["page_key", "size", "hash"]).select("page_key", "query", "at", F.posexplode("tokens").alias("j", "wanted"))
     met = starts.withColumn("place", F.col("at") + F.col("j")).join(stream.withColumnRenamed("at", "place"), ["page_key", "place"])

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from glyphgrid.functions.text import trigrams
 
 
-def index_words(words: DataFrame, normalise: Callable[[Column], Column] | None = None) -> DataFrame:
+def index_words(words: DataFrame, normalise: Callable[[Column], Column] | None = None, by_page: bool = False) -> DataFrame:
     """``words`` with ``norm`` and its character interval [char_start, char_end) in the page text.
 
     The page text is the non-empty normalised words joined by single spaces;
-    words that normalise to nothing have no interval.
+    words that normalise to nothing have no interval. ``by_page``: the words lie by page already.
     """
     norm = normalise(F.col("text")) if normalise else F.col("text")
     # exchanged by page before there is a norm, so that a word goes once
-    named = words.select("page_key", "word_index", "text", "block_index").repartition("page_key").withColumn("norm", norm)
+    slim = words.select("page_key", "word_index", "text", "block_index")
+    named = (slim if by_page else slim.repartition("page_key")).withColumn("norm", norm)
     before = Window.partitionBy("page_key").orderBy("word_index").rowsBetween(Window.unboundedPreceding, -1)
     step = F.when(F.col("norm") != "", F.length("norm") + 1).otherwise(0)
     start = F.coalesce(F.sum(step).over(before), F.lit(0)).cast("int")
@@ -26,14 +27,19 @@ def index_words(words: DataFrame, normalise: Callable[[Column], Column] | None =
     return named.withColumn("char_start", F.when(placed, start)).withColumn("char_end", F.when(placed, start + F.length("norm")).cast("int"))
 
 
+def placed_words(index: DataFrame) -> DataFrame:
+    """``index`` with ``at``, the tokens before a word; the sum runs over the exchange by page that the index has."""
+    before = Window.partitionBy("page_key").orderBy("word_index").rowsBetween(Window.unboundedPreceding, -1)
+    tokens = F.when(F.col("norm") != "", F.size(F.split("norm", " "))).otherwise(0)
+    return index.withColumn("at", F.coalesce(F.sum(tokens).over(before), F.lit(0)).cast("int"))
+
+
 def page_arrays(index: DataFrame) -> DataFrame:
-    """(page_key, words, n): one row a page, its words in order; ``at``: the tokens before a word, ``text``: null where it is the norm.
+    """(page_key, words, n): one row a page, its words in order as :func:`placed_words` gives them; ``text``: null where it is the norm.
 
-    The sum runs over the exchange by page that the index has, and the rows are gathered on it.
+    The rows are gathered on the exchange by page that the index has.
     """
-    before = Window.partitionBy("page_key").orderBy("word_index").rowsBetween(Window.unboundedPreceding, -1)
-    tokens = F.when(F.col("norm") != "", F.size(F.split("norm", " "))).otherwise(0)
-    placed = index.withColumn("at", F.coalesce(F.sum(tokens).over(before), F.lit(0)).cast("int"))
+    placed = placed_words(index)
     raw = F.when(F.col("text").eqNullSafe(F.col("norm")), F.lit(None)).otherwise(F.col("text"))
     fields = F.struct("word_index", raw.alias("text"), "norm", "block_index", "char_start", "char_end", "at")
     return placed.groupBy("page_key").agg(F.array_sort(F.collect_list(fields)).alias("words"), F.count("*").cast("int").alias("n"))

@@ -140,3 +140,10 @@ def test_texts_exchanged_by_page_are_laid_out_alike(spark):
     pages = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "page_key string, text string")
     plain, dealt = (f(pages).orderBy("page_key", "word_index").collect() for f in (V.laid_out, V.laid_out_by_page))
     assert plain == dealt and len(plain) > 8
+
+
+def test_exact_search_gathers_no_pages(spark, monkeypatch):
+    C, values, index = searched(spark)
+    monkeypatch.setattr(C, "page_arrays", lambda index: 1 / 0)
+    found = C.exact_candidates(values, index).orderBy("start_word").collect()
+    assert [(r["page_key"], r["region_id"], r["start_word"], r["end_word"], r["matched_text"]) for r in found] == [("p", 0, 2, 3, "three four"), ("p", 0, 7, 8, "three four")]
