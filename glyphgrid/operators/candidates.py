@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from glyphgrid.functions.text import fixed_point, length_without_blanks, trigrams
 from glyphgrid.operators.labels import require
-from glyphgrid.operators.textindex import in_one_block, interval, norm_text, page_arrays, placed_words, raw_text
+from glyphgrid.operators.textindex import end_of, in_one_block, interval, norm_text, page_arrays, placed_words, raw_text
 from glyphgrid.schemas import SCALE
-from glyphgrid.session import materialize
+from glyphgrid.session import materialize_by_page, page_parts
 
 EPSILON = 1e-12
 #: Hashes of what a page's queries are made of, up to which its words are compared with them all.
@@ -62,8 +62,9 @@ def in_order(candidates: DataFrame) -> DataFrame:
 
 
 def queries_of(values: DataFrame) -> DataFrame:
-    """The different normalised values of each page with their tokens; each is looked for once."""
-    return values.filter("norm <> ''").select("page_key", F.col("norm").alias("query")).distinct().withColumn("tokens", F.split("query", " "))
+    """The different normalised values of each page with their tokens, by page; each is looked for once."""
+    asked = values.filter("norm <> ''").select("page_key", F.col("norm").alias("query"))
+    return asked.repartition(page_parts(values.sparkSession), "page_key").distinct().withColumn("tokens", F.split("query", " "))
 
 
 def for_values(values: DataFrame, spans: DataFrame) -> DataFrame:
@@ -104,13 +105,14 @@ def prepared(values: DataFrame, index: DataFrame) -> DataFrame:
 
     What several searches need of a page then lies in its row, and what has none of the
     hashes is left out where it lies. ``wanted`` is null, and nothing left out, where there are more than ``WANTED``.
+    They are written in buckets of pages: searches, and what they find, meet them without an exchange.
     """
-    return materialize(page_arrays(index).join(wanted_hashes(values), "page_key"), "pages")
+    return materialize_by_page(page_arrays(index).join(wanted_hashes(values), "page_key"), "pages")
 
 
 def words_of(pages: DataFrame) -> DataFrame:
     each = pages.select("page_key", "wanted", F.inline("words"))
-    return each.withColumn("text", F.coalesce("text", "norm"))
+    return each.withColumn("text", F.coalesce("text", "norm")).withColumn("at", F.coalesce("at", "word_index")).withColumn("char_end", F.col("char_start") + F.length("norm"))
 
 
 def is_wanted(kind: Column, gram: Column) -> Column:
@@ -156,7 +158,7 @@ def exact_spans(values: DataFrame, index: DataFrame, pages: DataFrame | None = N
     simple = F.when(F.instr("norm", " ") == 0, is_wanted(F.lit(0), F.col("norm"))).otherwise(some)
     # without prepared pages the words are filtered where they lie, and pages never gathered
     whole = words_of(pages) if pages is not None else placed_words(index).join(wanted_hashes(values), "page_key")
-    words = materialize(whole.filter((F.col("norm") == "") | simple).drop("wanted"), "words-wanted")
+    words = materialize_by_page(whole.filter((F.col("norm") == "") | simple).drop("wanted"), "words-wanted")
     stream = token_stream(words)
     starts = queries.withColumn("hash", of_size).join(runs_of_tokens(stream, sizes), ["page_key", "size", "hash"]).select("page_key", "query", "at", F.posexplode("tokens").alias("j", "wanted"))
     met = starts.withColumn("place", F.col("at") + F.col("j")).join(stream.withColumnRenamed("at", "place"), ["page_key", "place"])
@@ -212,10 +214,10 @@ def windows_around(starts: DataFrame, queries: DataFrame, sizes: DataFrame, opti
     """(page_key, query, start_word, end_word): the different windows near the starts, inside the page."""
     by = options.start_shift if shift is None else shift
     near = starts.join(queries.select("page_key", "query", F.size("tokens").alias("k")), ["page_key", "query"]).join(sizes, "page_key")
-    moved = near.withColumn("by", F.explode(F.sequence(F.lit(-by), F.lit(by)))).withColumn("start_word", (F.col("start") + F.col("by")).cast("int"))
+    moved = near.select("page_key", "query", "k", "n", F.explode(F.sequence((F.col("start") - by).cast("int"), (F.col("start") + by).cast("int"))).alias("start_word")).distinct()
     sized = moved.select("page_key", "query", "start_word", "n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("k") - options.word_delta), F.col("k") + options.word_delta)).alias("count"))
     ended = sized.withColumn("end_word", F.col("start_word") + F.col("count") - 1)
-    return ended.filter("start_word >= 0 AND end_word < n").select("page_key", "query", "start_word", "end_word").distinct()
+    return ended.filter("start_word >= 0 AND end_word < n").select("page_key", "query", "start_word", "end_word")
 
 
 def most_edits(query: Column, options: Fuzzy) -> Column:
@@ -223,16 +225,31 @@ def most_edits(query: Column, options: Fuzzy) -> Column:
     return F.when(length_without_blanks(query) >= options.length_boundary, F.floor(F.length(query) * options.max_cer + EPSILON).cast("int")).otherwise(F.lit(options.max_edits))
 
 
-def everywhere(page: Column, asked: Column, options: Fuzzy) -> Column:
-    """All windows of a page's words for the queries ``asked`` (query, k, most) that are of a possible length."""
+def pieces(query: Column, most: Column) -> Column:
+    """A query in one piece more than it may have edits: what is as near to it holds one of them unchanged."""
+    cut = lambda j: F.floor(j * F.length(query) / (most + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), most), lambda j: F.substring(query, cut(j) + 1, cut(j + 1) - cut(j)))
 
-    def of_start(q: Column, first: Column, at: Column) -> Column:
-        counts = F.sequence(F.greatest(F.lit(1), q["k"] - options.word_delta), q["k"] + options.word_delta)
-        size = lambda c: F.get(page, (at + c - 1).cast("int"))["char_end"] - first["char_start"]
-        fitting = F.filter(counts, lambda c: F.abs(F.length(q["query"]) - size(c)) <= q["most"])
-        return F.transform(fitting, lambda c: F.struct(q["query"].alias("query"), at.cast("int").alias("start_word"), (at + c - 1).cast("int").alias("end_word")))
 
-    return F.flatten(F.transform(asked, lambda q: F.flatten(F.transform(page, lambda w, at: of_start(q, w, at)))))
+def within_reach(page: Column, asked: Column) -> Column:
+    """Those of the queries ``asked`` (with their ``pieces``) of which the page's text has a piece; no window is near to the others."""
+    held = lambda text: F.filter(asked, lambda q: F.exists(q["pieces"], lambda p: F.contains(text, p)))
+    return F.when(asked.isNotNull(), F.get(F.transform(F.array(norm_text(page)), held), F.lit(0)))  # the text is put together once
+
+
+def fits(q: Column, words: Column, start: Column, end: Column) -> Column:
+    """Is a window as long as what may be near to a query (query, most); what begins or ends with a word that is nothing is not."""
+    return F.abs(F.length(q["query"]) - end_of(F.get(words, end)) + F.get(words, start)["char_start"]) <= q["most"]
+
+
+def everywhere(words: Column, q: Column, options: Fuzzy) -> Column:
+    """All windows of a page's words that are of a possible length for a query (query, k, most)."""
+
+    def of_start(at: Column) -> Column:
+        ends = F.transform(F.sequence(F.greatest(F.lit(1), q["k"] - options.word_delta), q["k"] + options.word_delta), lambda c: (at + c - 1).cast("int"))
+        return F.transform(F.filter(ends, lambda e: fits(q, words, at, e)), lambda e: F.struct(at.cast("int").alias("start_word"), e.alias("end_word")))
+
+    return F.flatten(F.transform(words, lambda w, at: of_start(at)))
 
 
 def scored_windows(windows: DataFrame, unvoted: DataFrame, pages: DataFrame, options: Fuzzy = Fuzzy()) -> DataFrame:
@@ -240,20 +257,25 @@ def scored_windows(windows: DataFrame, unvoted: DataFrame, pages: DataFrame, opt
 
     ``windows`` are those to look at, and for the queries ``unvoted`` all of the page are.
     """
-    # a page's words meet what is asked of them once; windows of impossible length are never cut out
-    fields = "array<struct<query:string,start_word:int,end_word:int>>"
-    listed = windows.groupBy("page_key").agg(F.collect_list(F.struct("query", "start_word", "end_word")).alias("asked"))
-    blank = unvoted.groupBy("page_key").agg(F.collect_list(F.struct("query", F.size("tokens").alias("k"), most_edits(F.col("query"), options).alias("most"))).alias("open"))
-    both = listed.join(blank, "page_key", "full")
-    slices = lambda asked, source: F.transform(asked, lambda a: F.struct(a["query"].alias("query"), a["start_word"].alias("start_word"), a["end_word"].alias("end_word"), F.lit(source).alias("source"), interval(F.col("words"), a["start_word"], a["end_word"]).alias("part")))
-    none = F.array().cast(fields)
-    every = F.concat(slices(F.coalesce("asked", none), "fuzzy-anchor"), slices(F.coalesce(everywhere(F.col("words"), F.col("open"), options), none), "fuzzy-length-fallback"))
-    cut = both.join(pages, "page_key").select("page_key", F.explode(every).alias("c")).select("page_key", "c.*")
+    # a page's words meet what is asked of them once; windows too long, too short or too far are never cut out
+    words, most = F.col("words"), most_edits(F.col("query"), options).alias("most")
+    spans = windows.groupBy("page_key", "query").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    listed = spans.groupBy("page_key").agg(F.collect_list(F.struct("query", most, "spans")).alias("asked"))
+    few = unvoted.select("page_key", "query", F.size("tokens").alias("k"), most)
+    blank = few.groupBy("page_key").agg(F.collect_list(F.struct("query", "k", "most", pieces(F.col("query"), F.col("most")).alias("pieces"))).alias("open"))
+    both = pages.join(listed, "page_key", "left").join(blank, "page_key", "left").filter("asked IS NOT NULL OR open IS NOT NULL")
+    part = lambda s: interval(words, s["start_word"], s["end_word"])
+    near = lambda q, some: F.filter(some, lambda s: F.levenshtein(q["query"], norm_text(part(s))) <= q["most"])
+    cut_out = lambda q, some, source: F.transform(near(q, some), lambda s: F.struct(q["query"].alias("query"), s["start_word"].alias("start_word"), s["end_word"].alias("end_word"), F.lit(source).alias("source"), part(s).alias("part")))
+    voted = F.transform("asked", lambda q: cut_out(q, F.filter(q["spans"], lambda s: fits(q, words, s["start_word"], s["end_word"])), "fuzzy-anchor"))
+    other = F.transform(within_reach(words, F.col("open")), lambda q: cut_out(q, everywhere(words, q, options), "fuzzy-length-fallback"))
+    every = F.explode(F.flatten(F.filter(F.array(F.flatten(voted), F.flatten(other)), lambda some: some.isNotNull())))
+    cut = both.select("page_key", every.alias("c")).select("page_key", "c.*")
     solid = length_without_blanks(F.col("query"))
     most = most_edits(F.col("query"), options)
     first, last = F.element_at("part", 1), F.element_at("part", -1)
     texts = cut.filter((first["norm"] != "") & (last["norm"] != "")).select(
-        "page_key", "query", "start_word", "end_word", "source", first["char_start"].alias("start_char"), last["char_end"].alias("end_char"),
+        "page_key", "query", "start_word", "end_word", "source", first["char_start"].alias("start_char"), end_of(last).alias("end_char"),
         raw_text(F.col("part")).alias("matched_text"), norm_text(F.col("part")).alias("normalized_matched_text"), in_one_block(F.col("part")).alias("one_block"), most.alias("most"), solid.alias("solid"),
     )
     # the difference in length bounds the distance from below
@@ -285,8 +307,8 @@ def fuzzy_spans(values: DataFrame, index: DataFrame, options: Fuzzy = Fuzzy(), p
     """Spans near to the queries; where a query has no vote at all, windows everywhere in its page."""
     pages = prepared(values, index) if pages is None else pages
     # each is read several times below: computed once and written
-    queries = materialize(queries_of(values), "queries")
-    votes = materialize(start_votes(queries, pages, options), "start-votes")
+    queries = materialize_by_page(queries_of(values), "queries")
+    votes = materialize_by_page(start_votes(queries, pages, options), "start-votes")
     windows = windows_around(top_starts(votes, options), queries, pages.select("page_key", "n"), options)
     unvoted = queries.join(votes.select("page_key", "query").distinct(), ["page_key", "query"], "left_anti")
     return retained(scored_windows(windows, unvoted, pages.select("page_key", "words"), options), options.max_candidates)

@@ -35,13 +35,14 @@ def placed_words(index: DataFrame) -> DataFrame:
 
 
 def page_arrays(index: DataFrame) -> DataFrame:
-    """(page_key, words, n): one row a page, its words in order as :func:`placed_words` gives them; ``text``: null where it is the norm.
+    """(page_key, words, n): one row a page, its words in order as :func:`placed_words` gives them; ``text``: null where it is the norm, ``at``: where it is the index.
 
     The rows are gathered on the exchange by page that the index has.
     """
     placed = placed_words(index)
     raw = F.when(F.col("text").eqNullSafe(F.col("norm")), F.lit(None)).otherwise(F.col("text"))
-    fields = F.struct("word_index", raw.alias("text"), "norm", "block_index", "char_start", "char_end", "at")
+    at = F.when(F.col("at") != F.col("word_index"), F.col("at"))
+    fields = F.struct("word_index", raw.alias("text"), "norm", "block_index", "char_start", at.alias("at"))
     return placed.groupBy("page_key").agg(F.array_sort(F.collect_list(fields)).alias("words"), F.count("*").cast("int").alias("n"))
 
 
@@ -61,6 +62,11 @@ def interval(words: Column, start: Column, end: Column) -> Column:
     return F.slice(words, start + 1, end - start + 1)
 
 
+def end_of(word: Column) -> Column:
+    """Where a word of a page's array ends in the page text."""
+    return word["char_start"] + F.length(word["norm"])
+
+
 def raw_text(part: Column) -> Column:
     return F.array_join(F.transform(part, lambda w: F.coalesce(w["text"], w["norm"])), " ")
 

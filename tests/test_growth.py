@@ -147,3 +147,29 @@ def test_exact_search_gathers_no_pages(spark, monkeypatch):
     monkeypatch.setattr(C, "page_arrays", lambda index: 1 / 0)
     found = C.exact_candidates(values, index).orderBy("start_word").collect()
     assert [(r["page_key"], r["region_id"], r["start_word"], r["end_word"], r["matched_text"]) for r in found] == [("p", 0, 2, 3, "three four"), ("p", 0, 7, 8, "three four")]
+
+
+@needs_data
+def test_searched_pages_are_not_exchanged(spark):
+    """Written pages meet what is asked of them where they lie: only values, and candidates to be numbered, go by page."""
+    from glyphgrid.plans import catalogue
+
+    dealt = exchanged(catalogue.QUERIES["fuzzy_candidates"](spark, SMALL))
+    assert 0 < len(dealt) <= 2 and all(d == ["page_key"] for d in dealt)
+
+
+def test_what_is_near_holds_a_piece(spark):
+    from glyphgrid.operators import candidates as C
+
+    draw = random.Random(11)
+    rows = []
+    for k in range(400):
+        query = "".join(draw.choices("ab c", k=draw.randrange(1, 15)))
+        near = "".join(draw.choice(["", c, c, c, c, c + "x", "y"]) for c in query)
+        rows.append((k, query, "q" + near + "éz", near, draw.randrange(0, 4)))
+    df = spark.createDataFrame(rows, "k int, query string, text string, near string, most int")
+    page = F.array(F.struct(F.col("text").alias("norm")))
+    asked = F.array(F.struct("query", C.pieces(F.col("query"), F.col("most")).alias("pieces")))
+    told = df.select(F.size(C.within_reach(page, asked)).alias("n"), (F.levenshtein("query", "near") <= F.col("most")).alias("close")).collect()
+    assert all(r["n"] == 1 for r in told if r["close"]) and any(r["n"] == 0 for r in told) and sum(r["close"] for r in told) > 50
+    assert df.limit(1).select(F.size(C.within_reach(F.array(F.struct(F.lit("some words").alias("norm"))), F.array(F.struct(F.lit("zzyzx").alias("query"), C.pieces(F.lit("zzyzx"), F.lit(1)).alias("pieces"))))).alias("n")).first()["n"] == 0
