@@ -259,9 +259,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of minima of the shingles, and minima in a band: a pair of similarity s shares none with probability (1 - s**BAND)**BANDS, 3e-6 at 0.8.
 BANDS, BAND = 32, 5
-#: Shingles of all members of a bucket that one task compares, members of a larger one that all others are compared with in a round, and the
-#: share of the bands by which it is then divided, others for every bucket.
-TOGETHER, REPS, DIVIDED_BY = 4_000_000, 4, 8
+#: Shingles of all members of a bucket that one task compares, and members of a larger one that all others are compared with first.
+TOGETHER, REPS = 4_000_000, 4
 REMEMBERED = 300_000
 
 
@@ -350,10 +349,8 @@ def similar_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     of other groups, by the shingles they hold, in one task if they have at most
     ``TOGETHER``; a spanning forest of the links leaves it. Of larger buckets all
     are compared with the ``REPS`` that have most links, or are first by a hash,
-    and what this leaves apart goes on in smaller buckets, of members that share
-    one of some other bands too: a pair as similar as asked shares a third of
-    them, unlike ones few. It meets in some ten buckets and in one of the smaller
-    ones of each with probability 0.8, so that it is lost to all with 1e-7.
+    and what this leaves apart with all members of other groups that it shares one of
+    its rarest shingles with, as every pair as similar as asked does: no pair of a bucket is lost.
 
     Rows with one id are one document, similar to others if one of its texts is;
     rows without an id have no copies. Empty texts are equal texts.
@@ -373,50 +370,58 @@ def similar_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     tested = [pairs]
     edges = materialize(similar_pairs(pairs, sets, similarity), "similar")
     groups = connected_components(edges.toDF("a", "b"))
-    # the rounds go on with bands alone, as they hold every pair
-    buckets, mine = met.filter("band").select("key", "doc_id"), ()
-    sizes = sets.select("doc_id", F.size("s").alias("n"))
-    while True:
-        members = open_members(buckets, groups)
-        weights = members.join(sizes, "doc_id").groupBy("key").agg(F.sum("n").alias("weight"))
-        members = materialize(members.join(weights, "key"), "members")
-        discard(*mine)
-        if members.isEmpty():
-            break
-        found = linked_within(members.filter(F.col("weight") <= TOGETHER).join(sets, "doc_id"), similarity)
-        many = members.filter(F.col("weight") > TOGETHER)
-        more = not many.isEmpty()
-        if more:
-            links = edges.select(F.explode(F.array("doc", "rep")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("links"))
-            best = Window.partitionBy("key").orderBy(F.desc("links"), F.xxhash64("key", "doc_id"), "doc_id")
-            ranked = many.join(links, "doc_id", "left").withColumn("links", F.coalesce("links", F.lit(0))).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= REPS)
-            asked = ranked.select("key", F.col("doc_id").alias("other"), F.col("component").alias("of"))
-            both = many.join(asked, "key").filter("component <> of").select(F.greatest("doc_id", "other").alias("doc"), F.least("doc_id", "other").alias("rep")).distinct()
-            for seen in tested:
-                both = both.join(seen, ["doc", "rep"], "left_anti")
-            tested.append(materialize(both, "pairs"))
-            found = found.union(similar_pairs(tested[-1], sets, similarity))
-        found = materialize(found, "similar")
-        if not found.isEmpty():
-            before, groups = groups, connected_components(groups.toDF("a", "b").union(found.toDF("a", "b")))
-            edges = edges.union(found)
-            discard(before)
-        discard(*(() if more else (members,)))
-        if not more:
-            break
+    # bands alone are gone on with, as they hold every pair
+    members = open_members(met.filter("band").select("key", "doc_id"), groups)
+    weights = members.join(sets.select("doc_id", F.size("s").alias("n")), "doc_id").groupBy("key").agg(F.sum("n").alias("weight"))
+    members = materialize(members.join(weights, "key"), "members")
+    found = linked_within(members.filter(F.col("weight") <= TOGETHER).join(sets, "doc_id"), similarity)
+    many = members.filter(F.col("weight") > TOGETHER)
+    more = not many.isEmpty()
+    if more:
+        links = edges.select(F.explode(F.array("doc", "rep")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("links"))
+        best = Window.partitionBy("key").orderBy(F.desc("links"), F.xxhash64("key", "doc_id"), "doc_id")
+        ranked = many.join(links, "doc_id", "left").withColumn("links", F.coalesce("links", F.lit(0))).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= REPS)
+        asked = ranked.select("key", F.col("doc_id").alias("other"), F.col("component").alias("of"))
+        both = many.join(asked, "key").filter("component <> of").select(F.greatest("doc_id", "other").alias("doc"), F.least("doc_id", "other").alias("rep")).distinct()
+        tested.append(materialize(both.join(pairs, ["doc", "rep"], "left_anti"), "pairs"))
+        found = found.union(similar_pairs(tested[-1], sets, similarity))
+    groups = joined_by(groups, found)
+    if more:
         # of a bucket of no more than REPS members all pairs have been compared
-        with_bands = open_members(many.filter(F.col("size") > REPS).select("key", "doc_id"), groups).select("key", "doc_id", "asks").join(codes.select("doc_id", "bands"), "doc_id")
-        chosen = F.transform(F.sequence(F.lit(0), F.lit(BANDS // DIVIDED_BY - 1)), lambda j: F.get("bands", (F.pmod(F.xxhash64("key"), F.lit(DIVIDED_BY)) + j * DIVIDED_BY).cast("int")))
-        parts = with_bands.select("key", "doc_id", "asks", F.explode(chosen).alias("band")).filter("key <> band")
-        parts = parts.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "doc_id", "asks")
-        several = parts.groupBy("key").agg(F.count("*").alias("n"), F.max("asks").alias("asks")).filter("n > 1 AND asks").select("key")
-        buckets = materialize(parts.select("key", "doc_id").join(several, "key").distinct(), "buckets")
-        discard(members)
-        mine = (buckets,)
+        apart = open_members(many.filter(F.col("size") > REPS).select("key", "doc_id"), groups)
+        tested.append(materialize(sharing_pairs(apart.join(sets, "doc_id"), similarity), "pairs"))
+        groups = joined_by(groups, similar_pairs(tested[-1], sets, similarity))
     discard(codes, gray, met, sets, members, *tested)
     return groups.filter("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("kept_id"))
 
 
+def joined_by(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` with those of linked members (doc, rep) made one."""
+    found = materialize(links, "similar")
+    if found.isEmpty():
+        return groups
+    joined = connected_components(groups.toDF("a", "b").union(found.toDF("a", "b")))
+    discard(groups, found)
+    return joined
+
+
+def sharing_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """(doc, rep): all pairs of a bucket's members (key, doc_id, component, asks, s) that can be as similar as asked, one of them outside the largest group.
+
+    Sets of which n shingles or fewer may be missing in the other share one of their n + 1 rarest ones, and are of
+    like size. So the pairs come from a join by shingle, and neither a bucket nor a pair of parts of it is in one task.
+    """
+    held = members.select("key", "doc_id", "component", "asks", F.xxhash64("s").alias("text"), F.size("s").alias("n"), F.explode("s").alias("shingle"))
+    held = held.withColumn("count", F.count("*").over(Window.partitionBy("key", "shingle")))
+    rarest = Window.partitionBy("key", "doc_id", "text").orderBy("count", "shingle")
+    most = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
+    rare = held.withColumn("rank", F.row_number().over(rarest)).filter((F.col("rank") <= most) & (F.col("count") > 1)).select("key", "shingle", "doc_id", "component", "asks", "n")
+    other = rare.select("key", "shingle", *(F.col(c).alias(f"other_{c}") for c in ("doc_id", "component", "n")))
+    like = (F.least("n", "other_n") >= similarity * F.greatest("n", "other_n") - 1e-9) & (F.col("component") != F.col("other_component"))
+    met = rare.filter("asks").join(other, ["key", "shingle"]).filter(like)
+    return met.select(F.greatest("doc_id", "other_doc_id").alias("doc"), F.least("doc_id", "other_doc_id").alias("rep")).distinct()
+
+
 def linked_within(members: DataFrame, similarity: float) -> DataFrame:
     """(doc, rep): links that join the groups of every bucket's members (key, doc_id, component, asks, s), as all links of as similar sets do."""
 

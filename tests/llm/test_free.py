@@ -360,6 +360,30 @@ def test_copies_among_texts_that_share_a_passage(spark, together, monkeypatch):
     assert {r.doc_id: r.kept_id for r in simhash.similar_copies(docs(spark, texts)).collect()} == similar_groups(texts)
 
 
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    """However few members all are compared with at first, what a bucket holds is linked."""
+    monkeypatch.setattr(simhash, "TOGETHER", 0)
+    monkeypatch.setattr(simhash, "REPS", 0)
+    monkeypatch.setattr(simhash, "DIVIDED_BY", 32, raising=False)
+    rng = random.Random(41)
+    passage, some = [f"p{k}" for k in range(60)], lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    texts = [passage + some(rng.randrange(20, 40)) for _ in range(20)]
+    for k in rng.sample(range(20), 10):
+        texts.append(texts[k][:-4] + some(2))
+    texts = [" ".join(w) for w in texts]
+    assert {r.doc_id: r.kept_id for r in simhash.similar_copies(docs(spark, texts)).collect()} == similar_groups(texts)
+
+
+def test_pairs_of_a_bucket_share_a_rare_shingle(spark):
+    rng = random.Random(43)
+    sets = [sorted(rng.sample(range(40), rng.randrange(1, 30))) for _ in range(60)]
+    sets += [sorted({*s, rng.randrange(40)} - {rng.choice(s)}) or [1] for s in sets]
+    df = spark.createDataFrame([(1, k, k, k % 3 > 0, s) for k, s in enumerate(sets)], "key long, doc_id long, component long, asks boolean, s array<long>")
+    found = {(r.doc, r.rep) for r in simhash.sharing_pairs(df, 0.8).collect()}
+    like = {(a, b) for a in range(len(sets)) for b in range(a) if (a % 3 or b % 3) and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    assert len(like) > 20 and like <= found
+
+
 def test_cut_and_appended_copies_are_found(spark):
     rng = random.Random(5)
     vocabulary = [f"w{k}" for k in range(3000)]
