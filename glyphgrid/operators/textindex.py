@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphgrid.functions.text import trigrams
-
 
 def index_words(words: DataFrame, normalise: Callable[[Column], Column] | None = None, by_page: bool = False) -> DataFrame:
     """``words`` with ``norm`` and its character interval [char_start, char_end) in the page text.
@@ -53,8 +51,10 @@ def token_postings(index: DataFrame) -> DataFrame:
 
 def trigram_postings(index: DataFrame) -> DataFrame:
     """(page_key, trigram, word_index): which words hold a trigram in one of their tokens."""
-    grams = F.array_distinct(F.flatten(F.transform(F.split("norm", " "), trigrams)))
-    return index.filter("norm <> ''").select("page_key", "word_index", F.explode(grams).alias("trigram"))
+    at = F.explode(F.when(F.length("norm") >= 3, F.sequence(F.lit(1), F.length("norm") - 2))).alias("at")
+    cut = index.select("page_key", "word_index", "norm", at).withColumn("trigram", F.substring("norm", F.col("at"), F.lit(3)))
+    # of equal ones of a word the first stays
+    return cut.filter(~F.contains("trigram", F.lit(" ")) & (F.instr("norm", F.col("trigram")) == F.col("at"))).select("page_key", "word_index", "trigram")
 
 
 def interval(words: Column, start: Column, end: Column) -> Column:

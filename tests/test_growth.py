@@ -173,3 +173,15 @@ def test_what_is_near_holds_a_piece(spark):
     told = df.select(F.size(C.within_reach(page, asked)).alias("n"), (F.levenshtein("query", "near") <= F.col("most")).alias("close")).collect()
     assert all(r["n"] == 1 for r in told if r["close"]) and any(r["n"] == 0 for r in told) and sum(r["close"] for r in told) > 50
     assert df.limit(1).select(F.size(C.within_reach(F.array(F.struct(F.lit("some words").alias("norm"))), F.array(F.struct(F.lit("zzyzx").alias("query"), C.pieces(F.lit("zzyzx"), F.lit(1)).alias("pieces"))))).alias("n")).first()["n"] == 0
+
+
+def test_trigrams_of_words_are_cut_without_lists(spark):
+    from glyphgrid.functions.text import collapse_blanks
+    from glyphgrid.operators.textindex import index_words, trigram_postings
+
+    texts = ["banana", "ab", "aaaa", "ab cde cde", "", "\U0001f600\U0001f601\U0001f602\U0001f600\U0001f601\U0001f602"]
+    words = spark.createDataFrame([("p", k, t, 0) for k, t in enumerate(texts)], "page_key string, word_index int, text string, block_index int")
+    found = trigram_postings(index_words(words, collapse_blanks))
+    want = sorted((k, g) for k, t in enumerate(texts) for g in {w[i : i + 3] for w in t.split() for i in range(len(w) - 2)})
+    assert sorted((r["word_index"], r["trigram"]) for r in found.collect()) == want
+    assert "array_distinct" not in plan_of(found)
