@@ -185,3 +185,23 @@ def test_trigrams_of_words_are_cut_without_lists(spark):
     want = sorted((k, g) for k, t in enumerate(texts) for g in {w[i : i + 3] for w in t.split() for i in range(len(w) - 2)})
     assert sorted((r["word_index"], r["trigram"]) for r in found.collect()) == want
     assert "array_distinct" not in plan_of(found)
+
+
+@needs_data
+def test_words_are_not_sorted_to_meet_regions(spark):
+    from glyphgrid.plans import catalogue
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("bbox_overlap_bidirectional", "assign_all_over_threshold"):
+            plan = plan_of(catalogue.QUERIES[name](spark, SMALL).select("*"))
+            assert "ShuffledHashJoin" in plan and "Sort " not in plan and "SortMergeJoin" not in plan, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_parts_of_pages_grow_with_what_is_read(spark):
+    texts = spark.range(0, 40, 1, 20).selectExpr("string(id) AS page_key", "'a b' AS text")
+    few, many = (V.laid_out_by_page(t).rdd.getNumPartitions() for t in (texts.coalesce(1), texts))
+    assert (few, many) == (16, 160)
