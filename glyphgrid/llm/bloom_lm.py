@@ -37,6 +37,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +58,6 @@ BASE = 1.5
 MASS, UNKNOWN = 100.0, 0.05
 #: Words contain no blank, so this is no word's hash.
 END = " "
-REMEMBERED = 300_000
 #: Rounds of probing, each with its share of the rows, so that only a part of what is looked up lies on disk at a time.
 ROUNDS = 2
 #: What the workers return. ``kind`` 0: an n-gram to look up, a token (times it stands there, and before another) or a bigram (times, its word's count, or the word
@@ -64,26 +65,43 @@ ROUNDS = 2
 SCORED = "row long, gram long, times int, past long, word long, a double, b double, kind tinyint"
 
 
-class TokenHashes(dict):
-    """64-bit hashes of lower-cased tokens, remembered for the frequent ones."""
+def token_hash(words: list[bytes] | np.ndarray) -> np.ndarray:
+    """64-bit hashes of lower-cased tokens; tokens are even, bigrams odd."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64) & ~np.uint64(1)
 
-    def __init__(self):
-        import xxhash
 
-        super().__init__()
-        self.digest = lambda word: xxhash.xxh3_64_intdigest(word) & ~1  # tokens are even, bigrams odd
-        self.end = np.uint64(self.digest(END))
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts one after another: the different tokens' hashes, the end's last; which of them each token is; and how many tokens a text has.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = self.digest(word)
-        return value
-
-    def of(self, text: str | None) -> np.ndarray:
-        """The tokens of a text: its words, A-Z in lower case, and one end."""
-        words = (text or "").encode().lower().split()
-        return np.append(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)), self.end)
+    A text's tokens are its words, A-Z in lower case, and one end. Each word is hashed once, however often it stands there.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, size = split.flatten(), np.diff(np.asarray(split.offsets))
+    there = np.asarray(pc.binary_length(words)) > 0  # blanks at a text's ends leave empty words
+    if not there.all():
+        size = np.bincount(np.repeat(np.arange(len(size)), size)[there], minlength=len(size))
+        words = words.filter(pa.array(there))
+    coded = words.dictionary_encode()
+    some = np.append(token_hash(coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), token_hash([END]))
+    size = size.astype(np.int64) + 1
+    which, is_end = np.full(int(size.sum()), len(some) - 1), np.zeros(int(size.sum()), np.bool_)
+    is_end[np.cumsum(size) - 1] = True
+    which[~is_end] = np.asarray(coded.indices)
+    return some, which, size
+
+
+def before(which: np.ndarray, size: np.ndarray, end: int) -> np.ndarray:
+    """Which token stands before each one; before a text's first stands the end."""
+    past = np.empty_like(which)
+    past[1:] = which[:-1]
+    past[np.cumsum(size) - size] = end
+    return past
+
+
+def coded_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of 64-bit keys, in order of their first places, and which of them each is."""
+    coded = pa.array(keys.view(np.int64)).dictionary_encode()
+    return np.asarray(coded.dictionary).view(keys.dtype), np.asarray(coded.indices).astype(np.int64)
 
 
 def scrambled(x: np.ndarray, salt: int) -> np.ndarray:
@@ -93,10 +111,9 @@ def scrambled(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def bigrams(tokens: np.ndarray, end: np.uint64) -> np.ndarray:
-    """The hash of each token with the one before it; before the first stands the end."""
-    before = np.concatenate(([end], tokens[:-1]))
-    return (scrambled(before, 3) + tokens * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
+def bigrams(some: np.ndarray, which: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """The hash of each token with the one before it."""
+    return (scrambled(some, 3)[past] + (some * np.uint64(0xBF58476D1CE4E5B9))[which]) | np.uint64(1)
 
 
 def held_out() -> F.Column:
@@ -111,7 +128,7 @@ def counts(docs: DataFrame) -> DataFrame:
     """(gram, n): how often each token (even) and bigram (odd) occurs in the training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = TokenHashes(), [], 0
+        held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
@@ -120,14 +137,13 @@ def counts(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(gram[at : at + (1 << 16)].view(np.int64)), pa.array(n[at : at + (1 << 16)].astype(np.int64))], names=["gram", "n"])
             held.clear()
 
-        for batch in batches:
-            for t in batch.column(0):
-                tokens = hashes.of(t.as_py())
-                held += [tokens, bigrams(tokens, hashes.end)]
-                size += len(tokens)
-                if size >= 4_000_000:
-                    yield from flush()
-                    size = 0
+        for batch in slices(batches):
+            some, which, sizes = tokens_of(batch.column(0))
+            held += [some[which], bigrams(some, which, before(which, sizes, len(some) - 1))]
+            size += len(which)
+            if size >= 4_000_000:
+                yield from flush()
+                size = 0
         yield from flush()
 
     trained = keyed(docs).filter(~F.col("held_out")).select("text")
@@ -298,58 +314,56 @@ def scored(docs: DataFrame, grams: DataFrame, head: int, limit: int, mass: float
         known, often_, blocks, lowest, bits = sent.value
         filter_ = Filter(blocks, lowest, filled=False)
         filter_.bits = bits
-        hashes = TokenHashes()
         nothing = lambda size: np.zeros(size, np.int64)
         for batch in slices(batches):
-            lists = [hashes.of(t.as_py()) for t in batch.column(3)]
-            size, rows = np.array([len(x) for x in lists]), np.asarray(batch.column(0))
-            owner, starts = np.repeat(np.arange(len(lists)), size), np.cumsum(size) - size
-            token = np.concatenate(lists)
+            some, which, size = tokens_of(batch.column(3))
+            rows, end = np.asarray(batch.column(0)), len(some) - 1
+            owner, past = np.repeat(np.arange(len(size)), size), before(which, size, end)
             # each different token and bigram of the batch is looked up once; -1: a token that is not among the frequent
-            some, which = np.unique(np.append(token, hashes.end), return_inverse=True)
             at = np.minimum(np.searchsorted(known, some), max(len(known) - 1, 0))
             count = np.where(known[at] == some, often_[at], -1) if len(known) else np.full(len(some), -1)
             if all_tokens:
                 count = np.maximum(count, 0)
-            end, which = which[-1], which[:-1]
-            past = np.concatenate(([end], which[:-1]))
-            past[starts] = end
-            pair = np.concatenate([bigrams(x, hashes.end) for x in lists])
-            kinds, one, kind = np.unique(pair, return_index=True, return_inverse=True)
-            level = filter_.find(kinds)
+            pair = bigrams(some, which, past)
+            kinds, kind = coded_keys(pair)
             c_word, c_past = count[which], count[past]
-            # a bigram is no more frequent than its tokens
-            most = np.minimum(c_word[one], c_past[one])
-            level = np.where(most < 0, level, np.where(most < least, 0, np.minimum(level, filter_.level(np.maximum(most, 1)))))
+            # a bigram is no more frequent than its tokens, and is not asked for if one is too rare for the filter
+            most = np.empty(len(kinds), np.int64)
+            most[kind] = np.minimum(c_word, c_past)
+            level, asked = nothing(len(kinds)), np.nonzero((most < 0) | (most >= least))[0]
+            level[asked] = filter_.find(kinds[asked])
+            level = np.where(most < 0, level, np.minimum(level, filter_.level(np.maximum(most, 1))))
             held = level[kind]
-            own = np.log10(share + slope * np.maximum(c_word, 0)) + math.log10(mass)
-            found = np.log10(filter_.low(np.maximum(held, 1)))
+            own = (np.log10(share + slope * np.maximum(count, 0)) + math.log10(mass))[which]
+            found = np.log10(filter_.low(np.maximum(level, 1)))[kind]
+            after = np.where(count >= 0, np.log10(np.maximum(count, 0) + mass), 0.0)[past]
             impossible = (c_word >= 0) & (c_past >= 0) & (np.minimum(c_word, c_past) < 1)  # a token of it was never seen
             settled = (held > 0) | ((impossible | all_pairs) & (c_word >= 0))
-            said = np.where(held > 0, found, np.where(settled, own, 0.0)) - np.where(c_past >= 0, np.log10(np.maximum(c_past, 0) + mass), 0.0)
-            model = np.bincount(owner, said, len(lists))
-            value = np.log10((np.maximum(count, 0) + 0.5) / floor)
-            base = np.bincount(owner, np.where(c_word >= 0, value[which], 0.0), len(lists))
-            sure = np.bincount(owner, c_word > 0, len(lists)).astype(np.int64)
+            said = np.where(held > 0, found, np.where(settled, own, 0.0)) - after
+            model = np.bincount(owner, said, len(size))
+            value = np.where(count >= 0, np.log10((np.maximum(count, 0) + 0.5) / floor), 0.0)
+            base = np.bincount(owner, value[which], len(size))
+            sure = np.bincount(owner, c_word > 0, len(size)).astype(np.int64)
             yield rows_of(rows, scrambled(rows.view(np.uint64), 41).view(np.int64), size, sure, batch.column(1), base, model, np.asarray(batch.column(2).cast(pa.int8())) + 1)
             # tokens that are not among the frequent, once a row: how often they stand there, and how often before a token
             rare, n_rare = np.nonzero(c_word < 0)[0], np.nonzero(c_past < 0)[0]
             if len(rare) or len(n_rare):
-                keys = np.concatenate((owner[rare] * len(some) + which[rare], owner[n_rare] * len(some) + past[n_rare]))
-                each, back = np.unique(keys, return_inverse=True)
+                each, back = coded_keys(np.concatenate((owner[rare] * len(some) + which[rare], owner[n_rare] * len(some) + past[n_rare])))
                 times = np.bincount(back[: len(rare)], minlength=len(each))
-                before = np.bincount(back[len(rare) :], minlength=len(each))
+                times_past = np.bincount(back[len(rare) :], minlength=len(each))
                 zero = np.zeros(len(each))
-                yield rows_of(rows[each // len(some)], some[each % len(some)].view(np.int64), times, before, nothing(len(each)), zero, zero, nothing(len(each)))
+                yield rows_of(rows[each // len(some)], some[each % len(some)].view(np.int64), times, times_past, nothing(len(each)), zero, zero, nothing(len(each)))
             # bigrams that the filter does not settle, once a row
             open_ = np.nonzero(~settled)[0]
             if len(open_):
                 # a training row's bigrams were all counted, so that what an unseen one would add is not needed
-                trains = ~np.asarray(batch.column(2).cast(pa.int8())).astype(np.bool_)[owner]
-                c_word, token = np.where(trains, 0, c_word), np.where(trains, np.uint64(0), token)
-                _, one, times = np.unique(owner[open_] * len(kinds) + kind[open_], return_index=True, return_counts=True)
-                at_ = open_[one]
-                yield rows_of(rows[owner[at_]], pair[at_].view(np.int64), times, np.maximum(c_word[at_], 0), np.where(c_word[at_] < 0, token[at_], np.uint64(0)).view(np.int64), np.zeros(len(at_)), np.zeros(len(at_)), nothing(len(at_)))
+                trains = ~np.asarray(batch.column(2).cast(pa.int8())).astype(np.bool_)
+                each, back = coded_keys(owner[open_] * len(kinds) + kind[open_])
+                times, one = np.bincount(back), np.empty(len(each), np.int64)
+                one[back] = open_
+                trained, c_word, zero = trains[owner[one]], c_word[one], np.zeros(len(one))
+                word = np.where(trained | (c_word >= 0), np.uint64(0), some[which[one]])
+                yield rows_of(rows[owner[one]], pair[one].view(np.int64), times, np.where(trained, 0, np.maximum(c_word, 0)), word.view(np.int64), zero, zero, nothing(len(one)))
 
     # of the counts, those that are not sent
     below = lambda least: F.lit(False) if least <= 1 else bucket(F.col("n")) < least

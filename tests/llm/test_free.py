@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -465,3 +466,40 @@ def test_long_repetitive_texts_are_one_pass(monkeypatch):
     began = time.time()
     langid.Parser(samples).predict(["a" * 2_000_000])
     assert time.time() - began < 60
+
+
+def test_tokens_are_split_as_the_contract_says_and_each_is_hashed_once(monkeypatch):
+    texts = [*ODD, None, "", " ", "a  B\ta\x0bb\x0ca\rb\n", "\x1c x\x1dy \x00 \xa0z É é", "É" * 3000, "a " * 5000]
+    hashed, digest = [], bloom_lm.xxhash.xxh3_64_digest
+    monkeypatch.setattr(bloom_lm.xxhash, "xxh3_64_digest", lambda word: hashed.append(word) or digest(word))
+    column = pa.array(["left out", *texts], pa.string()).slice(1)
+    some, which, size = bloom_lm.tokens_of(column)
+    words = [(t or "").encode().lower().split() for t in texts]
+    assert size.tolist() == [len(w) + 1 for w in words] and len(set(some.tolist())) == len(some)
+    assert sorted(w for w in hashed if w != bloom_lm.END) == sorted({w for text in words for w in text})
+    expected = [int.from_bytes(digest(w), "big") & ~1 for text in words for w in [*text, bloom_lm.END]]
+    assert some[which].tolist() == expected
+    past = [e for text in words for e in [bloom_lm.END, *text]]
+    assert some[bloom_lm.before(which, size, len(some) - 1)].tolist() == [int.from_bytes(digest(w), "big") & ~1 for w in past]
+
+
+def test_tokens_cost_little_more_than_splitting():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"Word{k:x}" for k in row) for row in np.minimum(rng.zipf(1.2, (512, 512)), 10**7).tolist()]
+    column = pa.array(texts)
+
+    def seconds(work):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    def hashed():
+        for batch in (column.slice(0, 256), column.slice(256)):
+            some, which, size = bloom_lm.tokens_of(batch)
+            bloom_lm.bigrams(some, which, bloom_lm.before(which, size, len(some) - 1))
+
+    # 2.5 times as long; 8 when each word was looked up in a dictionary of Python
+    assert seconds(hashed) < 5 * seconds(lambda: [t.encode().lower().split() for t in texts])
