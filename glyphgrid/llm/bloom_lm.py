@@ -58,6 +58,8 @@ BASE = 1.5
 MASS, UNKNOWN = 100.0, 0.05
 #: Words contain no blank, so this is no word's hash.
 END = " "
+#: Bytes of texts that are taken at a time, as what is made of their tokens takes many times their room.
+PIECE_BYTES = 2 << 20
 #: Rounds of probing, each with its share of the rows, so that only a part of what is looked up lies on disk at a time.
 ROUNDS = 2
 #: What the workers return. ``kind`` 0: an n-gram to look up, a token (times it stands there, and before another) or a bigram (times, its word's count, or the word
@@ -90,6 +92,17 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return some, which, size
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose last column is the text, a few rows and ``PIECE_BYTES`` of texts at a time, or one longer text."""
+    for batch in slices(batches):
+        upto = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0)), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PIECE_BYTES, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def before(which: np.ndarray, size: np.ndarray, end: int) -> np.ndarray:
     """Which token stands before each one; before a text's first stands the end."""
     past = np.empty_like(which)
@@ -137,7 +150,7 @@ def counts(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(gram[at : at + (1 << 16)].view(np.int64)), pa.array(n[at : at + (1 << 16)].astype(np.int64))], names=["gram", "n"])
             held.clear()
 
-        for batch in slices(batches):
+        for batch in pieces(batches):
             some, which, sizes = tokens_of(batch.column(0))
             held += [some[which], bigrams(some, which, before(which, sizes, len(some) - 1))]
             size += len(which)
@@ -315,7 +328,7 @@ def scored(docs: DataFrame, grams: DataFrame, head: int, limit: int, mass: float
         filter_ = Filter(blocks, lowest, filled=False)
         filter_.bits = bits
         nothing = lambda size: np.zeros(size, np.int64)
-        for batch in slices(batches):
+        for batch in pieces(batches):
             some, which, size = tokens_of(batch.column(3))
             rows, end = np.asarray(batch.column(0)), len(some) - 1
             owner, past = np.repeat(np.arange(len(size)), size), before(which, size, end)

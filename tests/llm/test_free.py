@@ -503,3 +503,13 @@ def test_tokens_cost_little_more_than_splitting():
 
     # 2.5 times as long; 8 when each word was looked up in a dictionary of Python
     assert seconds(hashed) < 5 * seconds(lambda: [t.encode().lower().split() for t in texts])
+
+
+def test_long_texts_are_taken_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(bloom_lm, "PIECE_BYTES", 100)
+    texts = ["a" * 60, None, "b" * 40, "c", "d" * 500, "", "é" * 50, "e"] + [None] * 600
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["row", "text"])
+    got = list(bloom_lm.pieces([whole.slice(0, 0), whole, whole.slice(3, 2)]))
+    assert [r for b in got for r in b.column(0).to_pylist()] == [*range(len(texts)), 3, 4]
+    assert [b.num_rows for b in got[:4]] == [3, 1, 1, 2]
+    assert all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column(1).to_pylist()) <= 100 for b in got)
