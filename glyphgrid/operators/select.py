@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphgrid.operators.choice import best_of
 from glyphgrid.operators.labels import require
-from glyphgrid.session import discard, materialize
+from glyphgrid.session import discard, materialize, page_parts, slices
 
 OPTIMAL, FEASIBLE = "optimal", "feasible"
 FIELDS = ("candidate_id", "region_id", "start_word", "end_word", "quality_chars", "exact")
@@ -42,24 +45,30 @@ def parts(candidates: DataFrame) -> DataFrame:
 def choices(candidates: DataFrame, seconds: float | None = None, require_optimal: bool = True) -> DataFrame:
     """(page_key, part, candidate_id, status): the best consistent candidates of each part, and whether they are known to be the best.
 
-    The goals are sums, so parts are solved alone, each a group of its own with at
+    The goals are sums, so parts are solved alone, each a row of its own with at
     most ``seconds`` of search. A part that is not settled by then is an error, or
     with ``require_optimal`` false gives the best choice found.
     """
     require(seconds is None or seconds > 0, "the time limit must be positive")
-
-    def solve(key, pdf):
-        import pandas as pd
-
-        ids, optimal = best_of([tuple(map(int, r)) for r in pdf[list(FIELDS)].itertuples(index=False)], seconds)
-        if require_optimal and not optimal:
-            raise RuntimeError(f"page {key[0]}: no choice was shown to be the best in {seconds} s")
-        return pd.DataFrame({"page_key": [key[0]] * len(ids), "part": [key[1]] * len(ids), "candidate_id": ids, "status": [OPTIMAL if optimal else FEASIBLE] * len(ids)})
+    schema = pa.schema([("page_key", pa.string()), ("part", pa.int32()), ("candidate_id", pa.int32()), ("status", pa.string())])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows: list[tuple] = []
+            for page, part, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, optimal = best_of([tuple(map(int, s.values())) for s in spans], seconds)
+                if require_optimal and not optimal:
+                    raise RuntimeError(f"page {page}: no choice was shown to be the best in {seconds} s")
+                rows += [(page, part, i, OPTIMAL if optimal else FEASIBLE) for i in ids]
+            columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     found = parts(candidates)
     first = Window.partitionBy("page_key", "part").orderBy(F.desc("quality_chars"), F.desc("exact"), "start_word", "candidate_id")
     single = found.filter("alone").withColumn("rank", F.row_number().over(first)).filter("rank = 1").select("page_key", "part", "candidate_id", F.lit(OPTIMAL).alias("status"))
-    solved = found.filter("NOT alone").groupBy("page_key", "part").applyInPandas(solve, "page_key string, part int, candidate_id int, status string")
+    # a part is few bytes but much work: dealt to a number given outright, or Spark folds its parts into a few tasks
+    contested = found.filter("NOT alone").repartition(page_parts(candidates.sparkSession), "page_key", "part").groupBy("page_key", "part").agg(F.collect_list(F.struct(*FIELDS)).alias("spans"))
+    solved = contested.mapInArrow(solve, "page_key string, part int, candidate_id int, status string")
     return single.unionByName(solved)
 
 

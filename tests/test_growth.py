@@ -205,3 +205,13 @@ def test_parts_of_pages_grow_with_what_is_read(spark):
     texts = spark.range(0, 40, 1, 20).selectExpr("string(id) AS page_key", "'a b' AS text")
     few, many = (V.laid_out_by_page(t).rdd.getNumPartitions() for t in (texts.coalesce(1), texts))
     assert (few, many) == (16, 160)
+
+
+def test_parts_of_a_choice_are_rows_dealt_to_many_tasks(spark):
+    from glyphgrid.operators import select as S
+
+    rows = [(f"p{p}", 2 * r + k, r, 3 * k, 3 * k + 2, 9, 1) for p in range(40) for r in range(2) for k in range(2)]
+    df = spark.createDataFrame(rows, "page_key string, candidate_id int, region_id int, start_word int, end_word int, quality_chars int, exact int")
+    found = S.choices(df)
+    assert found.groupBy("page_key").count().filter("count = 2").count() == 40
+    assert "FlatMapGroupsInPandas" not in plan_of(found) and "REPARTITION_BY_NUM" in plan_of(found)
