@@ -106,8 +106,10 @@ def prepared(values: DataFrame, index: DataFrame) -> DataFrame:
     What several searches need of a page then lies in its row, and what has none of the
     hashes is left out where it lies. ``wanted`` is null, and nothing left out, where there are more than ``WANTED``.
     They are written in buckets of pages: searches, and what they find, meet them without an exchange.
+    ``index`` may be one row a page already (``words``, ``n``), as :func:`page_arrays` makes it.
     """
-    return materialize_by_page(page_arrays(index).join(wanted_hashes(values), "page_key"), "pages")
+    pages = index if "words" in index.columns else page_arrays(index)
+    return materialize_by_page(pages.join(wanted_hashes(values), "page_key"), "pages")
 
 
 def words_of(pages: DataFrame) -> DataFrame:
@@ -157,6 +159,8 @@ def exact_spans(values: DataFrame, index: DataFrame, pages: DataFrame | None = N
     some = F.exists(F.split("norm", " "), lambda token: is_wanted(F.lit(0), token))
     simple = F.when(F.instr("norm", " ") == 0, is_wanted(F.lit(0), F.col("norm"))).otherwise(some)
     # without prepared pages the words are filtered where they lie, and pages never gathered
+    if pages is None and "words" in index.columns:
+        pages = index.join(wanted_hashes(values), "page_key")
     whole = words_of(pages) if pages is not None else placed_words(index).join(wanted_hashes(values), "page_key")
     words = materialize_by_page(whole.filter((F.col("norm") == "") | simple).drop("wanted"), "words-wanted")
     stream = token_stream(words)
@@ -242,32 +246,41 @@ def fits(q: Column, words: Column, start: Column, end: Column) -> Column:
     return F.abs(F.length(q["query"]) - end_of(F.get(words, end)) + F.get(words, start)["char_start"]) <= q["most"]
 
 
+def of_start(words: Column, q: Column, at: Column, options: Fuzzy) -> Column:
+    """The windows of a page's words that begin at a word and are of a possible length for a query (query, k, most)."""
+    ends = F.transform(F.sequence(F.greatest(F.lit(1), q["k"] - options.word_delta), q["k"] + options.word_delta), lambda c: (at + c - 1).cast("int"))
+    return F.transform(F.filter(ends, lambda e: fits(q, words, at, e)), lambda e: F.struct(at.cast("int").alias("start_word"), e.alias("end_word")))
+
+
 def everywhere(words: Column, q: Column, options: Fuzzy) -> Column:
-    """All windows of a page's words that are of a possible length for a query (query, k, most)."""
+    """All windows of a page's words that are of a possible length for a query."""
+    return F.flatten(F.transform(words, lambda w, at: of_start(words, q, at, options)))
 
-    def of_start(at: Column) -> Column:
-        ends = F.transform(F.sequence(F.greatest(F.lit(1), q["k"] - options.word_delta), q["k"] + options.word_delta), lambda c: (at + c - 1).cast("int"))
-        return F.transform(F.filter(ends, lambda e: fits(q, words, at, e)), lambda e: F.struct(at.cast("int").alias("start_word"), e.alias("end_word")))
 
-    return F.flatten(F.transform(words, lambda w, at: of_start(at)))
+def around(words: Column, q: Column, options: Fuzzy) -> Column:
+    """The different windows near the ``starts`` of a query, as :func:`windows_around` has them, of a possible length."""
+    near = F.array_distinct(F.flatten(F.transform(q["starts"], lambda s: F.sequence((s - options.start_shift).cast("int"), (s + options.start_shift).cast("int")))))
+    inside = F.filter(near, lambda at: (at >= 0) & (at < F.size(words)))
+    return F.flatten(F.transform(inside, lambda at: of_start(words, q, at, options)))
 
 
-def scored_windows(windows: DataFrame, unvoted: DataFrame, pages: DataFrame, options: Fuzzy = Fuzzy()) -> DataFrame:
+def scored_windows(starts: DataFrame, queries: DataFrame, unvoted: DataFrame, pages: DataFrame, options: Fuzzy = Fuzzy()) -> DataFrame:
     """Windows whose text is near enough to their query, from one block if any is, else (if allowed) across blocks.
 
-    ``windows`` are those to look at, and for the queries ``unvoted`` all of the page are.
+    Those near ``starts`` are looked at, and for the queries ``unvoted`` all of the page.
     """
     # a page's words meet what is asked of them once; windows too long, too short or too far are never cut out
-    words, most = F.col("words"), most_edits(F.col("query"), options).alias("most")
-    spans = windows.groupBy("page_key", "query").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
-    listed = spans.groupBy("page_key").agg(F.collect_list(F.struct("query", most, "spans")).alias("asked"))
-    few = unvoted.select("page_key", "query", F.size("tokens").alias("k"), most)
+    words, most, k = F.col("words"), most_edits(F.col("query"), options).alias("most"), F.size("tokens").alias("k")
+    voted = starts.groupBy("page_key", "query").agg(F.collect_list("start").alias("starts")).join(queries.select("page_key", "query", k), ["page_key", "query"])
+    listed = voted.groupBy("page_key").agg(F.collect_list(F.struct("query", "k", most, "starts")).alias("asked"))
+    few = unvoted.select("page_key", "query", k, most)
     blank = few.groupBy("page_key").agg(F.collect_list(F.struct("query", "k", "most", pieces(F.col("query"), F.col("most")).alias("pieces"))).alias("open"))
     both = pages.join(listed, "page_key", "left").join(blank, "page_key", "left").filter("asked IS NOT NULL OR open IS NOT NULL")
     part = lambda s: interval(words, s["start_word"], s["end_word"])
-    near = lambda q, some: F.filter(some, lambda s: F.levenshtein(q["query"], norm_text(part(s))) <= q["most"])
+    # beyond the most edits allowed the distance is not worked out
+    near = lambda q, some: F.filter(some, lambda s: F.call_function("levenshtein", q["query"], norm_text(part(s)), q["most"]) >= 0)
     cut_out = lambda q, some, source: F.transform(near(q, some), lambda s: F.struct(q["query"].alias("query"), s["start_word"].alias("start_word"), s["end_word"].alias("end_word"), F.lit(source).alias("source"), part(s).alias("part")))
-    voted = F.transform("asked", lambda q: cut_out(q, F.filter(q["spans"], lambda s: fits(q, words, s["start_word"], s["end_word"])), "fuzzy-anchor"))
+    voted = F.transform("asked", lambda q: cut_out(q, around(words, q, options), "fuzzy-anchor"))
     other = F.transform(within_reach(words, F.col("open")), lambda q: cut_out(q, everywhere(words, q, options), "fuzzy-length-fallback"))
     every = F.explode(F.flatten(F.filter(F.array(F.flatten(voted), F.flatten(other)), lambda some: some.isNotNull())))
     cut = both.select("page_key", every.alias("c")).select("page_key", "c.*")
@@ -309,9 +322,8 @@ def fuzzy_spans(values: DataFrame, index: DataFrame, options: Fuzzy = Fuzzy(), p
     # each is read several times below: computed once and written
     queries = materialize_by_page(queries_of(values), "queries")
     votes = materialize_by_page(start_votes(queries, pages, options), "start-votes")
-    windows = windows_around(top_starts(votes, options), queries, pages.select("page_key", "n"), options)
     unvoted = queries.join(votes.select("page_key", "query").distinct(), ["page_key", "query"], "left_anti")
-    return retained(scored_windows(windows, unvoted, pages.select("page_key", "words"), options), options.max_candidates)
+    return retained(scored_windows(top_starts(votes, options), queries, unvoted, pages.select("page_key", "words"), options), options.max_candidates)
 
 
 def fuzzy_candidates(values: DataFrame, index: DataFrame, options: Fuzzy = Fuzzy(), pages: DataFrame | None = None) -> DataFrame:

@@ -246,3 +246,35 @@ def test_filled_documents_take_few_rows_at_a_time(spark):
     filled = json_pages.filled_documents(docs, found)
     assert "MapInPandas" not in plan_of(filled) and '"width": 3' in filled.first()["json"]
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+
+
+def test_pages_are_indexed_in_their_row(spark):
+    from glyphgrid.functions.text import collapse_blanks
+    from glyphgrid.operators.textindex import index_words, page_arrays
+
+    texts = ["one two\n\n  three", "a\tb   c  d\n e f", "  \n ", "žluť \x1c x\r\ny", "", "plain\ntext of\nfive\nlines\nhere", " \t "]
+    docs = spark.createDataFrame([(f"p{k}", t) for k, t in enumerate(texts)] + [("none", None)], "page_key string, text string")
+    want = page_arrays(index_words(V.laid_out_by_page(docs), collapse_blanks, by_page=True))
+    found = V.indexed_pages(docs)
+    order = lambda df: sorted(map(repr, df.select("page_key", "words", "n").collect()))
+    assert order(found) == order(want)
+    assert "Window" not in plan_of(found) and "Generate" not in plan_of(found) and "Aggregate" not in plan_of(found)
+
+
+def test_windows_near_starts_are_made_in_the_page(spark):
+    from glyphgrid.operators import candidates as C
+
+    draw, options = random.Random(5), C.Fuzzy()
+    words = [("w" * draw.randrange(1, 6),) for _ in range(30)]
+    starts, ends = [0], []
+    for (w,) in words:
+        ends.append(starts[-1] + len(w))
+        starts.append(ends[-1] + 1)
+    page = [(k, None, w, 0, s, None) for k, ((w,), s) in enumerate(zip(words, starts))]
+    first, length, most = [-2, 0, 1, 14, 29, 33], 11, 2
+    query = "q" * length
+    row = spark.createDataFrame([("p", page, (query, 3, most, first))], "page_key string, words array<struct<word_index:int,text:string,norm:string,block_index:int,char_start:int,at:int>>, q struct<query:string,k:int,most:int,starts:array<int>>")
+    found = {tuple(r) for r in row.select(F.inline(C.around(F.col("words"), F.col("q"), options))).collect()}
+    near = {s + d for s in first for d in (-1, 0, 1)}
+    want = {(a, a + c - 1) for a in near for c in range(1, 6) if a >= 0 and a + c <= 30 and abs(length - (ends[a + c - 1] - starts[a])) <= most}
+    assert found == want and len(found) == row.select(F.inline(C.around(F.col("words"), F.col("q"), options))).count()
